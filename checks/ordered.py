@@ -11,7 +11,7 @@ from checks.sqlparts import (
 from driftline.operators import kalman
 from driftline.operators.blocks import arrange, position
 from driftline.operators.lowess import smooth
-from driftline.operators.peaks import local_maxima, suppress_near
+from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
 from driftline.operators.robust import with_threshold
 from driftline.operators.steps import j2_residual, keplerian_residual, with_steps
 from driftline.plans import detect
@@ -26,12 +26,12 @@ def _ordered(spark, sf):
 
 def _events(spark, sf):
     """Event values as a signal along each user, with ``k`` from 0."""
-    rows = table(spark, sf, "events").selectExpr("user_id as norad", "ts as epoch", "floor(value / 8) as x")
+    rows = table(spark, sf, "events").selectExpr("user_id as norad", "ts as epoch", "cast(floor(value / 8) as double) as x")
     return arrange(rows, ["norad"], "epoch").extend(k=position())
 
 
 _SIGNAL = """s as (select user_id as norad, ts as epoch, row_number() over (partition by user_id order by ts) - 1 as k,
-  floor(value / 8) as x from events)"""
+  cast(floor(value / 8) as double) as x from events)"""
 
 
 @query("j4_previous_row", f"with {P} select norad, epoch, {rsql('lon0')} as previous_longitude, {rsql('n0')} as previous_motion from p")
@@ -100,6 +100,16 @@ def w9(spark, sf):
     return out.rows.where(F.col("kept")).select("norad", "k")
 
 
+@query("w10_prominence", f"""with {_SIGNAL}, {maxima_ctes('s', 'x')},
+e as (select pk.norad, pk.k, pk.x, (select max(k) from s where s.norad = pk.norad and s.k < pk.k and s.x > pk.x) as kl,
+  (select min(k) from s where s.norad = pk.norad and s.k > pk.k and s.x > pk.x) as kr from pk)
+select e.norad, e.k, e.x - greatest(min(s.x) filter (s.k <= e.k), min(s.x) filter (s.k >= e.k)) as prominence
+from e join s on s.norad = e.norad and s.k > coalesce(kl, -1) and (kr is null or s.k < kr) group by e.norad, e.k, e.x""")
+def w10(spark, sf):
+    out = with_prominence(local_maxima(_events(spark, sf), "x"), "x")
+    return out.rows.where(F.col("is_peak")).select("norad", "k", "prominence")
+
+
 @query("w11_kalman_filter", f"""with recursive {P}, {kalman_ctes('sma', 'sma0')}
 select norad, k, {rsql('y', 4)} as innovation, {rsql('nis', 2)} as nis, {rsql('rate', 4)} as rate from kf""")
 def w11(spark, sf):

@@ -54,7 +54,7 @@ def _turn(x: str) -> str:
 @query("s6_from_equinoctial", f"""with {H}, e as (select norad, epoch, {', '.join(f'{e} as {n}' for n, e in _EQUINOCTIAL.items())},
 cos({_LAMDA}) as c, sin({_LAMDA}) as s from h), o as (select norad, epoch, sqrt(h * h + k * k) as eccentricity,
 degrees(2 * atan(sqrt(q * q + p * p))) as inclination, {_turn('atan2(p, q)')} as raan, {_turn('atan2(h, k) - atan2(p, q)')} as arg_perigee,
-{_turn('atan2(s, c) - atan2(h, k)')} as mean_anomaly from e)
+{_turn('atan2(s, c) - atan2(h, k)')} as mean_anomaly from (select norad, epoch, c, s, k + 0e0 as k, h + 0e0 as h, p + 0e0 as p, q + 0e0 as q from e))
 select norad, epoch, {rsql('eccentricity')} as eccentricity, {rsql('inclination')} as inclination,
 {', '.join(f"{floor_mod(rsql(c))} as {c}" for c in ('raan', 'arg_perigee', 'mean_anomaly'))} from o""")
 def s6(spark, sf):
@@ -102,12 +102,12 @@ def s12(spark, sf):
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_known"))
 
 
-@query("s13_julian_date", f"""select event_id, {rsql('epoch_us(ts) / 86400e6 + 2440587.5e0')} as julian,
+@query("s13_julian_date", f"""select event_id, {rsql('epoch_us(ts) / 86400e6 + 2440587.5e0', 4)} as julian,
 {rsql('epoch_us(ts) / 86400e6 + 2440587.5e0 - 2433281.5e0')} as days_since_1949 from events""")
 def s13(spark, sf):
     rows = table(spark, sf, "events")
     us = timing.micros(rows, "ts")
-    return rows.select("event_id", rounded(timing.julian_date(us)).alias("julian"),
+    return rows.select("event_id", rounded(timing.julian_date(us), 4).alias("julian"),
                        rounded(timing.days_since_1949(us)).alias("days_since_1949"))
 
 

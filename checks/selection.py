@@ -152,10 +152,10 @@ def su2(spark, sf):
     return distinct_in_order(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
-@query("su4_unpivot", f"""with {H} select norad, epoch, 'inclination' as param, {rsql('inclination')} as value from h
-union all select norad, epoch, 'sma', {rsql('sma')} from h union all select norad, epoch, 'bstar', {rsql('bstar')} from h""")
+@query("su4_unpivot", f"with {H} " + " union all ".join(
+    f"select norad, epoch, '{p}' as param, {p} as value from h" for p in ("inclination", "eccentricity", "bstar")))
 def su4(spark, sf):
-    return unpivot(history(spark, sf), ["inclination", "sma", "bstar"]).withColumn("value", rounded("value"))
+    return unpivot(history(spark, sf), ["inclination", "eccentricity", "bstar"])
 
 
 @query("w1_latest_revision", _NEWEST)

@@ -70,7 +70,7 @@ def a7(spark, sf):
     return steps.rows.groupBy("norad").agg(F.max("distance").alias("distance"))
 
 
-_PARAMS = ["eccentricity", "inclination", "bstar", "sma"]
+_PARAMS = ["eccentricity", "inclination", "bstar", "raan"]
 _LONG = " union all ".join(f"select norad, epoch, '{p}' as param, {p} as value from h" for p in _PARAMS)
 
 

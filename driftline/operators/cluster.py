@@ -57,7 +57,8 @@ def coverage_counts(
 
 # Times are exact seconds and all values are scaled to at most 1, so that sums of decimals
 # cancel exactly: a closed line leaves nothing behind, however steep it was.
-_SECONDS, _VALUE, _SLOPE, _SUM = "decimal(15,6)", "decimal(20,18)", "decimal(28,18)", "decimal(38,17)"
+# The slope's width leaves room for two sums without losing digits to Spark's 38.
+_SECONDS, _VALUE, _SLOPE, _SUM = "decimal(15,6)", "decimal(20,18)", "decimal(26,18)", "decimal(38,17)"
 _MICRO = "decimal(17,0)"
 
 
@@ -90,9 +91,9 @@ def cluster_mean(
     counts = F.col("_y").isNotNull() & (F.col("_before").isNotNull() | F.col("_after").isNotNull())
     events = paired.result().groupBy(*group, time).agg(
         F.max("_t").alias("_t"),
-        _total(F.when(counts, F.col("_y"))).alias("_here"),
+        _total(F.when(counts, F.col("_y")), _SUM).alias("_here"),
         F.count_if(counts).alias("_n_here"),
-        *[_total(F.col(f"{line}.{part}")).cast(kind).alias(f"{line}_{part}")
+        *[_total(F.col(f"{line}.{part}"), kind).alias(f"{line}_{part}")
           for line in ("_open", "_shut") for part, kind in (("a", _SUM), ("b", _SLOPE))],
         *[F.count(line).alias(f"{line}_n") for line in ("_open", "_shut")])
     net = {part: running(F.col(f"_open_{part}") - F.col(f"_shut_{part}")) for part in "abn"}
@@ -117,8 +118,8 @@ def _line(t0: Column, y0: Column, t1: Column, y1: Column) -> Column:
         (y0.cast(_SUM) - (slope * t0).cast(_SUM)).cast(_SUM).alias("a"), slope.alias("b")))
 
 
-def _total(x: Column) -> Column:
-    return F.coalesce(F.sum(x), F.lit(0).cast("decimal(38,17)"))
+def _total(x: Column, kind: str) -> Column:
+    return F.coalesce(F.sum(x).cast(kind), F.lit(0).cast(kind))
 
 
 def interpolate(

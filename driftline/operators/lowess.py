@@ -1,15 +1,28 @@
-"""Robust local linear smoothing (Cleveland 1979) of each series."""
+"""Robust local linear smoothing (Cleveland 1979) of each series.
+
+A series in one block is smoothed in one call. For longer ones the neighbours of every row are
+found by joins and running counts, and the weighted sums of a fit are added up over tiles of
+the series, so that a task holds two tiles at most, however many neighbours a fit has.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-
-from driftline.operators.blocks import BLOCK, Ordered
-from driftline.operators.per_series import Maker, add_columns
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftline.functions.values import is_finite
+from driftline.operators.blocks import BLOCK, Ordered, arrange, position, running
+from driftline.operators.per_series import Maker, add_columns, floats
+from driftline.operators.quantiles import long_quantiles
+from driftline.session import join_small, materialise, rows_per_block
 
 ROBUST_PASSES = 3
 _CELLS = 1_000_000  # weights held at once
+_TILE_ROWS = 65_536
+_SUMS = ("_sw", "_su", "_suu", "_sy", "_suy")
 
 
 def neighbours(n: int, frac: float) -> int:
@@ -27,7 +40,16 @@ def smooth(series: Ordered, columns: dict[str, tuple[str, float]], at: str = "el
     if not series.heavy:
         return series.with_rows(
             add_columns(series.rows, series.groups, series.order, [*makers, *also]))
-    raise NotImplementedError
+    rows = materialise(series.rows, "smooth")
+    short = add_columns(
+        rows.where(F.col(BLOCK) == 0), list(series.keys), series.order, [*makers, *also])
+    if also:
+        raise ValueError("further makers cannot run on the blocks of a long series")
+    long = rows.where(F.col(BLOCK) > 0)
+    for out, (value, frac) in columns.items():
+        fits = _smooth_long(series, rows, value, at, frac, passes)
+        long = long.join(fits.withColumnRenamed("_fit", out), [*series.keys, series.order], "left")
+    return series.with_rows(short.unionByName(long))
 
 
 def smooth_maker(out: str, value: str, at: str, frac: float, passes: int) -> Maker:
@@ -97,3 +119,130 @@ def solve(sw, su, suu, sy, suy, own):
     tilt = suy / total - mean_u * mean_y
     slope = np.where(spread > 1e-12, tilt / np.where(spread > 1e-12, spread, 1.0), 0.0)
     return np.where(some, mean_y - slope * mean_u, own)
+
+
+# -- series of several blocks -------------------------------------------------------------
+
+
+def _smooth_long(
+    series: Ordered, rows: DataFrame, value: str, at: str, frac: float, passes: int,
+) -> DataFrame:
+    """Keys, order column and ``_fit`` of the long series."""
+    keys = list(series.keys)
+    spark = rows.sparkSession
+    width = min(rows_per_block(spark), _TILE_ROWS)
+    known = rows.where((F.col(BLOCK) > 0) & is_finite(F.col(value))).select(
+        *keys, BLOCK, series.order, F.col(at).alias("_t"), F.col(value).alias("_y"))
+    placed = series.with_rows(known).extend(_i=position()).rows.drop(BLOCK)
+    sizes = materialise(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    share = F.floor(F.lit(float(frac)) * F.col("_n") + F.lit(1e-10))
+    base = materialise(
+        join_small(placed, sizes, keys, "inner").withColumns({
+            "_k": F.least(F.col("_n"), F.greatest(F.lit(2), share)).cast("bigint"),
+            "_tile": F.expr(f"_i div {width}")}).drop("_n"), "smooth-base")
+    targets = materialise(_reaches(base, keys), "smooth-targets")
+    pairs = materialise(
+        targets.select(*keys, F.expr(f"_i div {width}").alias("_own"), _tiles(width))
+        .distinct(), "tile-pairs")
+    weights = base.select(*keys, "_i", F.lit(1.0).alias("_w"))
+    for turn in range(passes + 1):
+        fits = materialise(_one_pass(base, targets, pairs, weights, keys, width), "fits")
+        if turn == passes:
+            break
+        left = fits.select(*keys, "_i", F.abs(F.col("_y") - F.col("_fit")).alias("_left"))
+        medians = long_quantiles(left, keys, "_left", [0.5]).select(
+            *keys, F.col("quantiles")[0].alias("_median"))
+        u = F.col("_left") / (F.lit(6.0) * F.col("_median"))
+        bisquare_weight = F.when(~(F.col("_median") > 0), F.lit(1.0)).when(
+            u < 1, (F.lit(1.0) - u * u) * (F.lit(1.0) - u * u)).otherwise(F.lit(0.0))
+        weights = materialise(join_small(left, medians, keys, "inner").select(
+            *keys, "_i", bisquare_weight.alias("_w")), "robust-weights")
+    return base.select(*keys, series.order, "_i").join(
+        fits.select(*keys, "_i", "_fit"), [*keys, "_i"]).drop("_i")
+
+
+def _tiles(width: int) -> Column:
+    return F.explode(F.sequence(F.expr(f"_first div {width}"), F.expr(f"_last div {width}"))).alias("_tile")
+
+
+def _reaches(base: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row's neighbour range ``_first`` to ``_last`` and the farthest distance ``_h``.
+
+    The range of a row starts where ``t[j] + t[j + k]`` first reaches twice its time; both
+    grow along the series, so counting the smaller sums gives the start.
+    """
+    far = base.where(F.col("_i") >= F.col("_k")).select(
+        *keys, (F.col("_i") - F.col("_k")).alias("_i"), F.col("_t").alias("_far"))
+    sums = base.join(far, [*keys, "_i"]).select(
+        *keys, (F.col("_t") + F.col("_far")).alias("_s"), F.lit(1).alias("_sum"),
+        F.lit(None).cast("bigint").alias("_i"))
+    asks = base.select(*keys, (F.lit(2.0) * F.col("_t")).alias("_s"), F.lit(0).alias("_sum"), "_i")
+    merged = sums.unionByName(asks).groupBy(*keys, "_s").agg(
+        F.sum("_sum").alias("_sum"), F.max("_i").alias("_i"))
+    counted = arrange(materialise(merged, "reach-events"), keys, "_s").extend(_upto=running(F.col("_sum")))
+    starts = counted.rows.where(F.col("_i").isNotNull()).select(
+        *keys, "_i", (F.col("_upto") - F.col("_sum")).alias("_first"))
+    spans = base.select(*keys, "_i", "_t", "_y", "_k").join(starts, [*keys, "_i"]).withColumn(
+        "_last", F.col("_first") + F.col("_k") - F.lit(1)).drop("_k")
+    times = base.select(*keys, F.col("_i").alias("_first"), F.col("_t").alias("_t0"))
+    ends = base.select(*keys, F.col("_i").alias("_last"), F.col("_t").alias("_t1"))
+    reach = F.greatest(F.col("_t") - F.col("_t0"), F.col("_t1") - F.col("_t"))
+    return spans.join(times, [*keys, "_first"]).join(ends, [*keys, "_last"]).select(
+        *keys, "_i", "_t", "_y", "_first", "_last", reach.alias("_h"))
+
+
+def _one_pass(
+    base: DataFrame, targets: DataFrame, pairs: DataFrame, weights: DataFrame, keys: list[str],
+    width: int,
+) -> DataFrame:
+    by = [*keys, "_own", "_tile"]
+    asks = targets.select(
+        *keys, F.expr(f"_i div {width}").alias("_own"), _tiles(width), "_i", "_t", "_first", "_last", "_h")
+    near = base.select(*keys, "_tile", "_i", "_t", "_y").join(weights, [*keys, "_i"]).join(
+        pairs, [*keys, "_tile"])
+    fields = [base.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("_i", T.LongType()),
+                           *[T.StructField(c, T.DoubleType()) for c in _SUMS]])
+
+    def tile_sums(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_i")
+        at = rows["_i"].to_numpy()
+        sums = range_sums(
+            floats(rows["_t"]), floats(rows["_y"]), floats(rows["_w"]), floats(asked["_t"]),
+            floats(asked["_h"]), np.searchsorted(at, asked["_first"].to_numpy(), side="left"),
+            np.searchsorted(at, asked["_last"].to_numpy(), side="right"))
+        out = asked.select([*keys, "_i"])
+        for name, values in zip(_SUMS, sums, strict=True):
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    parts = asks.groupBy(*by).cogroup(near.groupBy(*by)).applyInArrow(tile_sums, schema)
+    totals = parts.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    sw, su, suu, sy, suy = (F.col(c) for c in _SUMS)
+    mean_u, mean_y = su / sw, sy / sw
+    spread = suu / sw - mean_u * mean_u
+    slope = F.when(spread > 1e-12, (suy / sw - mean_u * mean_y) / spread).otherwise(F.lit(0.0))
+    fit = F.when(sw > 0, mean_y - slope * mean_u).otherwise(F.col("_y"))
+    return targets.select(*keys, "_i", "_y").join(totals, [*keys, "_i"]).select(
+        *keys, "_i", "_y", fit.alias("_fit"))
+
+
+def range_sums(t, y, w, own_t, reach, start, stop):
+    """Weighted sums of each target over its part ``start:stop`` of one tile."""
+    out = np.zeros((5, len(own_t)))
+    longest = int((stop - start).max(initial=0))
+    if longest <= 0:
+        return out
+    rows = max(1, _CELLS // longest)
+    span = np.arange(longest)
+    for a in range(0, len(own_t), rows):
+        at = slice(a, a + rows)
+        near = start[at, None] + span
+        inside = near < stop[at, None]
+        near = np.minimum(near, len(t) - 1)
+        u = (t[near] - own_t[at, None]) / np.where(reach[at] > 0, reach[at], 1.0)[:, None]
+        weight = np.where(inside, (1.0 - np.minimum(np.abs(u), 1.0) ** 3) ** 3 * w[near], 0.0)
+        seen = y[near]
+        out[:, at] = (weight.sum(1), (weight * u).sum(1), (weight * u * u).sum(1),
+                      (weight * seen).sum(1), (weight * u * seen).sum(1))
+    return out

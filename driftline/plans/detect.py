@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.operators import kalman
 from driftline.operators.blocks import Ordered, arrange
 from driftline.operators.lowess import smooth
-from driftline.operators.peaks import local_maxima, suppress_near
+from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
 from driftline.operators.robust import sample_distance, with_threshold
 from driftline.operators.steps import both_residuals, j2_residual, keplerian_residual
 
@@ -27,11 +27,12 @@ def ordered_history(history: DataFrame | Ordered, entity: str = "norad", time: s
 
 def find_peaks(
     series: Ordered, signals: dict[str, str], sigma: float = 4.0,
-    min_distance_days: float | None = 7.0,
+    min_distance_days: float | None = 7.0, min_prominence: float | None = None,
 ) -> Ordered:
     """Flag the peaks of the absolute signals: signal column to flag column.
 
-    Adds ``<flag>_threshold``. ``min_distance_days`` None leaves all peaks standing.
+    Adds ``<flag>_threshold``. ``min_distance_days`` None leaves all peaks standing, and
+    ``min_prominence``, if given, is asked of those that remain.
     """
     out = series
     for signal, flag in signals.items():
@@ -47,18 +48,24 @@ def find_peaks(
         out = suppress_near(
             out, [(f"{f}_peak", f"{f}_magnitude", f) for f in signals.values()], "_distance")
         out = out.drop("_distance")
+    if min_prominence is not None:
+        for flag in signals.values():
+            out = with_prominence(out, f"{flag}_magnitude", "_prominence")
+            enough = F.col("_prominence") >= F.lit(float(min_prominence))
+            out = out.with_columns({flag: F.col(flag) & enough}).drop("_prominence")
     return out.drop(*[f"{f}_{c}" for f in signals.values() for c in ("magnitude", "peak")])
 
 
 def detect_keplerian(
     history: DataFrame | Ordered, smoothed: bool = True, frac: float = KEPLERIAN_FRAC,
-    sigma: float = 4.0, min_distance_days: float | None = 7.0,
+    sigma: float = 4.0, min_distance_days: float | None = 7.0, min_prominence: float | None = None,
 ) -> DataFrame:
     """``norad, epoch, k, method, signal, threshold, is_maneuver`` from mean-longitude residuals."""
     out = keplerian_residual(ordered_history(history))
     out = (smooth(out, {"signal": ("keplerian_residual", frac)}) if smoothed
            else out.with_columns({"signal": F.col("keplerian_residual")}))
-    return _detections(find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days), "keplerian")
+    found = find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days, min_prominence)
+    return _detections(found, "keplerian")
 
 
 def detect_j2(

@@ -25,7 +25,9 @@ def write_history(
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
     """Write the same rows as CSV with a header; returns the number of rows."""
-    return _counted(df, lambda out: out.write.mode(mode).option("header", True).csv(path))
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # the default keeps milliseconds only
+    return _counted(df, lambda out: out.write.mode(mode).options(
+        header=True, timestampFormat=micros + "XXX", timestampNTZFormat=micros).csv(path))
 
 
 def _counted(df: DataFrame, write) -> int:
