@@ -12,7 +12,7 @@ from driftline.operators import kalman
 from driftline.operators.blocks import arrange, position
 from driftline.operators.lowess import smooth
 from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
-from driftline.operators.robust import with_threshold
+from driftline.operators.robust import with_thresholds
 from driftline.operators.steps import j2_residual, keplerian_residual, with_steps
 from driftline.plans import detect
 
@@ -80,7 +80,7 @@ def w6_default(spark, sf):
 select norad, epoch, k, {rsql('keplerian_residual')} as signal, {rsql('threshold')} as threshold,
 abs(keplerian_residual) >= threshold as is_maneuver from kr join th using (norad)""")
 def w7(spark, sf):
-    out = with_threshold(keplerian_residual(_ordered(spark, sf)), "keplerian_residual", SIGMA)
+    out = with_thresholds(keplerian_residual(_ordered(spark, sf)), {"keplerian_residual": ""}, SIGMA)
     return out.rows.select("norad", "epoch", "k", rounded("keplerian_residual").alias("signal"),
                            rounded("threshold").alias("threshold"),
                            (F.col("magnitude") >= F.col("threshold")).alias("is_maneuver"))
@@ -88,14 +88,14 @@ def w7(spark, sf):
 
 @query("w8_local_maxima", f"with {_SIGNAL}, {maxima_ctes('s', 'x')} select norad, k, x as height from pk")
 def w8(spark, sf):
-    out = local_maxima(_events(spark, sf), "x").where(F.col("is_peak"))
+    out = local_maxima(_events(spark, sf), {"x": "is_peak"}).where(F.col("is_peak"))
     return out.rows.select("norad", "k", F.col("x").alias("height"))
 
 
 @query("w9_distance_suppression", f"""with recursive {_SIGNAL}, {maxima_ctes('s', 'x')},
 d as (select norad, k, x, 5 as distance from pk), {suppressed_ctes('d')} select norad, k from kp""")
 def w9(spark, sf):
-    out = local_maxima(_events(spark, sf), "x").with_columns({"distance": F.lit(5).cast("bigint")})
+    out = local_maxima(_events(spark, sf), {"x": "is_peak"}).with_columns({"distance": F.lit(5).cast("bigint")})
     out = suppress_near(out, [("is_peak", "x", "kept")], "distance")
     return out.rows.where(F.col("kept")).select("norad", "k")
 
@@ -106,7 +106,7 @@ e as (select pk.norad, pk.k, pk.x, (select max(k) from s where s.norad = pk.nora
 select e.norad, e.k, e.x - greatest(min(s.x) filter (s.k <= e.k), min(s.x) filter (s.k >= e.k)) as prominence
 from e join s on s.norad = e.norad and s.k > coalesce(kl, -1) and (kr is null or s.k < kr) group by e.norad, e.k, e.x""")
 def w10(spark, sf):
-    out = with_prominence(local_maxima(_events(spark, sf), "x"), "x")
+    out = with_prominence(local_maxima(_events(spark, sf), {"x": "is_peak"}), "x")
     return out.rows.where(F.col("is_peak")).select("norad", "k", "prominence")
 
 

@@ -8,9 +8,10 @@ from checks.adapters import H, P, history, table
 from checks.registry import query, rounded, rsql
 from checks.sqlparts import distance_cte, residual_cte, threshold_ctes
 from driftline.operators import cluster as CL
+from driftline.operators.blocks import arrange
 from driftline.operators.clipping import clip_series, percentile_bounds
 from driftline.operators.history import counts, grouped_pages, unpivot
-from driftline.operators.robust import robust_summary, sample_distance, with_threshold
+from driftline.operators.robust import robust_summary, with_thresholds
 from driftline.operators.steps import keplerian_residual, with_steps
 from driftline.plans.detect import ordered_history
 
@@ -36,7 +37,7 @@ def _residuals(spark, sf):
 
 
 def _summary(spark, sf, sigma=4.0):
-    return robust_summary(_residuals(spark, sf).result(), ["norad"], "keplerian_residual", sigma)
+    return robust_summary(_residuals(spark, sf), "keplerian_residual", sigma)
 
 
 @query("a3_median", _SUMMARY + f"{rsql('med')} as median from th")
@@ -55,8 +56,8 @@ _FLAT = "case when user_id % 4 = 0 then 5e0 when user_id % 4 = 1 and event_id %
 @query("a5_robust_scale", f"""with s as (select user_id as norad, {_FLAT} as v from events), {threshold_ctes('s', 'v', 4)}
 select norad, {rsql('scale')} as scale from th""")
 def a5(spark, sf):
-    rows = table(spark, sf, "events").selectExpr("user_id as norad", f"{_FLAT} as v")
-    return robust_summary(rows, ["norad"], "v", 4.0).select("norad", rounded("scale").alias("scale"))
+    rows = table(spark, sf, "events").selectExpr("user_id as norad", "ts as epoch", f"{_FLAT} as v")
+    return robust_summary(arrange(rows, ["norad"], "epoch"), "v", 4.0).select("norad", rounded("scale").alias("scale"))
 
 
 @query("a6_threshold", _SUMMARY + f"n, {rsql('threshold')} as threshold from th")
@@ -66,7 +67,7 @@ def a6(spark, sf):
 
 @query("a7_sample_distance", f"with {P}, {distance_cte(7)} select norad, distance from ds")
 def a7(spark, sf):
-    steps = sample_distance(with_steps(ordered_history(history(spark, sf))), "distance", 7.0)
+    steps = with_thresholds(with_steps(ordered_history(history(spark, sf))), {"dt_days": ""}, 4.0, 7.0)
     return steps.rows.groupBy("norad").agg(F.max("distance").alias("distance"))
 
 
@@ -193,6 +194,6 @@ select norad, 'residual' as method, count(*) filter (abs(keplerian_residual) >=
 from kr join th using (norad) group by norad""")
 def a12(spark, sf):
     from driftline.plans.detect import detection_counts
-    rows = with_threshold(_residuals(spark, sf), "keplerian_residual", 1.0).rows
+    rows = with_thresholds(_residuals(spark, sf), {"keplerian_residual": ""}, 1.0).rows
     return detection_counts(rows.select(
         "norad", F.lit("residual").alias("method"), (F.col("magnitude") >= F.col("threshold")).alias("is_maneuver")))

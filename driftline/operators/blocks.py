@@ -174,9 +174,11 @@ def long_groups(df: DataFrame, keys: list[str], limit: int, what: str) -> DataFr
 
     There are fewer of them than ``rows / limit``, so the table stays small.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit)
-    table = materialise(sizes, what)
-    return None if table.isEmpty() else table
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    biggest = sizes.agg(F.max("_size")).head()[0]
+    if biggest is None or biggest <= limit:
+        return None
+    return materialise(sizes.where(F.col("_size") > limit), what)
 
 
 def arrange(

@@ -35,7 +35,9 @@ def detect_kalman(
     alpha: float = 0.997,
 ) -> Ordered:
     """``innovation``, ``nis``, ``rate`` (per day), ``nis_threshold`` and ``kalman_maneuver``."""
-    return flag_innovations(kalman_filter(with_steps(series, [value]), value, noise, r, p0), alpha).drop("before")
+    paired = with_steps(series.with_rows(series.rows.select(
+        *series.keys, series.order, BLOCK, value)), [value])
+    return flag_innovations(kalman_filter(paired, value, noise, r, p0), alpha)
 
 
 def flag_innovations(filtered: Ordered, alpha: float) -> Ordered:
@@ -59,8 +61,8 @@ _OUTPUTS = {"innovation": "double", "nis": "double", "rate": "double"}
 
 
 def kalman_filter(paired: Ordered, value: str, noise: float, r: float, p0: float) -> Ordered:
-    """The filter over rows paired by ``with_steps`` with ``value`` carried."""
-    rows = paired.rows.withColumn("_z_before", F.col(f"before.{value}"))
+    """The filter over rows paired by ``with_steps`` with ``value`` carried; drops ``before``."""
+    rows = paired.rows.withColumn("_z_before", F.col(f"before.{value}")).drop("before")
     maker = filter_maker(noise, r, p0, value)
     if not paired.heavy:
         out = add_columns(rows, paired.groups, paired.order, [maker])

@@ -13,25 +13,35 @@ from driftline.operators.per_series import Maker, add_columns, floats, to_arrow
 from driftline.session import join_small, materialise, rows_per_block
 
 
-def local_maxima(series: Ordered, height: str, name: str = "is_peak") -> Ordered:
-    """Mark strict local maxima; a flat top counts once, at the floor of its middle.
+def local_maxima(series: Ordered, heights: dict[str, str]) -> Ordered:
+    """Mark strict local maxima: height column to flag column.
 
-    Missing heights count as 0. The first and last row are never peaks.
+    A flat top counts once, at the floor of its middle. Missing heights count as 0. The first
+    and last row are never peaks.
     """
-    h = F.coalesce(F.col(height), F.lit(0.0))
-    out = series.with_columns({"_h": h}).extend(_left=previous("_h"), _right=following("_h", "k"))
-    starts = F.col("_left").isNull() | (F.col("_left._h") != F.col("_h"))
-    ends = F.col("_right").isNull() | (F.col("_right._h") != F.col("_h"))
-    # A run of equal heights knows its ends and the heights beyond them.
-    out = out.with_columns({
-        "_start": F.when(starts, F.struct(F.col("k").alias("k"), F.col("_left._h").alias("beyond"))),
-        "_end": F.when(ends, F.struct(F.col("k").alias("k"), F.col("_right._h").alias("beyond"))),
-    }).drop("_left", "_right")
-    out = out.extend(_run_start=last_seen(F.col("_start")), _run_end=next_seen(F.col("_end")))
-    peak = ((F.col("_h") > F.col("_run_start.beyond")) & (F.col("_h") > F.col("_run_end.beyond"))
-            & (F.col("k") == F.expr("(_run_start.k + _run_end.k) div 2")))
-    return out.with_columns({name: F.coalesce(peak, F.lit(False))}).drop(
-        "_h", "_start", "_end", "_run_start", "_run_end")
+    names = list(heights.values())
+    held = [f"_h_{n}" for n in names]
+    out = series.with_columns({
+        f"_h_{n}": F.coalesce(F.col(h), F.lit(0.0)) for h, n in heights.items()})
+    out = out.extend(_left=previous(*held), _right=following(*held))
+    ends = {}
+    for n in names:  # a run of equal heights knows its ends and the heights beyond them
+        here = F.col(f"_h_{n}")
+        for side, beyond in (("start", F.col(f"_left._h_{n}")), ("end", F.col(f"_right._h_{n}"))):
+            edge = beyond.isNull() | (beyond != here)
+            ends[f"_{side}_{n}"] = F.when(edge, F.struct(F.col("k").alias("k"), beyond.alias("beyond")))
+    out = out.with_columns(ends).drop("_left", "_right")
+    out = out.extend(
+        **{f"_first_{n}": last_seen(F.col(f"_start_{n}")) for n in names},
+        **{f"_last_{n}": next_seen(F.col(f"_end_{n}")) for n in names})
+    peaks = {}
+    for n in names:
+        here = F.col(f"_h_{n}")
+        peak = ((here > F.col(f"_first_{n}.beyond")) & (here > F.col(f"_last_{n}.beyond"))
+                & (F.col("k") == F.expr(f"(`_first_{n}`.k + `_last_{n}`.k) div 2")))
+        peaks[n] = F.coalesce(peak, F.lit(False))
+    return out.with_columns(peaks).drop(
+        *held, *ends, *[f"_{c}_{n}" for c in ("first", "last") for n in names])
 
 
 def keep_distant(k, height, candidate, distance):

@@ -1,12 +1,14 @@
 """Exact quantiles per group, for groups of any size.
 
-Spark's exact ``percentile`` keeps all distinct values of a group in one task. That is right
-for short groups. For long ones a sketch first brackets each wanted rank, then one more pass
-counts what lies below the bracket and ranks only the values inside it.
+Short groups are sorted and read at the wanted ranks. Long ones never meet in one task: a
+sketch first brackets each wanted rank, then one more pass counts what lies below the bracket
+and ranks only the values inside it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,10 +41,21 @@ def exact_quantiles(
 
 
 def _short(values: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
-    ranks = F.array(*[F.lit(float(p)) for p in probabilities])
-    out = values.groupBy(*keys).agg(
-        F.count("_v").alias("n"), F.percentile("_v", ranks).alias("quantiles"))
-    return out.where(F.col("n") > 0)
+    group = W.partitionBy(*keys)
+    ranked = values.withColumns({
+        "_at": F.row_number().over(group.orderBy("_v")) - F.lit(1), "n": F.count("_v").over(group)})
+    places = [F.lit(float(p)) * (F.col("n") - F.lit(1)) for p in probabilities]
+    wanted = reduce(lambda a, b: a | b, [
+        F.col("_at").isin(F.floor(place), F.ceil(place)) for place in places])
+
+    def read(place):
+        low = F.max(F.when(F.col("_at") == F.floor(place), F.col("_v")))
+        high = F.max(F.when(F.col("_at") == F.ceil(place), F.col("_v")))
+        share = F.max(place - F.floor(place))
+        return low * (F.lit(1.0) - share) + high * share
+
+    return ranked.where(wanted).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.array(*[read(place) for place in places]).alias("quantiles"))
 
 
 def long_quantiles(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions.values import finite_or_null
 from driftline.operators.blocks import BLOCK, Ordered
-from driftline.operators.quantiles import exact_quantiles, long_quantiles
+from driftline.operators.quantiles import long_quantiles
 from driftline.session import join_small, materialise
 
 # Fixed value: scales a median absolute deviation to a standard deviation.
@@ -33,16 +35,21 @@ def _pinned(series: Ordered) -> Ordered:
     return series.with_rows(materialise(series.rows, "series")) if series.heavy else series
 
 
-def series_median(series: Ordered, name: str, value: Column) -> Ordered:
-    """Add the exact median of ``value`` over the whole series."""
-    work = _pinned(series.with_columns({"_x": value}))
+def series_medians(series: Ordered, values: dict[str, Column]) -> Ordered:
+    """Add the exact median of each value over the whole series."""
+    held = {f"_x_{name}": value for name, value in values.items()}
+    work = _pinned(series.with_columns(held))
     group = W.partitionBy(*series.groups)
-    long = None
+    keys, long = list(series.keys), None
     if series.heavy:
-        found = long_quantiles(
-            work.rows.where((F.col(BLOCK) > 0) & F.col("_x").isNotNull()), list(series.keys), "_x", [0.5])
-        long = found.select(*series.keys, F.col("quantiles")[0].alias(name))
-    return _with_long(work, {name: F.median("_x").over(group)}, long).drop("_x")
+        rows = work.rows.where(F.col(BLOCK) > 0)
+        long = rows.select(*keys).distinct()
+        for name in values:
+            found = long_quantiles(rows.where(F.col(f"_x_{name}").isNotNull()), keys, f"_x_{name}", [0.5])
+            long = long.join(found.select(*keys, F.col("quantiles")[0].alias(name)), keys, "left")
+        long = materialise(long, "medians")
+    return _with_long(
+        work, {name: F.median(f"_x_{name}").over(group) for name in values}, long).drop(*held)
 
 
 def series_aggregates(series: Ordered, aggregates: dict[str, Column]) -> Ordered:
@@ -56,46 +63,69 @@ def series_aggregates(series: Ordered, aggregates: dict[str, Column]) -> Ordered
     return _with_long(work, {n: c.over(group) for n, c in aggregates.items()}, long)
 
 
-def with_threshold(series: Ordered, signal: str, sigma: float, prefix: str = "") -> Ordered:
-    """Add ``magnitude`` (absolute, NULL where not finite) and the robust ``threshold``.
+def _threshold(n: Column, median: Column, mad: Column, std: Column, sigma: float) -> Column:
+    return F.when(n >= _FEWEST, median + F.lit(float(sigma)) * _scale(mad, std))
 
-    The threshold is the median plus ``sigma`` scales; the scale is the scaled median absolute
-    deviation or, where that is 0, the population standard deviation. Fewer than three finite
-    values give no threshold.
-    """
-    magnitude, threshold = f"{prefix}magnitude", f"{prefix}threshold"
-    out = series.with_columns({magnitude: F.abs(finite_or_null(F.col(signal)))})
-    x = F.col(magnitude)
-    out = series_median(out, "_median", x)
-    out = series_median(out, "_mad", F.abs(x - F.col("_median")))
-    out = series_aggregates(out, {"_n": F.count(x), "_std": F.stddev_pop(x)})
-    scale = F.when(F.col("_mad") > 0, F.lit(MAD_SCALE) * F.col("_mad")).otherwise(F.col("_std"))
-    level = F.when(F.col("_n") >= _FEWEST, F.col("_median") + F.lit(float(sigma)) * scale)
-    return out.with_columns({threshold: level}).drop("_median", "_mad", "_n", "_std")
-
-
-def robust_summary(df: DataFrame, keys: list[str], signal: str, sigma: float) -> DataFrame:
-    """One row per group: ``n``, ``median``, ``mad``, ``scale`` and ``threshold`` of the magnitude."""
-    x = df.select(*keys, F.abs(finite_or_null(F.col(signal))).alias("_x")).where(F.col("_x").isNotNull())
-    medians = materialise(exact_quantiles(x, keys, "_x", [0.5]).select(
-        *keys, "n", F.col("quantiles")[0].alias("median")), "medians")
-    spread = join_small(x, medians, keys, "inner").select(
-        *keys, F.abs(F.col("_x") - F.col("median")).alias("_d"))
-    mads = exact_quantiles(spread, keys, "_d", [0.5]).select(*keys, F.col("quantiles")[0].alias("mad"))
-    stds = x.groupBy(*keys).agg(F.stddev_pop("_x").alias("_std"))
-    scale = F.when(F.col("mad") > 0, F.lit(MAD_SCALE) * F.col("mad")).otherwise(F.col("_std"))
-    out = medians.join(mads, keys).join(stds, keys).withColumn("scale", scale)
-    return out.select(
-        *keys, "n", "median", "mad", "scale",
-        F.when(F.col("n") >= _FEWEST, F.col("median") + F.lit(float(sigma)) * F.col("scale")).alias("threshold"))
-
-
-def sample_distance(series: Ordered, name: str, min_days: float) -> Ordered:
-    """Add the number of samples that ``min_days`` spans at the series' median step.
-
-    Rounds half to even, at least 1; NULL where the step is unknown or not positive. The step
-    that leads to the first paired row does not count.
+
+def _scale(mad: Column, std: Column) -> Column:
+    return F.when(mad > 0, F.lit(MAD_SCALE) * mad).otherwise(std)
+
+
+def with_thresholds(
+    series: Ordered, signals: dict[str, str], sigma: float, min_days: float | None = None,
+) -> Ordered:
+    """Add ``<prefix>magnitude`` (absolute, NULL where not finite) and ``<prefix>threshold``.
+
+    ``signals`` maps a signal column to its prefix. The threshold is the median plus ``sigma``
+    scales; the scale is the scaled median absolute deviation or, where that is 0, the
+    population standard deviation. Fewer than three finite values give no threshold.
+
+    ``min_days`` also adds ``distance``, the number of samples that it spans at the series'
+    median step: rounded half to even, at least 1, NULL where the step is unknown or not
+    positive. The step that leads to the first paired row does not count.
     """
-    out = series_median(series, "_step", F.when(F.col("k") >= 1, F.col("dt_days")))
-    samples = F.greatest(F.lit(1), F.rint(F.lit(float(min_days)) / F.col("_step")).cast("bigint"))
-    return out.with_columns({name: F.when(F.col("_step") > 0, samples)}).drop("_step")
+    out = series.with_columns({
+        f"{p}magnitude": F.abs(finite_or_null(F.col(signal))) for signal, p in signals.items()})
+    prefixes = list(signals.values())
+    wanted = {f"_median_{p}": F.col(f"{p}magnitude") for p in prefixes}
+    if min_days is not None:
+        wanted["_step"] = F.when(F.col("k") >= 1, F.col("dt_days"))
+    out = series_medians(out, wanted)
+    out = series_medians(out, {
+        f"_mad_{p}": F.abs(F.col(f"{p}magnitude") - F.col(f"_median_{p}")) for p in prefixes})
+    out = series_aggregates(out, {
+        name: aggregate for p in prefixes for name, aggregate in (
+            (f"_n_{p}", F.count(f"{p}magnitude")), (f"_std_{p}", F.stddev_pop(f"{p}magnitude")))})
+    columns = {f"{p}threshold": _threshold(
+        *[F.col(f"_{c}_{p}") for c in ("n", "median", "mad", "std")], sigma) for p in prefixes}
+    if min_days is not None:
+        samples = F.rint(F.lit(float(min_days)) / F.nullif(F.col("_step"), F.lit(0.0))).cast("bigint")
+        columns["distance"] = F.when(F.col("_step") > 0, F.greatest(F.lit(1), samples))
+    used = [f"_{c}_{p}" for c in ("n", "median", "mad", "std") for p in prefixes]
+    return out.with_columns(columns).drop(*used, "_step")
+
+
+def robust_summary(series: Ordered, signal: str, sigma: float) -> DataFrame:
+    """One row per series: ``n``, ``median``, ``mad``, ``scale`` and ``threshold`` of the magnitude."""
+    keys = list(series.keys)
+    held = series.rows.select(*keys, BLOCK, F.abs(finite_or_null(F.col(signal))).alias("_x"))
+    x = held.where(F.col("_x").isNotNull())
+    group = W.partitionBy(*keys)
+    parts = []
+    if series.heavy:
+        x = materialise(x, "magnitudes")
+        long = x.where(F.col(BLOCK) > 0)
+        x = x.where(F.col(BLOCK) == 0)
+        medians = long_quantiles(long, keys, "_x", [0.5]).select(*keys, F.col("quantiles")[0].alias("median"))
+        away = join_small(long, medians, keys, "inner").withColumn("_d", F.abs(F.col("_x") - F.col("median")))
+        mads = long_quantiles(away, keys, "_d", [0.5]).select(*keys, F.col("quantiles")[0].alias("mad"))
+        sums = long.groupBy(*keys).agg(F.count("_x").alias("n"), F.stddev_pop("_x").alias("_std"))
+        parts.append(sums.join(medians, keys).join(mads, keys))
+    # The window and the aggregate share one shuffle.
+    parts.append(x.withColumn("median", F.median("_x").over(group)).groupBy(*keys).agg(
+        F.count("_x").alias("n"), F.max("median").alias("median"),
+        F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"), F.stddev_pop("_x").alias("_std")))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.select(
+        *keys, "n", "median", "mad", _scale(F.col("mad"), F.col("_std")).alias("scale"),
+        _threshold(*[F.col(c) for c in ("n", "median", "mad", "_std")], sigma).alias("threshold"))

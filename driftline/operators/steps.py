@@ -74,8 +74,8 @@ def _add_j2(paired: Ordered) -> Ordered:
 def _right_ascension(series: Ordered, name: str, el: dict[str, Column], dt: Column) -> Ordered:
     """Inertial right ascension after ``dt`` days; NULL for an impossible orbit.
 
-    Kepler's equation takes a fixed number of Newton steps, one projection each, so that the
-    whole chain compiles to straight JVM code.
+    Kepler's equation takes a fixed number of Newton steps. They fold inside one expression:
+    unrolled, the generated method outgrows what the JVM compiles.
     """
     possible = (el["eccentricity"] >= 0) & (el["eccentricity"] < 1) & (el["mean_motion"] > 0)
     rate = F.when(possible, el["mean_motion"]) * F.lit(2.0 * math.pi)  # rad/day
@@ -93,11 +93,11 @@ def _right_ascension(series: Ordered, name: str, el: dict[str, Column], dt: Colu
         "_peri": F.radians(el["arg_perigee"])
         + F.lit(0.75) * F.col("_drift") * (F.lit(5.0) * F.col("_cos_i") * F.col("_cos_i") - F.lit(1.0)) * dt,
         "_m": F.radians(el["mean_anomaly"]) + F.col("_n") * dt})
-    out = out.with_columns({"_x": F.col("_m")})
-    for _ in range(_NEWTON_STEPS):
-        out = out.with_columns({"_x": F.col("_x") - (
-            F.col("_x") - F.col("_e") * F.sin("_x") - F.col("_m"))
-            / (F.lit(1.0) - F.col("_e") * F.cos("_x"))})
+    newton = F.aggregate(
+        F.lit(list(range(_NEWTON_STEPS))), F.col("_m"),
+        lambda near_, turn_: near_ - (near_ - F.col("_e") * F.sin(near_) - F.col("_m"))
+        / (F.lit(1.0) - F.col("_e") * F.cos(near_)))
+    out = out.with_columns({"_x": newton})
     true_anomaly = F.lit(2.0) * F.atan2(
         F.sqrt(F.lit(1.0) + F.col("_e")) * F.sin(F.col("_x") / F.lit(2.0)),
         F.sqrt(F.lit(1.0) - F.col("_e")) * F.cos(F.col("_x") / F.lit(2.0)))

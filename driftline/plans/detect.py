@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.values import finite_or_null
 from driftline.operators import kalman
-from driftline.operators.blocks import Ordered, arrange
+from driftline.operators.blocks import BLOCK, Ordered, arrange
 from driftline.operators.lowess import smooth
 from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
-from driftline.operators.robust import sample_distance, with_threshold
+from driftline.operators.robust import with_thresholds
 from driftline.operators.steps import both_residuals, j2_residual, keplerian_residual
 
 KEPLERIAN_FRAC = 0.008
@@ -34,26 +35,26 @@ def find_peaks(
     Adds ``<flag>_threshold``. ``min_distance_days`` None leaves all peaks standing, and
     ``min_prominence``, if given, is asked of those that remain.
     """
-    out = series
-    for signal, flag in signals.items():
-        prefix = f"{flag}_"
-        out = with_threshold(out, signal, sigma, prefix)
-        out = local_maxima(out, f"{prefix}magnitude", f"{prefix}peak")
-        high = F.col(f"{prefix}magnitude") >= F.col(f"{prefix}threshold")
-        out = out.with_columns({f"{prefix}peak": F.coalesce(F.col(f"{prefix}peak") & high, F.lit(False))})
+    prefixes = {signal: f"{flag}_" for signal, flag in signals.items()}
+    flags = list(signals.values())
+    # Maxima first: their windows order the rows, which then serve the medians as they are.
+    out = series.with_columns({
+        f"_abs_{flag}": F.abs(finite_or_null(F.col(signal))) for signal, flag in signals.items()})
+    out = local_maxima(out, {f"_abs_{flag}": f"{flag}_peak" for flag in flags})
+    out = with_thresholds(out.drop(*[f"_abs_{f}" for f in flags]), prefixes, sigma, min_distance_days)
+    out = out.with_columns({f"{f}_peak": F.coalesce(
+        F.col(f"{f}_peak") & (F.col(f"{f}_magnitude") >= F.col(f"{f}_threshold")), F.lit(False))
+        for f in flags})
     if min_distance_days is None:
-        out = out.with_columns({flag: F.col(f"{flag}_peak") for flag in signals.values()})
+        out = out.with_columns({f: F.col(f"{f}_peak") for f in flags})
     else:
-        out = sample_distance(out, "_distance", min_distance_days)
-        out = suppress_near(
-            out, [(f"{f}_peak", f"{f}_magnitude", f) for f in signals.values()], "_distance")
-        out = out.drop("_distance")
+        out = suppress_near(out, [(f"{f}_peak", f"{f}_magnitude", f) for f in flags], "distance")
     if min_prominence is not None:
-        for flag in signals.values():
+        for flag in flags:
             out = with_prominence(out, f"{flag}_magnitude", "_prominence")
             enough = F.col("_prominence") >= F.lit(float(min_prominence))
             out = out.with_columns({flag: F.col(flag) & enough}).drop("_prominence")
-    return out.drop(*[f"{f}_{c}" for f in signals.values() for c in ("magnitude", "peak")])
+    return out.drop("distance", *[f"{f}_{c}" for f in flags for c in ("magnitude", "peak")])
 
 
 def detect_keplerian(
@@ -61,7 +62,7 @@ def detect_keplerian(
     sigma: float = 4.0, min_distance_days: float | None = 7.0, min_prominence: float | None = None,
 ) -> DataFrame:
     """``norad, epoch, k, method, signal, threshold, is_maneuver`` from mean-longitude residuals."""
-    out = keplerian_residual(ordered_history(history))
+    out = _slim(keplerian_residual(ordered_history(history)), ["keplerian_residual"])
     out = (smooth(out, {"signal": ("keplerian_residual", frac)}) if smoothed
            else out.with_columns({"signal": F.col("keplerian_residual")}))
     found = find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days, min_prominence)
@@ -73,7 +74,8 @@ def detect_j2(
     min_distance_days: float | None = 7.0,
 ) -> DataFrame:
     """The same from the residual of the J2 propagation, always smoothed."""
-    out = smooth(j2_residual(ordered_history(history)), {"signal": ("j2_residual", frac)})
+    out = _slim(j2_residual(ordered_history(history)), ["j2_residual"])
+    out = smooth(out, {"signal": ("j2_residual", frac)})
     return _detections(find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days), "j2")
 
 
@@ -107,14 +109,15 @@ def compare_methods(
     """
     series = ordered_history(history)
     paired = both_residuals(series, ["sma"])
+    residuals = ["keplerian_residual", "j2_residual"]
     smoothed = {"keplerian_signal": ("keplerian_residual", keplerian_frac),
                 "j2_signal": ("j2_residual", j2_frac)}
     if series.heavy:
-        paired = kalman.kalman_filter(paired, "sma", noise, r, p0).drop("before")
-        paired = smooth(_slim(paired, ["innovation", "nis", "rate"]), smoothed)
+        paired = kalman.kalman_filter(paired, "sma", noise, r, p0)
+        paired = smooth(_slim(paired, [*residuals, "innovation", "nis", "rate"]), smoothed)
     else:
         paired = paired.with_columns({"_z_before": F.col("before.sma")})
-        paired = smooth(_slim(paired, ["sma", "_z_before"]), smoothed,
+        paired = smooth(_slim(paired, [*residuals, "sma", "_z_before"]), smoothed,
                         also=[kalman.filter_maker(noise, r, p0, "sma")])
     flagged = kalman.flag_innovations(paired, alpha)
     out = find_peaks(
@@ -128,10 +131,10 @@ def compare_methods(
         "kalman_maneuver")
 
 
-def _slim(paired: Ordered, extra: list[str]) -> Ordered:
-    kept = ["k", "dt_days", "elapsed_days", "keplerian_residual", "j2_residual", *extra]
-    block = [c for c in paired.rows.columns if c.startswith("_block")]
-    return paired.with_rows(paired.rows.select(*paired.keys, paired.order, *kept, *block))
+def _slim(paired: Ordered, values: list[str]) -> Ordered:
+    """Only what the later steps read: everything else would pass through Python."""
+    return paired.with_rows(paired.rows.select(
+        *paired.keys, paired.order, BLOCK, "k", "dt_days", "elapsed_days", *values))
 
 
 def align_methods(detections: DataFrame, methods: list[str], entity: str = "norad",

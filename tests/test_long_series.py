@@ -14,7 +14,7 @@ from driftline.operators.cluster import cluster_mean, coverage_counts, interpola
 from driftline.operators.history import grouped_pages
 from driftline.operators.lowess import smooth
 from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
-from driftline.operators.robust import robust_summary, sample_distance, with_threshold
+from driftline.operators.robust import robust_summary, with_thresholds
 from driftline.operators.steps import both_residuals, with_steps
 from driftline.plans.detect import compare_methods, detect_keplerian, ordered_history
 
@@ -72,12 +72,12 @@ def test_steps_and_residuals(spark, elements):
 def test_threshold_and_distance(spark, elements):
     def run():
         s = with_steps(ordered_history(elements))
-        return sample_distance(with_threshold(s, "sma", 1.0), "distance", 3.0).drop("before").result()
+        return with_thresholds(s, {"sma": "a_", "mean_motion": "b_"}, 1.0, 3.0).drop("before").result()
     close(*both(spark, run))
 
 
 def test_summary(spark, elements):
-    close(*both(spark, lambda: robust_summary(elements, ["norad"], "x", 2.0)))
+    close(*both(spark, lambda: robust_summary(peaky(elements), "x", 2.0)))
 
 
 def test_kalman(spark, elements):
@@ -97,7 +97,7 @@ def peaky(elements):
 
 def test_maxima_suppression_prominence(spark, elements):
     def run():
-        s = local_maxima(peaky(elements), "x").with_columns({"gap": F.lit(4).cast("bigint")})
+        s = local_maxima(peaky(elements), {"x": "is_peak"}).with_columns({"gap": F.lit(4).cast("bigint")})
         return with_prominence(suppress_near(s, [("is_peak", "x", "kept")], "gap"), "x").result()
     close(*both(spark, run))
 
