@@ -23,6 +23,7 @@ from driftline.session import join_small, materialise, rows_per_block
 
 BLOCK = "_block"  # 0: the whole series; 1, 2, ...: its blocks in order
 _MAX_BLOCKS = 8192
+_BROADCAST_CUTS = 4_000_000  # numbers, together at most 32 MB
 _COARSE = 64
 
 
@@ -183,23 +184,26 @@ def long_groups(df: DataFrame, keys: list[str], limit: int, what: str) -> DataFr
 
 def arrange(
     df: DataFrame | Ordered, keys: list[str], order: str, rows: int | None = None,
+    measure: DataFrame | None = None,
 ) -> Ordered:
     """Order each series, cutting those longer than ``rows`` (the session's limit by default).
 
     ``order`` must not repeat much inside a series: equal values are never separated.
+    ``measure`` are rows with the same keys and order that are cheaper to read, such as the
+    input of an aggregation that ``df`` is the result of; sizes and cuts are taken from them.
     Already ordered input passes through.
     """
     if isinstance(df, Ordered):
         return df
+    measure = df if measure is None else measure
     limit = rows or rows_per_block(df.sparkSession)
-    sizes = long_groups(df, keys, limit, "long-series")
+    sizes = long_groups(measure, keys, limit, "long-series")
     if sizes is None:
         return Ordered(df.withColumn(BLOCK, F.lit(0)), tuple(keys), order, False)
-    cuts = _cut_points(df, keys, order, sizes, limit)
-    if keys:
-        tagged = join_small(df, cuts, keys, "left")
-    else:
-        tagged = df.join(F.broadcast(cuts))  # one row: there is a single series
+    cuts = _cut_points(measure, keys, order, sizes, limit)
+    if not keys or cuts.agg(F.sum(F.size("_cuts"))).head()[0] <= _BROADCAST_CUTS:
+        cuts = F.broadcast(cuts)
+    tagged = df.join(cuts, keys, "left") if keys else df.join(cuts)  # without keys: one row
     block = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
         F.lit(1) + _locate(F.col("_cuts"), F.col("_coarse"), F.col(order)))
     return Ordered(

@@ -49,7 +49,8 @@ def coverage_counts(
     grid = series.select(*group, time, F.lit(0).alias("_open"), F.lit(0).alias("_shut"))
     events = grid.unionByName(starts).unionByName(ends).groupBy(*group, time).agg(
         F.sum("_open").alias("_open"), F.sum("_shut").alias("_shut"))
-    swept = arrange(events, group, time).extend(_opened=running(F.col("_open")), _ended=running(F.col("_shut")))
+    swept = arrange(events, group, time, measure=series).extend(
+        _opened=running(F.col("_open")), _ended=running(F.col("_shut")))
     covering = F.col("_opened") - F.col("_ended") + F.col("_shut")  # a span includes its end
     return swept.with_columns({"n_covering": covering.cast("bigint")}).result().select(
         *group, time, "n_covering")
@@ -83,7 +84,7 @@ def cluster_mean(
         "_y": (F.col("_y") / divisor).cast(_VALUE),
         "_t": (F.expr(f"cast(_us - _origin as {_MICRO})") * F.expr("cast(0.000001 as decimal(6,6))")).cast(_SECONDS),
     }).drop("_us", "_origin", "_scale")
-    paired = arrange(scaled, keys, time).extend(
+    paired = arrange(scaled, keys, time, measure=series).extend(
         _before=previous("_t", "_y"), _after=following("_t", "_y"))
     opened = _line(F.col("_t"), F.col("_y"), F.col("_after._t"), F.col("_after._y"))
     closed = _line(F.col("_before._t"), F.col("_before._y"), F.col("_t"), F.col("_y"))
@@ -97,7 +98,7 @@ def cluster_mean(
           for line in ("_open", "_shut") for part, kind in (("a", _SUM), ("b", _SLOPE))],
         *[F.count(line).alias(f"{line}_n") for line in ("_open", "_shut")])
     net = {part: running(F.col(f"_open_{part}") - F.col(f"_shut_{part}")) for part in "abn"}
-    swept = arrange(events, group, time).extend(**{f"_net_{p}": step for p, step in net.items()})
+    swept = arrange(events, group, time, measure=series).extend(**{f"_net_{p}": step for p, step in net.items()})
     # At a grid time the lines that open there are not yet under way.
     live = {part: F.col(f"_net_{part}") - F.col(f"_open_{part}") for part in "abn"}
     passing = live["a"].cast(_SUM) + (live["b"].cast(_SLOPE) * F.col("_t")).cast(_SUM)
@@ -136,11 +137,12 @@ def interpolate(
     wanted = targets.select(*keys, time).distinct().select(
         *keys, time, F.lit(None).cast("double").alias("_y"), F.lit(False).alias("_knot"),
         F.lit(True).alias("_wanted"))
-    points = knots.unionByName(wanted).groupBy(*keys, time).agg(
+    both = knots.unionByName(wanted)
+    points = both.groupBy(*keys, time).agg(
         F.max("_y").alias("_y"), F.max("_knot").alias("_knot"), F.max("_wanted").alias("_wanted"))
     points = points.withColumn("_us", micros(points, time))
     knot = F.when(F.col("_knot"), F.struct("_us", "_y"))
-    ordered = arrange(points, keys, time).with_columns({"_at": knot})
+    ordered = arrange(points, keys, time, measure=both.select(*keys, time)).with_columns({"_at": knot})
     ordered = ordered.extend(
         _lo=last_seen(F.col("_at")), _hi=next_seen(F.col("_at")),
         _start=series_start(F.when(F.col("_knot"), F.col("_us"))),

@@ -65,13 +65,22 @@ def smooth_array(t, y, frac, passes=ROBUST_PASSES):
         return out
     t, y = t[ok], y[ok]
     k = neighbours(n, frac)
+    if k <= 2 and (np.diff(t) > 0).all():
+        out[ok] = y  # the farther of two neighbours weighs nothing
+        return out
     first = first_neighbours(t, k)
+    rows = max(1, _CELLS // k)
+    spans = [slice(a, a + rows) for a in range(0, n, rows)]
+    shapes = [neighbourhood(t, first, k, spans[0])] if len(spans) == 1 else None
     weights = np.ones(n)
-    fit = local_fits(t, y, weights, first, k)
+    fit = local_fits(t, y, weights, first, k, spans, shapes)
     for _ in range(passes):
         left = np.abs(y - fit)
-        weights = bisquare(left, np.median(left))
-        fit = local_fits(t, y, weights, first, k)
+        middle = np.median(left)
+        if not middle > 0:
+            break  # all weights stay 1
+        weights = bisquare(left, middle)
+        fit = local_fits(t, y, weights, first, k, spans, shapes)
     out[ok] = fit
     return out
 
@@ -90,20 +99,29 @@ def bisquare(left, median):
     return np.where(u < 1.0, (1.0 - u * u) ** 2, 0.0)
 
 
-def local_fits(t, y, weights, first, k):
+def neighbourhood(t, first, k, at):
+    """Neighbour positions, scaled distances and tricube weights of the rows ``at``."""
+    near = first[at, None] + np.arange(k)
+    u = t[near] - t[at, None]
+    reach = np.maximum(np.abs(u[:, 0]), np.abs(u[:, -1]))
+    u /= np.where(reach > 0, reach, 1.0)[:, None]
+    return near, u, tricube(u)
+
+
+def tricube(u):
+    a = np.minimum(np.abs(u), 1.0)
+    b = 1.0 - a * a * a
+    return b * b * b
+
+
+def local_fits(t, y, weights, first, k, spans, shapes=None):
     fit = np.empty(len(t))
-    rows = max(1, _CELLS // k)
-    span = np.arange(k)
-    for a in range(0, len(t), rows):
-        at = slice(a, a + rows)
-        near = first[at, None] + span
-        away = t[near] - t[at, None]
-        reach = np.maximum(np.abs(away[:, 0]), np.abs(away[:, -1]))
-        u = away / np.where(reach > 0, reach, 1.0)[:, None]
-        w = (1.0 - np.minimum(np.abs(u), 1.0) ** 3) ** 3 * weights[near]
-        seen = y[near]
-        fit[at] = solve(w.sum(1), (w * u).sum(1), (w * u * u).sum(1), (w * seen).sum(1),
-                        (w * u * seen).sum(1), y[at])
+    for i, at in enumerate(spans):
+        near, u, shape = shapes[i] if shapes else neighbourhood(t, first, k, at)
+        w = shape * weights[near]
+        wu, seen = w * u, y[near]
+        total = lambda a, b: np.einsum("ij,ij->i", a, b)
+        fit[at] = solve(w.sum(1), wu.sum(1), total(wu, u), total(w, seen), total(wu, seen), y[at])
     return fit
 
 
@@ -241,7 +259,7 @@ def range_sums(t, y, w, own_t, reach, start, stop):
         inside = near < stop[at, None]
         near = np.minimum(near, len(t) - 1)
         u = (t[near] - own_t[at, None]) / np.where(reach[at] > 0, reach[at], 1.0)[:, None]
-        weight = np.where(inside, (1.0 - np.minimum(np.abs(u), 1.0) ** 3) ** 3 * w[near], 0.0)
+        weight = np.where(inside, tricube(u) * w[near], 0.0)
         seen = y[near]
         out[:, at] = (weight.sum(1), (weight * u).sum(1), (weight * u * u).sum(1),
                       (weight * seen).sum(1), (weight * u * seen).sum(1))

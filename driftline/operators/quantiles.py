@@ -32,6 +32,7 @@ def exact_quantiles(
     sizes = long_groups(values, keys, limit, "long-groups")
     if sizes is None:
         return _short(values, keys, probabilities)
+    values = materialise(values, "values")  # read several times from here on
     if not keys:
         return long_quantiles(values, keys, "_v", probabilities)
     short = join_small(values, sizes, keys, "left_anti")

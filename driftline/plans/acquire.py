@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.catalog import (
-    Rule, between_epochs, first_n_per_rule, history_of, match_rules)
+from driftline.operators.catalog import Rule, between_epochs, first_n_per_rule, match_rules
 from driftline.session import join_small, materialise
 from driftline.sources.readers import read_catalogue, read_raw_history, split_history, typed_history
 from driftline.sources.writers import write_history
@@ -34,11 +33,8 @@ def selected_history(
     an unusable record fails the job.
     """
     typed, rejects = (typed_history(raw), None) if strict else split_history(raw)
-    chosen = materialise(chosen, "chosen")
-    kept = between_epochs(history_of(typed, chosen), start, end)
-    labelled = join_small(
-        kept, chosen.withColumnRenamed("norad_cat_id", "norad"), ["norad"], "inner")
-    return labelled, rejects
+    chosen = materialise(chosen.withColumnRenamed("norad_cat_id", "norad"), "chosen")
+    return join_small(between_epochs(typed, start, end), chosen, ["norad"], "inner"), rejects
 
 
 def acquire(

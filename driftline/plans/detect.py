@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.values import finite_or_null
 from driftline.operators import kalman
 from driftline.operators.blocks import BLOCK, Ordered, arrange
+from driftline.operators.history import latest_revision
 from driftline.operators.lowess import smooth
 from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
 from driftline.operators.robust import with_thresholds
@@ -19,11 +20,17 @@ _ELEMENTS = ["raan", "arg_perigee", "mean_anomaly", "mean_motion", "inclination"
 
 
 def ordered_history(history: DataFrame | Ordered, entity: str = "norad", time: str = "epoch") -> Ordered:
-    """Only the columns the detectors read, in time order per object."""
+    """Only the columns the detectors read, newest revisions, in time order per object.
+
+    Series are measured on the table itself, before revisions are dropped, which reads two
+    columns and saves a second run of the deduplication.
+    """
     if isinstance(history, Ordered):
         return history
-    wanted = [c for c in _ELEMENTS if c in history.columns]
-    return arrange(history.select(entity, time, *wanted), [entity], time)
+    read = ["creation_date", "rev_at_epoch", *_ELEMENTS]
+    held = history.select(entity, time, *[c for c in read if c in history.columns])
+    newest = latest_revision(held, entity, time).drop("creation_date", "rev_at_epoch")
+    return arrange(newest, [entity], time, measure=history.select(entity, time))
 
 
 def find_peaks(
