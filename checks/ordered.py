@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.adapters import P, history, table
+from checks.adapters import P, REVISED_SQL, history, revised, table
 from checks.registry import query, rounded, rsql
 from checks.sqlparts import (
     distance_cte, j2_cte, kalman_ctes, lowess_ctes, maxima_ctes, residual_cte, suppressed_ctes, threshold_ctes)
@@ -21,7 +21,7 @@ FRAC, SIGMA, DAYS = 0.2, 1.0, 2.0
 
 
 def _ordered(spark, sf):
-    return detect.ordered_history(history(spark, sf))
+    return detect.ordered_history(history(spark, sf), revised=False)
 
 
 def _events(spark, sf):
@@ -124,6 +124,20 @@ def w12(spark, sf):
     return detect.detect_kalman(_ordered(spark, sf)).select("norad", "epoch", "k", "is_maneuver")
 
 
+_REVISED_KALMAN = f"""n as (select norad, epoch, sma, epoch_us(epoch) as us from (select *, row_number() over (partition by norad, epoch
+  order by creation_seq desc, tiebreak desc, sma desc, eccentricity desc) as rk from {REVISED_SQL}) where rk = 1),
+p as (select * from (select norad, epoch, sma, row_number() over w - 2 as k, (us - lag(us) over w) / 86400e6 as dt_days,
+  lag(sma) over w as sma0 from n window w as (partition by norad order by epoch)) where k >= 0)"""
+
+
+@query("detect_kalman_revised_history", f"""with recursive {_REVISED_KALMAN}, {kalman_ctes('sma', 'sma0')}
+select norad, epoch, k, {rsql('rate', 2)} as signal, nis > 8.807468393511876 as is_maneuver from kf join p using (norad, k)""")
+def detect_kalman_revised(spark, sf):
+    rows = revised(spark, sf).withColumnsRenamed({"creation_seq": "creation_date", "tiebreak": "rev_at_epoch"})
+    out = detect.detect_kalman(rows)
+    return out.select("norad", "epoch", "k", rounded("signal", 2).alias("signal"), "is_maneuver")
+
+
 @query("w14_sample_index", f"with {P} select norad, epoch, k from p")
 def w14(spark, sf):
     return with_steps(_ordered(spark, sf)).rows.select("norad", "epoch", "k")
@@ -151,7 +165,7 @@ _KEPLER_RAW = _detected(f"{residual_cte()}, {distance_cte(DAYS)},", "kr", "keple
 select kr.norad, kr.epoch, kr.k, 'keplerian' as method, {rsql('keplerian_residual')} as signal, {rsql('threshold')} as threshold,
 a_kept.k is not null as is_maneuver from kr left join a_th using (norad) left join a_kept on a_kept.norad = kr.norad and a_kept.k = kr.k""")
 def detect_raw(spark, sf):
-    out = detect.detect_keplerian(_ordered(spark, sf), smoothed=False, sigma=SIGMA, min_distance_days=DAYS)
+    out = detect.detect_keplerian(history(spark, sf), smoothed=False, sigma=SIGMA, min_distance_days=DAYS)
     return out.withColumns({"signal": rounded("signal"), "threshold": rounded("threshold")})
 
 
@@ -164,7 +178,7 @@ select p.norad, p.epoch, p.k, 'keplerian' as method, {rsql('fit')} as signal, {r
 a_kept.k is not null as is_maneuver from p join lw on lw.norad = p.norad and lw.k = p.k left join a_th on a_th.norad = p.norad
 left join a_kept on a_kept.norad = p.norad and a_kept.k = p.k""")
 def detect_smoothed(spark, sf):
-    out = detect.detect_keplerian(_ordered(spark, sf), frac=FRAC, sigma=SIGMA, min_distance_days=DAYS)
+    out = detect.detect_keplerian(history(spark, sf), frac=FRAC, sigma=SIGMA, min_distance_days=DAYS)
     return out.withColumns({"signal": rounded("signal"), "threshold": rounded("threshold")})
 
 
@@ -172,7 +186,7 @@ def detect_smoothed(spark, sf):
 {_detected(f"{residual_cte()}, {distance_cte(DAYS)},", "kr", "keplerian_residual", SIGMA, None, "a")}
 select norad, k from a_kept""")
 def detect_every(spark, sf):
-    out = detect.detect_keplerian(_ordered(spark, sf), smoothed=False, sigma=SIGMA, min_distance_days=None)
+    out = detect.detect_keplerian(history(spark, sf), smoothed=False, sigma=SIGMA, min_distance_days=None)
     return out.where(F.col("is_maneuver")).select("norad", "k")
 
 
@@ -181,7 +195,7 @@ select p.norad, p.epoch, p.k, 'j2' as method, {rsql('fit')} as signal, {rsql('th
 b_kept.k is not null as is_maneuver from p join lj on lj.norad = p.norad and lj.k = p.k left join b_th on b_th.norad = p.norad
 left join b_kept on b_kept.norad = p.norad and b_kept.k = p.k""")
 def detect_j2(spark, sf):
-    out = detect.detect_j2(_ordered(spark, sf), frac=FRAC, sigma=SIGMA, min_distance_days=DAYS)
+    out = detect.detect_j2(history(spark, sf), frac=FRAC, sigma=SIGMA, min_distance_days=DAYS)
     return out.withColumns({"signal": rounded("signal"), "threshold": rounded("threshold")})
 
 
@@ -192,7 +206,7 @@ from p join lw on lw.norad = p.norad and lw.k = p.k join lj on lj.norad = p.nora
 join kf on kf.norad = p.norad and kf.k = p.k left join a_kept on a_kept.norad = p.norad and a_kept.k = p.k
 left join b_kept on b_kept.norad = p.norad and b_kept.k = p.k""")
 def compare(spark, sf):
-    out = detect.compare_methods(_ordered(spark, sf), SIGMA, DAYS, keplerian_frac=FRAC, j2_frac=FRAC)
+    out = detect.compare_methods(history(spark, sf), SIGMA, DAYS, keplerian_frac=FRAC, j2_frac=FRAC)
     return out.select("norad", "epoch", rounded("keplerian_signal").alias("keplerian_signal"), "keplerian_maneuver",
                       rounded("j2_signal").alias("j2_signal"), "j2_maneuver",
                       rounded("kalman_rate", 4).alias("kalman_rate"), "kalman_maneuver")

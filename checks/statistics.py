@@ -33,7 +33,7 @@ _SUMMARY = f"with {P}, {residual_cte()}, {threshold_ctes('kr', 'keplerian_residu
 
 
 def _residuals(spark, sf):
-    return keplerian_residual(ordered_history(history(spark, sf)))
+    return keplerian_residual(ordered_history(history(spark, sf), revised=False))
 
 
 def _summary(spark, sf, sigma=4.0):
@@ -67,7 +67,7 @@ def a6(spark, sf):
 
 @query("a7_sample_distance", f"with {P}, {distance_cte(7)} select norad, distance from ds")
 def a7(spark, sf):
-    steps = with_thresholds(with_steps(ordered_history(history(spark, sf))), {"dt_days": ""}, 4.0, 7.0)
+    steps = with_thresholds(with_steps(ordered_history(history(spark, sf), revised=False)), {"dt_days": ""}, 4.0, 7.0)
     return steps.rows.groupBy("norad").agg(F.max("distance").alias("distance"))
 
 

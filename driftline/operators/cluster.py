@@ -76,12 +76,13 @@ def cluster_mean(
     keys = [*group, entity]
     clean = series.select(*keys, time, finite_or_null(F.col(value).cast("double")).alias("_y"))
     clean = clean.withColumn("_us", micros(clean, time))
+    largest = F.max(F.abs("_y"))
+    power = F.pow(F.lit(10.0), F.ceil(F.log10(F.when(largest > 0, largest))))
     scales = materialise(clean.groupBy(*group).agg(
-        F.max(F.abs("_y")).alias("_scale"), F.min("_us").alias("_origin")), "scales")
+        F.coalesce(power, F.lit(1.0)).alias("_scale"), F.min("_us").alias("_origin")), "scales")
     scaled = join_small(clean, scales, group, "inner") if group else clean.join(F.broadcast(scales))
-    divisor = F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.lit(1.0))
     scaled = scaled.withColumns({
-        "_y": (F.col("_y") / divisor).cast(_VALUE),
+        "_y": (F.col("_y") / F.col("_scale")).cast(_VALUE),
         "_t": (F.expr(f"cast(_us - _origin as {_MICRO})") * F.expr("cast(0.000001 as decimal(6,6))")).cast(_SECONDS),
     }).drop("_us", "_origin", "_scale")
     paired = arrange(scaled, keys, time, measure=series).extend(
@@ -107,7 +108,7 @@ def cluster_mean(
         "_sum": (F.col("_here").cast(_SUM) + passing).cast("double"), "n_members": n}).result()
     out = out.where(F.col("n_members") > 0)
     out = join_small(out, scales, group, "inner") if group else out.join(F.broadcast(scales))
-    mean = F.col("_sum") / F.col("n_members") * F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.lit(1.0))
+    mean = F.col("_sum") * F.col("_scale") / F.col("n_members")
     return out.select(*group, time, mean.alias("mean"), "n_members")
 
 

@@ -44,7 +44,10 @@ def load_history(
     picked = between_epochs(history, start, end, time)
     if norads is not None:
         picked = picked.where(F.col("norad").isin([int(n) for n in norads]))
-    kept = latest_revision(picked, time=time).select("norad", time, *params)
+    # Only what the result needs is read and shuffled; ties are settled by the values themselves.
+    held = [c for c in ("creation_date",) if c in history.columns and c not in params]
+    kept = latest_revision(picked.select("norad", time, *params, *held), time=time)
+    kept = kept.select("norad", time, *params)
     return kept.orderBy("norad", time) if ordered else kept
 
 

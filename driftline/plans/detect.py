@@ -19,17 +19,21 @@ J2_FRAC = 0.005
 _ELEMENTS = ["raan", "arg_perigee", "mean_anomaly", "mean_motion", "inclination", "eccentricity", "sma"]
 
 
-def ordered_history(history: DataFrame | Ordered, entity: str = "norad", time: str = "epoch") -> Ordered:
+def ordered_history(
+    history: DataFrame | Ordered, entity: str = "norad", time: str = "epoch", revised: bool = True,
+) -> Ordered:
     """Only the columns the detectors read, newest revisions, in time order per object.
 
     Series are measured on the table itself, before revisions are dropped, which reads two
-    columns and saves a second run of the deduplication.
+    columns and saves a second run of the deduplication. ``revised`` False promises that
+    epochs do not repeat and skips it.
     """
     if isinstance(history, Ordered):
         return history
     read = ["creation_date", "rev_at_epoch", *_ELEMENTS]
     held = history.select(entity, time, *[c for c in read if c in history.columns])
-    newest = latest_revision(held, entity, time).drop("creation_date", "rev_at_epoch")
+    newest = latest_revision(held, entity, time) if revised else held
+    newest = newest.drop("creation_date", "rev_at_epoch")
     return arrange(newest, [entity], time, measure=history.select(entity, time))
 
 
