@@ -79,18 +79,18 @@ def _series(spark, sf):
     return unpivot(history(spark, sf), _PARAMS)
 
 
-@query("a8_percentile_bounds", f"""with {H}, s as ({_LONG}) select norad, param, {rsql('quantile_cont(value, 0.01)', 8)} as lo,
-{rsql('quantile_cont(value, 0.99)', 8)} as hi from s group by norad, param""")
+@query("a8_percentile_bounds", f"""with {H}, s as ({_LONG}) select norad, param, {rsql('quantile_cont(value, 0.01)', 12)} as lo,
+{rsql('quantile_cont(value, 0.99)', 12)} as hi from s group by norad, param""")
 def a8(spark, sf):
     return percentile_bounds(_series(spark, sf), ["norad", "param"]).select(
-        "norad", "param", rounded("lo", 8).alias("lo"), rounded("hi", 8).alias("hi"))
+        "norad", "param", rounded("lo", 12).alias("lo"), rounded("hi", 12).alias("hi"))
 
 
-@query("a9_pooled_bounds", f"""with {H}, s as ({_LONG}) select param, {rsql('quantile_cont(value, 0.01)', 8)} as lo,
-{rsql('quantile_cont(value, 0.99)', 8)} as hi from s group by param""")
+@query("a9_pooled_bounds", f"""with {H}, s as ({_LONG}) select param, {rsql('quantile_cont(value, 0.01)', 12)} as lo,
+{rsql('quantile_cont(value, 0.99)', 12)} as hi from s group by param""")
 def a9(spark, sf):
     return percentile_bounds(_series(spark, sf), ["param"]).select(
-        "param", rounded("lo", 8).alias("lo"), rounded("hi", 8).alias("hi"))
+        "param", rounded("lo", 12).alias("lo"), rounded("hi", 12).alias("hi"))
 
 
 @query("a9_pooled_price_bounds", f"""select l_returnflag as param, {rsql('quantile_cont(l_extendedprice, 0.01)', 4)} as lo,
@@ -106,18 +106,18 @@ _CLIP = f"case when param in ('eccentricity', 'inclination') then greatest(lo, l
 
 @query("s9_clip_per_object", f"""with {H}, s as ({_LONG}), b as (select norad, param, quantile_cont(value, 0.01) as lo,
 quantile_cont(value, 0.99) as hi from s group by norad, param)
-select norad, epoch, param, {rsql(_CLIP, 8)} as value from s join b using (norad, param)""")
+select norad, epoch, param, {rsql(_CLIP, 12)} as value from s join b using (norad, param)""")
 def s9(spark, sf):
     return clip_series(_series(spark, sf), limits={"bstar": (1e-5, 5e-5)}).select(
-        "norad", "epoch", "param", rounded("value", 8).alias("value"))
+        "norad", "epoch", "param", rounded("value", 12).alias("value"))
 
 
 @query("s9_clip_pooled", f"""with {H}, s as ({_LONG}), b as (select param, quantile_cont(value, 0.01) as lo,
 quantile_cont(value, 0.99) as hi from s group by param)
-select norad, epoch, param, {rsql(_CLIP, 8)} as value from s join b using (param)""")
+select norad, epoch, param, {rsql(_CLIP, 12)} as value from s join b using (param)""")
 def s9_pooled(spark, sf):
     return clip_series(_series(spark, sf), pooled=True, limits={"bstar": (1e-5, 5e-5)}).select(
-        "norad", "epoch", "param", rounded("value", 8).alias("value"))
+        "norad", "epoch", "param", rounded("value", 12).alias("value"))
 
 
 # Clusters of ten objects; every 13th value is missing.

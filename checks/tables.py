@@ -76,7 +76,7 @@ def io4(spark, sf):
                        F.lit("creation_date" in rows.columns).alias("has_creation_date"))
 
 
-@query("io5_parquet_sink", f"""with {H} select tag, '2024-02-01' as run, norad, n, first_epoch, sum(n) over () as n_written
+@query("io5_parquet_sink", f"""with {H} select tag, '2024-02-01' as run, norad, n, first_epoch, cast(sum(n) over () as bigint) as n_written
 from (select 'SAT_ALL' as tag, norad, count(*) as n, min(epoch) as first_epoch from h group by norad)""")
 def io5(spark, sf):
     path = new_path(spark, "sink")
@@ -84,7 +84,7 @@ def io5(spark, sf):
     back = spark.read.parquet(path).groupBy("tag", "run", "norad").agg(
         F.count(F.lit(1)).alias("n"), F.min("epoch").alias("first_epoch"))
     return back.select("tag", F.date_format("run", "yyyy-MM-dd").alias("run"), "norad", "n", "first_epoch",
-                       F.lit(written).cast("decimal(38,0)").alias("n_written"))
+                       F.lit(written).cast("bigint").alias("n_written"))
 
 
 @query("io6_output_tag", f"""select concat_ws('_', coalesce(nullif(pattern, ''), 'ALL'), coalesce(nullif(country, ''), 'ALL')) as tag,
