@@ -164,8 +164,9 @@ class Ordered:
             for name, step in steps.items()])
         inside = here.with_columns({name: step.inside(here) for name, step in steps.items()}).rows
         joined = inside.join(across, self.groups, "left")
+        kinds = {name: inside.schema[name].dataType for name in steps}
         merged = joined.withColumns({
-            name: step.merge(F.col(name), F.col(f"_edge_{name}")).cast(inside.schema[name].dataType)
+            name: step.merge(F.col(name), F.col(f"_edge_{name}").cast(kinds[name])).cast(kinds[name])
             for name, step in steps.items()})
         return self.with_rows(merged.drop(*[f"_edge_{name}" for name in steps]))
 

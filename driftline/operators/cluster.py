@@ -58,8 +58,9 @@ def coverage_counts(
 
 # Times are exact seconds and all values are scaled to at most 1, so that sums of decimals
 # cancel exactly: a closed line leaves nothing behind, however steep it was.
-# The slope's width leaves room for two sums without losing digits to Spark's 38.
-_SECONDS, _VALUE, _SLOPE, _SUM = "decimal(15,6)", "decimal(20,18)", "decimal(26,18)", "decimal(38,17)"
+# Intercepts and slopes are narrow enough to be summed twice within Spark's 38 digits.
+_SECONDS, _VALUE, _SUM = "decimal(15,6)", "decimal(20,18)", "decimal(38,17)"
+_LEVEL, _SLOPE = "decimal(33,17)", "decimal(26,18)"
 _MICRO = "decimal(17,0)"
 
 
@@ -96,7 +97,7 @@ def cluster_mean(
         _total(F.when(counts, F.col("_y")), _SUM).alias("_here"),
         F.count_if(counts).alias("_n_here"),
         *[_total(F.col(f"{line}.{part}"), kind).alias(f"{line}_{part}")
-          for line in ("_open", "_shut") for part, kind in (("a", _SUM), ("b", _SLOPE))],
+          for line in ("_open", "_shut") for part, kind in (("a", _LEVEL), ("b", _SLOPE))],
         *[F.count(line).alias(f"{line}_n") for line in ("_open", "_shut")])
     net = {part: running(F.col(f"_open_{part}") - F.col(f"_shut_{part}")) for part in "abn"}
     swept = arrange(events, group, time, measure=series).extend(**{f"_net_{p}": step for p, step in net.items()})
@@ -117,7 +118,7 @@ def _line(t0: Column, y0: Column, t1: Column, y1: Column) -> Column:
     slope = ((y1 - y0).cast("double") / (t1 - t0).cast("double")).cast(_SLOPE)
     known = t0.isNotNull() & t1.isNotNull() & y0.isNotNull() & y1.isNotNull()
     return F.when(known, F.struct(
-        (y0.cast(_SUM) - (slope * t0).cast(_SUM)).cast(_SUM).alias("a"), slope.alias("b")))
+        (y0.cast(_SUM) - (slope * t0).cast(_SUM)).cast(_LEVEL).alias("a"), slope.alias("b")))
 
 
 def _total(x: Column, kind: str) -> Column:

@@ -26,11 +26,13 @@ def ordered_history(
 
     Series are measured on the table itself, before revisions are dropped, which reads two
     columns and saves a second run of the deduplication. ``revised`` False promises that
-    epochs do not repeat and skips it.
+    epochs do not repeat and skips it. A row without an epoch has no place in the order and
+    takes no part.
     """
     if isinstance(history, Ordered):
         return history
     read = ["creation_date", "rev_at_epoch", *_ELEMENTS]
+    history = history.where(F.col(time).isNotNull())
     held = history.select(entity, time, *[c for c in read if c in history.columns])
     newest = latest_revision(held, entity, time) if revised else held
     newest = newest.drop("creation_date", "rev_at_epoch")

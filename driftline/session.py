@@ -14,14 +14,26 @@ BROADCAST_ROWS_CONF = "driftline.broadcastRows"
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
-def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators are tuned for."""
+_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def build_session(
+    app: str, master: str | None = None, input_bytes: int | None = None, **conf: str,
+) -> SparkSession:
+    """A session with the settings the operators are tuned for.
+
+    ``input_bytes``, the size of the table to work on, sets how finely shuffles are split:
+    adaptive execution merges partitions that turn out small but cannot split large ones.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if input_bytes:
+        parts = min(max(200, -(-input_bytes // _PARTITION_BYTES)), 200_000)
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
