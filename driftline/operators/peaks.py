@@ -68,7 +68,11 @@ def keep_distant(k, height, candidate, distance):
 
 
 def suppress_near(series: Ordered, peaks: list[tuple[str, str, str]], distance: str) -> Ordered:
-    """Add kept flags: each entry is (candidate column, height column, output column)."""
+    """Add kept flags: each entry is (candidate column, height column, output column).
+
+    Short series pass through Python whole. The windows before have them in place already, so
+    that is cheaper than shuffling all rows once more to join the few flags back.
+    """
     makers = [
         Maker(("k", height, candidate, distance), {out: "boolean"},
               lambda *arrays: (keep_distant(*arrays),))
