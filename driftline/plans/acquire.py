@@ -51,4 +51,6 @@ def acquire(
         hit = F.col("rule") == tag
         pattern = F.when(hit, F.lit(name_pattern)).otherwise(pattern)
         country = F.when(hit, F.lit(code)).otherwise(country)
+    # The writer samples the rows to place its ranges: parse the text once only.
+    rows = materialise(rows, "typed")
     return write_history(rows, out_path, pattern, country, F.lit(run))

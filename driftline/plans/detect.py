@@ -16,13 +16,16 @@ from driftline.operators.steps import both_residuals, j2_residual, keplerian_res
 
 KEPLERIAN_FRAC = 0.008
 J2_FRAC = 0.005
-_ELEMENTS = ["raan", "arg_perigee", "mean_anomaly", "mean_motion", "inclination", "eccentricity", "sma"]
+_LONGITUDE = ["raan", "arg_perigee", "mean_anomaly", "mean_motion"]
+_ORBIT = [*_LONGITUDE, "inclination", "eccentricity"]
+_ELEMENTS = [*_ORBIT, "sma"]
 
 
 def ordered_history(
-    history: DataFrame | Ordered, entity: str = "norad", time: str = "epoch", revised: bool = True,
+    history: DataFrame | Ordered, columns: list[str] | None = None, entity: str = "norad",
+    time: str = "epoch", revised: bool = True,
 ) -> Ordered:
-    """Only the columns the detectors read, newest revisions, in time order per object.
+    """Only the columns a detector reads, newest revisions, in time order per object.
 
     Series are measured on the table itself, before revisions are dropped, which reads two
     columns and saves a second run of the deduplication. ``revised`` False promises that
@@ -31,7 +34,7 @@ def ordered_history(
     """
     if isinstance(history, Ordered):
         return history
-    read = ["creation_date", "rev_at_epoch", *_ELEMENTS]
+    read = ["creation_date", "rev_at_epoch", *(columns or _ELEMENTS)]
     history = history.where(F.col(time).isNotNull())
     held = history.select(entity, time, *[c for c in read if c in history.columns])
     newest = latest_revision(held, entity, time) if revised else held
@@ -75,7 +78,7 @@ def detect_keplerian(
     sigma: float = 4.0, min_distance_days: float | None = 7.0, min_prominence: float | None = None,
 ) -> DataFrame:
     """``norad, epoch, k, method, signal, threshold, is_maneuver`` from mean-longitude residuals."""
-    out = _slim(keplerian_residual(ordered_history(history)), ["keplerian_residual"])
+    out = _slim(keplerian_residual(ordered_history(history, _LONGITUDE)), ["keplerian_residual"])
     out = (smooth(out, {"signal": ("keplerian_residual", frac)}) if smoothed
            else out.with_columns({"signal": F.col("keplerian_residual")}))
     found = find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days, min_prominence)
@@ -87,7 +90,7 @@ def detect_j2(
     min_distance_days: float | None = 7.0,
 ) -> DataFrame:
     """The same from the residual of the J2 propagation, always smoothed."""
-    out = _slim(j2_residual(ordered_history(history)), ["j2_residual"])
+    out = _slim(j2_residual(ordered_history(history, _ORBIT)), ["j2_residual"])
     out = smooth(out, {"signal": ("j2_residual", frac)})
     return _detections(find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days), "j2")
 
@@ -97,7 +100,7 @@ def detect_kalman(
     alpha: float = 0.997,
 ) -> DataFrame:
     """``norad, epoch, k, method, signal`` (rate of the semi-major axis), ``nis, threshold, is_maneuver``."""
-    out = kalman.detect_kalman(ordered_history(history), "sma", noise, r, p0, alpha)
+    out = kalman.detect_kalman(ordered_history(history, ["sma"]), "sma", noise, r, p0, alpha)
     keys = [*out.keys, out.order]
     return out.rows.select(
         *keys, "k", F.lit("kalman").alias("method"), F.col("rate").alias("signal"), "nis",

@@ -15,7 +15,8 @@ def write_history(
     """Write Parquet in folders by selection tag and run; returns the number of rows.
 
     Rows are range-partitioned and sorted by object and epoch, so that readers of one object
-    skip most row groups and an object with many rows spreads over several files.
+    skip most row groups and an object with many rows spreads over several files. Placing the
+    ranges reads ``df`` twice; hand over a written table where that is costly.
     """
     tagged = df.withColumns({"tag": output_tag(name_pattern, country), "run": run})
     layout = (tagged.repartitionByRange("tag", "norad", "epoch")

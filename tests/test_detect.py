@@ -41,6 +41,15 @@ def test_sizes_of_series(spark):
     assert compare_methods(frame.where("false")).collect() == []
 
 
+def test_detectors_read_only_their_columns(spark, tmp_path):
+    path = str(tmp_path / "h")
+    spark.createDataFrame(orbit_rows(1, 5), COLUMNS).write.parquet(path)
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+        detect_kalman(spark.read.parquet(path))._jdf.queryExecution(), "formatted")
+    read = [line for line in plan.splitlines() if line.startswith("ReadSchema")][0]
+    assert "sma" in read and "raan" not in read and "mean_motion" not in read
+
+
 def test_regular_motion_has_no_residual(spark):
     frame = spark.createDataFrame(orbit_rows(1, 30), COLUMNS)
     out = keplerian_residual(ordered_history(frame)).rows
