@@ -56,3 +56,36 @@ def op10(spark, sf_dir):
     rows = found.select("doc_id", "found", F.expr(f"filter(found, x -> x.kind in ({base}))").alias("base"), *counts)
     return rows.select("doc_id", *[f"n_{r.kind}" for r in BASE_RULES], F.sha2(digest("base"), 256).alias("base_sha256"),
                        digest("found").alias("spans"))
+
+
+def trusted_labels(spark: SparkSession, sf_dir: str, folds: int, held_out: int) -> DataFrame:
+    """The label rows that may be learnt from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out)
+
+
+def fold(folds: int, held_out: int):
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out).alias("held_out")
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    from pyspark.sql.types import DoubleType
+
+    from driftline.llm import positive_unlabelled as pu
+
+    features = pu.feature_table(documents(spark, sf_dir))
+    model = pu.fit(features, trusted_labels(spark, sf_dir, 4, 2).filter("quality = 1"))
+    score = F.round(pu.score_packed(model)("x"), 9).cast(DoubleType())
+    scored = features.select("doc_id", fold(4, 2), score.alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    from driftline.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, trusted_labels(spark, sf_dir, 5, 0))
+    scored = docs.select("doc_id", fold(5, 0), model.column("text").alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
