@@ -89,3 +89,15 @@ def op8(spark, sf_dir):
     model = toxicity.fit(docs, trusted_labels(spark, sf_dir, 5, 0))
     scored = docs.select("doc_id", fold(5, 0), model.column("text").alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_token_files")
+def op3(spark, sf_dir):
+    import public_tokenizers
+
+    from driftline.llm.token_files import read_documents, write_token_files
+    from driftline.session import new_path
+
+    path = new_path(spark, "tokens")
+    manifest = write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(manifest, path=path).drop("ids")
