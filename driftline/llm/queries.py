@@ -101,3 +101,11 @@ def op3(spark, sf_dir):
     path = new_path(spark, "tokens")
     manifest = write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_documents(manifest, path=path).drop("ids")
+
+
+@query("op2_source_mix")
+def op2(spark, sf_dir):
+    from driftline.llm.mixing import mix_sizes
+
+    mixed = mix_sizes(documents(spark, sf_dir))
+    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("taken") * F.col("size")).alias("taken"), "source")
