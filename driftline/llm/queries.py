@@ -109,3 +109,10 @@ def op2(spark, sf_dir):
 
     mixed = mix_sizes(documents(spark, sf_dir))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("taken") * F.col("size")).alias("taken"), "source")
+
+
+@query("op1_ngram_join")
+def op1(spark, sf_dir):
+    from driftline.llm.ngram_join import similar_components
+
+    return similar_components(documents(spark, sf_dir))
