@@ -100,7 +100,7 @@ def op3(spark, sf_dir):
 
     path = new_path(spark, "tokens")
     manifest = write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    return read_documents(manifest, path=path).drop("ids")
+    return read_documents(manifest, path=path)
 
 
 @query("op2_source_mix")
@@ -116,3 +116,11 @@ def op1(spark, sf_dir):
     from driftline.llm.ngram_join import similar_components
 
     return similar_components(documents(spark, sf_dir))
+
+
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    from driftline.llm.decontamination import find_leaks
+
+    found = find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("similarity", F.round("similarity", 6))
