@@ -124,3 +124,11 @@ def op6(spark, sf_dir):
 
     found = find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    from driftline.llm.language import count_trigrams, identify
+
+    found = identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), count_trigrams(documents(spark, sf_dir)))
+    return found.withColumn("probability", F.round("probability", 6))
