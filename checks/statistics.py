@@ -176,6 +176,22 @@ def a10_all(spark, sf):
     return CL.cluster_mean(rows, []).select("epoch", rounded("mean").alias("mean"), "n_members")
 
 
+# Times 850 times as far apart reach from 1957 to 2024 and on; every third object has its rows twice, the second with value + 2.
+_LONG_TIME = "timestamp '1957-10-04' + to_microseconds(cast((epoch_us(epoch) - epoch_us(timestamp '2024-01-01')) * 850 as bigint))"
+_LONG = f"""(select cluster, norad, {_LONG_TIME} as epoch, avg(value) as value from (select * from {_CLUSTERED}
+  union all select cluster, norad, epoch, value + 2e0 from {_CLUSTERED} where norad % 3 = 0) group by all)"""
+
+
+@query("a10_cluster_mean_over_70_years", f"""with {_interpolation_ctes(_LONG)}
+select cluster, epoch, {rsql('avg(y)')} as mean, count(y) as n_members from f group by cluster, epoch having count(y) > 0""")
+def a10_long(spark, sf):
+    rows = _clustered(spark, sf)
+    rows = rows.unionByName(rows.where("norad % 3 = 0").withColumn("value", F.col("value") + 2.0))
+    since = "(unix_micros(cast(epoch as timestamp)) - unix_micros(timestamp '2024-01-01 00:00:00Z')) * 850"
+    rows = rows.withColumn("epoch", F.expr(f"timestamp_ntz'1957-10-04 00:00:00' + {since} * interval '0.000001' second"))
+    return CL.cluster_mean(rows, ["cluster"]).select("cluster", "epoch", rounded("mean").alias("mean"), "n_members")
+
+
 _PAIRED = _CLUSTERED.replace("user_id // 10", "user_id // 2")
 
 

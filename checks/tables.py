@@ -43,6 +43,28 @@ def _typed(rows):
     return rows.select(*_EXACT, *[rounded(c, 9 if c == "bstar" else 6).alias(c) for c in _DOUBLES])
 
 
+def _landed_text(rows, path, key):
+    """Records with every value as text, one JSON array per file."""
+    text = rows.select([F.col(c).cast("string").alias(c) for c in rows.columns])
+    batches = text.groupBy(F.expr(f"cast({key} as bigint) div 500").alias("_batch")).agg(
+        F.to_json(F.collect_list(F.struct(*text.columns))).alias("value"))
+    batches.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("io1_text_catalogue_in_array_files", f"""select {', '.join(f'{c.strip().lower()} as {c.strip()}' for c in _CATALOGUE.split(','))}
+from {CATALOGUE_SQL}""")
+def io1_text(spark, sf):
+    rows = catalogue(spark, sf)
+    rows = rows.toDF(*[c.upper() for c in rows.columns])
+    return read_catalogue(spark, _landed_text(rows, new_path(spark, "catalogue"), "NORAD_CAT_ID"))
+
+
+@query("io2_raw_history_in_array_files", f"with {H} select {', '.join(RAW_HISTORY_FIELDS)} from {RAW_SQL}")
+def io2_arrays(spark, sf):
+    return read_raw_history(spark, _landed_text(raw_history(spark, sf), new_path(spark, "history"), "REV_AT_EPOCH"))
+
+
 @query("io3_typed_rows", f"with {H} {_TYPED}")
 def io3(spark, sf):
     return _typed(typed_history(raw_history(spark, sf)))
@@ -121,3 +143,35 @@ def acquire_check(spark, sf):
     chosen = select_objects(catalogue(spark, sf), [Rule("Customer#00000000", ""), Rule("", "BUILDING")], (0.0, 5000.0), 300)
     rows, _ = selected_history(raw_history(spark, sf), chosen, dt.date(2024, 1, 3), dt.date(2024, 1, 25))
     return rows.select("rule", "norad", "epoch", rounded("sma").alias("sma"))
+
+
+_JOB_RULES = [("", ""), ("Customer#00000000", ""), ("ALL", ""), ("", ""), ("", "BUILDING")]
+
+
+@query("acquire_written", f"""with {H}, raw as {RAW_SQL}, c as {CATALOGUE_SQL},
+rules as (select * from (values {', '.join(f"({n}, '{p or 'ALL'}_{k or 'ALL'}', '{p}', '{k}')" for n, (p, k) in enumerate(_JOB_RULES))}) r(rule_no, tag, pattern, country)),
+m as (select distinct rule_no, tag, norad_cat_id from c, rules where object_type = 'PAYLOAD' and semimajor_axis between 0 and 5000
+  and (pattern = '' or starts_with(object_name, pattern)) and (country = '' or country_code = country)),
+r as (select cast(NORAD_CAT_ID as bigint) as id, cast(REV_AT_EPOCH as bigint) as rev, cast(EPOCH as timestamp) as seen from raw),
+hit as (select * from r where rev % 37 <> 0 and id in (select norad_cat_id from m) and (rev % 23 = 0 or seen between timestamp '2024-01-03' and timestamp '2024-01-25'))
+select tag, rule_no, id as norad, count(*) as n from hit join m on id = norad_cat_id where rev % 17 <> 0 and rev % 23 <> 0 group by all
+union all select 'rejects', -1, -1, (select count(*) from r where rev % 37 = 0) + (select count(*) from hit where rev % 17 = 0 or rev % 23 = 0)""")
+def acquire_written(spark, sf):
+    """JSON landed with spoiled values, the whole job with rules that overlap and read alike, and what it wrote."""
+    import datetime as dt
+
+    from driftline.operators.catalog import Rule
+    from driftline.plans.acquire import acquire
+    raw = raw_history(spark, sf).withColumn("rev", F.col("REV_AT_EPOCH").cast("bigint"))
+    for field, m, text in (("ECCENTRICITY", 17, "n/a"), ("EPOCH", 23, "2024-13-45"), ("NORAD_CAT_ID", 37, "A7")):
+        raw = raw.withColumn(field, F.when(F.col("rev") % m == 0, F.lit(text)).otherwise(F.col(field)))
+    rows = catalogue(spark, sf)
+    at = _landed_text(rows.toDF(*[c.upper() for c in rows.columns]), new_path(spark, "catalogue"), "NORAD_CAT_ID")
+    landed_at, out = _landed_text(raw.drop("rev"), new_path(spark, "history"), "REV_AT_EPOCH"), new_path(spark, "acquired")
+    done = acquire(spark, at, landed_at, out, [Rule(*r) for r in _JOB_RULES], "run1", (0.0, 5000.0),
+                   dt.date(2024, 1, 3), dt.date(2024, 1, 25), strict=False)
+    back = read_history(spark, out).groupBy("tag", "rule_no", "norad").agg(F.count(F.lit(1)).alias("n"))
+    rejects = spark.read.parquet(f"{out}-rejects/run1/history").agg(F.count(F.lit(1)).alias("n"))
+    if rejects.head().n != done.rejects:
+        raise ValueError("the count of rejects differs from what was written")
+    return back.unionByName(rejects.select(F.lit("rejects").alias("tag"), F.lit(-1).alias("rule_no"), F.lit(-1).cast("bigint").alias("norad"), "n"))

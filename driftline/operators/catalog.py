@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.operators.blocks import arrange, position
-from driftline.session import join_small
+from driftline.session import join_small, materialise
 
 # Spark trims groups before the shuffle only up to this rank.
 _TRIMMED_RANK = 1000
@@ -50,17 +50,19 @@ def in_orbit_range(catalogue: DataFrame, lower: float | None, upper: float | Non
 def match_rules(
     catalogue: DataFrame, rules: list[Rule], orbit_range: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """One row per payload and matching rule, with column ``rule``.
+    """One row per payload and matching rule, with ``rule``, its tag, and ``rule_no``, its place in the list.
 
-    The rules come from the job's configuration, so they are part of the plan: a single pass
+    Different rules may read alike as tags, and a rule may be listed twice; ``rule_no`` tells
+    them apart. The rules come from the job's configuration, so they are part of the plan: a single pass
     over the catalogue without a join, and their common part reaches the scan.
     """
     picked = in_orbit_range(payloads(catalogue), *(orbit_range or (None, None)))
     if not rules:
-        return picked.where(F.lit(False)).withColumn("rule", F.lit("").cast("string"))
+        return picked.where(F.lit(False)).withColumns({"rule": F.lit(""), "rule_no": F.lit(0)})
     picked = picked.where(reduce(lambda a, b: a | b, [r.matches() for r in rules]))
-    hits = F.array_compact(F.array(*[F.when(r.matches(), F.lit(r.tag)) for r in rules]))
-    return picked.withColumn("rule", F.explode(hits))
+    hits = F.array_compact(F.array(*[
+        F.when(r.matches(), F.struct(F.lit(r.tag).alias("rule"), F.lit(i).alias("rule_no"))) for i, r in enumerate(rules)]))
+    return picked.withColumn("_hit", F.explode(hits)).select("*", "_hit.*").drop("_hit")
 
 
 def first_n(catalogue: DataFrame, n: int, key: str = "norad_cat_id") -> DataFrame:
@@ -68,18 +70,29 @@ def first_n(catalogue: DataFrame, n: int, key: str = "norad_cat_id") -> DataFram
     return catalogue.orderBy(key).limit(n)
 
 
-def first_n_per_rule(matches: DataFrame, n: int, key: str = "norad_cat_id") -> DataFrame:
-    """The ``n`` smallest ids of every rule."""
+def first_n_per_rule(matches: DataFrame, n: int | None, key: str = "norad_cat_id") -> DataFrame:
+    """The ``n`` smallest ids of every rule, one row each; all of them without ``n``.
+
+    Rules are told apart by ``rule_no``, or by ``rule`` in a table without it.
+    """
+    rule = "rule_no" if "rule_no" in matches.columns else "rule"
+    distinct = matches.dropDuplicates([rule, key])
+    if n is None:
+        return distinct
     if n <= _TRIMMED_RANK:
-        rank = F.row_number().over(W.partitionBy("rule").orderBy(key))
-        return matches.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
-    ranked = arrange(matches, ["rule"], key).extend(_rank=position(1))
+        rank = F.row_number().over(W.partitionBy(rule).orderBy(key))
+        return distinct.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    ranked = arrange(distinct, [rule], key).extend(_rank=position(1))
     return ranked.where(F.col("_rank") <= n).drop("_rank").result()
 
 
 def random_n(catalogue: DataFrame, n: int, seed: int, key: str = "norad_cat_id") -> DataFrame:
-    """``n`` ids in an order that depends on the seed alone, not on the partitioning."""
-    return catalogue.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` ids in an order that depends on the seed alone, not on the partitioning.
+
+    The order is that of the MD5 of id and seed as text, which other engines have, too.
+    """
+    shuffled = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return catalogue.orderBy(shuffled, key).limit(n)
 
 
 def chunked(ids: DataFrame, size: int, key: str = "norad_cat_id") -> DataFrame:
@@ -91,7 +104,7 @@ def chunked(ids: DataFrame, size: int, key: str = "norad_cat_id") -> DataFrame:
 
 def history_of(history: DataFrame, ids: DataFrame, id_column: str = "norad_cat_id") -> DataFrame:
     """History of the listed objects; a long list joins by shuffle instead of broadcast."""
-    wanted = ids.select(F.col(id_column).alias("norad")).distinct()
+    wanted = materialise(ids.select(F.col(id_column).alias("norad")).distinct(), "ids")
     return join_small(history, wanted, ["norad"], "left_semi")
 
 

@@ -42,8 +42,8 @@ def join_members(
 def coverage_counts(
     series: DataFrame, group: list[str], entity: str = "norad", time: str = "epoch",
 ) -> DataFrame:
-    """Per grid time: how many members cover it with a span of at least two rows."""
-    spans = coverage_spans(series, [*group, entity], time).where(F.col("n") >= 2)
+    """Per grid time: how many members cover it with a span of at least two times."""
+    spans = coverage_spans(series, [*group, entity], time).where(F.col("first") < F.col("last"))
     starts = spans.select(*group, F.col("first").alias(time), F.lit(1).alias("_open"), F.lit(0).alias("_shut"))
     ends = spans.select(*group, F.col("last").alias(time), F.lit(0).alias("_open"), F.lit(1).alias("_shut"))
     grid = series.select(*group, time, F.lit(0).alias("_open"), F.lit(0).alias("_shut"))
@@ -58,9 +58,10 @@ def coverage_counts(
 
 # Times are exact seconds and all values are scaled to at most 1, so that sums of decimals
 # cancel exactly: a closed line leaves nothing behind, however steep it was.
-# Intercepts and slopes are narrow enough to be summed twice within Spark's 38 digits.
-_SECONDS, _VALUE, _SUM = "decimal(15,6)", "decimal(20,18)", "decimal(38,17)"
-_LEVEL, _SLOPE = "decimal(33,17)", "decimal(26,18)"
+# Intercepts and slopes are narrow enough to be summed twice within Spark's 38 digits. A cluster may span
+# 150 years: slopes are below 2e6 (a full scale in a microsecond), so intercepts have 16 digits at most.
+_SECONDS, _VALUE, _SUM = "decimal(16,6)", "decimal(20,18)", "decimal(38,17)"
+_LEVEL, _SLOPE = "decimal(33,17)", "decimal(30,22)"
 _MICRO = "decimal(17,0)"
 
 
@@ -76,6 +77,8 @@ def cluster_mean(
     """
     keys = [*group, entity]
     clean = series.select(*keys, time, finite_or_null(F.col(value).cast("double")).alias("_y"))
+    # Rows of one member at one time count as one row with their mean.
+    clean = clean.groupBy(*keys, time).agg(F.avg("_y").alias("_y"))
     clean = clean.withColumn("_us", micros(clean, time))
     largest = F.max(F.abs("_y"))
     power = F.pow(F.lit(10.0), F.ceil(F.log10(F.when(largest > 0, largest))))
@@ -132,7 +135,7 @@ def interpolate(
     """``targets`` (keys, time) with the ``value`` of their series at that time.
 
     Linear between neighbouring rows, exact at a row, nothing outside the series' span or where
-    either neighbour's value is missing. Targets of a series of one row give no value.
+    either neighbour's value is missing. Rows at one time count as one row with their mean. Targets of a series of one row give no value.
     """
     knots = series.select(*keys, time, finite_or_null(F.col(value).cast("double")).alias("_y"),
                           F.lit(True).alias("_knot"), F.lit(False).alias("_wanted"))
@@ -141,7 +144,7 @@ def interpolate(
         F.lit(True).alias("_wanted"))
     both = knots.unionByName(wanted)
     points = both.groupBy(*keys, time).agg(
-        F.max("_y").alias("_y"), F.max("_knot").alias("_knot"), F.max("_wanted").alias("_wanted"))
+        F.avg("_y").alias("_y"), F.max("_knot").alias("_knot"), F.max("_wanted").alias("_wanted"))
     points = points.withColumn("_us", micros(points, time))
     knot = F.when(F.col("_knot"), F.struct("_us", "_y"))
     ordered = arrange(points, keys, time, measure=both.select(*keys, time)).with_columns({"_at": knot})

@@ -30,9 +30,10 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.parquet.nanosAsLong", "true")
     )
     if input_bytes:
-        parts = min(max(200, -(-input_bytes // _PARTITION_BYTES)), 200_000)
+        parts = max(200, -(-input_bytes // _PARTITION_BYTES))
         builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     if master:
         builder = builder.master(master)

@@ -10,25 +10,62 @@ from driftline.functions import orbit
 from driftline.schema import CATALOGUE, DERIVED, HISTORY_CASTS, RAW_HISTORY
 
 
-def read_catalogue(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
-    """Catalogue records from JSON.
+_MALFORMED = "_malformed"
+
+
+def _read_text_fields(spark: SparkSession, path: str, fields: list[str], array_files: bool) -> DataFrame:
+    """Records with every value as text, and the whole record in ``_malformed`` where it is no JSON."""
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, _MALFORMED]])
+    return spark.read.schema(schema).options(
+        multiLine=array_files, mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED).json(path)
 
-    ``array_files`` reads files that each hold one JSON array, one task per file; without it
-    the files hold one record per line and are split freely.
+
+def split_catalogue(spark: SparkSession, path: str, array_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Typed catalogue records, and as text the others with the fields at fault.
+
+    Values may land as text or as numbers. A record needs an id; a semi-major axis may be missing but must
+    be a number if it is there. ``array_files`` reads files that each hold one JSON array, one task per file;
+    without it the files hold one record or array per line and are split freely.
     """
-    return spark.read.schema(CATALOGUE).option("multiLine", array_files).json(path)
+    raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files)
+    numbers = {"NORAD_CAT_ID": "bigint", "SEMIMAJOR_AXIS": "double"}
+    bad = {f: F.col(f).try_cast(kind).isNull() for f, kind in numbers.items()}
+    bad["SEMIMAJOR_AXIS"] &= F.col("SEMIMAJOR_AXIS").isNotNull()
+    faults = F.array_compact(F.array(
+        F.when(F.col(_MALFORMED).isNotNull(), F.lit("record")), *[F.when(test, F.lit(f)) for f, test in bad.items()]))
+    marked = raw.withColumn("faults", faults)
+    good = marked.where(F.size("faults") == 0).select(
+        *[F.col(f).try_cast(numbers[f]).alias(f) if f in numbers else F.col(f) for f in CATALOGUE.fieldNames()])
+    return good, marked.where(F.size("faults") > 0)
+
+
+def read_catalogue(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
+    """Catalogue records from JSON; an unusable record fails the job (``split_catalogue`` returns it)."""
+    raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files)
+
+    def checked(field: str, kind: str, needed: bool) -> Column:
+        value = F.col(field).try_cast(kind)
+        bad = value.isNull() & (F.lit(needed) | F.col(field).isNotNull() | F.col(_MALFORMED).isNotNull())
+        told = F.concat(F.lit(f"unusable {field}: "), F.coalesce(field, _MALFORMED, F.lit("null")))
+        return F.when(bad, F.raise_error(told).cast(kind)).otherwise(value).alias(field)
+
+    return raw.select(checked("NORAD_CAT_ID", "bigint", True), "OBJECT_NAME", "COUNTRY_CODE", "OBJECT_TYPE",
+                      checked("SEMIMAJOR_AXIS", "double", False))
 
 
 def read_raw_history(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
-    """History records from JSON, every value as text."""
-    return spark.read.schema(RAW_HISTORY).option("multiLine", array_files).json(path)
+    """History records from JSON, every value as text.
+
+    A record that is no JSON has no fields at all; it is a reject like any other without an id.
+    """
+    return _read_text_fields(spark, path, RAW_HISTORY.fieldNames(), array_files).drop(_MALFORMED)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """A typed history from Parquet, with nanosecond times from other writers made microseconds.
 
-    Spark refuses such columns unless ``spark.sql.legacy.parquet.nanosAsLong`` is set; set it
-    on the session to read those files. Files written here need no setting.
+    Spark refuses such columns unless ``spark.sql.legacy.parquet.nanosAsLong`` is set, as
+    ``build_session`` does. Files written here need no setting.
     """
     df = spark.read.parquet(path)
     times = [n for n in ("epoch", "creation_date")

@@ -14,12 +14,12 @@ def write_history(
 ) -> int:
     """Write Parquet in folders by selection tag and run; returns the number of rows.
 
-    Rows are range-partitioned and sorted by object and epoch, so that readers of one object
-    skip most row groups and an object with many rows spreads over several files. Placing the
-    ranges reads ``df`` twice; hand over a written table where that is costly.
+    Rows meet by tag, object and month and are sorted by object and epoch within a file, so that readers
+    of one object skip row groups, and an object with many rows spreads over several files. Nothing is
+    sampled: ``df`` is computed once.
     """
     tagged = df.withColumns({"tag": output_tag(name_pattern, country), "run": run})
-    layout = (tagged.repartitionByRange("tag", "norad", "epoch")
+    layout = (tagged.repartition("tag", "norad", F.date_trunc("month", "epoch"))
               .sortWithinPartitions("tag", "norad", "epoch"))
     return _counted(layout, lambda out: out.write.mode(mode).partitionBy("tag", "run").parquet(path))
 
@@ -31,6 +31,11 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
         header=True, timestampFormat=micros + "XXX", timestampNTZFormat=micros).csv(path))
 
 
+def write_rejects(rejects: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write rejected records, as text with their ``faults``; returns their number."""
+    return _counted(rejects, lambda out: out.write.mode(mode).parquet(path))
+
+
 def _counted(df: DataFrame, write) -> int:
     seen = Observation()
     write(df.observe(seen, F.count(F.lit(1)).alias("rows")))

@@ -11,7 +11,7 @@ from driftline.operators.catalog import Rule
 from driftline.plans.acquire import acquire
 from driftline.schema import HISTORY, RAW_HISTORY
 from driftline.sources.readers import (
-    read_catalogue, read_history, read_raw_history, split_history, typed_history)
+    read_catalogue, read_history, read_raw_history, split_catalogue, split_history, typed_history)
 from driftline.sources.writers import export_csv, write_history
 
 
@@ -93,6 +93,31 @@ def test_acquire(spark, tmp_path):
     n = acquire(spark, str(tmp_path / "cat.json"), str(tmp_path / "h*.json"), out, [Rule("GSAT", ""), Rule()], "run1",
                 (42000.0, 43000.0), dt.date(2026, 1, 1), dt.date(2026, 4, 1), per_rule=2)
     back = read_history(spark, out)
-    assert n == back.count() == 8
+    assert n == (back.count(), 0) == (8, 0)
     found = {(r.tag, r.norad) for r in back.select("tag", "norad").distinct().collect()}
     assert found == {("GSAT_ALL", 1), ("GSAT_ALL", 5), ("ALL_ALL", 1), ("ALL_ALL", 3)}
+
+
+def test_acquire_keeps_every_object_and_rule(spark, tmp_path):
+    catalogue = [{"NORAD_CAT_ID": str(n), "OBJECT_NAME": f"ALL {n}", "COUNTRY_CODE": "IND", "OBJECT_TYPE": "PAYLOAD", "SEMIMAJOR_AXIS": "42164.5"}
+                 for n in range(1, 402)] + [{"NORAD_CAT_ID": "x", "OBJECT_NAME": None, "COUNTRY_CODE": None, "OBJECT_TYPE": None, "SEMIMAJOR_AXIS": None}]
+    history = [record(n, EPOCH="2026-02-01T00:00:00") for n in range(1, 402)] + [record("y"), record(1, BSTAR="?"), record(999, BSTAR="?")]
+    (tmp_path / "cat.json").write_text(json.dumps(catalogue))
+    (tmp_path / "h.json").write_text(json.dumps(history))
+    out = str(tmp_path / "out")
+    done = acquire(spark, str(tmp_path / "cat.json"), str(tmp_path / "h.json"), out, [Rule("ALL"), Rule(), Rule()], "r", strict=False)
+    back = read_history(spark, out)
+    assert done == (1203, 3) and back.count() == 1203 and {r.tag for r in back.select("tag").distinct().collect()} == {"ALL_ALL"}
+    assert {(r.rule_no, r["count"]) for r in back.groupBy("rule_no").count().collect()} == {(0, 401), (1, 401), (2, 401)}
+    assert spark.read.parquet(f"{out}-rejects/r/history").count() == 2 and spark.read.parquet(f"{out}-rejects/r/catalogue").count() == 1
+    with pytest.raises(Exception, match="unusable NORAD_CAT_ID"):
+        acquire(spark, str(tmp_path / "cat.json"), str(tmp_path / "h.json"), out, [Rule()], "s")
+
+
+def test_a_record_that_is_no_json(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"NORAD_CAT_ID": 1, "SEMIMAJOR_AXIS": "7000"}\n{broken\n')
+    with pytest.raises(Exception, match="unusable NORAD_CAT_ID"):
+        read_catalogue(spark, str(tmp_path / "c.json"), array_files=False).collect()
+    good, bad = split_catalogue(spark, str(tmp_path / "c.json"), array_files=False)
+    assert [(r.NORAD_CAT_ID, r.SEMIMAJOR_AXIS) for r in good.collect()] == [(1, 7000.0)]
+    assert [r.faults for r in bad.collect()] == [["record", "NORAD_CAT_ID"]]
