@@ -102,6 +102,15 @@ class Words:
             return np.zeros(0, np.uint64)
         return mix((total[end] - total[self.start]) * undo[self.start] + (end - self.start).astype(np.uint64))
 
+    def insert(self, word: np.ndarray, cut: np.ndarray) -> None:
+        """Cut each ``word`` in two at the byte ``cut``."""
+        added = np.zeros(len(self.start) + 1, np.int64)
+        added[word + 1] = 1
+        self.bounds = self.bounds + np.cumsum(added)[self.bounds]
+        self.end = np.insert(self.end, word, cut)
+        self.start = np.insert(self.start, word + 1, cut)
+        self.hash = self.hashes(self.end)
+
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.bounds))

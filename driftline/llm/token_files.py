@@ -22,6 +22,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zlib
@@ -35,17 +36,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.texts import pieces, spread
+from driftline.llm.texts import Words, pieces, spread, text_bytes
 from driftline.session import materialise
 
 LENGTH = 2048
 ROWS = 16
-MOST_WORDS = 1_000_000
+MOST_WORDS = 2_000_000
+_ENCODED_AT_ONCE = 5_000
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+_TAIL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in "'<>|" for c in range(256)])
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long, head_bytes long, batch_bytes long"
 
 
 class WordIds:
-    """Token ids of words, each encoded once."""
+    """Token ids of words, each encoded once. Words are known by 64-bit hashes of their bytes.
+
+    ASCII punctuation at the end of a word whose rest ends in an ASCII letter or digit is a piece of its own
+    for the tokenizer's splitter, and is kept as a word of its own here. ASCII letters count in lower
+    case, as they are encoded, except beside other characters or in what may be a special token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,46 +70,58 @@ class WordIds:
         import tokenizers
 
         kept = tokenizers.__dict__.setdefault("_driftline_words", {})
-        return kept.setdefault(path, WordIds(path)) if path not in kept else kept[path]
+        if path not in kept:
+            kept[path] = WordIds(path)
+        return kept[path]
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.n_ids = np.zeros(1 << 16, self.dtype), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def entries(self, words: list[str]) -> np.ndarray:
-        """The place of each word; ASCII words are looked up in lower case, as they are encoded."""
-        keys = [w.lower() if w.isascii() and "<" not in w else w for w in words]
-        known = self.known
-        fresh = list(dict.fromkeys(k for k in keys if k not in known))
-        if fresh:
-            if len(known) + len(fresh) > MOST_WORDS and known:
-                self.clear()
-                known, fresh = self.known, list(dict.fromkeys(keys))
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), self.dtype, int(size.sum()))
-            n, more = len(known), len(fresh)
-            while n + more > len(self.at):
-                self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-            while self.n_ids + len(flat) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.at[n:n + more], self.size[n:n + more] = self.n_ids + np.cumsum(size) - size, size
-            self.ids[self.n_ids:self.n_ids + len(flat)] = flat
-            self.n_ids += len(flat)
-            known.update(zip(fresh, range(n, n + more)))
-        return np.fromiter((known[k] for k in keys), np.int64, len(keys))
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _learn(self, texts: list[str], keys: np.ndarray, places: np.ndarray) -> None:
+        sizes, flats = [], []
+        for k in range(0, len(texts), _ENCODED_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k:k + _ENCODED_AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flats.append(np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
+        self.entry = np.insert(self.entry, places, np.arange(len(self.at), len(self.at) + len(size)))
+        self.keys = np.insert(self.keys, places, keys)
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *flats])
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end`` after each, and their counts."""
-        lists = pc.ascii_split_whitespace(column.fill_null(""))
-        coded = lists.flatten().dictionary_encode()
-        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        entry = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        words = Words(*text_bytes(column))
+        data = words.data
+        if len(words.start):
+            solid = np.maximum.accumulate(np.where(_TAIL[data], -1, np.arange(len(data))))
+            stem = solid[words.end - 1] + 1
+            cut = (stem > words.start) & (stem < words.end)
+            cut[cut] = _ALNUM[data[stem[cut] - 1]]
+            words.insert(np.flatnonzero(cut), stem[cut])
+        key = words.hash
+        odd, upper = (np.concatenate([[0], np.cumsum(x)]) for x in ((data >= 128) | (data == 60), (data >= 65) & (data <= 90)))
+        exact = (odd[words.end] > odd[words.start]) & (upper[words.end] > upper[words.start])
+        for i in np.flatnonzero(exact):
+            key[i] ^= np.uint64(zlib.crc32(data[words.start[i]:words.end[i]]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        every, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, every)
+        fresh = np.ones(len(every), bool)
+        if len(self.keys):
+            fresh = self.keys[np.minimum(place, len(self.keys) - 1)] != every
+        if fresh.any():
+            if len(self.keys) + fresh.sum() > MOST_WORDS and len(self.keys):
+                self.clear()
+                place, fresh = np.zeros(len(every), np.int64), np.ones(len(every), bool)
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(words.start[first[fresh]].tolist(), words.end[first[fresh]].tolist())]
+            self._learn(texts, every[fresh], place[fresh])
+        entry = self.entry[np.searchsorted(self.keys, every)][inverse]
         size = self.size[entry]
         total = np.concatenate([[0], np.cumsum(size)])
-        words = np.concatenate([[0], np.cumsum(count)])
-        n_tokens = total[words[1:]] - total[words[:-1]] + 1
+        n_tokens = total[words.bounds[1:]] - total[words.bounds[:-1]] + 1
         ids = np.full(int(n_tokens.sum()), end, self.dtype)
         inner = np.ones(len(ids), bool)
         inner[np.cumsum(n_tokens) - 1] = False
@@ -133,7 +154,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
         head = schema.serialize().size  # the stream begins with its schema
         rest_ids, rest_ends = np.zeros(0, words.dtype), np.zeros(0, bool)
         n_docs = n_tokens = n_sequences = size = 0
-        for b in pieces(batches, "t"):
+        for b in pieces(batches, "t", 1 << 21):
             if writer is None:
                 fs.create_dir(folder)
                 sink = fs.open_output_stream(f"{name}.arrow")
@@ -197,8 +218,8 @@ class TokenFile:
         return ids, batch.column(1).values.slice(at * self.length, self.length)
 
 
-def read_documents(manifest: DataFrame, doc_type: str = "long", path: str | None = None) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` and ``ids``, from the files.
+def read_documents(manifest: DataFrame, doc_type: str = "long", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids``, from the files.
 
     Where a file begins among all ids is a running sum over the manifest, one row per file.
     """
@@ -229,7 +250,7 @@ def read_documents(manifest: DataFrame, doc_type: str = "long", path: str | None
                     start = int(starts[-1])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k[0] for k in keys]), pa.array(starts[:-1]), pa.array([len(p) for p in parts], pa.int64()),
-                         pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                         pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()), *([pa.array([p.tobytes() for p in parts], pa.binary())] if with_ids else [])],
+                        ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return files.mapInArrow(read, f"doc_id {doc_type}, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.mapInArrow(read, f"doc_id {doc_type}, start long, n_tokens long, ids_crc32 long{', ids binary' if with_ids else ''}")
