@@ -8,8 +8,8 @@ positive-unlabelled risk of a linear score g is
 
 since log(1 + exp -g) - log(1 + exp g) = -g; it is convex and Newton steps minimise it. The part
 that stands for the negatives, mean_U log(1 + exp g) - prior * mean_P log(1 + exp g), cannot be
-negative for a true risk: a step that would make it so is halved until it is not (the
-non-negative estimator). The class prior is estimated from the scores of a first model
+negative for a true risk (the non-negative estimator): where a step makes it so, the prior was too high, and is
+lowered to the largest one that the step allows. The class prior is first estimated from the scores of a first model
 of P against U: the share of U at or above a score, divided by the share of P there, bounds the
 prior from above, and the least such bound is taken.
 
@@ -161,9 +161,10 @@ def _sums(rows: DataFrame, count) -> np.ndarray:
     return out
 
 
-def _newton(rows: DataFrame, prior: float, non_negative: bool, rounds: int, ridge: float) -> np.ndarray:
-    """Minimise the risk above over all rows (U) and the positives among them (P)."""
+def _newton(rows: DataFrame, prior: float, non_negative: bool, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Minimise the risk above over all rows (U) and the positives among them (P); weights and the prior in the end."""
     d, weights, step, last = N_FEATURES, np.zeros(N_FEATURES), None, np.inf
+    taken = weights  # the last ones that passed
     for _ in range(rounds):
         w = weights
 
@@ -175,27 +176,32 @@ def _newton(rows: DataFrame, prior: float, non_negative: bool, rounds: int, ridg
 
         t = _sums(rows, count)
         if not len(t) or not t[1]:
-            return np.concatenate([[np.log(prior / (1 - prior))], np.zeros(d - 1)])
+            return np.concatenate([[np.log(prior / (1 - prior))], np.zeros(d - 1)]), prior
         n, p = t[0], t[1]
+        if non_negative and t[2] / n < prior * t[3] / p:
+            prior, last = 0.999 * (t[2] / n) / (t[3] / p), np.inf
         risk = -prior * t[4] / p + t[2] / n + ridge / 2 * w @ w
-        negatives = t[2] / n - prior * t[3] / p
-        if step is not None and (risk > last + 1e-9 or non_negative and negatives < 0):
+        if step is not None and risk > last + 1e-9:
             step = step / 2
             weights = weights - step
             if np.abs(step).max() < 1e-3:
                 break
             continue
-        last = risk
+        last, taken = risk, weights
         slope = t[5 + d:5 + 2 * d] / n - prior * t[5:5 + d] / p + ridge * w
         step = -np.linalg.solve(t[5 + 2 * d:].reshape(d, d) / n + ridge * np.eye(d), slope)
         if np.abs(step).max() < 1e-2:
             break
         weights = weights + step
-    return weights
+    return taken, prior
 
 
-def estimate_prior(rows: DataFrame, weights: np.ndarray, least_tail: float = 0.2) -> float:
-    """Least ratio of the tails of U and P over the scores of ``weights``, where P's tail is not thin."""
+def estimate_prior(rows: DataFrame, weights: np.ndarray) -> float:
+    """Least ratio of the tails of U and P over the scores of ``weights``.
+
+    Each tail is moved by its 95 % bound (Dvoretzky, Kiefer, Wolfowitz) to the safe side, so that thin tails of few rows
+    do not decide.
+    """
     def count(x, positive):
         b = np.minimum((1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) * _BINS).astype(int), _BINS - 1)
         return np.concatenate([np.bincount(b, minlength=_BINS), np.bincount(b[positive], minlength=_BINS)]).astype(float)
@@ -204,9 +210,9 @@ def estimate_prior(rows: DataFrame, weights: np.ndarray, least_tail: float = 0.2
     if not len(t) or not t[_BINS:].sum():
         return 0.5
     u, p = (np.cumsum(x[::-1]) / x.sum() for x in (t[:_BINS], t[_BINS:]))
-    n = t[_BINS:].sum()
-    ratio = (u / np.maximum(p, 1e-9) + 1 / np.sqrt(n))[p >= least_tail]
-    return float(np.clip(ratio.min(), 0.05, 0.98))
+    slack_u, slack_p = (np.sqrt(np.log(20) / (2 * x.sum())) for x in (t[:_BINS], t[_BINS:]))
+    ratio = ((u + slack_u) / np.maximum(p - slack_p, 1e-9))[p > 2 * slack_p]
+    return float(np.clip(ratio.min(initial=0.98), 0.05, 0.98))
 
 
 def fit(features: DataFrame, positives: DataFrame, doc_id: str = "doc_id", rounds: int = 25, ridge: float = 1e-4) -> Model:
@@ -214,6 +220,5 @@ def fit(features: DataFrame, positives: DataFrame, doc_id: str = "doc_id", round
     trusted = positives.select(F.col(doc_id).alias("doc_id")).distinct().withColumn("positive", F.lit(True))
     rows = features.join(trusted, "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive"))
     rows = materialise(rows, "pu-rows")
-    first = _newton(rows, 0.5, False, 8, 1e-2)
-    prior = estimate_prior(rows, first)
-    return Model(_newton(rows, prior, True, rounds, ridge), prior)
+    first, _ = _newton(rows, 0.5, False, 8, 1e-2)
+    return Model(*_newton(rows, estimate_prior(rows, first), True, rounds, ridge))
