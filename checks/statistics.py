@@ -178,11 +178,11 @@ def a10_all(spark, sf):
 
 # Times 850 times as far apart reach from 1957 to 2024 and on; every third object has its rows twice, the second with value + 2.
 _LONG_TIME = "timestamp '1957-10-04' + to_microseconds(cast((epoch_us(epoch) - epoch_us(timestamp '2024-01-01')) * 850 as bigint))"
-_LONG = f"""(select cluster, norad, {_LONG_TIME} as epoch, avg(value) as value from (select * from {_CLUSTERED}
+_STRETCHED = f"""(select cluster, norad, {_LONG_TIME} as epoch, avg(value) as value from (select * from {_CLUSTERED}
   union all select cluster, norad, epoch, value + 2e0 from {_CLUSTERED} where norad % 3 = 0) group by all)"""
 
 
-@query("a10_cluster_mean_over_70_years", f"""with {_interpolation_ctes(_LONG)}
+@query("a10_cluster_mean_over_70_years", f"""with {_interpolation_ctes(_STRETCHED)}
 select cluster, epoch, {rsql('avg(y)')} as mean, count(y) as n_members from f group by cluster, epoch having count(y) > 0""")
 def a10_long(spark, sf):
     rows = _clustered(spark, sf)
@@ -192,6 +192,41 @@ def a10_long(spark, sf):
     return CL.cluster_mean(rows, ["cluster"]).select("cluster", "epoch", rounded("mean").alias("mean"), "n_members")
 
 
+# The revised history with the time of each revision, as charts read it.
+_REVISIONS = """(select l_suppkey as norad, l_shipdate as epoch, l_orderkey * 8 + l_linenumber as seq,
+  l_extendedprice as sma, l_discount as eccentricity from lineitem)"""
+_LATEST = f"""n as materialized (select * from (select *, row_number() over (partition by norad, epoch
+  order by seq desc, sma desc, eccentricity desc) as rk from {_REVISIONS}) where rk = 1)"""
+
+
+def _revisions(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey as norad", "l_shipdate as epoch", "l_extendedprice as sma", "l_discount as eccentricity",
+        "timestamp_ntz'2000-01-01 00:00:00' + (l_orderkey * 8 + l_linenumber) * interval '1' second as creation_date")
+
+
+@query("chart_series_of_revisions", f"""with {_LATEST}, s as (select norad, epoch, 'sma' as param, sma as value from n
+  union all select norad, epoch, 'eccentricity', eccentricity from n),
+b as (select norad, param, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from s group by norad, param)
+select norad, epoch, param, {rsql("case when param = 'eccentricity' then greatest(lo, least(value, hi)) else value end", 9)} as value
+from s join b using (norad, param)""")
+def chart_revisions(spark, sf):
+    from driftline.plans.series import chart_series
+    return chart_series(_revisions(spark, sf), ["sma", "eccentricity"]).select(
+        "norad", "epoch", "param", rounded("value", 9).alias("value"))
+
+
+# Means of prices often end in a half of the last digit; a small shift keeps both engines off it.
+@query("cluster_series_of_revisions", f"""with {_LATEST},
+{_interpolation_ctes("(select norad // 10 as cluster, norad, epoch, sma / 1e3 as value from n)")}
+select cluster, 'sma' as param, epoch, {rsql('avg(y) + 314159e-12', 6)} as mean, count(y) as n_members from f group by cluster, epoch having count(y) > 0""")
+def cluster_revisions(spark, sf):
+    from driftline.plans.series import cluster_series
+    rows = _revisions(spark, sf).withColumn("sma", F.col("sma") / 1e3)
+    members = rows.selectExpr("norad", "norad div 10 as cluster").distinct()
+    return cluster_series(rows, members, ["sma"]).select("cluster", "param", "epoch", rounded(F.col("mean") + 314159e-12, 6).alias("mean"), "n_members")
+
+
 _PAIRED = _CLUSTERED.replace("user_id // 10", "user_id // 2")
 
 
