@@ -10,8 +10,9 @@ Two texts link when their sets of distinct 5-word shingles (letters A-Z in lower
   the same for all texts whatever the sketch says, and that is all that prefix filtering asks for: the sketch decides
   how long posting lists get, never which links are found.
 * *Prefix.* Texts that link share one of the first n - ceil(t n) + 1 shingles of both. Shingles of class 0 in a sketch
-  that holds every repeated shingle occur in one text only; they fill prefixes but are never sent. Texts
-  left with an empty prefix have no links, which is most of them.
+  that holds every repeated shingle occur in one text only; they fill prefixes but are never sent, and most texts have
+  nothing else in theirs. What is sent is packed again: a range's task finds the posting lists with two nodes or more,
+  and only those become rows. The whole sets of the nodes in them are made once more from their texts.
 * *Copies.* Texts with equal sets are one node, so exact copies cost nothing beyond the first.
 * *Pairs.* A posting list is not opened into all its pairs. In each round every list names a few pivots, and all others
   of the list are compared with them unless both are in one component already. A pivot has then met the whole list
@@ -22,7 +23,8 @@ Two texts link when their sets of distinct 5-word shingles (letters A-Z in lower
 * *Components.* The links of a round connect components; labels spread by minima and by jumps until nothing changes.
 
 Shingles are 64-bit hashes of words; two different shingles of one text, or of two compared ones, agree by chance about
-once in 10^19 / (words squared). Nodes are 128-bit hashes of whole sets.
+once in 10^19 / (words squared). A node is a 64-bit hash of a whole set and its size: among 10^9 different texts two
+agree with a chance of 3 in 100.
 
 Defined cases: null texts and texts without words have an empty set, no links and are components of their
 own; with fewer than five words the whole sequence is the one shingle; rows that repeat an id are judged row by row,
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.texts import Words, mix, pieces, shingles, text_bytes
-from driftline.session import materialise
+from driftline.session import BROADCAST_ROWS_CONF, DEFAULT_BROADCAST_ROWS, join_small, materialise
 
 THRESHOLD = 75
 SKETCH_BITS = 25
@@ -70,10 +72,41 @@ def _bucket_bits(spark: SparkSession) -> int:
     return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 64) - 1, 1 << 16).bit_length()
 
 
+def _pack(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first 48 bits behind a bucket's own, as bytes."""
+    return ((keys << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+
+
+def _unpack(parts: list[bytes]) -> np.ndarray:
+    raw = np.zeros((sum(map(len, parts)) // _KEY_BYTES, 8), np.uint8)
+    raw[:, :_KEY_BYTES] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _KEY_BYTES)
+    return raw.reshape(-1).view(np.uint64)
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array changes."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """The rows of each bucket, from batches sorted by it (the first column)."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns]):
+            if row[0] != now and rows:
+                yield now, rows
+                rows = []
+            now = row[0]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
 def frequencies(docs: DataFrame, size: int) -> DataFrame:
     """``bucket``, ``keys`` (packed 64-bit), ``classes`` (packed bytes): the shingles in two documents or more.
 
-    A key is the first 48 bits behind a bucket's own. Class c holds the counts from 2^c on.
+    A task adds up what it holds before it sends, so that a frequent shingle goes out once per block. Class c
+    holds the counts from 2^c on.
     """
     bits = _bucket_bits(docs.sparkSession)
 
@@ -83,48 +116,46 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
         def send():
             keys = np.concatenate(held)
             keys.sort()
+            first = _firsts(keys)
+            count = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
             cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            packed = ((keys << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-            at = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(
-                [packed[cut[i]:cut[i + 1]].tobytes() for i in at], pa.binary())], ["bucket", "packed"])
+            packed, rows = _pack(keys, bits), []
+            for i in np.flatnonzero(np.diff(cut)):
+                k, c = packed[cut[i]:cut[i + 1]], count[cut[i]:cut[i + 1]]
+                rows.append((i, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+            at, once, more, counts = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary()),
+                                               pa.array(counts, pa.binary())], ["bucket", "once", "more", "counts"])
 
         for b in pieces(batches, "t"):
             for s in text_sets(b.column(0), size):
                 held.append(s)
                 n += len(s)
-            if n > 4_000_000:
+            if n > 3_000_000:
                 yield send()
                 held, n = [], 0
         if n:
             yield send()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(bucket, parts):
-            raw = np.zeros((sum(map(len, parts)) // _KEY_BYTES, 8), np.uint8)
-            raw[:, :_KEY_BYTES] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, _KEY_BYTES)
-            keys = raw.reshape(-1).view(np.uint64)
-            keys.sort()
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            count = np.diff(np.append(first, len(keys)))
-            many = count > 1
-            classes = np.floor(np.log2(count[many])).astype(np.uint8)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int32()), pa.array([keys[first[many]].tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary()),
+        for bucket, rows in _by_bucket(batches):
+            _, once, more, counts = zip(*rows)
+            keys = np.concatenate([_unpack(list(once)), _unpack(list(more))])
+            count = np.ones(len(keys), np.int64)
+            repeated = np.frombuffer(b"".join(counts), np.uint32)
+            count[len(keys) - len(repeated):] = repeated
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = _firsts(keys)
+            total = np.add.reduceat(count[order], first)
+            many = total > 1
+            classes = np.floor(np.log2(total[many])).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([keys[first][many].tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary()),
                  pa.array([np.bincount(classes, minlength=64).tolist()], pa.list_(pa.int64()))], ["bucket", "keys", "classes", "sizes"])
 
-        now, parts = None, []
-        for b in batches:
-            for bucket, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if bucket != now and parts:
-                    yield close(now, parts)
-                    parts = []
-                now = bucket
-                parts.append(packed)
-        if parts:
-            yield close(now, parts)
-
-    sent = docs.select(F.col("t")).mapInArrow(blocks, "bucket int, packed binary")
+    sent = docs.select(F.col("t")).mapInArrow(blocks, "bucket int, once binary, more binary, counts binary")
     ordered = sent.repartition("bucket").sortWithinPartitions("bucket")
     return materialise(ordered.mapInArrow(merge, "bucket int, keys binary, classes binary, sizes array<long>"), "shingle-counts")
 
@@ -179,37 +210,153 @@ def _classes(table: np.ndarray, bits: int, s: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, sketch: Sketch, size: int, threshold: int, id_type: str) -> DataFrame:
-    """``doc_id``, ``n``, ``node`` (of the set) and, where a prefix is left, ``tokens``, ``places``, ``tails`` and ``whole``."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.table)
-    bits, exact = sketch.bits, sketch.exact
+def _node(s: np.ndarray) -> np.uint64:
+    """A hash of a whole set and its size."""
+    return mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
+
+
+def _prefix(sketch: tuple, s: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the prefix that other texts may hold, and their places in the order."""
+    table, bits, exact = sketch
+    n = len(s)
+    p = n - needed(n, threshold) + 1
+    c = _classes(table, bits, s)
+    if exact and n - np.count_nonzero(c) >= p:
+        return s[:0], np.zeros(0, np.int64)
+    # Hashes are sorted, so a stable sort by class gives the order.
+    first = np.argsort(c, kind="stable")[:p]
+    places = np.flatnonzero(c[first] > 0) if exact else np.arange(p)
+    return s[first[places]], places
+
+
+def _meet(keys: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> tuple:
+    """The entries in order of key and node, without repeats; where keys begin; and which entries share a key with another node."""
+    order = np.lexsort((places, nodes, keys))
+    keys, nodes, places = keys[order], nodes[order], places[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes, places = keys[new], nodes[new], places[new]
+    first = _firsts(keys)
+    size = np.diff(np.append(first, len(keys)))
+    return keys, nodes, places, first, np.repeat(size > 1, size)
+
+
+def find_postings(docs: DataFrame, shared, size: int, threshold: int, id_type: str) -> DataFrame:
+    """Rows of two kinds: ``doc_id``, ``n`` and ``node`` of each document, and the postings ``token``, ``node``, ``place``.
+
+    Only lists that hold two nodes or more are given. A task compares what it holds first: a list of two nodes or more
+    goes on as it is, and one entry of every list goes to the task of the shingle's range. So a shingle of very many
+    prefixes arrives there once per block. ``place`` is the place in the prefix in 256ths of its length.
+    """
+    bits = _bucket_bits(docs.sparkSession)
+    names = ["bucket", "keys", "nodes", "places", "doc_id", "n", "node", "token", "place"]
+    out = names[4:]
+
+    def kinds(id_kind):
+        return dict(zip(names, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), id_kind, pa.int32(), pa.int64(), pa.int64(), pa.int32())))
+
+    def rows(kind, columns, **given):
+        full = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given[c], kind[c]) if c in given else pa.nulls(full, kind[c]) for c in columns], columns)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, turn, kind = [], 0, 0, None
+
+        def send():
+            keys, nodes, places, first, met = _meet(*[np.concatenate(x) for x in zip(*held)])
+            if met.any():
+                # The bits that packing leaves out are cleared here, too.
+                token = (keys[met] >> np.uint64(max(16 - bits, 0))) << np.uint64(max(16 - bits, 0))
+                yield rows(kind, names, bucket=(token >> np.uint64(64 - bits)).astype(np.int32), node=nodes[met].view(np.int64),
+                           token=token.view(np.int64), place=places[met].astype(np.int32))
+            keys, nodes, places = keys[first], nodes[first], places[first]
+            cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            at, packed = np.flatnonzero(np.diff(cut)), _pack(keys, bits)
+            yield rows(kind, names, bucket=at.astype(np.int32), **{
+                c: [x[cut[i]:cut[i + 1]].tobytes() for i in at] for c, x in (("keys", packed), ("nodes", nodes), ("places", places))})
+
+        for b in pieces(batches, "t"):
+            kind = kind or kinds(b.schema.field(0).type)
+            sets = text_sets(b.column(1), size)
+            own = np.array([_node(s) for s in sets], np.uint64)
+            turn += 1
+            yield rows(kind, names, bucket=(turn * 31 + np.arange(len(sets))).astype(np.int32) % np.int32(1 << bits), doc_id=b.column(0),
+                       n=np.array([len(s) for s in sets], np.int32), node=own.view(np.int64))
+            for s, node in zip(sets, own):
+                tokens, places = _prefix(shared.value, s, threshold) if len(s) else (s, s)
+                if len(tokens):
+                    p = len(s) - needed(len(s), threshold) + 1
+                    held.append((tokens, np.full(len(tokens), node), (places * 256 // p).astype(np.uint8)))
+                    n += len(tokens)
+            if n > 1_500_000:
+                yield from send()
+                held, n = [], 0
+        if n:
+            yield from send()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind: dict = {}
+
+        def split(b):
+            """Passes the finished rows on; the packed ones are left."""
+            kind.update(kinds(b.schema.field(4).type))
+            done = b.filter(b.column(6).is_valid())
+            return pa.RecordBatch.from_arrays(done.columns[4:], out), b.filter(b.column(1).is_valid()).select(names[:4])
+
+        finished: list = []
+
+        def packed():
+            for b in batches:
+                done, rest = split(b)
+                if done.num_rows:
+                    finished.append(done)
+                yield rest
+
+        for bucket, lists in _by_bucket(packed()):
+            yield from finished
+            finished.clear()
+            _, keys, nodes, places = zip(*lists)
+            keys = (np.uint64(bucket) << np.uint64(64 - bits)) | ((_unpack(list(keys)) << np.uint64(16)) >> np.uint64(bits))
+            keys, nodes, places, _, met = _meet(keys, np.frombuffer(b"".join(nodes), np.uint64), np.frombuffer(b"".join(places), np.uint8))
+            if met.any():
+                yield rows(kind, out, node=nodes[met].view(np.int64), token=keys[met].view(np.int64), place=places[met].astype(np.int32))
+        yield from finished
+
+    columns = f"doc_id {id_type}, n int, node long, token long, place int"
+    sent = docs.mapInArrow(blocks, f"bucket int, keys binary, nodes binary, places binary, {columns}")
+    ordered = sent.repartition("bucket").sortWithinPartitions("bucket")
+    return materialise(ordered.mapInArrow(merge, columns), "shingle-postings")
+
+
+def _checked_semi(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Rows of ``left`` whose ``column`` is in ``right``, null being a value; ``right`` is broadcast if it is small."""
+    spark = left.sparkSession
+    limit = int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+    small = right.limit(limit + 1).count() <= limit
+    right = right.withColumnRenamed(column, "other_")
+    return left.join(F.broadcast(right) if small else right, F.col(column).eqNullSafe(F.col("other_")), "left_semi")
+
+
+def candidate_sets(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """One row per node with postings: ``node``, ``n``, ``tails`` and the ``whole`` set."""
+    wanted = materialise(found.filter("token is not null").select("node").distinct(), "candidates")
+    of_docs = _checked_semi(found.filter("token is null"), wanted, "node")
+    ids = materialise(of_docs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "candidate-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for b in pieces(batches, "t"):
-            rows = []
-            for s in text_sets(b.column(1), size):
-                n = len(s)
-                node = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)])
-                rows.append([n, mix(node + np.uint64(n)).tobytes(), None, None, None, None])
-                if not n:
-                    continue
-                c = _classes(table, bits, s)
-                p = n - needed(n, threshold) + 1
-                if exact and n - np.count_nonzero(c) >= p:
-                    continue
-                first = np.lexsort((s, c))[:p]
-                places = np.flatnonzero(c[first] > 0) if exact else np.arange(len(first))
-                tails = np.bincount((s & np.uint64(_TAILS - 1)).astype(np.int64), minlength=_TAILS)
-                rows[-1][2:] = s[first[places]].view(np.int64).tolist(), places.tolist(), tails.tolist(), s.tobytes()
-            n, node, tokens, places, tails, whole = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(tokens, pa.list_(pa.int64())),
-                 pa.array(places, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32())), pa.array(whole, pa.binary())],
-                ["doc_id", "n", "node", "tokens", "places", "tails", "whole"])
+            rows = [(int(_node(s).view(np.int64)), len(s), np.bincount((s & np.uint64(_TAILS - 1)).astype(np.int64), minlength=_TAILS).tolist(),
+                     s.tobytes()) for s in text_sets(b.column(1), size) if len(s)]
+            if rows:
+                node, n, tails, whole = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(tails, pa.list_(pa.int32())),
+                                                  pa.array(whole, pa.binary())], ["node", "n", "tails", "whole"])
 
-    schema = f"doc_id {id_type}, n int, node binary, tokens array<long>, places array<int>, tails array<int>, whole binary"
-    return materialise(docs.mapInArrow(run, schema), "shingle-sets")
+    sets = _checked_semi(docs, ids, "doc_id").mapInArrow(run, "node long, n int, tails array<int>, whole binary")
+    sets = materialise(_checked_semi(sets, wanted, "node"), "shingle-sets")
+    if sets.select("node").count() > sets.select("node").distinct().count():  # rows that repeat an id
+        sets = materialise(sets.groupBy("node").agg(F.first(F.struct(*sets.columns)).alias("s")).select("s.*"), "shingle-sets")
+    return sets
 
 
 def _alive(postings: DataFrame) -> DataFrame:
@@ -218,10 +365,10 @@ def _alive(postings: DataFrame) -> DataFrame:
     return postings.join(open_lists, "token", "left_semi")
 
 
-def _pairs(postings: DataFrame, pivots: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _pairs(postings: DataFrame, tails: DataFrame, pivots: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of a node and a pivot of one of its lists that pass the filters, and the pivots of each list."""
     slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-    named = postings.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n", "place", "tails")).alias("v"))
+    named = postings.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n", "place")).alias("v"))
     named = materialise(named.select("token", "v"), "pivots")
     both = postings.join(named, "token").filter((F.col("comp") != F.col("v.comp")) & (F.col("node") != F.col("v.node")))
     n, m = F.col("n"), F.col("v.n")
@@ -229,11 +376,18 @@ def _pairs(postings: DataFrame, pivots: int, threshold: int) -> tuple[DataFrame,
     share = F.ceil((n + m) * threshold / (100.0 + threshold) - 1e-9)
     length = 100 * F.least(n, m) >= threshold * F.greatest(n, m)
     # Lists are met in any order, so a match need not be the first: what lies before it may be shared too.
-    position = (1 + F.least("place", "v.place") + F.least(n - F.col("place") - 1, m - F.col("v.place") - 1)) >= share
-    suffix = F.aggregate(F.zip_with("tails", "v.tails", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x) >= share
-    kept = both.filter(length & position).filter(suffix)
-    pairs = kept.select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b")).distinct()
-    return pairs, named.select("token", F.col("v.node").alias("node"))
+    # Places are known to a 256th of the prefix: the latest of the match counts before it, the earliest behind it.
+    def earliest(size, place):  # the place, from its 256ths
+        return F.floor(place * (size - F.ceil(size * threshold / 100.0 - 1e-9) + 1) / 256.0)
+
+    behind = F.least(n - earliest(n, F.col("place")), m - earliest(m, F.col("v.place")))
+    position = F.least(earliest(n, F.col("place") + 1), earliest(m, F.col("v.place") + 1)) + 1 + behind >= share
+    pairs = both.filter(length & position).select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b"),
+                                                  share.alias("share")).distinct()
+    for end in "ab":
+        pairs = join_small(pairs, tails.select(F.col("node").alias(end), F.col("tails").alias(f"t{end}")), [end], "inner")
+    suffix = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) >= F.col("share")
+    return pairs.filter(suffix).select("a", "b"), named.select("token", F.col("v.node").alias("node"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -251,7 +405,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,14 +427,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def link_components(sets: DataFrame, threshold: int) -> DataFrame:
-    """``node`` and ``comp`` of the nodes that have links; ``sets`` has one row per node with a prefix."""
+def link_components(postings: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``node`` and ``comp`` of the nodes that have links; ``sets`` has one row per node of the postings."""
     labels = None
-    posted = sets.select("node", "n", "tails", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-    postings = posted.select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "node", "n", "tails", F.col("node").alias("comp"))
+    postings = join_small(postings, sets.select("node", "n"), ["node"], "inner").withColumn("comp", F.col("node"))
+    tails = sets.select("node", "tails")
     postings, pivots = materialise(_alive(postings), "postings"), 1
     while not postings.isEmpty():
-        pairs, named = _pairs(postings, pivots, threshold)
+        pairs, named = _pairs(postings, tails, pivots, threshold)
         links = materialise(_verified(pairs, sets, threshold), "links")
         rest = postings.join(named, ["token", "node"], "left_anti")
         if not links.isEmpty():
@@ -305,10 +459,11 @@ def similar_components(docs: DataFrame, threshold: int = THRESHOLD, size: int =
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     sketch = Sketch.build(frequencies(rows, size))
-    found = signatures(rows, sketch, size, threshold, docs.schema[doc_id].dataType.simpleString())
-    sets = found.filter(F.col("tokens").isNotNull()).groupBy("node").agg(F.first(F.struct("n", "tokens", "places", "tails", "whole")).alias("s"))
-    sets = materialise(sets.select("node", "s.*"), "nodes")
-    labels = link_components(sets, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast((sketch.table, sketch.bits, sketch.exact))
+    posted = find_postings(rows, shared, size, threshold, docs.schema[doc_id].dataType.simpleString())
+    postings = posted.filter("token is not null").select("token", "node", "place")
+    labels = link_components(postings, candidate_sets(rows, posted, size), threshold)
+    found = posted.filter("token is null").select("doc_id", "n", "node")
     plain = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = plain.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))

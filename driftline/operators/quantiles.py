@@ -1,8 +1,8 @@
 """Exact quantiles per group, for groups of any size.
 
 Short groups are sorted and read at the wanted ranks. Long ones never meet in one task: a
-sketch first brackets each wanted rank, then one more pass counts what lies below the bracket
-and ranks only the values inside it.
+sketch first brackets each wanted rank, further passes narrow brackets that still hold more rows
+than a task should rank, and a last pass counts what lies below and ranks the values inside.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from driftline.operators.blocks import long_groups
 from driftline.session import join_small, materialise, rows_per_block
 
 _ACCURACY = 100_000
+_CELLS = 200
 
 
 def exact_quantiles(
@@ -64,17 +65,50 @@ def long_quantiles(
 ) -> DataFrame:
     """The same for few, long groups; the values must be non-null."""
     values = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    margin = 4.0 / _ACCURACY
+    margin, limit = 4.0 / _ACCURACY, rows_per_block(df.sparkSession)
     while True:
-        found = materialise(_ranked(values, keys, probabilities, margin), "quantiles")
+        found = materialise(_ranked(values, keys, probabilities, margin, limit), "quantiles")
+        limit = None  # a bracket that missed is not narrowed again
         missed = F.exists("quantiles", lambda q_: q_.isNull())
         if margin >= 1.0 or found.where(missed).isEmpty():
             return found
         margin *= 16.0  # a bracket missed its rank: widen, at last to the whole range
 
 
+def _tagged(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    return (join_small(values, brackets, keys, "inner") if keys
+            else values.join(F.broadcast(brackets)))  # one row: a single group
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Brackets of at most ``limit`` rows, or of one value.
+
+    A sketch of what a bracket holds gives cells of equal weight; the cells around the wanted ranks, and
+    one more on each side for the sketch's error, are the new bracket.
+    """
+    grid = [i / _CELLS for i in range(1, _CELLS)]
+    for _ in range(4):
+        probes = _tagged(values, brackets, keys).select(*keys, "n", "_v", F.explode("_probes").alias("_p"))
+        probes = probes.select(*keys, "n", "_v", "_p.*")
+        inside = F.col("_v").between(F.col("lo"), F.col("hi"))
+        held = materialise(probes.groupBy(*keys, "n", "probe", "position", "lo", "hi").agg(
+            F.count_if(F.col("_v") < F.col("lo")).alias("_below"), F.count_if(inside).alias("_in"),
+            F.percentile_approx(F.when(inside, F.col("_v")), grid, 10_000).alias("_grid")), "narrowed")
+        wide = (F.col("_in") > limit) & (F.col("lo") < F.col("hi"))
+        if held.where(wide).isEmpty():
+            return brackets
+        rank = F.col("position") - F.col("_below")
+        first = F.floor(rank / F.col("_in") * _CELLS).cast("int") - 1
+        last = F.floor((rank + 1) / F.col("_in") * _CELLS).cast("int") + 2
+        lo = F.when(wide & first.between(1, _CELLS - 1), F.get("_grid", first - 1)).otherwise(F.col("lo"))
+        hi = F.when(wide & last.between(1, _CELLS - 1), F.get("_grid", last - 1)).otherwise(F.col("hi"))
+        brackets = materialise(held.groupBy(*keys, "n").agg(F.collect_list(F.struct(
+            "probe", "position", lo.alias("lo"), hi.alias("hi"))).alias("_probes")), "brackets")
+    return brackets
+
+
 def _ranked(
-    values: DataFrame, keys: list[str], probabilities: list[float], margin: float,
+    values: DataFrame, keys: list[str], probabilities: list[float], margin: float, limit: int | None,
 ) -> DataFrame:
     ends = [min(max(p + side * margin, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
     brackets = values.groupBy(*keys).agg(
@@ -89,8 +123,9 @@ def _ranked(
         for i, p in enumerate(probabilities)])
     brackets = materialise(
         brackets.where(F.col("n") > 0).select(*keys, "n", probes.alias("_probes")), "brackets")
-    tagged = (join_small(values, brackets, keys, "inner") if keys
-              else values.join(F.broadcast(brackets)))  # one row: a single group
+    if limit:
+        brackets = _narrowed(values, brackets, keys, limit)
+    tagged = _tagged(values, brackets, keys)
     # One row per distinct value inside a bracket; all values below it fold into one NULL row.
     hits = tagged.select(*keys, "_v", F.explode("_probes").alias("_p"))
     hits = hits.where(F.col("_v") <= F.col("_p.hi")).select(
