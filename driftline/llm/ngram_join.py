@@ -132,7 +132,7 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
             for s in text_sets(b.column(0), size):
                 held.append(s)
                 n += len(s)
-            if n > 3_000_000:
+            if n > 1_500_000:
                 yield send()
                 held, n = [], 0
         if n:
@@ -288,7 +288,7 @@ def find_postings(docs: DataFrame, shared, size: int, threshold: int, id_type: s
                     p = len(s) - needed(len(s), threshold) + 1
                     held.append((tokens, np.full(len(tokens), node), (places * 256 // p).astype(np.uint8)))
                     n += len(tokens)
-            if n > 1_500_000:
+            if n > 800_000:
                 yield from send()
                 held, n = [], 0
         if n:
@@ -359,6 +359,16 @@ def candidate_sets(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     return sets
 
 
+def _distinct_lists(postings: DataFrame) -> DataFrame:
+    """One of the lists that hold the same nodes: near copies share hundreds, which would all name the same pairs."""
+    once = postings.groupBy("token", "node").agg(F.min("place").alias("place"))
+    same = ["size", "mark", "lo", "hi"]
+    lists = once.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("mark"),
+                                      F.min("node").alias("lo"), F.max("node").alias("hi"))
+    kept = lists.filter("lo <> hi").groupBy(*same).agg(F.min("token").alias("token")).select("token")
+    return once.join(kept, "token", "left_semi")
+
+
 def _alive(postings: DataFrame) -> DataFrame:
     """The lists that still hold two components or more."""
     open_lists = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
@@ -403,8 +413,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b").select("a", "b", "x", "y")
+    # Only sets of pairs travel: where pairs are few they are broadcast to the sets.
+    pairs = materialise(pairs, "pairs")
+    left = join_small(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), pairs, ["a"], "inner")
+    wanted = join_small(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), pairs.select("b").distinct(), ["b"], "left_semi")
+    both = left.join(wanted, "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -430,9 +443,9 @@ def components(edges: DataFrame) -> DataFrame:
 def link_components(postings: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``node`` and ``comp`` of the nodes that have links; ``sets`` has one row per node of the postings."""
     labels = None
-    postings = join_small(postings, sets.select("node", "n"), ["node"], "inner").withColumn("comp", F.col("node"))
+    postings = join_small(_distinct_lists(postings), sets.select("node", "n"), ["node"], "inner").withColumn("comp", F.col("node"))
     tails = sets.select("node", "tails")
-    postings, pivots = materialise(_alive(postings), "postings"), 1
+    postings, pivots = materialise(postings, "postings"), 1
     while not postings.isEmpty():
         pairs, named = _pairs(postings, tails, pivots, threshold)
         links = materialise(_verified(pairs, sets, threshold), "links")

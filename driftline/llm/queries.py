@@ -111,7 +111,20 @@ def op2(spark, sf_dir):
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("taken") * F.col("size")).alias("taken"), "source")
 
 
-@query("op1_ngram_join")
+_COMPONENTS = r"""with recursive w as (select doc_id, list_filter(string_split_regex(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+n as (select doc_id, len(s) as n from s),
+x as (select doc_id, unnest(s) as g from s),
+p as (select l.doc_id as a, r.doc_id as b, count(*) as c from x l join x r on l.g = r.g and l.doc_id < r.doc_id group by all),
+e as (select a, b from p join n l on a = l.doc_id join n r on b = r.doc_id where 100 * c >= 75 * (l.n + r.n - c)),
+both_ways as (select a, b from e union all select b, a from e),
+reach(doc_id, comp) as (select doc_id, doc_id from n union select b, comp from reach join both_ways on reach.doc_id = a)
+select doc_id, n as n_shingles, min(comp) as component_id from reach join n using (doc_id) group by doc_id, n"""
+
+
+@query("op1_ngram_join", _COMPONENTS)
 def op1(spark, sf_dir):
     from driftline.llm.ngram_join import similar_components
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 _SPACES = bytes([32, 9, 10, 11, 12, 13])
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
