@@ -5,14 +5,13 @@ Two texts link when their sets of distinct 5-word shingles (letters A-Z in lower
 
 * *Order.* Shingles are ordered rare first. One pass counts in how many documents each occurs: tasks send sorted,
   packed hashes, one block per range of the hash, and a range's task merges them. What matters of the result
-  fits a sketch of fixed size: the frequency class (the logarithm) of the shingles that occur more than once,
+  fits a sketch of fixed size: the frequency class (the logarithm) of the shingles in four documents or more,
   or, if those are too many, of the most frequent classes that fit. The order is (class in the sketch, hash). It is
   the same for all texts whatever the sketch says, and that is all that prefix filtering asks for: the sketch decides
   how long posting lists get, never which links are found.
-* *Prefix.* Texts that link share one of the first n - ceil(t n) + 1 shingles of both. Shingles of class 0 in a sketch
-  that holds every repeated shingle occur in one text only; they fill prefixes but are never sent, and most texts have
-  nothing else in theirs. What is sent is packed again: a range's task finds the posting lists with two nodes or more,
-  and only those become rows. The whole sets of the nodes in them are made once more from their texts.
+* *Prefix.* Texts that link share one of the first n - ceil(t n) + 1 shingles of both. Prefixes are sent packed: a
+  range's task finds the posting lists with two nodes or more, and only those become rows. The whole sets of the nodes in
+  them are made once more from their texts.
 * *Copies.* Texts with equal sets are one node, so exact copies cost nothing beyond the first.
 * *Pairs.* A posting list is not opened into all its pairs. In each round every list names a few pivots, and all others
   of the list are compared with them unless both are in one component already. A pivot has then met the whole list
@@ -47,6 +46,8 @@ from driftline.session import BROADCAST_ROWS_CONF, DEFAULT_BROADCAST_ROWS, join_
 THRESHOLD = 75
 SKETCH_BITS = 25
 SKETCH_KEYS = 1 << (SKETCH_BITS - 2)
+#: Shingles of fewer documents than 2 to this power are rare alike, at every size of the input.
+LEAST_CLASS = 2
 _PROBES = 3
 _TAILS = 8
 _KEY_BYTES = 6
@@ -163,8 +164,8 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
 class Sketch:
     """Frequency classes of the shingles: ``table`` of 2^``SKETCH_BITS`` bytes, cut into one part per bucket."""
 
-    def __init__(self, table: np.ndarray, bits: int, exact: bool):
-        self.table, self.bits, self.exact = table, bits, exact
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
 
     @staticmethod
     def slots(keys: np.ndarray, part_bits: int) -> list[np.ndarray]:
@@ -179,7 +180,7 @@ class Sketch:
         sizes = counts.select(F.posexplode("sizes").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()
         least, total = 64, 0
         for c, n in sorted(((r.c, r.n) for r in sizes), reverse=True):
-            if total + n > SKETCH_KEYS:
+            if total + n > SKETCH_KEYS or c < LEAST_CLASS:
                 break
             least, total = c, total + n
 
@@ -196,7 +197,7 @@ class Sketch:
         table = np.zeros(1 << SKETCH_BITS, np.uint8)
         for row in counts.select("bucket", "keys", "classes").mapInArrow(fill, "bucket int, part binary").toLocalIterator():
             table[row.bucket << part_bits:(row.bucket + 1) << part_bits] = np.frombuffer(row.part, np.uint8)
-        return cls(table, bits, least <= 1)
+        return cls(table, bits)
 
 
 def _classes(table: np.ndarray, bits: int, s: np.ndarray) -> np.ndarray:
@@ -216,17 +217,11 @@ def _node(s: np.ndarray) -> np.uint64:
 
 
 def _prefix(sketch: tuple, s: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of the prefix that other texts may hold, and their places in the order."""
-    table, bits, exact = sketch
-    n = len(s)
-    p = n - needed(n, threshold) + 1
-    c = _classes(table, bits, s)
-    if exact and n - np.count_nonzero(c) >= p:
-        return s[:0], np.zeros(0, np.int64)
+    """The shingles of the prefix and their places in the order."""
+    p = len(s) - needed(len(s), threshold) + 1
     # Hashes are sorted, so a stable sort by class gives the order.
-    first = np.argsort(c, kind="stable")[:p]
-    places = np.flatnonzero(c[first] > 0) if exact else np.arange(p)
-    return s[first[places]], places
+    first = np.argsort(_classes(*sketch, s), kind="stable")[:p]
+    return s[first], np.arange(p)
 
 
 def _meet(keys: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> tuple:
@@ -472,7 +467,7 @@ def similar_components(docs: DataFrame, threshold: int = THRESHOLD, size: int =
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     sketch = Sketch.build(frequencies(rows, size))
-    shared = docs.sparkSession.sparkContext.broadcast((sketch.table, sketch.bits, sketch.exact))
+    shared = docs.sparkSession.sparkContext.broadcast((sketch.table, sketch.bits))
     posted = find_postings(rows, shared, size, threshold, docs.schema[doc_id].dataType.simpleString())
     postings = posted.filter("token is not null").select("token", "node", "place")
     labels = link_components(postings, candidate_sets(rows, posted, size), threshold)
