@@ -340,14 +340,16 @@ def candidate_sets(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
-            rows = [(int(_node(s).view(np.int64)), len(s), np.bincount((s & np.uint64(_TAILS - 1)).astype(np.int64), minlength=_TAILS).tolist(),
-                     s.tobytes()) for s in text_sets(b.column(1), size) if len(s)]
-            if rows:
-                node, n, tails, whole = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(tails, pa.list_(pa.int32())),
-                                                  pa.array(whole, pa.binary())], ["node", "n", "tails", "whole"])
-
-    sets = _checked_semi(docs, ids, "doc_id").mapInArrow(run, "node long, n int, tails array<int>, whole binary")
+            sets = [s for s in text_sets(b.column(1), size) if len(s)]
+            if sets:
+                tails = [np.bincount((s & np.uint64(_TAILS - 1)).astype(np.int64), minlength=_TAILS).tolist() for s in sets]
+                n = np.array([len(s) for s in sets], np.int32)
+                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(_node(s).view(np.int64)) for s in sets], pa.int64()), pa.array(n), pa.array(tails, pa.list_(pa.int32())),
+                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "n", "tails", "whole"])
+
+    sets = _checked_semi(docs, ids, "doc_id").mapInArrow(run, "node long, n int, tails array<int>, whole array<long>")
     sets = materialise(_checked_semi(sets, wanted, "node"), "shingle-sets")
     if sets.select("node").count() > sets.select("node").distinct().count():  # rows that repeat an id
         sets = materialise(sets.groupBy("node").agg(F.first(F.struct(*sets.columns)).alias("s")).select("s.*"), "shingle-sets")
@@ -397,23 +399,13 @@ def _pairs(postings: DataFrame, tails: DataFrame, pivots: int, threshold: int) -
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs that link, each compared once on both whole sets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = np.count_nonzero(large[at] == small)
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     # Only sets of pairs travel: where pairs are few they are broadcast to the sets.
     pairs = materialise(pairs, "pairs")
     left = join_small(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), pairs, ["a"], "inner")
     wanted = join_small(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), pairs.select("b").distinct(), ["b"], "left_semi")
-    both = left.join(wanted, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = 100 * shared >= threshold * (F.size("x") + F.size("y") - shared)
+    return left.join(wanted, "b").filter(linked).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
