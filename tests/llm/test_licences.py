@@ -1,6 +1,6 @@
 import re
 
-from driftline.llm.licences import TEMPLATES, THRESHOLD, find_licences
+from driftline.llm.licences import TEMPLATES, THRESHOLD, find_licences, key_words
 
 
 def grams(text):
@@ -44,3 +44,24 @@ def test_passages_and_templates(spark):
 
 def test_empty_table(spark):
     assert find_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# The licence lines of the documents fixture, and names of families and versions that differ by a word.
+LINES = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+         "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "ARR",
+         "Licensed under CC BY 4.0.": "CC-BY-4.0", "Released under CC BY-NC-ND 3.0.": "CC-BY-NC-ND-3.0", "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+         "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "Licensed under the ISC License.": "ISC",
+         "Released under the GNU General Public License, version 2.": "GPL-2.0", "This project is licensed under the GPLv3.": "GPL-3.0"}
+
+
+def test_every_licence_line_is_found(spark):
+    docs = spark.createDataFrame([(i, f"prose before\n{t}\nprose behind") for i, t in enumerate(LINES)], "doc_id long, text string")
+    got = {(r.passage, r.line, r.licence, r.dice) for r in find_licences(docs).collect()}
+    assert got >= {(t, 2, k, 1.0) for t, k in LINES.items()}
+
+
+def test_key_words_lose_no_passage():
+    keys = key_words(TEMPLATES, THRESHOLD)
+    for t in (t for v in TEMPLATES.values() for t in v):
+        left = {g for g in grams(t) if not set(g) & set(keys)}
+        assert len(left) < len(grams(t)) * THRESHOLD / (2 - THRESHOLD)
