@@ -1,8 +1,9 @@
 """Licence scan: passages of a text against licence templates by Dice coefficient.
 
 Text is lower-cased and every run of other characters than letters and digits becomes one
-blank. A passage is a line, a sentence within a line, or a paragraph (lines up to a
-blank one). The Dice coefficient of two sets of word bigrams is 2c / (a + b), at most
+blank. A passage is a line, a sentence within a line, a paragraph (lines up to one without a letter
+or digit, as the separators of commented headers are), or a sentence that wraps over lines of a paragraph; a semicolon
+ends a sentence in one reading and not in the other. The Dice coefficient of two sets of word bigrams is 2c / (a + b), at most
 2 min(a, b) / (a + b), so a passage of ``a`` bigrams can only reach ``threshold`` with templates
 of t / (2 - t) * a to (2 - t) / t * a bigrams: passages meet templates in an equi-join on the
 sizes that the bound admits, and passages of other sizes are dropped before. Every passage that reaches the threshold
@@ -149,16 +150,25 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     keys = r"(?<![\p{L}\p{N}])(?:" + "|".join(key_words(templates, threshold)) + ")"
     docs = docs.filter(F.lower(F.col(text)).rlike(keys))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    rows = rows.select("doc_id", "lines", F.expr("filter(sequence(1, size(lines)), i -> btrim(get(lines, i - 1)) <> '' and "
-                                                 "(i = 1 or btrim(get(lines, i - 2)) = ''))").alias("heads"),
-                       F.expr("filter(sequence(1, size(lines)), i -> btrim(get(lines, i - 1)) <> '' and "
-                              "(i = size(lines) or btrim(get(lines, i)) = ''))").alias("ends"))
+    rows = rows.withColumn("full", F.transform("lines", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    rows = rows.select("doc_id", "lines", F.expr("filter(sequence(1, size(lines)), i -> get(full, i - 1) and "
+                                                 "(i = 1 or not get(full, i - 2)))").alias("heads"),
+                       F.expr("filter(sequence(1, size(lines)), i -> get(full, i - 1) and "
+                              "(i = size(lines) or not get(full, i)))").alias("ends"))
     # Of a paragraph, more lines than the longest template has words can't match.
     paragraphs = F.expr(f"""transform(heads, (h, k) -> struct(h as line, concat_ws(' ', slice(lines, h,
         least({longest}, get(ends, k) + 1 - h))) as passage))""")
     sentences = F.expr("""flatten(transform(lines, (x, i) -> transform(
         array_distinct(concat(array(x), split(x, '(?<=[.!?;])\\\\s+'))), y -> struct(i + 1 as line, y as passage))))""")
-    rows = rows.select("doc_id", F.explode(F.concat(sentences, paragraphs)).alias("p"))
+    # Lines are joined with their numbers between line feeds; a piece that still holds a number wraps and begins before it.
+    joined = F.expr("""transform(heads, (h, k) -> array_join(transform(slice(lines, h, get(ends, k) + 1 - h),
+        (x, i) -> concat(if(i = 0, '', concat('\\n', h + i - 1, '\\n')), x)), ''))""")
+    blanks = r"(?:[^\S\n]+|(?=\n))"
+    pieces = [F.flatten(F.transform(joined, lambda x: F.split(x, f"(?<=[{ends}]){blanks}"))) for ends in (".!?;", ".!?")]
+    pieces = F.transform(F.array_distinct(F.concat(*pieces)), lambda x: F.regexp_replace(x, r"^(?:\s*\n\d+\n)+", ""))
+    wrapped = F.transform(F.filter(pieces, lambda x: x.contains("\n")), lambda x: F.struct(
+        F.regexp_extract(x, r"\n(\d+)\n", 1).cast("int").alias("line"), F.regexp_replace(x, r"\n\d+\n", " ").alias("passage")))
+    rows = rows.select("doc_id", F.explode(F.concat(sentences, paragraphs, wrapped)).alias("p"))
     rows = rows.select("doc_id", F.col("p.line").alias("line"), F.col("p.passage").alias("passage"))
     rows = rows.filter(F.lower("passage").rlike(keys)).withColumn("w", F.split(normal(F.col("passage")), " "))
     rows = rows.filter((F.size("w") <= longest) & (F.element_at("w", 1) != ""))

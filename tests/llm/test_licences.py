@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from driftline.llm.licences import TEMPLATES, THRESHOLD, find_licences, key_words
 
@@ -65,3 +66,22 @@ def test_key_words_lose_no_passage():
     for t in (t for v in TEMPLATES.values() for t in v):
         left = {g for g in grams(t) if not set(g) & set(keys)}
         assert len(left) < len(grams(t)) * THRESHOLD / (2 - THRESHOLD)
+
+
+def test_wrapped_sentences_of_commented_headers(spark):
+    gpl = next(t for t in TEMPLATES["GPL-3.0"] if t.startswith("This program is free"))
+    apache = next(t for t in TEMPLATES["Apache-2.0"] if "may not use" in t)
+    rest = ["You should have received a copy of it along with this program and of other words, many more of them", "than the notice has. If not, see the web."]
+    texts, want = [], []
+    for k, (notice, name) in enumerate([(gpl, "GPL-3.0"), (apache, "Apache-2.0")]):
+        for mark in ("# ", " * ", ""):
+            wrapped = textwrap.wrap(notice, 60)
+            lines = ["Copyright 2020 A. Uthor.", mark.strip(), "This file is one of many. " + wrapped[0], *wrapped[1:-1], wrapped[-1] + " " + rest[0], rest[1]]
+            want.append((len(texts), 3, name))
+            texts.append("\n".join(mark + x for x in lines))
+    # The notice as lines of one block: the separator lines end its paragraph.
+    texts.append("\n".join(["/*", " * Copyright.", " *", *[" * " + x for x in textwrap.wrap(gpl, 60)], " *", *[" * " + x for x in rest], " */"]))
+    want.append((len(texts) - 1, 4, "GPL-3.0"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line, r.licence) for r in find_licences(docs).filter("dice > 0.99").collect()}
+    assert got >= set(want)
