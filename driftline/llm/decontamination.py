@@ -8,11 +8,12 @@ so its cost does not depend on its length.
 Fingerprints are matched by a multi-index of four 16-bit blocks: of two fingerprints within ``RADIUS`` = 15 bits one
 block differs in at most 3 bits, so the index holds, block by block, every value within 3 bits of an item's, and no
 fingerprint within the radius is missed. Hits are then verified exactly: the best window of the item's
-own length near the hit is compared with the item by weighted Jaccard over 5-word shingles (with repeats; a shingle that
-several items have weighs less, by their number). From 0.75 on it is a leak.
+own length near the hit is compared with the item by Jaccard over 5-word shingles (with repeats), plain and weighted: a shingle
+that several distinct item texts have weighs less, by their number. From 0.75 on in either it is a leak, and the larger
+one is the similarity. Weights are counted once over all items, so no result depends on the passes.
 
 The items are the stated query set. They are indexed in passes of a bounded number, each broadcast and run over all
-documents, so the index never outgrows a task. Documents are read in place; only leaks are shuffled.
+documents, so the index never outgrows a task; besides it a task holds 16 bytes for each shingle that several texts have. Documents are read in place; only leaks are shuffled.
 
 Defined cases: null or empty texts have no leaks; items with fewer than five words have no 5-word shingle and
 are not looked for; items with equal texts are each reported; rows that repeat an id are searched one by one and
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +79,7 @@ def _ball() -> np.ndarray:
 class ItemIndex:
     """The items of one pass: their words' shingles, and for each window length the multi-index of those near it."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], common: tuple[np.ndarray, np.ndarray]):
         data, at = text_bytes(pa.array(texts, pa.string()))
         words = Words(data, at)
         size = np.diff(words.bounds)
@@ -85,8 +87,8 @@ class ItemIndex:
         self.size = size
         found, where = shingles(words, _SHINGLE)
         self.bags = [Counter(found[where[i]:where[i + 1]].tolist()) for i in range(len(ids))]
-        number = Counter(k for bag in self.bags for k in bag)
-        self.weight = {k: 1 / n for k, n in number.items()}
+        self.common = common
+        self.weights = [dict(zip(bag, self._weights(list(bag)))) for bag in self.bags]
         own = np.repeat(np.arange(len(ids)), np.diff(where))
         self.members = np.unique(found ^ mix(own.astype(np.uint64) + np.uint64(77)))
         total = _running(_pairs(words.hash))
@@ -104,6 +106,15 @@ class ItemIndex:
                               np.repeat(near, len(ball))[order].astype(np.int32)))
             self.blocks.append(parts)
 
+    def _weights(self, keys: list[int]) -> list[float]:
+        """1 / number of distinct item texts that have the shingle, 1 where none or one has it."""
+        held, weight = self.common
+        if not len(held) or not keys:
+            return [1.0] * len(keys)
+        keys = np.array(keys, np.uint64)
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        return np.where(held[at] == keys, weight[at], 1.0).tolist()
+
     def leaks(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of every verified hit in the texts, the best one per text and item."""
         words = Words(*text_bytes(column))
@@ -179,19 +190,26 @@ class ItemIndex:
                 found[key] = (value, int(first[j] + where - bounds[text[j]]), size)
 
     def _best(self, own: list[int], item: int) -> tuple[float, int, int]:
-        """The most similar window of the item's length among the shingles ``own``."""
-        bag, size, weight = self.bags[item], int(self.size[item]), self.weight
+        """The most similar window of the item's length among the shingles ``own``, by weighted or plain similarity."""
+        bag, size = self.bags[item], int(self.size[item])
+        weights, every = self._weights(own), [1.0] * len(own)
+        found = self._slide(own, every, bag, float(sum(bag.values())), size)
+        if any(w < 1 for w in weights) or any(w < 1 for w in self.weights[item].values()):
+            found = max(found, self._slide(own, weights, bag, sum(self.weights[item][k] * c for k, c in bag.items()), size), key=lambda x: x[0])
+        return found
+
+    @staticmethod
+    def _slide(own: list[int], weights: list[float], bag: Counter, whole: float, size: int) -> tuple[float, int, int]:
         n = min(size - _SHINGLE + 1, len(own))
         held: Counter = Counter()
-        whole, total, shared, best = sum(weight[k] * c for k, c in bag.items()), 0.0, 0.0, (-1.0, 0, 0)
+        total, shared, best = 0.0, 0.0, (-1.0, 0, 0)
         for at, key in enumerate(own):
-            w = weight.get(key, 1.0)
+            w = weights[at]
             shared += w * (held[key] < bag.get(key, 0))
             held[key] += 1
             total += w
             if at >= n:
-                old = own[at - n]
-                w = weight.get(old, 1.0)
+                old, w = own[at - n], weights[at - n]
                 held[old] -= 1
                 shared -= w * (held[old] < bag.get(old, 0))
                 total -= w
@@ -200,6 +218,23 @@ class ItemIndex:
         return best
 
 
+def _common(benchmark: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least two distinct item texts have, in order, and their weights; equal words are one text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "t"):
+            words = Words(*text_bytes(b.column(0)))
+            found, where = shingles(words, _SHINGLE)
+            own = [int.from_bytes(blake2b(words.hash[i:j].tobytes(), digest_size=8).digest(), "little", signed=True)
+                   for i, j in zip(words.bounds[:-1], words.bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own, np.int64), np.diff(where))), pa.array(found.view(np.int64))], ["own", "key"])
+
+    items = benchmark.select(F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    held = items.mapInArrow(run, "own long, key long").distinct().groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    keys = held.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], 1.0 / held.column("n").to_numpy()[order]
+
+
 def _passes(benchmark: DataFrame, item_id: str, text: str, per_pass: int) -> Iterator[tuple[list, list[str]]]:
     """The items, at most about ``per_pass`` at a time."""
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
@@ -219,13 +254,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
            "similarity double, first_word long, n_words long"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     found = docs.sparkSession.createDataFrame([], kind)
+    common = context.broadcast(_common(benchmark, item_text))
     for ids, texts in _passes(benchmark, item_id, item_text, per_pass):
         shared = context.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = None
             for b in pieces(batches, "t"):
-                index = index or ItemIndex(*shared.value)
+                index = index or ItemIndex(*shared.value, common.value)
                 hits = index.leaks(b.column(1))
                 if hits:
                     t, i, s, first, n = zip(*hits)
@@ -242,6 +278,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
                     per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns."""
     context = docs.sparkSession.sparkContext
+    common = context.broadcast(_common(benchmark, item_text))
     for ids, texts in _passes(benchmark, item_id, item_text, per_pass):
         shared = context.broadcast((ids, texts))
         kept: list = []
@@ -249,7 +286,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         @F.arrow_udf(BooleanType())
         def leaks(column: pa.Array) -> pa.Array:
             if not kept:
-                kept.append(ItemIndex(*shared.value))
+                kept.append(ItemIndex(*shared.value, common.value))
             out, done = np.zeros(len(column), bool), 0
             for b in pieces(iter([pa.RecordBatch.from_arrays([column.cast(pa.string())], ["t"])]), "t"):
                 out[[done + h[0] for h in kept[0].leaks(b.column(0))]] = True

@@ -74,3 +74,21 @@ def test_fingerprints_equal_a_plain_simhash():
     for g, a, b in zip(got, start, end):
         want = sum(1 << k for k in range(64) if sum(int(p) >> k & 1 for p in pair[a:b - 1]) * 2 > b - a - 1)
         assert int(g) == want
+
+
+def test_repeated_items_and_shared_passages_keep_their_leaks(spark):
+    """Near copies of repeated items, and of a passage that items share, at every size of a pass."""
+    draw = random.Random(9)
+    item, head = draw.choices(VOCAB, k=50), draw.choices(VOCAB, k=30)
+    near = list(item)
+    near[25] = "changed"
+    items = [item] * 4 + [head + draw.choices(VOCAB, k=12) for _ in range(3)]
+    other = items[4][:20] + ["changed"] + items[4][21:]
+    docs = [" ".join(prose(40) + x + prose(40)) for x in (near, other, prose(50))]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if plain(t, x) >= 0.75}
+    assert want >= {(0, i) for i in range(4)} | {(1, 4)}
+    seen = [{(r.doc_id, r.item_id): round(r.similarity, 9) for r in find_leaks(frame, bench, per_pass=n).collect()} for n in (2000, 1)]
+    assert seen[0] == seen[1] and set(seen[0]) >= want
+    assert [r.doc_id for r in clean_documents(frame, bench).collect()] == [2]
