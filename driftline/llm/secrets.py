@@ -6,7 +6,7 @@ of the texts that hold it in lower case. Intersecting the postings gives the can
 of each rule, and only those texts are searched with the expression; a rule without mandatory
 trigrams scans all texts. The index never loses a match: it only says where none can be.
 
-Defined cases: a null text is empty and holds no secret; rows that share an id share their
+Defined cases: a null text is empty and holds no secret; rows that share an id, or have none, share their
 candidates and are searched one by one; an empty table gives an empty result; columns
 besides id and text are ignored.
 """
@@ -94,7 +94,8 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, doc_id: s
     """
     wanted = materialise(candidates(trigram_index(docs, rules, doc_id, text), rules), "secret-candidates")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = join_small(rows, wanted, ["doc_id"], "left")
+    # Null ids have candidates as any other id, and meet them only in a null-safe join.
+    rows = join_small(rows, wanted.withColumnRenamed("doc_id", "asked_id"), F.col("doc_id").eqNullSafe(F.col("asked_id")), "left")
     parts = []
     for rank, rule in enumerate(rules):
         asked = F.lit(True) if trigram_query(rule.regex) is None else F.coalesce(F.array_contains("rules", rule.kind), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK_CONF = "driftline.rowsPerBlock"
@@ -79,7 +79,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str) -> DataFrame:
     """Join ``left`` with a side expected to be small.
 
     ``right`` is counted first and broadcast only below the limit; beyond it the join is a

@@ -58,3 +58,13 @@ def test_candidates_hold_every_trigram(spark):
     assert got == {1: ["t"], 3: ["t"]}
     assert trigram_query(BASE_RULES[2].regex) is None and len({r.kind for r in RULES}) == len(RULES)
     assert "op10_secret_scan" in QUERIES
+
+
+def test_null_ids_keep_their_candidates(spark):
+    texts = ["token=abcdef", None, "nothing", "AKIA" + "A" * 16 + " ghp_" + "z9" * 18]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, "secret: abcdefg"), (2, None)], "doc_id long, text string")
+    for limit in ("1000000", "0"):
+        spark.conf.set("driftline.broadcastRows", limit)
+        got = sorted((r.doc_id or 0, sorted(x.kind for x in r.found)) for r in find_secrets(docs).collect())
+        assert got == [(0, []), (0, []), (0, ["access", "git_token"]), (0, ["assign"]), (1, ["assign"]), (2, [])]
+    spark.conf.unset("driftline.broadcastRows")
