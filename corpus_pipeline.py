@@ -6,7 +6,9 @@ written and read again as the next stage's ``docs``. All stages but the last ret
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontamination, mixing, ngram_join, token_files
@@ -25,17 +27,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one with the smallest id.
+    """One document of each group of similar texts: the one with the smallest id, null ids last.
 
-    Texts without words are in no group and stay; rows with one id and one text count as one document.
+    Texts without words are in no group and stay; rows with one id and one text count as one document, rows with one id
+    and different texts as several: they are decided by (id, text), equal ids by hashes of the texts.
     """
-    joined = materialise(ngram_join.similar_components(docs), "components")
-    gone = joined.filter(~ngram_join.first_of_component(joined)).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    doubled = joined.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    names = ("no_id", "id", "h1", "h2")
+    values = F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    key = F.struct(*[v.alias(n) for n, v in zip(names, values)])
+    joined = materialise(ngram_join.similar_components(docs.select(key.alias("doc_id"), "text")), "components")
+
+    def of(keys: DataFrame) -> tuple[DataFrame, Column]:
+        """Distinct keys and the null-safe condition that a row of ``docs`` has one of them."""
+        keys = keys.select(*[F.col(f"doc_id.{n}").alias(f"key_{n}") for n in names]).distinct()
+        return keys, functools.reduce(lambda x, y: x & y, [v.eqNullSafe(F.col(f"key_{n}")) for n, v in zip(names, values)])
+
+    kept = docs.join(*of(joined.filter(~ngram_join.first_of_component(joined))), "left_anti")
+    doubled = joined.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
     if doubled.isEmpty():
         return kept
-    return kept.join(doubled, "doc_id", "left_anti").unionByName(kept.join(doubled, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    doubled = of(doubled)
+    return kept.join(*doubled, "left_anti").unionByName(kept.join(*doubled, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

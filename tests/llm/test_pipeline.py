@@ -54,3 +54,15 @@ def test_run_is_the_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert set(got.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"} and got.count() > 200
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_decides_by_id_and_text(spark):
+    one, two, three, four = (" ".join(prose(80)) for _ in range(4))
+    rows = [(1, one), (5, one + " extra"), (5, two), (6, three), (6, three + " extra"), (None, three + " more"), (None, four),
+            (None, four + " extra"), (7, two + " extra"), (8, None), (None, None), (None, ""), (9, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for copies in (docs, docs.union(docs.filter("doc_id = 1 or text like '%extra'"))):
+        kept = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.near_copies(spark, copies, "").collect())
+        ids = [i for i, _ in kept]
+        assert ids == [0, 0, 0, 1, 5, 6, 8, 9] and (1, one) in kept and (5, two) in kept
+        assert len([t for i, t in kept if i == 0 and t.startswith(four)]) == 1 and len([t for _, t in kept if t.startswith(three)]) == 1
