@@ -2,7 +2,7 @@
 
 * *Text*: log likelihood of the page's visible text under byte-trigram counts of each language, learnt from labelled
   documents by grouped counting over all of them. The trigrams are hashed to ``BUCKETS`` classes, so the table
-  that scoring needs is small whatever the corpus. Long texts are tempered: the sum counts as that of ``TEXT_WEIGHT``
+  that scoring needs is small whatever the corpus. All languages are scored, ``BLOCK`` at a time. Long texts are tempered: the sum counts as that of ``TEXT_WEIGHT``
   trigrams at most, since neighbouring trigrams are not independent.
 * *Markup*: what the page declares in its ``lang`` attribute.
 * *Address*: the country suffix of its host and a language code as the first part of its path.
@@ -25,7 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.texts import pieces, text_bytes
@@ -34,6 +34,8 @@ from driftline.session import join_small, materialise
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 TEXT_WEIGHT = 60.0
+#: Languages scored at once: 8 MB of broadcast table.
+BLOCK = 64
 STRENGTH = 5.0
 # Country suffixes whose main language is one of those served.
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es",
@@ -78,16 +80,13 @@ def count_trigrams(docs: DataFrame, lang: str = "lang", text: str = "text") -> D
     return sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def text_model(counts: DataFrame, languages: Sequence[str] | None = None, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(bucket | language), one row per language. At most ``most_languages`` (the most frequent)."""
-    if languages is None:
-        top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-        languages = sorted(r.lang for r in top)
+def text_model(counts: DataFrame, languages: Sequence[str]) -> np.ndarray:
+    """log P(bucket | language), one row per language."""
     table = np.full((len(languages), BUCKETS), 0.5)
     place = {x: k for k, x in enumerate(languages)}
     for r in counts.filter(F.col("lang").isin(list(languages))).toLocalIterator():
         table[place[r.lang], r.bucket] += r.n
-    return list(languages), np.log(table / table.sum(1, keepdims=True))
+    return np.log(table / table.sum(1, keepdims=True))
 
 
 def visible_text(html: Column) -> Column:
@@ -96,20 +95,8 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"&#?\w+;", " ")
 
 
-def evidence(pages: DataFrame, languages: Sequence[str], model: np.ndarray, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def evidence(pages: DataFrame, languages: Sequence[str], counts: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``host``, ``domain``, ``top``, ``declared``, ``addressed`` and ``text_log`` (one log likelihood per language)."""
-    shared = pages.sparkSession.sparkContext.broadcast(model.astype(np.float32))
-
-    @F.arrow_udf("array<double>")
-    def text_log(column: pa.Array) -> pa.Array:
-        out = []
-        for b in pieces(iter([pa.RecordBatch.from_arrays([column.cast(pa.string())], ["t"])]), "t"):
-            key, who = trigram_buckets(b.column(0))
-            n = np.bincount(who, minlength=b.num_rows)
-            each = np.stack([np.bincount(who, row[key], b.num_rows) for row in shared.value], 1) if len(shared.value) else np.zeros((b.num_rows, 0))
-            out.append(each * (np.minimum(n, TEXT_WEIGHT) / np.maximum(n, 1))[:, None])
-        return pa.array([r.tolist() for x in out for r in x], pa.list_(pa.float64()))
-
     known = F.array(*[F.lit(x) for x in languages]).cast("array<string>")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     parts = F.split(host, r"\.")
@@ -121,7 +108,30 @@ def evidence(pages: DataFrame, languages: Sequence[str], model: np.ndarray, page
         F.element_at(parts, -1).alias("top"), F.when(F.array_contains(known, declared), declared).alias("declared"),
         F.when(F.array_contains(known, path), path).when(F.array_contains(known, suffix), suffix).alias("addressed"),
         visible_text(F.col(html)).alias("t"))
-    return materialise(rows.withColumn("text_log", text_log("t")).drop("t"), "page-evidence")
+    rows = rows.withColumn("text_log", F.array().cast("array<double>"))
+    # A task holds the table of one block at a time; between blocks the rows are written.
+    for at in range(0, len(languages), BLOCK):
+        score = _text_log(pages.sparkSession, text_model(counts, languages[at:at + BLOCK]))
+        rows = rows.withColumn("text_log", F.concat("text_log", score("t")))
+        rows = materialise(rows if at + BLOCK < len(languages) else rows.drop("t"), "page-evidence")
+    return rows
+
+
+def _text_log(spark: SparkSession, model: np.ndarray):
+    """Column function of the texts' log likelihoods, one per row of ``model``."""
+    shared = spark.sparkContext.broadcast(model.astype(np.float32))
+
+    @F.arrow_udf("array<double>")
+    def text_log(column: pa.Array) -> pa.Array:
+        out = []
+        for b in pieces(iter([pa.RecordBatch.from_arrays([column.cast(pa.string())], ["t"])]), "t"):
+            key, who = trigram_buckets(b.column(0))
+            n = np.bincount(who, minlength=b.num_rows)
+            each = np.stack([np.bincount(who, row[key], b.num_rows) for row in shared.value], 1)
+            out.append(each * (np.minimum(n, TEXT_WEIGHT) / np.maximum(n, 1))[:, None])
+        return pa.array([r.tolist() for x in out for r in x], pa.list_(pa.float64()))
+
+    return text_log
 
 
 def _best(logs: Column, languages: Sequence[str]) -> Column:
@@ -130,56 +140,56 @@ def _best(logs: Column, languages: Sequence[str]) -> Column:
     return names[F.array_position(logs, F.array_max(logs)).cast("int") - 1]
 
 
-def _confusion(rows: DataFrame, column: str, languages: Sequence[str]) -> dict[tuple[str, str], float]:
-    """P(said | language), counted over the pages where both are known."""
+def _confusion(rows: DataFrame, column: str, languages: Sequence[str]) -> DataFrame:
+    """``column`` and ``column_logs``: log P(said | language) for each language, counted over the pages where both are known."""
     found = rows.filter(F.col(column).isNotNull()).groupBy("by_text", column).count().collect()
-    n = {(r.by_text, r[column]): r["count"] for r in found}
-    out = {}
-    for lang in languages:
-        total = sum(n.get((lang, x), 0) for x in languages)
-        for said in languages:
-            out[lang, said] = (n.get((lang, said), 0) + (2.0 if said == lang else 0.2)) / (total + 2.0 + 0.2 * (len(languages) - 1))
-    return out
+    place = {x: k for k, x in enumerate(languages)}
+    n = np.zeros((len(languages), len(languages)))
+    for r in found:
+        n[place[r.by_text], place[r[column]]] = r["count"]
+    logs = np.log((n + 0.2 + 1.8 * np.eye(len(n))) / (n.sum(1, keepdims=True) + 2.0 + 0.2 * (len(n) - 1)))
+    table = [(x, logs[:, k].tolist()) for x, k in place.items()]
+    return rows.sparkSession.createDataFrame(table, f"{column} string, {column}_logs array<double>")
 
 
 def identify(pages: DataFrame, counts: DataFrame, languages: Sequence[str] | None = None, strength: float = STRENGTH,
              page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``lang``, ``probability`` and what each kind of evidence alone says."""
-    languages, model = text_model(materialise(counts, "trigram-counts"), languages)
+    counts = materialise(counts, "trigram-counts")
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect()) if languages is None else list(languages)
     if not languages:
         return pages.select(F.col(page_id).alias("page_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"),
                             *[F.lit(None).cast("string").alias(c) for c in ("by_text", "declared", "addressed", "host")])
-    rows = evidence(pages, languages, model, page_id, url, html)
+    rows = evidence(pages, languages, counts, page_id, url, html)
     some = F.array_max("text_log") < 0
     rows = rows.withColumn("by_text", F.when(some, _best(F.col("text_log"), languages)))
     sure = rows.filter(F.col("by_text").isNotNull())
-    said = {c: _confusion(sure, c, languages) for c in ("declared", "addressed")}
-
-    def log_of(column: str) -> list[Column]:
-        return [F.coalesce(F.create_map(*[F.lit(x) for s in languages for x in (s, float(np.log(said[column][lang, s])))])[F.col(column)], F.lit(0.0))
-                for lang in languages]
-
-    own = [F.col("text_log")[k] + a + b for k, (a, b) in enumerate(zip(log_of("declared"), log_of("addressed")))]
-    rows = materialise(rows.withColumn("own", F.array(*own)), "page-own")
+    own = F.col("text_log")
+    for column in ("declared", "addressed"):
+        rows = join_small(rows, _confusion(sure, column, languages), [column], "left")
+        own = F.zip_with(own, F.coalesce(f"{column}_logs", F.array_repeat(F.lit(0.0), len(languages))), lambda x, y: x + y)
+    rows = materialise(rows.withColumn("own", own).drop("declared_logs", "addressed_logs"), "page-own")
     # One vote per page, by its own evidence; host, domain and suffix only meet as sums.
     votes = rows.filter(some | F.col("declared").isNotNull() | F.col("addressed").isNotNull()).withColumn("vote", _best(F.col("own"), languages))
-    tally = [F.sum((F.col("vote") == lang).cast("double")).alias(f"n{k}") for k, lang in enumerate(languages)]
-    hosts = materialise(votes.groupBy("top", "domain", "host").agg(*tally), "host-votes")
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]
-    all_of = hosts.agg(*sums).head()
-    total = sum(x or 0 for x in all_of)
-    above = F.array(*[F.lit(((x or 0) + 1) / (total + len(languages))) for x in all_of])
-
-    def smoothed(table: DataFrame, parent: Column) -> Column:
-        whole = sum((F.col(f"n{k}") for k in range(1, len(languages))), F.col("n0"))
-        return F.array(*[(F.col(f"n{k}") + strength * parent[k]) / (whole + strength) for k in range(len(languages))])
-
-    tops = hosts.groupBy("top").agg(*sums)
-    tops = tops.select("top", smoothed(tops, above).alias("share_top"))
-    domains = hosts.groupBy("top", "domain").agg(*sums).join(tops, "top")
-    domains = domains.select("domain", smoothed(domains, F.col("share_top")).alias("share_domain"))
-    shares = hosts.join(domains, "domain")
-    shares = materialise(shares.select("host", smoothed(shares, F.col("share_domain")).alias("share")), "host-shares")
+    hosts = materialise(votes.groupBy("top", "domain", "host", "vote").agg(F.count("*").cast("double").alias("n")), "host-votes")
+    all_of = {r.vote: r.n for r in hosts.groupBy("vote").agg(F.sum("n").alias("n")).collect()}
+    total = sum(all_of.values())
+    above = F.array(*[F.lit((all_of.get(x, 0) + 1) / (total + len(languages))) for x in languages])
+
+    def level(*keys: str) -> DataFrame:
+        """The keys and ``votes``: those of each language that has some."""
+        sums = hosts.groupBy(*keys, "vote").agg(F.sum("n").alias("n"))
+        return sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("votes"))
+
+    def smoothed(parent: Column) -> Column:
+        names = F.array(*[F.lit(x) for x in languages])
+        whole = F.aggregate(F.map_values("votes"), F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(names, parent, lambda x, p: (F.coalesce(F.col("votes")[x], F.lit(0.0)) + strength * p) / (whole + strength))
+
+    tops = level("top").select("top", smoothed(above).alias("share_top"))
+    domains = level("top", "domain").join(tops, "top").select("domain", smoothed(F.col("share_top")).alias("share_domain"))
+    shares = level("domain", "host").join(domains, "domain")
+    shares = materialise(shares.select("host", smoothed(F.col("share_domain")).alias("share")), "host-shares")
     fused = join_small(rows, shares, ["host"], "left")
     total_log = F.zip_with("own", F.coalesce("share", above), lambda a, b: a + F.log(b))
     fused = fused.withColumn("z", total_log).withColumn("top_z", F.array_max("z"))

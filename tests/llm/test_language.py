@@ -87,3 +87,15 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(0, *PAGES[0])], "page_id long, url string, html string")
     assert identify(pages.limit(0), count_trigrams(docs)).count() == 0
     assert identify(pages, count_trigrams(docs.limit(0))).head().lang is None
+
+
+def test_every_language_is_scored(spark):
+    """More language codes than any cap or block; the rarest has the shortest text."""
+    codes = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(230)]
+    draw = np.random.default_rng(8)
+    texts = [" ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30)) for _ in codes]
+    docs = [(k, texts[k] if k == 113 else texts[k] * 2, x) for k, x in enumerate(codes)]
+    some = (0, 64, 113, 229)
+    pages = [(k, f"http://h{k}.example.org/", f'<html lang="{codes[k]}"><p>{texts[k]}</p>') for k in some]
+    found = identify(spark.createDataFrame(pages, "page_id long, url string, html string"), count_trigrams(spark.createDataFrame(docs, "doc_id long, text string, lang string")))
+    assert {r.page_id: (r.lang, r.by_text, r.declared) for r in found.collect()} == {k: (codes[k],) * 3 for k in some}
