@@ -1,8 +1,8 @@
 """Vectorised reading of texts inside a task: words, hashes and shingles as numpy arrays.
 
 A whole batch is one byte array; words are runs of other bytes than separators and never cross a
-text's end. The 64-bit hash of a word is a polynomial over its bytes, taken from running
-sums, so that words of any length cost the same per byte.
+text's end. A word is read in lanes of 8 bytes, the last one filled up with zeros. Its 64-bit hash sums a
+strong mix of each lane's value and number, and mixes the sum with the length: no lane cancels another.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 _SPACES = bytes([32, 9, 10, 11, 12, 13])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 CHUNK_BYTES = 1 << 21
 
 
@@ -28,8 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def byte_table(lower: bool) -> np.ndarray:
-    """A random number for each byte; with ``lower``, A-Z read as a-z."""
-    table = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    """What each byte is read as; with ``lower``, A-Z as a-z."""
+    table = np.arange(256, dtype=np.uint8)
     if lower:
         table[65:91] = table[97:123]
     return table
@@ -65,6 +67,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def padded(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The bytes as they are read, and 8 zeros."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    out[:len(data)] = byte_table(True)[data] if lower else data
+    return out
+
+
+def lanes(read: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 8-byte lanes of the runs of ``read`` (padded), each lane's number in its run, and where each run's lanes begin."""
+    size = end - start
+    count = np.maximum(-(-size // 8), 1)
+    number = spread(np.zeros(len(count), np.int64), count)
+    from_8 = np.ndarray((len(read) - 7,), "<u8", read, strides=(1,))
+    value = from_8[np.repeat(start, count) + 8 * number]
+    value &= _FIRST_BYTES[np.clip(np.repeat(size, count) - 8 * number, 0, 8)]
+    return value, number, np.cumsum(count) - count
+
+
+def lane_hash(value: np.ndarray, number: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run from its lanes and its length."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    value = mix(mix(value + _ODD) ^ mix(number.astype(np.uint64) * _ODD))
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _ODD)
+
+
 class Words:
     """``start``/``end`` byte places, ``hash`` and ``bounds`` (first word of each text) of a batch's words."""
 
@@ -81,26 +109,14 @@ class Words:
             self.end = np.flatnonzero(~gap & (after | first[1:])) + 1
         else:
             self.start = self.end = np.zeros(0, np.int64)
-        self.data, self.at, self.table = data, at, byte_table(lower)
+        self.data, self.at = data, at
         self.bounds = np.searchsorted(self.start, at)
-        self._sums: tuple | None = None
+        self._read = padded(data, lower)
         self.hash = self.hashes(self.end)
 
     def hashes(self, end: np.ndarray) -> np.ndarray:
         """Hash of each word up to ``end``."""
-        if self._sums is None:
-            n = len(self.data)
-            base, back = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-            step = np.full(n, base, np.uint64)
-            step[:1] = 1
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.table[self.data] * np.cumprod(step, dtype=np.uint64), out=total[1:], dtype=np.uint64)
-            step[1:] = back
-            self._sums = total, np.cumprod(step, dtype=np.uint64)
-        total, undo = self._sums
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        return mix((total[end] - total[self.start]) * undo[self.start] + (end - self.start).astype(np.uint64))
+        return lane_hash(*lanes(self._read, self.start, end), end - self.start)
 
     def insert(self, word: np.ndarray, cut: np.ndarray) -> None:
         """Cut each ``word`` in two at the byte ``cut``."""

@@ -12,8 +12,8 @@ Texts are range-partitioned by id and each task writes one file. A task's file n
 only files in the returned manifest count, so a repeated or lost task leaves at most a stray file.
 
 Tokenizing works on distinct words: pieces never reach across ASCII white space, which the tokenizer's
-normaliser makes one blank and its splitter drops, so each distinct word is encoded once per worker (at
-most ``MOST_WORDS`` are held; then the memory starts anew).
+normaliser makes one blank and its splitter drops, so each distinct word is encoded once per worker
+(``known_pieces``). A tokenizer with another normaliser or splitter gets whole texts.
 
 Defined cases: null is the empty text, whose only token is the end id; rows with the same id are
 ordered by the hash of their text and then by the text; an empty table makes an empty manifest; columns besides id and
@@ -22,9 +22,9 @@ text are ignored.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,97 +36,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.texts import Words, pieces, spread, text_bytes
+from driftline.llm.known_pieces import KnownPieces
+from driftline.llm.texts import Words, padded, pieces, spread, text_bytes
 from driftline.session import materialise
 
 LENGTH = 2048
 ROWS = 16
-MOST_WORDS = 2_000_000
-_ENCODED_AT_ONCE = 5_000
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: The normaliser and the splitter that cutting into words relies on.
+_SPLITTER = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _TAIL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in "'<>|" for c in range(256)])
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long, head_bytes long, batch_bytes long"
 
 
-class WordIds:
-    """Token ids of words, each encoded once. Words are known by 64-bit hashes of their bytes.
+class WordIds(KnownPieces):
+    """Token ids of whole texts by way of their words.
 
     ASCII punctuation at the end of a word whose rest ends in an ASCII letter or digit is a piece of its own
     for the tokenizer's splitter, and is kept as a word of its own here. ASCII letters count in lower
-    case, as they are encoded, except beside other characters or in what may be a special token.
+    case, as they are encoded, except beside other characters or in what may be a special token. All this
+    holds for the normaliser and splitter named in ``_SPLITTER``; another tokenizer file encodes whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.clear()
-
-    @staticmethod
-    def of(path: str) -> "WordIds":
-        """One per Python worker: kept beside the tokenizers module, which outlives a task."""
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_driftline_words", {})
-        if path not in kept:
-            kept[path] = WordIds(path)
-        return kept[path]
-
-    def clear(self) -> None:
-        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
-
-    def _learn(self, texts: list[str], keys: np.ndarray, places: np.ndarray) -> None:
-        sizes, flats = [], []
-        for k in range(0, len(texts), _ENCODED_AT_ONCE):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k:k + _ENCODED_AT_ONCE], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flats.append(np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(sizes[-1].sum())))
-        size = np.concatenate(sizes)
-        self.entry = np.insert(self.entry, places, np.arange(len(self.at), len(self.at) + len(size)))
-        self.keys = np.insert(self.keys, places, keys)
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, *flats])
+        super().__init__(path)
+        made = json.loads(self.tokenizer.to_str())
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"][:1] == "<" and
+                    not _SPACE.search(t["content"]) for t in made["added_tokens"])
+        self.by_word = plain and [made["normalizer"], made["pre_tokenizer"]] == _SPLITTER
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end`` after each, and their counts."""
+        if not self.by_word:
+            data, at = text_bytes(column)
+            return self.joined(self.entries(data, padded(data), at[:-1], at[1:]), np.arange(len(at)), end)
         words = Words(*text_bytes(column))
-        data = words.data
+        data, read = words.data, padded(words.data, lower=True)
         if len(words.start):
             solid = np.maximum.accumulate(np.where(_TAIL[data], -1, np.arange(len(data))))
             stem = solid[words.end - 1] + 1
             cut = (stem > words.start) & (stem < words.end)
             cut[cut] = _ALNUM[data[stem[cut] - 1]]
             words.insert(np.flatnonzero(cut), stem[cut])
-        key = words.hash
         odd, upper = (np.concatenate([[0], np.cumsum(x)]) for x in ((data >= 128) | (data == 60), (data >= 65) & (data <= 90)))
         exact = (odd[words.end] > odd[words.start]) & (upper[words.end] > upper[words.start])
-        for i in np.flatnonzero(exact):
-            key[i] ^= np.uint64(zlib.crc32(data[words.start[i]:words.end[i]]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        every, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, every)
-        fresh = np.ones(len(every), bool)
-        if len(self.keys):
-            fresh = self.keys[np.minimum(place, len(self.keys) - 1)] != every
-        if fresh.any():
-            if len(self.keys) + fresh.sum() > MOST_WORDS and len(self.keys):
-                self.clear()
-                place, fresh = np.zeros(len(every), np.int64), np.ones(len(every), bool)
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(words.start[first[fresh]].tolist(), words.end[first[fresh]].tolist())]
-            self._learn(texts, every[fresh], place[fresh])
-        entry = self.entry[np.searchsorted(self.keys, every)][inverse]
-        size = self.size[entry]
-        total = np.concatenate([[0], np.cumsum(size)])
-        n_tokens = total[words.bounds[1:]] - total[words.bounds[:-1]] + 1
-        ids = np.full(int(n_tokens.sum()), end, self.dtype)
-        inner = np.ones(len(ids), bool)
-        inner[np.cumsum(n_tokens) - 1] = False
-        ids[inner] = self.ids[spread(self.at[entry], size)]
-        return ids, n_tokens
+        own = spread(words.start[exact], (words.end - words.start)[exact])
+        read[own] = data[own]
+        return self.joined(self.entries(data, read, words.start, words.end), words.bounds, end)
 
 
 def file_schema(dtype, length: int, rows: int, end: int, tokenizer: str) -> pa.Schema:

@@ -2,6 +2,8 @@ import random
 
 from brute import WORD
 
+from test_token_files import thue_morse
+
 from driftline.llm import ngram_join
 from driftline.llm.ngram_join import components, similar_components
 
@@ -76,3 +78,8 @@ def test_empty_table_and_repeated_ids(spark):
     docs = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (7, "other words"), (None, "q")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in similar_components(docs).collect()) == [(0, 0), (3, 3), (7, 3), (7, 3), (7, 7)]
     assert similar_components(docs.limit(0)).count() == 0
+
+
+def test_structured_words_are_told_apart(spark):
+    rows = [f"{w} x y z u" for bits in range(10, 15) for w in thue_morse(bits)]
+    check(spark, rows + rows[:2])

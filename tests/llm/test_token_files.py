@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.fs
 from tokenizers import Tokenizer
 
+from driftline.llm import known_pieces
 from driftline.llm.token_files import TokenFile, WordIds, read_documents, write_token_files
 from driftline.session import new_path
 
@@ -60,3 +61,34 @@ def test_repeated_ids_and_empty_table(spark):
     assert sorted(r.n_tokens for r in got) == [1, 3, 3]
     empty = new_path(spark, "tokens")
     assert read_documents(write_token_files(docs.limit(0), empty, PATH), path=empty).count() == 0
+
+
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_have_their_own_ids():
+    texts = [w for bits in range(10, 15) for w in thue_morse(bits)]
+    ids, count = WordIds(PATH).encode(pa.array(texts), 2)
+    for got, want in zip(np.split(ids, np.cumsum(count)[:-1]), wanted(texts)):
+        assert np.array_equal(got, want)
+
+
+def test_words_with_one_hash_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(known_pieces, "lane_hash", lambda value, number, first, size: size.astype(np.uint64) % np.uint64(3))
+    texts = ODD + ["some words of several sizes", "other words with sizes, too", "some words"]
+    encoder = WordIds(PATH)
+    for _ in range(2):
+        ids, count = encoder.encode(pa.array(texts), 2)
+        for got, want in zip(np.split(ids, np.cumsum(count)[:-1]), wanted(texts)):
+            assert np.array_equal(got, want)
+
+
+def test_another_splitter_gets_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    ids, count = WordIds(other).encode(pa.array(ODD), 2)
+    tok = Tokenizer.from_file(other)
+    assert ids.tolist() == [i for t in ODD for i in [*tok.encode(t or "", add_special_tokens=False).ids, 2]]
