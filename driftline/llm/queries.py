@@ -145,3 +145,10 @@ def op9(spark, sf_dir):
 
     found = identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), count_trigrams(documents(spark, sf_dir)))
     return found.withColumn("probability", F.round("probability", 6))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    from driftline.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
