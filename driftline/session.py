@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructField, StructType
 
 ROWS_PER_BLOCK_CONF = "driftline.rowsPerBlock"
 DEFAULT_ROWS_PER_BLOCK = 500_000
 BROADCAST_ROWS_CONF = "driftline.broadcastRows"
 DEFAULT_BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES_CONF = "driftline.broadcastBytes"
+DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 _PARTITION_BYTES = 128 * 1024 * 1024
@@ -79,15 +82,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _width(value: Column, kind: DataType) -> Column | int:
+    """About the bytes that a value takes in memory; a number where all values take the same."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind), 16)
+    if isinstance(kind, MapType):
+        return _width(F.map_entries(value), ArrayType(StructType([StructField("key", kind.keyType), StructField("value", kind.valueType)])))
+    if isinstance(kind, ArrayType):
+        each = _width(F.lit(None).cast(kind.elementType), kind.elementType)
+        if isinstance(each, int):
+            return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * each + 24
+        total = F.aggregate(value, F.lit(0).cast("long"), lambda t, x: t + _width(x, kind.elementType))
+        return F.coalesce(total, F.lit(0).cast("long")) + 24
+    return 8
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is within the limits of a broadcast, in rows and in bytes. Pass a materialised one."""
+    spark = df.sparkSession
+    rows = int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+    most = int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    held = df.limit(rows + 1).count()
+    if held > rows:
+        return False
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), 16)
+    if isinstance(width, int):
+        return held * width <= most
+    return (df.agg(F.sum(width)).first()[0] or 0) <= most
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str) -> DataFrame:
     """Join ``left`` with a side expected to be small.
 
-    ``right`` is counted first and broadcast only below the limit; beyond it the join is a
+    ``right`` is measured first and broadcast only below the limits; beyond them the join is a
     shuffle join, whose hot keys adaptive execution splits. Pass a materialised ``right``, so
-    that counting it is cheap.
+    that measuring it is cheap.
     """
-    spark = left.sparkSession
-    limit = int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
-    if right.limit(limit + 1).count() <= limit:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    return left.join(F.broadcast(right) if is_small(right) else right, on, how)
