@@ -152,3 +152,13 @@ def op13(spark, sf_dir):
     from driftline.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_merkle_manifest")
+def op12(spark, sf_dir):
+    from driftline.llm.manifest import build_manifest, verified
+
+    sevenths = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(sevenths, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = verified(build_manifest(documents(spark, sf_dir), {"n_chars": tampered}))
+    return found.withColumnRenamed("grp", "lang")
