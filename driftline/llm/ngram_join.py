@@ -133,7 +133,7 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
             for s in text_sets(b.column(0), size):
                 held.append(s)
                 n += len(s)
-            if n > 1_500_000:
+            if n > 500_000:
                 yield send()
                 held, n = [], 0
         if n:
@@ -283,7 +283,7 @@ def find_postings(docs: DataFrame, shared, size: int, threshold: int, id_type: s
                     p = len(s) - needed(len(s), threshold) + 1
                     held.append((tokens, np.full(len(tokens), node), (places * 256 // p).astype(np.uint8)))
                     n += len(tokens)
-            if n > 800_000:
+            if n > 300_000:
                 yield from send()
                 held, n = [], 0
         if n:

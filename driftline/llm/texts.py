@@ -15,7 +15,7 @@ import pyarrow as pa
 _SPACES = bytes([32, 9, 10, 11, 12, 13])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
