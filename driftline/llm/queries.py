@@ -162,3 +162,13 @@ def op12(spark, sf_dir):
     tampered = F.when(sevenths, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
     found = verified(build_manifest(documents(spark, sf_dir), {"n_chars": tampered}))
     return found.withColumnRenamed("grp", "lang")
+
+
+@query("op11_bin_packing")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    from driftline.llm.packing import pack
+
+    packed = pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
