@@ -8,24 +8,42 @@ from pyspark.sql import types as T
 
 from driftline.functions import orbit
 from driftline.schema import CATALOGUE, DERIVED, HISTORY_CASTS, RAW_HISTORY
+from driftline.sources.json_records import json_records
 
 
 _MALFORMED = "_malformed"
 
 
+_PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd", ".xz")
+
+
 def _read_text_fields(spark: SparkSession, path: str, fields: list[str], array_files: bool) -> DataFrame:
-    """Records with every value as text, and the whole record in ``_malformed`` where it is no JSON."""
+    """Records with every value as text, and the whole record in ``_malformed`` where it is no JSON.
+
+    Array files above the size of a split (``spark.sql.files.maxPartitionBytes``) are read by many tasks each; compressed ones can't be.
+    """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, _MALFORMED]])
-    return spark.read.schema(schema).options(
-        multiLine=array_files, mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED).json(path)
+    reader = spark.read.schema(schema).options(multiLine=array_files, mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED)
+    if not array_files:
+        return reader.json(path)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the listing alone is read
+    large = (F.col("length") > split) & ~F.lower("path").rlike("(" + "|".join(x.replace(".", "[.]") for x in _PACKED) + ")$")
+    files = [(r.path, r.large) for r in files.select("path", large.alias("large")).collect()]
+    if not any(is_large for _, is_large in files):
+        return reader.json(path)
+    parse = F.from_json("record", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED})
+    out = json_records(spark, [p for p, is_large in files if is_large], split).select(parse.alias("r")).select("r.*")
+    small = [p for p, is_large in files if not is_large]
+    return out.unionByName(reader.json(small)) if small else out
 
 
 def split_catalogue(spark: SparkSession, path: str, array_files: bool = True) -> tuple[DataFrame, DataFrame]:
     """Typed catalogue records, and as text the others with the fields at fault.
 
     Values may land as text or as numbers. A record needs an id; a semi-major axis may be missing but must
-    be a number if it is there. ``array_files`` reads files that each hold one JSON array, one task per file;
-    without it the files hold one record or array per line and are split freely.
+    be a number if it is there. ``array_files`` reads files that each hold one JSON array, large ones with many tasks;
+    without it the files hold one record or array per line.
     """
     raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files)
     numbers = {"NORAD_CAT_ID": "bigint", "SEMIMAJOR_AXIS": "double"}
