@@ -6,12 +6,15 @@ longer than a limit into blocks of consecutive rows. Windows run inside blocks;
 that crosses a block edge (a neighbouring row, a running total) travels through a table with
 one row per block. Results do not depend on where the cuts fall.
 
-Series within the limit, usually all of them, keep the plain window plan.
+Series within the limit, usually all of them, keep the plain window plan. They are a table of their own (``short``),
+so one long series doesn't make the others' rows be written between steps.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.session import join_small, materialise, rows_per_block
+from driftline.session import is_small, join_small, materialise, rows_per_block
 
 BLOCK = "_block"  # 0: the whole series; 1, 2, ...: its blocks in order
 _MAX_BLOCKS = 8192
@@ -35,7 +38,7 @@ class Step:
     arrives at a block, and ``merge`` joins the two.
     """
 
-    inside: Callable[[Ordered], Column]
+    inside: Callable[[Ordered, list[str]], Column]
     edge: Callable[[Column], Column]
     across: Callable[[Ordered, Column], Column]
     merge: Callable[[Column, Column], Column] = lambda inside, across: F.coalesce(inside, across)
@@ -45,7 +48,7 @@ def previous(*values: str) -> Step:
     """Struct of ``values`` of the row before; NULL on the first row."""
     packed = F.struct(*values)
     return Step(
-        lambda o: F.lag(packed).over(o.window()),
+        lambda o, by: F.lag(packed).over(o.window(by)),
         lambda order: F.max_by(packed, order),
         lambda o, edge: F.lag(edge).over(o.block_window()))
 
@@ -54,7 +57,7 @@ def following(*values: str) -> Step:
     """Struct of ``values`` of the row after; NULL on the last row."""
     packed = F.struct(*values)
     return Step(
-        lambda o: F.lead(packed).over(o.window()),
+        lambda o, by: F.lead(packed).over(o.window(by)),
         lambda order: F.min_by(packed, order),
         lambda o, edge: F.lead(edge).over(o.block_window()))
 
@@ -62,8 +65,8 @@ def following(*values: str) -> Step:
 def last_seen(value: Column) -> Step:
     """The last non-null ``value`` at or before the row."""
     return Step(
-        lambda o: F.last(value, ignorenulls=True).over(
-            o.window().rowsBetween(W.unboundedPreceding, W.currentRow)),
+        lambda o, by: F.last(value, ignorenulls=True).over(
+            o.window(by).rowsBetween(W.unboundedPreceding, W.currentRow)),
         lambda order: F.max_by(value, F.when(value.isNotNull(), order)),
         lambda o, edge: F.last(edge, ignorenulls=True).over(
             o.block_window().rowsBetween(W.unboundedPreceding, -1)))
@@ -73,8 +76,8 @@ def next_seen(value: Column) -> Step:
     """The first non-null ``value`` at or after the row."""
     # Read backwards: a frame that ends at the series' end is quadratic in Spark.
     return Step(
-        lambda o: F.last(value, ignorenulls=True).over(
-            o.window(backwards=True).rowsBetween(W.unboundedPreceding, W.currentRow)),
+        lambda o, by: F.last(value, ignorenulls=True).over(
+            o.window(by, backwards=True).rowsBetween(W.unboundedPreceding, W.currentRow)),
         lambda order: F.min_by(value, F.when(value.isNotNull(), order)),
         lambda o, edge: F.last(edge, ignorenulls=True).over(
             o.block_window(backwards=True).rowsBetween(W.unboundedPreceding, -1)))
@@ -83,7 +86,7 @@ def next_seen(value: Column) -> Step:
 def running(value: Column) -> Step:
     """Sum of ``value`` up to and including the row."""
     return Step(
-        lambda o: F.sum(value).over(o.window().rowsBetween(W.unboundedPreceding, W.currentRow)),
+        lambda o, by: F.sum(value).over(o.window(by).rowsBetween(W.unboundedPreceding, W.currentRow)),
         lambda order: F.sum(value),
         lambda o, edge: F.sum(edge).over(o.block_window().rowsBetween(W.unboundedPreceding, -1)),
         lambda inside, across: F.when(across.isNull(), inside).when(
@@ -93,7 +96,7 @@ def running(value: Column) -> Step:
 def position(start: int = 0) -> Step:
     """Position of the row in its series."""
     return Step(
-        lambda o: (F.row_number().over(o.window()) + F.lit(start - 1)).cast("bigint"),
+        lambda o, by: (F.row_number().over(o.window(by)) + F.lit(start - 1)).cast("bigint"),
         lambda order: F.count(F.lit(1)),
         lambda o, edge: F.sum(edge).over(o.block_window().rowsBetween(W.unboundedPreceding, -1)),
         lambda inside, across: inside + F.coalesce(across, F.lit(0)))
@@ -102,7 +105,7 @@ def position(start: int = 0) -> Step:
 def series_start(value: Column) -> Step:
     """Smallest ``value`` of the whole series."""
     return Step(
-        lambda o: F.min(value).over(W.partitionBy(*o.groups)),
+        lambda o, by: F.min(value).over(W.partitionBy(*by)),
         lambda order: F.min(value),
         lambda o, edge: F.min(edge).over(W.partitionBy(*o.keys)),
         lambda inside, across: F.coalesce(across, inside))
@@ -110,33 +113,54 @@ def series_start(value: Column) -> Step:
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows of many series with a total order inside each one."""
+    """Rows of many series with a total order inside each one.
 
-    rows: DataFrame
+    ``short`` holds the series of one block, ``long`` those of several, if there are any; one of the two may be missing.
+    """
+
+    short: DataFrame | None
+    long: DataFrame | None
     keys: tuple[str, ...]
     order: str
-    heavy: bool  # whether any series has more than one block
+
+    @property
+    def heavy(self) -> bool:
+        return self.long is not None
+
+    @property
+    def rows(self) -> DataFrame:
+        """All rows; with column ``BLOCK``."""
+        parts = [p for p in (self.short, self.long) if p is not None]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     @property
     def groups(self) -> list[str]:
-        """Columns whose equal values a single task may hold."""
-        return [*self.keys, BLOCK] if self.heavy else list(self.keys)
+        """Columns whose equal values a single task may hold, for the long series."""
+        return [*self.keys, BLOCK]
+
+    def map(self, change: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame] | None = None) -> Ordered:
+        """The same change of both tables, or another one for the long series."""
+        return replace(self, short=None if self.short is None else change(self.short),
+                       long=None if self.long is None else (long or change)(self.long))
 
-    def with_rows(self, rows: DataFrame) -> Ordered:
-        return replace(self, rows=rows)
+    def only_short(self) -> Ordered | None:
+        return None if self.short is None else replace(self, long=None)
+
+    def only_long(self) -> Ordered | None:
+        return None if self.long is None else replace(self, short=None)
 
     def with_columns(self, columns: dict[str, Column]) -> Ordered:
-        return self.with_rows(self.rows.withColumns(columns))
+        return self.map(lambda rows: rows.withColumns(columns))
 
     def where(self, condition: Column) -> Ordered:
-        return self.with_rows(self.rows.where(condition))
+        return self.map(lambda rows: rows.where(condition))
 
     def drop(self, *columns: str) -> Ordered:
-        return self.with_rows(self.rows.drop(*columns))
+        return self.map(lambda rows: rows.drop(*columns))
 
-    def window(self, backwards: bool = False) -> W:
+    def window(self, groups: list[str], backwards: bool = False) -> W:
         order = F.col(self.order).desc() if backwards else F.col(self.order).asc()
-        return W.partitionBy(*self.groups).orderBy(order)
+        return W.partitionBy(*groups).orderBy(order)
 
     def block_window(self, backwards: bool = False) -> W:
         order = F.col(BLOCK).desc() if backwards else F.col(BLOCK).asc()
@@ -148,27 +172,29 @@ class Ordered:
     def extend(self, **steps: Step) -> Ordered:
         """Add one column per step.
 
-        With long series the rows are written first, since they are read twice: for the rows
+        The rows of long series are written first, since they are read twice: for the rows
         themselves and for the table of block edges. The join of the two moves only the edges;
         the rows are already partitioned by its columns for the window.
         """
-        if not self.heavy:
-            return self.with_columns({name: step.inside(self) for name, step in steps.items()})
-        rows = materialise(self.rows, "blocks")
-        here = self.with_rows(rows)
+        return self.map(
+            lambda rows: rows.withColumns({name: step.inside(self, list(self.keys)) for name, step in steps.items()}),
+            lambda rows: self._extend_long(rows, steps))
+
+    def _extend_long(self, rows: DataFrame, steps: dict[str, Step]) -> DataFrame:
+        rows = materialise(rows, "blocks")
         order = F.col(self.order)
-        edges = rows.where(F.col(BLOCK) > 0).groupBy(*self.groups).agg(
+        edges = rows.groupBy(*self.groups).agg(
             *[step.edge(order).alias(f"_edge_{name}") for name, step in steps.items()])
         across = edges.select(*self.groups, *[
-            step.across(here, F.col(f"_edge_{name}")).alias(f"_edge_{name}")
+            step.across(self, F.col(f"_edge_{name}")).alias(f"_edge_{name}")
             for name, step in steps.items()])
-        inside = here.with_columns({name: step.inside(here) for name, step in steps.items()}).rows
+        inside = rows.withColumns({name: step.inside(self, self.groups) for name, step in steps.items()})
         joined = inside.join(across, self.groups, "left")
         kinds = {name: inside.schema[name].dataType for name in steps}
         merged = joined.withColumns({
             name: step.merge(F.col(name), F.col(f"_edge_{name}").cast(kinds[name])).cast(kinds[name])
             for name, step in steps.items()})
-        return self.with_rows(merged.drop(*[f"_edge_{name}" for name in steps]))
+        return merged.drop(*[f"_edge_{name}" for name in steps])
 
 
 def long_groups(df: DataFrame, keys: list[str], limit: int, what: str) -> DataFrame | None:
@@ -192,7 +218,7 @@ def arrange(
     ``order`` must not repeat much inside a series: equal values are never separated.
     ``measure`` are rows with the same keys and order that are cheaper to read, such as the
     input of an aggregation that ``df`` is the result of; sizes and cuts are taken from them.
-    Already ordered input passes through.
+    Already ordered input passes through. A series without a key (null) is short.
     """
     if isinstance(df, Ordered):
         return df
@@ -200,15 +226,19 @@ def arrange(
     limit = rows or rows_per_block(df.sparkSession)
     sizes = long_groups(measure, keys, limit, "long-series")
     if sizes is None:
-        return Ordered(df.withColumn(BLOCK, F.lit(0)), tuple(keys), order, False)
+        return Ordered(df.withColumn(BLOCK, F.lit(0)), None, tuple(keys), order)
     cuts = _cut_points(measure, keys, order, sizes, limit)
     if not keys or cuts.agg(F.sum(F.size("_cuts"))).head()[0] <= _BROADCAST_CUTS:
         cuts = F.broadcast(cuts)
-    tagged = df.join(cuts, keys, "left") if keys else df.join(cuts)  # without keys: one row
-    block = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        F.lit(1) + _locate(F.col("_cuts"), F.col("_coarse"), F.col(order)))
-    return Ordered(
-        tagged.withColumn(BLOCK, block).drop("_cuts", "_coarse"), tuple(keys), order, True)
+    block = F.lit(1) + _locate(F.col("_cuts"), F.col("_coarse"), F.col(order))
+    tagged = df.join(cuts, keys) if keys else df.join(cuts)  # without keys: one row
+    long = tagged.withColumn(BLOCK, block).drop("_cuts", "_coarse").select(*df.columns, BLOCK)
+    if not keys:
+        return Ordered(None, long, (), order)
+    known = functools.reduce(operator.and_, [F.col(k) == F.col(f"_long_{k}") for k in keys])
+    names = sizes.select(*[F.col(k).alias(f"_long_{k}") for k in keys])
+    short = df.join(F.broadcast(names) if is_small(names) else names, known, "left_anti")
+    return Ordered(short.withColumn(BLOCK, F.lit(0)), long, tuple(keys), order)
 
 
 def _cut_points(

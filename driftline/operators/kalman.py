@@ -35,8 +35,7 @@ def detect_kalman(
     alpha: float = 0.997,
 ) -> Ordered:
     """``innovation``, ``nis``, ``rate`` (per day), ``nis_threshold`` and ``kalman_maneuver``."""
-    paired = with_steps(series.with_rows(series.rows.select(
-        *series.keys, series.order, BLOCK, value)), [value])
+    paired = with_steps(series.map(lambda rows: rows.select(*series.keys, series.order, BLOCK, value)), [value])
     return flag_innovations(kalman_filter(paired, value, noise, r, p0), alpha)
 
 
@@ -62,15 +61,10 @@ _OUTPUTS = {"innovation": "double", "nis": "double", "rate": "double"}
 
 def kalman_filter(paired: Ordered, value: str, noise: float, r: float, p0: float) -> Ordered:
     """The filter over rows paired by ``with_steps`` with ``value`` carried; drops ``before``."""
-    rows = paired.rows.withColumn("_z_before", F.col(f"before.{value}")).drop("before")
     maker = filter_maker(noise, r, p0, value)
-    if not paired.heavy:
-        out = add_columns(rows, paired.groups, paired.order, [maker])
-        return paired.with_rows(out.drop("_z_before"))
-    rows = materialise(rows, "kalman")
-    short = add_columns(rows.where(F.col(BLOCK) == 0), list(paired.keys), paired.order, [maker])
-    long = _filter_blocks(paired, rows.where(F.col(BLOCK) > 0), value, noise, r, p0)
-    return paired.with_rows(short.unionByName(long).drop("_z_before"))
+    ready = paired.with_columns({"_z_before": F.col(f"before.{value}")}).drop("before")
+    return ready.map(lambda rows: add_columns(rows, list(paired.keys), paired.order, [maker]),
+                     lambda rows: _filter_blocks(paired, materialise(rows, "kalman"), value, noise, r, p0)).drop("_z_before")
 
 
 def run_filter(dt, z, state, noise, r):

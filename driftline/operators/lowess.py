@@ -7,6 +7,8 @@ the series, so that a task holds two tiles at most, however many neighbours a fi
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,22 +39,22 @@ def smooth(series: Ordered, columns: dict[str, tuple[str, float]], at: str = "el
     ``also`` are further makers to run in the same pass.
     """
     makers = [smooth_maker(out, value, at, frac, passes) for out, (value, frac) in columns.items()]
-    if not series.heavy:
-        return series.with_rows(
-            add_columns(series.rows, series.groups, series.order, [*makers, *also]))
-    rows = materialise(series.rows, "smooth")
-    short = add_columns(
-        rows.where(F.col(BLOCK) == 0), list(series.keys), series.order, [*makers, *also])
-    if also:
-        raise ValueError("further makers cannot run on the blocks of a long series")
-    long = rows.where(F.col(BLOCK) > 0)
-    for out, (value, frac) in columns.items():
-        fits = _smooth_long(series, rows, value, at, frac, passes)
-        long = long.join(fits.withColumnRenamed("_fit", out), [*series.keys, series.order], "left")
-    return series.with_rows(short.unionByName(long))
-
-
-def smooth_maker(out: str, value: str, at: str, frac: float, passes: int) -> Maker:
+    keys = list(series.keys)
+
+    def long(rows: DataFrame) -> DataFrame:
+        if also:
+            raise ValueError("further makers cannot run on the blocks of a long series")
+        rows = materialise(rows, "smooth")
+        done = rows
+        for out, (value, frac) in columns.items():
+            fits = _smooth_long(series, rows, value, at, frac, passes)
+            done = done.join(fits.withColumnRenamed("_fit", out), [*keys, series.order], "left")
+        return done
+
+    return series.map(lambda rows: add_columns(rows, keys, series.order, [*makers, *also]), long)
+
+
+def smooth_maker(out: str, value: str, at: str, frac: float, passes: int = ROBUST_PASSES) -> Maker:
     return Maker((at, value), {out: "double"}, lambda t, y: (smooth_array(t, y, frac, passes),))
 
 
@@ -149,9 +151,9 @@ def _smooth_long(
     keys = list(series.keys)
     spark = rows.sparkSession
     width = min(rows_per_block(spark), _TILE_ROWS)
-    known = rows.where((F.col(BLOCK) > 0) & is_finite(F.col(value))).select(
+    known = rows.where(is_finite(F.col(value))).select(
         *keys, BLOCK, series.order, F.col(at).alias("_t"), F.col(value).alias("_y"))
-    placed = series.with_rows(known).extend(_i=position()).rows.drop(BLOCK)
+    placed = replace(series, short=None, long=known).extend(_i=position()).result()
     sizes = materialise(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     share = F.floor(F.lit(float(frac)) * F.col("_n") + F.lit(1e-10))
     base = materialise(

@@ -67,6 +67,18 @@ def keep_distant(k, height, candidate, distance):
     return kept
 
 
+def maxima(heights):
+    """Strict local maxima of one whole series; a flat top counts once, at the floor of its middle."""
+    first = np.flatnonzero(np.append(True, heights[1:] != heights[:-1])) if len(heights) else np.zeros(0, int)
+    last = np.append(first[1:], len(heights)) - 1
+    level = heights[first]
+    top = np.zeros(len(first), bool)
+    top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+    out = np.zeros(len(heights), bool)
+    out[(first[top] + last[top]) // 2] = True
+    return out
+
+
 def suppress_near(series: Ordered, peaks: list[tuple[str, str, str]], distance: str) -> Ordered:
     """Add kept flags: each entry is (candidate column, height column, output column).
 
@@ -77,16 +89,17 @@ def suppress_near(series: Ordered, peaks: list[tuple[str, str, str]], distance:
         Maker(("k", height, candidate, distance), {out: "boolean"},
               lambda *arrays: (keep_distant(*arrays),))
         for candidate, height, out in peaks]
-    if not series.heavy:
-        return series.with_rows(add_columns(series.rows, series.groups, series.order, makers))
     keys = list(series.keys)
-    rows = materialise(series.rows, "suppress")
-    short = add_columns(rows.where(F.col(BLOCK) == 0), keys, series.order, makers)
-    long = rows.where(F.col(BLOCK) > 0)
-    for candidate, height, out in peaks:
-        kept = _keep_long(rows, keys, candidate, height, distance).withColumn(out, F.lit(True))
-        long = long.join(kept, [*keys, "k"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
-    return series.with_rows(short.unionByName(long))
+
+    def long(rows: DataFrame) -> DataFrame:
+        rows = materialise(rows, "suppress")
+        out = rows
+        for candidate, height, kept_name in peaks:
+            kept = _keep_long(rows, keys, candidate, height, distance).withColumn(kept_name, F.lit(True))
+            out = out.join(kept, [*keys, "k"], "left").withColumn(kept_name, F.coalesce(kept_name, F.lit(False)))
+        return out
+
+    return series.map(lambda rows: add_columns(rows, keys, series.order, makers), long)
 
 
 _OPEN, _KEPT, _DROPPED = 0, 1, -1
@@ -104,7 +117,7 @@ def _keep_long(
     gap = F.greatest(F.coalesce(F.col(distance), F.lit(1)), F.lit(1))
     width = F.greatest(F.lit(rows_per_block(rows.sparkSession)), F.col("_gap"))
     state = materialise(
-        rows.where((F.col(BLOCK) > 0) & F.col(candidate)).select(
+        rows.where(F.col(candidate)).select(
             *keys, "k", F.col(height).alias("_h"), gap.cast("bigint").alias("_gap"))
         .withColumns({"_width": width.cast("bigint"), "_state": F.lit(_OPEN).cast("bigint")}), "candidates")
     fields = [state.schema[c] for c in state.columns]
@@ -154,12 +167,8 @@ def with_prominence(series: Ordered, height: str, name: str = "prominence") -> O
     out = series.with_columns({"_h": F.coalesce(F.col(height), F.lit(0.0))})
     maker = Maker(("_h",), {name: "double"}, lambda h: (prominences(h),))
     keys = list(series.keys)
-    if not series.heavy:
-        return out.with_rows(add_columns(out.rows, out.groups, out.order, [maker]).drop("_h"))
-    rows = materialise(out.rows, "prominence")
-    short = add_columns(rows.where(F.col(BLOCK) == 0), keys, series.order, [maker])
-    long = _prominence_long(rows.where(F.col(BLOCK) > 0), keys, series.order, name)
-    return series.with_rows(short.unionByName(long).drop("_h"))
+    return out.map(lambda rows: add_columns(rows, keys, series.order, [maker]),
+                   lambda rows: _prominence_long(materialise(rows, "prominence"), keys, series.order, name)).drop("_h")
 
 
 def prominences(h):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions.values import finite_or_null
-from driftline.operators.blocks import BLOCK, Ordered
+from driftline.operators.blocks import Ordered
 from driftline.operators.quantiles import long_quantiles
 from driftline.session import join_small, materialise
 
@@ -18,49 +20,38 @@ MAD_SCALE = 1.4826
 _FEWEST = 3
 
 
-def _with_long(series: Ordered, short: dict[str, Column], long) -> Ordered:
-    """Window results for series in one block; for longer ones the columns of table ``long``."""
-    out = series.with_columns(short)
-    if not series.heavy:
-        return out
-    renamed = long.select(*series.keys, *[F.col(n).alias(f"_long_{n}") for n in short])
-    joined = join_small(out.rows, renamed, list(series.keys), "left")
-    whole = F.col(BLOCK) == 0
-    return series.with_rows(joined.withColumns({
-        n: F.when(whole, F.col(n)).otherwise(F.col(f"_long_{n}")) for n in short
-    }).drop(*[f"_long_{n}" for n in short]))
-
+def _over_series(series: Ordered, short: dict[str, Column], long: Callable[[DataFrame], DataFrame]) -> Ordered:
+    """Windows for series in one block; for longer ones the columns of a table with a row per series, made from their written rows."""
+    def join(rows: DataFrame) -> DataFrame:
+        rows = materialise(rows, "series")
+        return join_small(rows, materialise(long(rows), "per-series"), list(series.keys), "left")
 
-def _pinned(series: Ordered) -> Ordered:
-    return series.with_rows(materialise(series.rows, "series")) if series.heavy else series
+    return series.map(lambda rows: rows.withColumns(short), join)
 
 
 def series_medians(series: Ordered, values: dict[str, Column]) -> Ordered:
     """Add the exact median of each value over the whole series."""
     held = {f"_x_{name}": value for name, value in values.items()}
-    work = _pinned(series.with_columns(held))
-    group = W.partitionBy(*series.groups)
-    keys, long = list(series.keys), None
-    if series.heavy:
-        rows = work.rows.where(F.col(BLOCK) > 0)
-        long = rows.select(*keys).distinct()
+    keys = list(series.keys)
+    group = W.partitionBy(*keys)
+
+    def medians(rows: DataFrame) -> DataFrame:
+        out = rows.select(*keys).distinct()
         for name in values:
             found = long_quantiles(rows.where(F.col(f"_x_{name}").isNotNull()), keys, f"_x_{name}", [0.5])
-            long = long.join(found.select(*keys, F.col("quantiles")[0].alias(name)), keys, "left")
-        long = materialise(long, "medians")
-    return _with_long(
-        work, {name: F.median(f"_x_{name}").over(group) for name in values}, long).drop(*held)
+            out = out.join(found.select(*keys, F.col("quantiles")[0].alias(name)), keys, "left")
+        return out
+
+    short = {name: F.median(f"_x_{name}").over(group) for name in values}
+    return _over_series(series.with_columns(held), short, medians).drop(*held)
 
 
 def series_aggregates(series: Ordered, aggregates: dict[str, Column]) -> Ordered:
     """Add mergeable aggregates over the whole series."""
-    work = _pinned(series)
-    group = W.partitionBy(*series.groups)
-    long = None
-    if series.heavy:
-        long = materialise(work.rows.where(F.col(BLOCK) > 0).groupBy(*series.keys).agg(
-            *[c.alias(n) for n, c in aggregates.items()]), "aggregates")
-    return _with_long(work, {n: c.over(group) for n, c in aggregates.items()}, long)
+    keys = list(series.keys)
+    group = W.partitionBy(*keys)
+    return _over_series(series, {n: c.over(group) for n, c in aggregates.items()},
+                        lambda rows: rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]))
 
 
 def _threshold(n: Column, median: Column, mad: Column, std: Column, sigma: float) -> Column:
@@ -105,26 +96,40 @@ def with_thresholds(
     return out.with_columns(columns).drop(*used, "_step")
 
 
+def threshold_of(magnitude, sigma: float) -> float:
+    """The threshold of one whole series; NaN for fewer than three finite values."""
+    x = magnitude[np.isfinite(magnitude)]
+    if len(x) < _FEWEST:
+        return np.nan
+    median = np.median(x)
+    mad = np.median(np.abs(x - median))
+    return median + sigma * (MAD_SCALE * mad if mad > 0 else np.std(x))
+
+
+def distance_of(k, dt, min_days: float) -> float:
+    """The samples that ``min_days`` span at the median step of one whole series; NaN where the step is unknown or not positive."""
+    steps = dt[(k >= 1) & np.isfinite(dt)]
+    step = np.median(steps) if len(steps) else np.nan
+    return max(1.0, np.rint(min_days / step)) if step > 0 else np.nan
+
+
 def robust_summary(series: Ordered, signal: str, sigma: float) -> DataFrame:
     """One row per series: ``n``, ``median``, ``mad``, ``scale`` and ``threshold`` of the magnitude."""
     keys = list(series.keys)
-    held = series.rows.select(*keys, BLOCK, F.abs(finite_or_null(F.col(signal))).alias("_x"))
-    x = held.where(F.col("_x").isNotNull())
+    held = series.map(lambda rows: rows.select(*keys, F.abs(finite_or_null(F.col(signal))).alias("_x")).where("_x is not null"))
     group = W.partitionBy(*keys)
     parts = []
-    if series.heavy:
-        x = materialise(x, "magnitudes")
-        long = x.where(F.col(BLOCK) > 0)
-        x = x.where(F.col(BLOCK) == 0)
+    if held.long is not None:
+        long = materialise(held.long, "magnitudes")
         medians = long_quantiles(long, keys, "_x", [0.5]).select(*keys, F.col("quantiles")[0].alias("median"))
         away = join_small(long, medians, keys, "inner").withColumn("_d", F.abs(F.col("_x") - F.col("median")))
         mads = long_quantiles(away, keys, "_d", [0.5]).select(*keys, F.col("quantiles")[0].alias("mad"))
         sums = long.groupBy(*keys).agg(F.count("_x").alias("n"), F.stddev_pop("_x").alias("_std"))
         parts.append(sums.join(medians, keys).join(mads, keys))
-    # The window and the aggregate share one shuffle.
-    parts.append(x.withColumn("median", F.median("_x").over(group)).groupBy(*keys).agg(
-        F.count("_x").alias("n"), F.max("median").alias("median"),
-        F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"), F.stddev_pop("_x").alias("_std")))
+    if held.short is not None:  # the window and the aggregate share one shuffle
+        parts.append(held.short.withColumn("median", F.median("_x").over(group)).groupBy(*keys).agg(
+            F.count("_x").alias("n"), F.max("median").alias("median"),
+            F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"), F.stddev_pop("_x").alias("_std")))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     return rows.select(
         *keys, "n", "median", "mad", _scale(F.col("mad"), F.col("_std")).alias("scale"),

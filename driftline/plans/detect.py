@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,10 @@ from driftline.functions.values import finite_or_null
 from driftline.operators import kalman
 from driftline.operators.blocks import BLOCK, Ordered, arrange
 from driftline.operators.history import latest_revision
-from driftline.operators.lowess import smooth
-from driftline.operators.peaks import local_maxima, suppress_near, with_prominence
-from driftline.operators.robust import with_thresholds
+from driftline.operators.lowess import smooth, smooth_maker
+from driftline.operators.peaks import keep_distant, local_maxima, maxima, prominences, suppress_near, with_prominence
+from driftline.operators.per_series import Maker, add_columns
+from driftline.operators.robust import distance_of, threshold_of, with_thresholds
 from driftline.operators.steps import both_residuals, j2_residual, keplerian_residual
 
 KEPLERIAN_FRAC = 0.008
@@ -28,18 +32,39 @@ def ordered_history(
     """Only the columns a detector reads, newest revisions, in time order per object.
 
     Series are measured on the table itself, before revisions are dropped, which reads two
-    columns and saves a second run of the deduplication. ``revised`` False promises that
-    epochs do not repeat and skips it. A row without an epoch has no place in the order and
-    takes no part.
+    columns and saves a second run of the deduplication. The rows of a short series are brought together first, so that
+    dropping revisions needs no exchange of its own; those of a long one lose their older revisions before they travel.
+    ``revised`` False promises that epochs do not repeat. A row without an epoch has no place in the order and takes no part.
     """
     if isinstance(history, Ordered):
         return history
     read = ["creation_date", "rev_at_epoch", *(columns or _ELEMENTS)]
     history = history.where(F.col(time).isNotNull())
     held = history.select(entity, time, *[c for c in read if c in history.columns])
-    newest = latest_revision(held, entity, time) if revised else held
-    newest = newest.drop("creation_date", "rev_at_epoch")
-    return arrange(newest, [entity], time, measure=history.select(entity, time))
+    series = arrange(held, [entity], time, measure=history.select(entity, time))
+    if not revised:
+        return series.drop("creation_date", "rev_at_epoch")
+    ties = [c for c in held.columns if c not in (entity, time, "creation_date")]
+    dated = "creation_date" in held.columns
+    newest = lambda rows: latest_revision(rows, entity, time, ties=ties).drop("creation_date", "rev_at_epoch")
+    return series.map(lambda rows: newest(rows.repartition(entity) if dated else rows), newest)
+
+
+def peak_maker(signal: str, flag: str, sigma: float, min_distance_days: float | None, min_prominence: float | None) -> Maker:
+    """``<flag>_threshold`` and ``flag`` of one whole series: what ``find_peaks`` finds, in one call."""
+    def make(k, dt, values):
+        magnitude = np.abs(values)
+        magnitude[~np.isfinite(magnitude)] = np.nan
+        height = np.where(np.isnan(magnitude), 0.0, magnitude)
+        level = threshold_of(magnitude, sigma)
+        found = maxima(height) & (magnitude >= level)
+        if min_distance_days is not None:
+            found = keep_distant(k, magnitude, found, np.full(len(k), distance_of(k, dt, min_distance_days)))
+        if min_prominence is not None and found.any():
+            found &= prominences(height) >= min_prominence
+        return np.full(len(k), level), found
+
+    return Maker(("k", "dt_days", signal), {f"{flag}_threshold": "double", flag: "boolean"}, make)
 
 
 def find_peaks(
@@ -73,26 +98,69 @@ def find_peaks(
     return out.drop("distance", *[f"{f}_{c}" for f in flags for c in ("magnitude", "peak")])
 
 
+@dataclass(frozen=True)
+class Method:
+    """A residual, the column of its signal, the share that smooths it (None: not at all), and the column of its flag."""
+
+    residual: str
+    signal: str
+    frac: float | None
+    flag: str
+
+
+def _detected(
+    paired: Ordered, methods: list[Method], sigma: float, min_distance_days: float | None,
+    min_prominence: float | None, kalman_filter: tuple[float, float, float] | None = None,
+) -> Ordered:
+    """The signals and flags of all methods and, if wanted, the Kalman filter of ``sma``.
+
+    A short series takes one call: its smoothing, thresholds, maxima, suppression and filter are one pass through Arrow, on the
+    exchange that paired its rows. Long series go block by block and step by step.
+    """
+    values = [*[m.residual for m in methods], *(["sma"] if kalman_filter else [])]
+    if kalman_filter:
+        paired = paired.with_columns({"_z_before": F.col("before.sma")})
+        values.append("_z_before")
+    paired = paired.map(lambda rows: rows.select(*paired.keys, paired.order, BLOCK, "k", "dt_days", "elapsed_days", *values))
+    smoothed = {m.signal: (m.residual, m.frac) for m in methods if m.frac is not None}
+    plain = {m.signal: F.col(m.residual) for m in methods if m.frac is None}
+
+    def short(rows: DataFrame) -> DataFrame:
+        makers = [smooth_maker(out, value, "elapsed_days", frac) for out, (value, frac) in smoothed.items()]
+        makers += [peak_maker(m.signal, m.flag, sigma, min_distance_days, min_prominence) for m in methods]
+        if kalman_filter:
+            makers.append(kalman.filter_maker(*kalman_filter, "sma"))
+        return add_columns(rows.withColumns(plain), list(paired.keys), paired.order, makers)
+
+    def long(rows: DataFrame) -> DataFrame:
+        series = replace(paired, short=None, long=rows)
+        if kalman_filter:
+            series = kalman.kalman_filter(series.with_columns({"before": F.struct(F.col("_z_before").alias("sma"))}), "sma", *kalman_filter)
+        series = smooth(series.with_columns(plain), smoothed) if smoothed else series.with_columns(plain)
+        return find_peaks(series, {m.signal: m.flag for m in methods}, sigma, min_distance_days, min_prominence).long
+
+    outputs = [c for m in methods for c in (m.signal, f"{m.flag}_threshold", m.flag)] + (["innovation", "nis", "rate"] if kalman_filter else [])
+    return paired.map(short, long).map(lambda rows: rows.select(*paired.keys, paired.order, BLOCK, "k", *outputs))
+
+
 def detect_keplerian(
     history: DataFrame | Ordered, smoothed: bool = True, frac: float = KEPLERIAN_FRAC,
     sigma: float = 4.0, min_distance_days: float | None = 7.0, min_prominence: float | None = None,
 ) -> DataFrame:
     """``norad, epoch, k, method, signal, threshold, is_maneuver`` from mean-longitude residuals."""
-    out = _slim(keplerian_residual(ordered_history(history, _LONGITUDE)), ["keplerian_residual"])
-    out = (smooth(out, {"signal": ("keplerian_residual", frac)}) if smoothed
-           else out.with_columns({"signal": F.col("keplerian_residual")}))
-    found = find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days, min_prominence)
-    return _detections(found, "keplerian")
+    paired = keplerian_residual(ordered_history(history, _LONGITUDE))
+    method = Method("keplerian_residual", "signal", frac if smoothed else None, "is_maneuver")
+    return _detections(_detected(paired, [method], sigma, min_distance_days, min_prominence), "keplerian")
 
 
 def detect_j2(
     history: DataFrame | Ordered, frac: float = J2_FRAC, sigma: float = 4.0,
-    min_distance_days: float | None = 7.0,
+    min_distance_days: float | None = 7.0, min_prominence: float | None = None,
 ) -> DataFrame:
     """The same from the residual of the J2 propagation, always smoothed."""
-    out = _slim(j2_residual(ordered_history(history, _ORBIT)), ["j2_residual"])
-    out = smooth(out, {"signal": ("j2_residual", frac)})
-    return _detections(find_peaks(out, {"signal": "is_maneuver"}, sigma, min_distance_days), "j2")
+    paired = j2_residual(ordered_history(history, _ORBIT))
+    method = Method("j2_residual", "signal", frac, "is_maneuver")
+    return _detections(_detected(paired, [method], sigma, min_distance_days, min_prominence), "j2")
 
 
 def detect_kalman(
@@ -116,41 +184,24 @@ def _detections(series: Ordered, method: str) -> DataFrame:
 def compare_methods(
     history: DataFrame | Ordered, sigma: float = 4.0, min_distance_days: float | None = 7.0,
     noise: float = 0.13, r: float = 1.0, p0: float = 1000.0, alpha: float = 0.997,
-    keplerian_frac: float = KEPLERIAN_FRAC, j2_frac: float = J2_FRAC,
+    keplerian_frac: float = KEPLERIAN_FRAC, j2_frac: float = J2_FRAC, min_prominence: float | None = None,
 ) -> DataFrame:
     """All three methods side by side, one row per object and epoch.
 
     The methods share their rows, so they are columns of one pass: neither a join nor a pivot
     is needed to align them.
     """
-    series = ordered_history(history)
-    paired = both_residuals(series, ["sma"])
-    residuals = ["keplerian_residual", "j2_residual"]
-    smoothed = {"keplerian_signal": ("keplerian_residual", keplerian_frac),
-                "j2_signal": ("j2_residual", j2_frac)}
-    if series.heavy:
-        paired = kalman.kalman_filter(paired, "sma", noise, r, p0)
-        paired = smooth(_slim(paired, [*residuals, "innovation", "nis", "rate"]), smoothed)
-    else:
-        paired = paired.with_columns({"_z_before": F.col("before.sma")})
-        paired = smooth(_slim(paired, [*residuals, "sma", "_z_before"]), smoothed,
-                        also=[kalman.filter_maker(noise, r, p0, "sma")])
-    flagged = kalman.flag_innovations(paired, alpha)
-    out = find_peaks(
-        flagged, {"keplerian_signal": "keplerian_maneuver", "j2_signal": "j2_maneuver"},
-        sigma, min_distance_days)
+    paired = both_residuals(ordered_history(history), ["sma"])
+    methods = [Method("keplerian_residual", "keplerian_signal", keplerian_frac, "keplerian_maneuver"),
+               Method("j2_residual", "j2_signal", j2_frac, "j2_maneuver")]
+    found = _detected(paired, methods, sigma, min_distance_days, min_prominence, (noise, r, p0))
+    out = kalman.flag_innovations(found, alpha)
     return out.rows.select(
         *out.keys, out.order, "k",
         "keplerian_signal", F.col("keplerian_maneuver_threshold").alias("keplerian_threshold"),
         "keplerian_maneuver", "j2_signal", F.col("j2_maneuver_threshold").alias("j2_threshold"),
         "j2_maneuver", F.col("rate").alias("kalman_rate"), F.col("nis").alias("kalman_nis"),
-        "kalman_maneuver")
-
-
-def _slim(paired: Ordered, values: list[str]) -> Ordered:
-    """Only what the later steps read: everything else would pass through Python."""
-    return paired.with_rows(paired.rows.select(
-        *paired.keys, paired.order, BLOCK, "k", "dt_days", "elapsed_days", *values))
+        F.col("nis_threshold").alias("kalman_threshold"), "kalman_maneuver")
 
 
 def align_methods(detections: DataFrame, methods: list[str], entity: str = "norad",
