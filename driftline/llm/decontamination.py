@@ -15,8 +15,9 @@ one is the similarity. Weights are counted once over all items, so no result dep
 The items are the stated query set. They are indexed in passes of a bounded number, each broadcast and run over all
 documents, so the index never outgrows a task; besides it a task holds 16 bytes for each shingle that several texts have. Documents are read in place; only leaks are shuffled.
 
-Defined cases: null or empty texts have no leaks; items with fewer than five words have no 5-word shingle and
-are not looked for; items with equal texts are each reported; rows that repeat an id are searched one by one and
+An item with fewer than five words is its one shingle: it is found where its words stand one after the other.
+
+Defined cases: null or empty texts have no leaks; items without words are in no text; items with equal texts are each reported; rows that repeat an id are searched one by one and
 ``find_leaks`` reports the best window of the id; empty tables give no leaks; other columns are ignored by
 ``find_leaks`` and kept by ``clean_documents``.
 """
@@ -48,6 +49,14 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] + mix(h[1:] + np.uint64(1)))
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of ``n`` words."""
+    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
+    for k in range(n):
+        out = mix(out + mix(h[k:len(h) - n + 1 + k] + np.uint64(k + 1)))
+    return out
+
+
 def _running(pair: np.ndarray) -> np.ndarray:
     """Running counts of each bit over the pairs; differences are right modulo 2^16."""
     bits = np.unpackbits(pair.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -93,10 +102,12 @@ class ItemIndex:
         self.members = np.unique(found ^ mix(own.astype(np.uint64) + np.uint64(77)))
         total = _running(_pairs(words.hash))
         self.prints = _fingerprints(total, words.bounds[:-1], words.bounds[1:])
-        self.lengths, self.blocks = ladder(size), []
+        long = size >= _SHINGLE
+        self.lengths, self.blocks = ladder(size[long]) if long.any() else [], []
+        self.short = {n: self._by_run(words, np.flatnonzero(size == n), n) for n in np.unique(size[~long]).tolist()}
         ball = _ball()
         for length in self.lengths:
-            near = np.flatnonzero((size <= length * _NEAR) & (size * _NEAR >= length))
+            near = np.flatnonzero(long & (size <= length * _NEAR) & (size * _NEAR >= length))
             parts = []
             for b in range(4):
                 value = ((self.prints[near] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
@@ -106,6 +117,24 @@ class ItemIndex:
                               np.repeat(near, len(ball))[order].astype(np.int32)))
             self.blocks.append(parts)
 
+    @staticmethod
+    def _by_run(words: Words, items: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the items of ``n`` words, in order, and the items."""
+        keys = _runs(words.hash, n)[words.bounds[items]]
+        order = np.argsort(keys, kind="stable")
+        return keys[order], items[order]
+
+    def _exact(self, words: Words, found: dict) -> None:
+        """The first place of each short item that stands in a text word for word."""
+        for n, (keys, items) in self.short.items():
+            own = _runs(words.hash, n)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            for at in np.flatnonzero(high > low).tolist():
+                text = int(np.searchsorted(words.bounds, at, "right")) - 1
+                if at + n <= words.bounds[text + 1]:
+                    for item in items[low[at]:high[at]].tolist():
+                        found.setdefault((text, item), (1.0, at - int(words.bounds[text]), n))
+
     def _weights(self, keys: list[int]) -> list[float]:
         """1 / number of distinct item texts that have the shingle, 1 where none or one has it."""
         held, weight = self.common
@@ -119,8 +148,9 @@ class ItemIndex:
         """(text, item, similarity, first word, words) of every verified hit in the texts, the best one per text and item."""
         words = Words(*text_bytes(column))
         n, found = len(words.hash), {}
-        longest = self.lengths[-1]
-        for low in range(0, n, _SLICE):
+        self._exact(words, found)
+        longest = max(self.lengths, default=0)
+        for low in range(0, n, _SLICE) if longest else ():
             high = min(n, low + _SLICE + 2 * longest)
             total = _running(_pairs(words.hash[low:high])) if high - low > 1 else None
             if total is None:
@@ -238,7 +268,7 @@ def _common(benchmark: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 def _passes(benchmark: DataFrame, item_id: str, text: str, per_pass: int) -> Iterator[tuple[list, list[str]]]:
     """The items, at most about ``per_pass`` at a time."""
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    items = items.filter(F.regexp_count("t", F.lit("[^\\x20\\x09-\\x0D]+")) >= _SHINGLE)
+    items = items.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
     passes = -(-items.count() // per_pass)
     for k in range(passes):
         rows = items.filter(F.pmod(F.xxhash64(F.col("i").cast("string"), "t"), F.lit(passes)) == k).collect()

@@ -16,7 +16,6 @@ the template earlier by name; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Mapping
@@ -145,7 +144,7 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     texts and passages are never shuffled.
     """
     table = template_table(docs.sparkSession, templates, threshold)
-    longest = math.floor(max(len(t.split()) for v in templates.values() for t in v) * 2 * (2 - threshold) / threshold) + 2
+    most = table.agg(F.max("size")).first()[0]  # of distinct bigrams: more can't match any template
     # Bigrams are made only of passages that hold a key word: no other reaches the threshold.
     keys = r"(?<![\p{L}\p{N}])(?:" + "|".join(key_words(templates, threshold)) + ")"
     docs = docs.filter(F.lower(F.col(text)).rlike(keys))
@@ -155,9 +154,7 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
                                                  "(i = 1 or not get(full, i - 2)))").alias("heads"),
                        F.expr("filter(sequence(1, size(lines)), i -> get(full, i - 1) and "
                               "(i = size(lines) or not get(full, i)))").alias("ends"))
-    # Of a paragraph, more lines than the longest template has words can't match.
-    paragraphs = F.expr(f"""transform(heads, (h, k) -> struct(h as line, concat_ws(' ', slice(lines, h,
-        least({longest}, get(ends, k) + 1 - h))) as passage))""")
+    paragraphs = F.expr("""transform(heads, (h, k) -> struct(h as line, concat_ws(' ', slice(lines, h, get(ends, k) + 1 - h)) as passage))""")
     sentences = F.expr("""flatten(transform(lines, (x, i) -> transform(
         array_distinct(concat(array(x), split(x, '(?<=[.!?;])\\\\s+'))), y -> struct(i + 1 as line, y as passage))))""")
     # Lines are joined with their numbers between line feeds; a piece that still holds a number wraps and begins before it.
@@ -171,8 +168,8 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     rows = rows.select("doc_id", F.explode(F.concat(sentences, paragraphs, wrapped)).alias("p"))
     rows = rows.select("doc_id", F.col("p.line").alias("line"), F.col("p.passage").alias("passage"))
     rows = rows.filter(F.lower("passage").rlike(keys)).withColumn("w", F.split(normal(F.col("passage")), " "))
-    rows = rows.filter((F.size("w") <= longest) & (F.element_at("w", 1) != ""))
-    rows = rows.withColumn("own", bigrams("w")).withColumn("size", F.size("own"))
+    rows = rows.filter(F.element_at("w", 1) != "")
+    rows = rows.withColumn("own", bigrams("w")).withColumn("size", F.size("own")).filter(F.col("size") <= most)
     # Of a passage's bigrams, a template holds t / (2 - t) at least.
     every = [r.g for r in table.select(F.explode("grams").alias("g")).distinct().collect()]
     rows = rows.filter(F.size(F.filter("own", lambda g: g.isin(every))) >= F.col("size") * (threshold / (2 - threshold)) - 1e-9)

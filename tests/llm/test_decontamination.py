@@ -92,3 +92,17 @@ def test_repeated_items_and_shared_passages_keep_their_leaks(spark):
     seen = [{(r.doc_id, r.item_id): round(r.similarity, 9) for r in find_leaks(frame, bench, per_pass=n).collect()} for n in (2000, 1)]
     assert seen[0] == seen[1] and set(seen[0]) >= want
     assert [r.doc_id for r in clean_documents(frame, bench).collect()] == [2]
+
+
+def test_items_under_five_words_and_structured_words(spark):
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    items = {1: "Rare three words", 2: "lone", 3: f"{one} x y z u", 4: "rare THREE words", 5: " ", 6: "four words in here"}
+    texts = ["before rare three\nwords behind", "rare three", "words lone", f"{other} x y z u", f"say {one} x y z u", "three words rare", "four words in", None, "x " * 70_000 + "rare three words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for per_pass in (2000, 1):
+        got = {(r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words) for r in find_leaks(docs, bench, per_pass=per_pass).collect()}
+        assert got == {(0, 1, 1.0, 1, 3), (0, 4, 1.0, 1, 3), (2, 2, 1.0, 1, 1), (4, 3, 1.0, 1, 5), (8, 1, 1.0, 70_000, 3), (8, 4, 1.0, 70_000, 3)}
+    assert [r.doc_id for r in clean_documents(docs, bench).orderBy("doc_id").collect()] == [1, 3, 5, 6, 7]
