@@ -11,6 +11,7 @@ CUT = {
     "w4_keplerian_residual": 25, "w6_lowess": 40, "w7_flagged_residual": 25, "w8_local_maxima": 25,
     "w9_distance_suppression": 25, "w10_prominence": 25, "w11_kalman_filter": 25,
     "detect_keplerian_unsmoothed": 25, "a1_grouped_history": 25, "a6_threshold": 25,
+    "detect_keplerian": 40, "detect_j2": 40, "j3_compare_methods": 40, "w5_j2_residual": 25, "a7_sample_distance": 25, "s9_clip_per_object": 25,
     "a9_pooled_bounds": 500, "a9_pooled_price_bounds": 500, "a10_cluster_mean": 100,
     "a10_cluster_mean_all_objects": 500, "j5_grid_coverage": 100, "w13_interpolation": 50, "o6_chunks": 100,
 }

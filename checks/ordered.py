@@ -201,16 +201,16 @@ def detect_j2(spark, sf):
 
 
 @query("j3_compare_methods", f"""with recursive {P}, {_KEPLER}, {_J2}, {kalman_ctes('sma', 'sma0')}
-select p.norad, p.epoch, {rsql('lw.fit')} as keplerian_signal, a_kept.k is not null as keplerian_maneuver,
-{rsql('lj.fit')} as j2_signal, b_kept.k is not null as j2_maneuver, {rsql('kf.rate', 4)} as kalman_rate, nis > 8.807468393511876 as kalman_maneuver
-from p join lw on lw.norad = p.norad and lw.k = p.k join lj on lj.norad = p.norad and lj.k = p.k
+select p.norad, p.epoch, p.k, {rsql('lw.fit')} as keplerian_signal, {rsql('a_th.threshold')} as keplerian_threshold,
+a_kept.k is not null as keplerian_maneuver, {rsql('lj.fit')} as j2_signal, {rsql('b_th.threshold')} as j2_threshold, b_kept.k is not null as j2_maneuver,
+{rsql('kf.rate', 4)} as kalman_rate, {rsql('nis', 2)} as kalman_nis, {rsql('8.807468393511876')} as kalman_threshold, nis > 8.807468393511876 as kalman_maneuver
+from p left join a_th on a_th.norad = p.norad left join b_th on b_th.norad = p.norad join lw on lw.norad = p.norad and lw.k = p.k join lj on lj.norad = p.norad and lj.k = p.k
 join kf on kf.norad = p.norad and kf.k = p.k left join a_kept on a_kept.norad = p.norad and a_kept.k = p.k
 left join b_kept on b_kept.norad = p.norad and b_kept.k = p.k""")
 def compare(spark, sf):
     out = detect.compare_methods(history(spark, sf), SIGMA, DAYS, keplerian_frac=FRAC, j2_frac=FRAC)
-    return out.select("norad", "epoch", rounded("keplerian_signal").alias("keplerian_signal"), "keplerian_maneuver",
-                      rounded("j2_signal").alias("j2_signal"), "j2_maneuver",
-                      rounded("kalman_rate", 4).alias("kalman_rate"), "kalman_maneuver")
+    digits = {"keplerian_signal": 6, "keplerian_threshold": 6, "j2_signal": 6, "j2_threshold": 6, "kalman_rate": 4, "kalman_nis": 2, "kalman_threshold": 6}
+    return out.withColumns({c: rounded(c, n) for c, n in digits.items()})
 
 
 @query("j3_aligned_methods", f"""with recursive {P}, {_KEPLER_RAW}, {kalman_ctes('sma', 'sma0')}

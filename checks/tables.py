@@ -65,6 +65,13 @@ def io2_arrays(spark, sf):
     return read_raw_history(spark, _landed_text(raw_history(spark, sf), new_path(spark, "history"), "REV_AT_EPOCH"))
 
 
+@query("io2_split_array_files", f"with {H} select {', '.join(RAW_HISTORY_FIELDS)} from {RAW_SQL}")
+def io2_split(spark, sf):
+    """Array files above the size of a split, each read by several tasks."""
+    path = _landed_text(raw_history(spark, sf), new_path(spark, "history"), "REV_AT_EPOCH")
+    return read_raw_history(spark, path, split_bytes=32_768)
+
+
 @query("io3_typed_rows", f"with {H} {_TYPED}")
 def io3(spark, sf):
     return _typed(typed_history(raw_history(spark, sf)))

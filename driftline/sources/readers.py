@@ -17,16 +17,17 @@ _MALFORMED = "_malformed"
 _PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd", ".xz")
 
 
-def _read_text_fields(spark: SparkSession, path: str, fields: list[str], array_files: bool) -> DataFrame:
+def _read_text_fields(spark: SparkSession, path: str, fields: list[str], array_files: bool, split_bytes: int | None = None) -> DataFrame:
     """Records with every value as text, and the whole record in ``_malformed`` where it is no JSON.
 
-    Array files above the size of a split (``spark.sql.files.maxPartitionBytes``) are read by many tasks each; compressed ones can't be.
+    Array files above ``split_bytes`` (``spark.sql.files.maxPartitionBytes`` by default) are read by many tasks each;
+    compressed ones can't be. Such a file has to be UTF-8.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, _MALFORMED]])
     reader = spark.read.schema(schema).options(multiLine=array_files, mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED)
     if not array_files:
         return reader.json(path)
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    split = split_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # the listing alone is read
     large = (F.col("length") > split) & ~F.lower("path").rlike("(" + "|".join(x.replace(".", "[.]") for x in _PACKED) + ")$")
     files = [(r.path, r.large) for r in files.select("path", large.alias("large")).collect()]
@@ -38,14 +39,14 @@ def _read_text_fields(spark: SparkSession, path: str, fields: list[str], array_f
     return out.unionByName(reader.json(small)) if small else out
 
 
-def split_catalogue(spark: SparkSession, path: str, array_files: bool = True) -> tuple[DataFrame, DataFrame]:
+def split_catalogue(spark: SparkSession, path: str, array_files: bool = True, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed catalogue records, and as text the others with the fields at fault.
 
     Values may land as text or as numbers. A record needs an id; a semi-major axis may be missing but must
     be a number if it is there. ``array_files`` reads files that each hold one JSON array, large ones with many tasks;
     without it the files hold one record or array per line.
     """
-    raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files)
+    raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files, split_bytes)
     numbers = {"NORAD_CAT_ID": "bigint", "SEMIMAJOR_AXIS": "double"}
     bad = {f: F.col(f).try_cast(kind).isNull() for f, kind in numbers.items()}
     bad["SEMIMAJOR_AXIS"] &= F.col("SEMIMAJOR_AXIS").isNotNull()
@@ -57,9 +58,9 @@ def split_catalogue(spark: SparkSession, path: str, array_files: bool = True) ->
     return good, marked.where(F.size("faults") > 0)
 
 
-def read_catalogue(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str, array_files: bool = True, split_bytes: int | None = None) -> DataFrame:
     """Catalogue records from JSON; an unusable record fails the job (``split_catalogue`` returns it)."""
-    raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files)
+    raw = _read_text_fields(spark, path, CATALOGUE.fieldNames(), array_files, split_bytes)
 
     def checked(field: str, kind: str, needed: bool) -> Column:
         value = F.col(field).try_cast(kind)
@@ -71,12 +72,12 @@ def read_catalogue(spark: SparkSession, path: str, array_files: bool = True) ->
                       checked("SEMIMAJOR_AXIS", "double", False))
 
 
-def read_raw_history(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
+def read_raw_history(spark: SparkSession, path: str, array_files: bool = True, split_bytes: int | None = None) -> DataFrame:
     """History records from JSON, every value as text.
 
     A record that is no JSON has no fields at all; it is a reject like any other without an id.
     """
-    return _read_text_fields(spark, path, RAW_HISTORY.fieldNames(), array_files).drop(_MALFORMED)
+    return _read_text_fields(spark, path, RAW_HISTORY.fieldNames(), array_files, split_bytes).drop(_MALFORMED)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from driftline.operators import kalman, lowess, peaks
 from driftline.operators.blocks import arrange, position
 from driftline.operators.robust import robust_summary, with_thresholds
 from driftline.operators.steps import keplerian_residual
+from driftline.session import materialise
 from driftline.plans.detect import (
     align_methods, compare_methods, detect_j2, detect_kalman, detect_keplerian, detection_counts, ordered_history)
 
@@ -41,6 +43,43 @@ def test_sizes_of_series(spark):
     assert compare_methods(frame.where("false")).collect() == []
 
 
+def test_detection_is_one_exchange_and_one_pass(spark):
+    """Deduplication, pairing and everything in Python share the exchange by object."""
+    frame = spark.createDataFrame(orbit_rows(1, 40, jump_at=20, angle_jump=5.0) + orbit_rows(2, 40), COLUMNS)
+    for found in (compare_methods(frame, min_prominence=0.1), detect_keplerian(frame), detect_keplerian(frame, smoothed=False), detect_j2(frame)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert len(re.findall(r"\bExchange ", final)) == 1 and len(re.findall("FlatMapGroupsInArrow|MapInArrow|ArrowEvalPython", final)) == 1
+
+
+def test_short_series_are_not_written_beside_a_long_one(spark, monkeypatch):
+    from driftline.operators import blocks, kalman, lowess, peaks, quantiles, robust
+
+    written = []
+
+    def spy(df, name):
+        out = materialise(df, name)
+        if "norad" in out.columns and "epoch" in out.columns:
+            written.append((name, {r.norad for r in out.select("norad").distinct().collect()}))
+        return out
+
+    for module in (blocks, kalman, lowess, peaks, quantiles, robust):
+        if hasattr(module, "materialise"):
+            monkeypatch.setattr(module, "materialise", spy)
+    frame = spark.createDataFrame([r for n, size in ((1, 9), (2, 60), (3, 9)) for r in orbit_rows(n, size, noise=1.0, seed=n)], COLUMNS)
+    spark.conf.set("driftline.rowsPerBlock", "20")
+    try:
+        cut = compare_methods(frame, keplerian_frac=0.3, j2_frac=0.3, sigma=1.0, min_distance_days=1.0, min_prominence=0.0).collect()
+    finally:
+        spark.conf.unset("driftline.rowsPerBlock")
+    assert written and all(norads <= {2} for _, norads in written)
+    whole = compare_methods(frame, keplerian_frac=0.3, j2_frac=0.3, sigma=1.0, min_distance_days=1.0, min_prominence=0.0).collect()
+    key = lambda r: (r.norad, r.k)
+    for a, b in zip(sorted(cut, key=key), sorted(whole, key=key), strict=True):
+        assert all(x == y or (isinstance(x, float) and abs(x - y) <= 1e-6 * max(1.0, abs(y))) for x, y in zip(a, b, strict=True))
+
+
 def test_detectors_read_only_their_columns(spark, tmp_path):
     path = str(tmp_path / "h")
     spark.createDataFrame(orbit_rows(1, 5), COLUMNS).write.parquet(path)
