@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ BROADCAST_BYTES_CONF = "driftline.broadcastBytes"
 DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PARTITION_BYTES = 128 * 1024 * 1024
 
 
@@ -82,6 +85,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside send at most ``rows`` rows at once to Python: texts of some kilobytes each fill tens of megabytes by default,
+    in the JVM and again in Python."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def _width(value: Column, kind: DataType) -> Column | int:
     """About the bytes that a value takes in memory; a number where all values take the same."""
     if isinstance(kind, (StringType, BinaryType)):
