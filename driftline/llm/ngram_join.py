@@ -40,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.texts import Words, mix, pieces, shingles, text_bytes
-from driftline.session import BROADCAST_ROWS_CONF, DEFAULT_BROADCAST_ROWS, join_small, materialise
+from driftline.llm.texts import Words, give_back, mix, pieces, shingles, text_bytes
+from driftline.session import BROADCAST_ROWS_CONF, DEFAULT_BROADCAST_ROWS, arrow_batches, join_small, materialise
 
 THRESHOLD = 75
 SKETCH_BITS = 25
 SKETCH_KEYS = 1 << (SKETCH_BITS - 2)
 #: Shingles of fewer documents than 2 to this power are rare alike, at every size of the input.
 LEAST_CLASS = 2
+#: Rows of texts that go to Python at once.
+BATCH_ROWS = 1_000
 _PROBES = 3
 _TAILS = 8
 _KEY_BYTES = 6
@@ -138,6 +140,8 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
                 held, n = [], 0
         if n:
             yield send()
+        del held
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
@@ -155,6 +159,7 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()), pa.array([keys[first][many].tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary()),
                  pa.array([np.bincount(classes, minlength=64).tolist()], pa.list_(pa.int64()))], ["bucket", "keys", "classes", "sizes"])
+        give_back()
 
     sent = docs.select(F.col("t")).mapInArrow(blocks, "bucket int, once binary, more binary, counts binary")
     ordered = sent.repartition("bucket").sortWithinPartitions("bucket")
@@ -288,6 +293,8 @@ def find_postings(docs: DataFrame, shared, size: int, threshold: int, id_type: s
                 held, n = [], 0
         if n:
             yield from send()
+        del held
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind: dict = {}
@@ -316,6 +323,7 @@ def find_postings(docs: DataFrame, shared, size: int, threshold: int, id_type: s
             if met.any():
                 yield rows(kind, out, node=nodes[met].view(np.int64), token=keys[met].view(np.int64), place=places[met].astype(np.int32))
         yield from finished
+        give_back()
 
     columns = f"doc_id {id_type}, n int, node long, token long, place int"
     sent = docs.mapInArrow(blocks, f"bucket int, keys binary, nodes binary, places binary, {columns}")
@@ -458,11 +466,14 @@ def link_components(postings: DataFrame, sets: DataFrame, threshold: int) -> Dat
 def similar_components(docs: DataFrame, threshold: int = THRESHOLD, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    sketch = Sketch.build(frequencies(rows, size))
-    shared = docs.sparkSession.sparkContext.broadcast((sketch.table, sketch.bits))
-    posted = find_postings(rows, shared, size, threshold, docs.schema[doc_id].dataType.simpleString())
-    postings = posted.filter("token is not null").select("token", "node", "place")
-    labels = link_components(postings, candidate_sets(rows, posted, size), threshold)
+    spark = docs.sparkSession
+    with arrow_batches(spark, BATCH_ROWS):
+        sketch = Sketch.build(frequencies(rows, size))
+        shared = spark.sparkContext.broadcast((sketch.table, sketch.bits))
+        posted = find_postings(rows, shared, size, threshold, docs.schema[doc_id].dataType.simpleString())
+        shared.unpersist()
+        sets = candidate_sets(rows, posted, size)
+    labels = link_components(posted.filter("token is not null").select("token", "node", "place"), sets, threshold)
     found = posted.filter("token is null").select("doc_id", "n", "node")
     plain = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = plain.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
