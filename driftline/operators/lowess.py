@@ -3,6 +3,9 @@
 A series in one block is smoothed in one call. For longer ones the neighbours of every row are
 found by joins and running counts, and the weighted sums of a fit are added up over tiles of
 the series, so that a task holds two tiles at most, however many neighbours a fit has.
+
+Where fits have many neighbours the sums come from moments of nested halves (``moments``), about two per level, so that the work grows with
+the rows and not with rows times neighbours. Between the tiles with the ends of a row's neighbours whole tiles count by their moments.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from pyspark.sql import types as T
 
 from driftline.functions.values import is_finite
 from driftline.operators.blocks import BLOCK, Ordered, arrange, position, running
+from driftline.operators.moments import Nodes, Tree, points, whole
 from driftline.operators.per_series import Maker, add_columns, floats
 from driftline.operators.quantiles import long_quantiles
 from driftline.session import join_small, materialise, rows_per_block
 
 ROBUST_PASSES = 3
 _CELLS = 1_000_000  # weights held at once
+MANY_NEIGHBOURS = 512  # from here on sums come from moments
 _TILE_ROWS = 65_536
 _SUMS = ("_sw", "_su", "_suu", "_sy", "_suy")
 
@@ -71,18 +76,22 @@ def smooth_array(t, y, frac, passes=ROBUST_PASSES):
         out[ok] = y  # the farther of two neighbours weighs nothing
         return out
     first = first_neighbours(t, k)
-    rows = max(1, _CELLS // k)
-    spans = [slice(a, a + rows) for a in range(0, n, rows)]
-    shapes = [neighbourhood(t, first, k, spans[0])] if len(spans) == 1 else None
+    if k >= MANY_NEIGHBOURS:
+        fits = lambda weights: moment_fits(t, y, weights, first, k)
+    else:
+        rows = max(1, _CELLS // k)
+        spans = [slice(a, a + rows) for a in range(0, n, rows)]
+        shapes = [neighbourhood(t, first, k, spans[0])] if len(spans) == 1 else None
+        fits = lambda weights: local_fits(t, y, weights, first, k, spans, shapes)
     weights = np.ones(n)
-    fit = local_fits(t, y, weights, first, k, spans, shapes)
+    fit = fits(weights)
     for _ in range(passes):
         left = np.abs(y - fit)
         middle = np.median(left)
         if not middle > 0:
             break  # all weights stay 1
         weights = bisquare(left, middle)
-        fit = local_fits(t, y, weights, first, k, spans, shapes)
+        fit = fits(weights)
     out[ok] = fit
     return out
 
@@ -127,6 +136,12 @@ def local_fits(t, y, weights, first, k, spans, shapes=None):
     return fit
 
 
+def moment_fits(t, y, weights, first, k):
+    """The same fits from a tree of moments."""
+    reach = np.maximum(t - t[first], t[first + k - 1] - t)
+    return solve(*Tree(points(t, y, weights)).around(first, first + k, t, reach), y)
+
+
 def solve(sw, su, suu, sy, suy, own):
     """Fitted value at distance 0 from weighted sums over scaled distances.
 
@@ -162,11 +177,15 @@ def _smooth_long(
             "_tile": F.expr(f"_i div {width}")}).drop("_n"), "smooth-base")
     targets = materialise(_reaches(base, keys), "smooth-targets")
     pairs = materialise(
-        targets.select(*keys, F.expr(f"_i div {width}").alias("_own"), _tiles(width))
+        targets.select(*keys, F.expr(f"_i div {width}").alias("_own"), _end_tiles(width))
         .distinct(), "tile-pairs")
+    own = F.expr(f"_i div {width}").alias("_own")
+    spans = targets.groupBy(*keys, own).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    between = F.filter(F.sequence(F.expr(f"_first div {width}"), F.expr(f"_last div {width}")), lambda x_: x_ != F.col("_own"))
+    between = materialise(spans.select(*keys, "_own", F.explode(between).alias("_tile")), "tiles-between")
     weights = base.select(*keys, "_i", F.lit(1.0).alias("_w"))
     for turn in range(passes + 1):
-        fits = materialise(_one_pass(base, targets, pairs, weights, keys, width), "fits")
+        fits = materialise(_one_pass(base, targets, pairs, between, weights, keys, width), "fits")
         if turn == passes:
             break
         left = fits.select(*keys, "_i", F.abs(F.col("_y") - F.col("_fit")).alias("_left"))
@@ -181,8 +200,9 @@ def _smooth_long(
         fits.select(*keys, "_i", "_fit"), [*keys, "_i"]).drop("_i")
 
 
-def _tiles(width: int) -> Column:
-    return F.explode(F.sequence(F.expr(f"_first div {width}"), F.expr(f"_last div {width}"))).alias("_tile")
+def _end_tiles(width: int) -> Column:
+    """The tiles with the first neighbour, the row itself and the last neighbour."""
+    return F.explode(F.array_distinct(F.array(*[F.expr(f"{c} div {width}") for c in ("_first", "_i", "_last")]))).alias("_tile")
 
 
 def _reaches(base: DataFrame, keys: list[str]) -> DataFrame:
@@ -212,14 +232,14 @@ def _reaches(base: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _one_pass(
-    base: DataFrame, targets: DataFrame, pairs: DataFrame, weights: DataFrame, keys: list[str],
+    base: DataFrame, targets: DataFrame, pairs: DataFrame, between: DataFrame, weights: DataFrame, keys: list[str],
     width: int,
 ) -> DataFrame:
     by = [*keys, "_own", "_tile"]
-    asks = targets.select(
-        *keys, F.expr(f"_i div {width}").alias("_own"), _tiles(width), "_i", "_t", "_first", "_last", "_h")
-    near = base.select(*keys, "_tile", "_i", "_t", "_y").join(weights, [*keys, "_i"]).join(
-        pairs, [*keys, "_tile"])
+    own = F.expr(f"_i div {width}").alias("_own")
+    asks = targets.select(*keys, own, _end_tiles(width), "_i", "_t", "_first", "_last", "_h")
+    weighed = base.select(*keys, "_tile", "_i", "_t", "_y").join(weights, [*keys, "_i"])
+    near = weighed.join(pairs, [*keys, "_tile"])
     fields = [base.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("_i", T.LongType()),
                            *[T.StructField(c, T.DoubleType()) for c in _SUMS]])
@@ -237,6 +257,31 @@ def _one_pass(
         return out
 
     parts = asks.groupBy(*by).cogroup(near.groupBy(*by)).applyInArrow(tile_sums, schema)
+    moments = _tile_moments(weighed, keys).join(between, [*keys, "_tile"])
+
+    def between_sums(asked: pa.Table, tiles: pa.Table) -> pa.Table:
+        """Whole tiles behind the first neighbour's and before the last one's, but for the row's own."""
+        tiles = tiles.sort_by("_tile")
+        first, last, at = (asked[c].to_numpy() for c in ("_first", "_last", "_i"))
+        low, high, here = first // width + 1, last // width, at // width
+        number = tiles["_tile"].to_numpy()
+        sums = np.zeros((len(_SUMS), len(at)))
+        for side, start, stop in ((-1, low, np.minimum(here, high)), (1, np.maximum(low, here + 1), high)):
+            chosen = tiles.filter(pa.array((number < here[0]) if side < 0 else (number > here[0]))) if len(at) else tiles
+            if not chosen.num_rows:
+                continue
+            own_number = chosen["_tile"].to_numpy()
+            power = lambda c: np.array(chosen[c].to_pylist(), float).T  # noqa: B023, E731
+            tree = Tree(Nodes(floats(chosen["_low"]), floats(chosen["_high"]), power("_mu"), power("_nu")))
+            sums += tree.sums(np.searchsorted(own_number, start), np.searchsorted(own_number, stop), floats(asked["_t"]), floats(asked["_h"]), side)
+        out = asked.select([*keys, "_i"])
+        for name, values in zip(_SUMS, sums, strict=True):
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    whole_tiles = targets.select(*keys, own, "_i", "_t", "_first", "_last", "_h").where(F.expr(f"_last div {width} - _first div {width} > 1"))
+    by_own = [*keys, "_own"]
+    parts = parts.unionByName(whole_tiles.groupBy(*by_own).cogroup(moments.groupBy(*by_own)).applyInArrow(between_sums, schema))
     totals = parts.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in _SUMS])
     sw, su, suu, sy, suy = (F.col(c) for c in _SUMS)
     mean_u, mean_y = su / sw, sy / sw
@@ -247,12 +292,33 @@ def _one_pass(
         *keys, "_i", "_y", fit.alias("_fit"))
 
 
+def _tile_moments(weighed: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per tile: its moments as one node."""
+    powers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[weighed.schema[k] for k in keys], weighed.schema["_tile"], T.StructField("_low", T.DoubleType()),
+                           T.StructField("_high", T.DoubleType()), T.StructField("_mu", powers), T.StructField("_nu", powers)])
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_i")
+        node = whole(points(floats(rows["_t"]), floats(rows["_y"]), floats(rows["_w"])))
+        out = rows.slice(0, 1).select([*keys, "_tile"])
+        for name, value in (("_low", node.low), ("_high", node.high)):
+            out = out.append_column(name, pa.array(value))
+        for name, value in (("_mu", node.mu), ("_nu", node.nu)):
+            out = out.append_column(name, pa.array([value[:, 0].tolist()], pa.list_(pa.float64())))
+        return out
+
+    return weighed.groupBy(*keys, "_tile").applyInArrow(add_up, schema)
+
+
 def range_sums(t, y, w, own_t, reach, start, stop):
     """Weighted sums of each target over its part ``start:stop`` of one tile."""
     out = np.zeros((5, len(own_t)))
     longest = int((stop - start).max(initial=0))
     if longest <= 0:
         return out
+    if longest >= MANY_NEIGHBOURS:
+        return Tree(points(t, y, w)).around(start, stop, own_t, reach)
     rows = max(1, _CELLS // longest)
     span = np.arange(longest)
     for a in range(0, len(own_t), rows):
