@@ -7,11 +7,14 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from checks.adapters import CATALOGUE_SQL, H, REVISED_SQL, catalogue, history, revised, table
-from checks.registry import query, rounded, rsql
+from checks.registry import ORACLES, query, rounded, rsql
 from driftline.functions.values import is_finite
 from driftline.operators import catalog as C
 from driftline.operators.history import (
-    concatenate, distinct_in_order, latest_revision, load_history, require_rows, unpivot)
+    concatenate, distinct_in_order, latest_revision, load_history, newest_in_order, require_rows, unpivot)
+from driftline.session import new_path
+from driftline.sources.readers import read_clustered
+from driftline.sources.writers import write_clustered
 
 _RULES = [C.Rule(), C.Rule("Customer#00000000"), C.Rule("", "BUILDING")]
 _START, _END = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
@@ -124,6 +127,22 @@ def o3(spark, sf):
     return C.random_n(C.payloads(catalogue(spark, sf)), 300, seed=42).select("norad_cat_id")
 
 
+_RANDOM_RANKED = f"""(select rule, norad_cat_id, row_number() over (partition by rule order by md5(concat(norad_cat_id, ':7')), norad_cat_id) as rk
+from {CATALOGUE_SQL} c, (values ('ALL_ALL', '', ''), ('Customer#00000000_ALL', 'Customer#00000000', ''), ('ALL_BUILDING', '', 'BUILDING')) r(rule, pattern, country)
+where object_type = 'PAYLOAD' and (pattern = '' or starts_with(object_name, pattern)) and (country = '' or country_code = country))"""
+
+
+@query("o3_random_n_per_rule", f"select rule, norad_cat_id from {_RANDOM_RANKED} where rk <= 50")
+def o3_rule(spark, sf):
+    return C.first_n_per_rule(C.match_rules(catalogue(spark, sf), _RULES), 50, seed=7).select("rule", "norad_cat_id")
+
+
+@query("o3_random_half_per_rule", f"select rule, norad_cat_id from {_RANDOM_RANKED} where rk <= 1200")
+def o3_many(spark, sf):
+    """More than a window trims to: ranks of the whole series."""
+    return C.first_n_per_rule(C.match_rules(catalogue(spark, sf), _RULES), 1200, seed=7).select("rule", "norad_cat_id")
+
+
 @query("o4_order_by_id_epoch", f"with {H} select norad, epoch, rev_at_epoch from h order by norad, epoch")
 def o4(spark, sf):
     return load_history(history(spark, sf), ["rev_at_epoch"])
@@ -162,3 +181,30 @@ def su4(spark, sf):
 @query("w1_latest_revision", _NEWEST)
 def w1(spark, sf):
     return latest_revision(revised(spark, sf), creation="creation_seq", ties=["tiebreak", "sma", "eccentricity"])
+
+
+def _clustered(spark, rows):
+    path = new_path(spark, "clustered")
+    write_clustered(rows, path, 8)
+    return read_clustered(spark, path)
+
+
+@query("f6_clustered_history", ORACLES["f6_entity_filter"])
+def f6_clustered(spark, sf):
+    return load_history(_clustered(spark, history(spark, sf)), ["sma"], [7]).withColumn("sma", rounded("sma"))
+
+
+@query("j1_clustered_history", ORACLES["j1_history_of_ids"])
+def j1_clustered(spark, sf):
+    rows = _clustered(spark, history(spark, sf))
+    return C.history_of(rows, C.payloads(catalogue(spark, sf))).select("norad", "epoch", "rev_at_epoch")
+
+
+@query("w1_clustered_history", _NEWEST)
+def w1_clustered(spark, sf):
+    return latest_revision(_clustered(spark, revised(spark, sf)), creation="creation_seq", ties=["tiebreak", "sma", "eccentricity"])
+
+
+@query("w1_newest_in_order", _NEWEST)
+def w1_in_order(spark, sf):
+    return newest_in_order(revised(spark, sf), creation="creation_seq", ties=["tiebreak", "sma", "eccentricity"])

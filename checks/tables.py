@@ -152,6 +152,22 @@ def acquire_check(spark, sf):
     return rows.select("rule", "norad", "epoch", rounded("sma").alias("sma"))
 
 
+@query("acquire_random", f"""with {H}, c as {CATALOGUE_SQL}, rules as (
+  select * from (values ('Customer#00000000_ALL', 'Customer#00000000', ''), ('ALL_BUILDING', '', 'BUILDING')) r(rule, pattern, country)),
+m as (select rule, norad_cat_id, row_number() over (partition by rule order by md5(concat(norad_cat_id, ':11')), norad_cat_id) as rk from c, rules
+  where object_type = 'PAYLOAD' and (pattern = '' or starts_with(object_name, pattern)) and (country = '' or country_code = country))
+select rule as tag, norad, count(*) as n, min(epoch) as first_epoch from h join m on norad = norad_cat_id where rk <= 20 group by all""")
+def acquire_random(spark, sf):
+    """The whole job with objects at random, from landed files to the tagged table."""
+    from driftline.operators.catalog import Rule
+    from driftline.plans.acquire import acquire
+    rows = catalogue(spark, sf)
+    at = _landed_text(rows.toDF(*[c.upper() for c in rows.columns]), new_path(spark, "catalogue"), "NORAD_CAT_ID")
+    landed_at, out = _landed_text(raw_history(spark, sf), new_path(spark, "history"), "REV_AT_EPOCH"), new_path(spark, "acquired")
+    acquire(spark, at, landed_at, out, [Rule("Customer#00000000", ""), Rule("", "BUILDING")], "run1", per_rule=20, seed=11)
+    return read_history(spark, out).groupBy("tag", "norad").agg(F.count(F.lit(1)).alias("n"), F.min("epoch").alias("first_epoch"))
+
+
 _JOB_RULES = [("", ""), ("Customer#00000000", ""), ("ALL", ""), ("", ""), ("", "BUILDING")]
 
 

@@ -70,29 +70,33 @@ def first_n(catalogue: DataFrame, n: int, key: str = "norad_cat_id") -> DataFram
     return catalogue.orderBy(key).limit(n)
 
 
-def first_n_per_rule(matches: DataFrame, n: int | None, key: str = "norad_cat_id") -> DataFrame:
-    """The ``n`` smallest ids of every rule, one row each; all of them without ``n``.
+def shuffled(key: str, seed: int) -> Column:
+    """A place in an order that depends on id and seed alone: the MD5 of both as text, which other engines have, too, to 60 bits."""
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
-    Rules are told apart by ``rule_no``, or by ``rule`` in a table without it.
+
+def first_n_per_rule(matches: DataFrame, n: int | None, key: str = "norad_cat_id", seed: int | None = None) -> DataFrame:
+    """The ``n`` smallest ids of every rule, or with a ``seed`` ``n`` at random, one row each; all of them without ``n``.
+
+    Rules are told apart by ``rule_no``, or by ``rule`` in a table without it. A random choice is the same for any
+    partitioning, and each rule has its own part of one order.
     """
     rule = "rule_no" if "rule_no" in matches.columns else "rule"
     distinct = matches.dropDuplicates([rule, key])
     if n is None:
         return distinct
+    placed = distinct.withColumn("_place", F.col(key) if seed is None else shuffled(key, seed))
     if n <= _TRIMMED_RANK:
-        rank = F.row_number().over(W.partitionBy(rule).orderBy(key))
-        return distinct.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
-    ranked = arrange(distinct, [rule], key).extend(_rank=position(1))
-    return ranked.where(F.col("_rank") <= n).drop("_rank").result()
+        rank = F.row_number().over(W.partitionBy(rule).orderBy("_place", key))
+        return placed.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_place")
+    ranked = arrange(placed, [rule], "_place").extend(_rank=position(1))
+    return ranked.where(F.col("_rank") <= n).drop("_rank", "_place").result()
 
 
 def random_n(catalogue: DataFrame, n: int, seed: int, key: str = "norad_cat_id") -> DataFrame:
-    """``n`` ids in an order that depends on the seed alone, not on the partitioning.
-
-    The order is that of the MD5 of id and seed as text, which other engines have, too.
-    """
-    shuffled = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    return catalogue.orderBy(shuffled, key).limit(n)
+    """``n`` ids in an order that depends on the seed alone, not on the partitioning."""
+    return catalogue.orderBy(shuffled(key, seed), key).limit(n)
 
 
 def chunked(ids: DataFrame, size: int, key: str = "norad_cat_id") -> DataFrame:

@@ -26,11 +26,14 @@ class Acquired(NamedTuple):
 
 def select_objects(
     catalogue: DataFrame, rules: list[Rule], orbit_range: tuple[float, float] | None = None,
-    per_rule: int | None = None,
+    per_rule: int | None = None, seed: int | None = None,
 ) -> DataFrame:
-    """``rule``, ``rule_no`` and ``norad_cat_id`` of the first ``per_rule`` objects of every rule, or of all."""
+    """``rule``, ``rule_no`` and ``norad_cat_id`` of the first ``per_rule`` objects of every rule, or of all.
+
+    With a ``seed`` they are ``per_rule`` objects at random.
+    """
     matches = match_rules(lower_names(catalogue), rules, orbit_range)
-    return first_n_per_rule(matches.select("rule", "rule_no", "norad_cat_id"), per_rule)
+    return first_n_per_rule(matches.select("rule", "rule_no", "norad_cat_id"), per_rule, seed=seed)
 
 
 def _of_selection(raw: DataFrame, chosen: DataFrame, start, end) -> DataFrame:
@@ -69,10 +72,11 @@ def acquire(
     spark: SparkSession, catalogue_path: str, history_path: str, out_path: str,
     rules: list[Rule], run: str, orbit_range: tuple[float, float] | None = None,
     start=None, end=None, per_rule: int | None = None, strict: bool = True, array_files: bool = True,
+    seed: int | None = None,
 ) -> Acquired:
     """The whole job for all rules at once; returns the numbers of rows written and of records rejected.
 
-    Rows carry ``rule_no``, the place of their rule: rules that read alike share a tag, and so a folder. Without
+    ``per_rule`` takes the smallest ids of each rule, or with a ``seed`` as many at random. Rows carry ``rule_no``, the place of their rule: rules that read alike share a tag, and so a folder. Without
     ``strict``, rejected records go to ``<out_path>-rejects/<run>/history`` and ``.../catalogue``.
     """
     aside = f"{out_path.rstrip('/')}-rejects/{run}"
@@ -82,7 +86,7 @@ def acquire(
     else:
         catalogue, bad = split_catalogue(spark, catalogue_path, array_files)
         rejected += write_rejects(bad, f"{aside}/catalogue")
-    chosen = select_objects(catalogue, rules, orbit_range, per_rule)
+    chosen = select_objects(catalogue, rules, orbit_range, per_rule, seed)
     rows, bad = selected_history(read_raw_history(spark, history_path, array_files), chosen, start, end, strict)
     if bad is not None:
         rejected += write_rejects(bad, f"{aside}/history")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.functions.values import finite_or_null
 from driftline.operators import kalman
 from driftline.operators.blocks import BLOCK, Ordered, arrange
-from driftline.operators.history import latest_revision
+from driftline.operators.history import latest_revision, newest_in_order
 from driftline.operators.lowess import smooth, smooth_maker
 from driftline.operators.peaks import keep_distant, local_maxima, maxima, prominences, suppress_near, with_prominence
 from driftline.operators.per_series import Maker, add_columns
@@ -32,8 +32,8 @@ def ordered_history(
     """Only the columns a detector reads, newest revisions, in time order per object.
 
     Series are measured on the table itself, before revisions are dropped, which reads two
-    columns and saves a second run of the deduplication. The rows of a short series are brought together first, so that
-    dropping revisions needs no exchange of its own; those of a long one lose their older revisions before they travel.
+    columns and saves a second run of the deduplication. Older revisions of a short series are dropped in the order that all later
+    steps use, which needs no exchange of its own; those of a long one are dropped before the rows travel.
     ``revised`` False promises that epochs do not repeat. A row without an epoch has no place in the order and takes no part.
     """
     if isinstance(history, Ordered):
@@ -45,9 +45,8 @@ def ordered_history(
     if not revised:
         return series.drop("creation_date", "rev_at_epoch")
     ties = [c for c in held.columns if c not in (entity, time, "creation_date")]
-    dated = "creation_date" in held.columns
-    newest = lambda rows: latest_revision(rows, entity, time, ties=ties).drop("creation_date", "rev_at_epoch")
-    return series.map(lambda rows: newest(rows.repartition(entity) if dated else rows), newest)
+    newest = series.map(lambda rows: newest_in_order(rows, entity, time, ties=ties), lambda rows: latest_revision(rows, entity, time, ties=ties))
+    return newest.drop("creation_date", "rev_at_epoch")
 
 
 def peak_maker(signal: str, flag: str, sigma: float, min_distance_days: float | None, min_prominence: float | None) -> Maker:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from driftline.functions import orbit
 from driftline.schema import CATALOGUE, DERIVED, HISTORY_CASTS, RAW_HISTORY
 from driftline.sources.json_records import json_records
+from driftline.sources.writers import clustered_name
 
 
 _MALFORMED = "_malformed"
@@ -94,6 +97,17 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
         for n in times})
 
 
+def read_clustered(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_clustered``, whose clustering the planner knows."""
+    name, path = clustered_name(path), path.rstrip("/")
+    if not spark.catalog.tableExists(name):
+        layout = json.loads(spark.read.text(f"{path}/_layout").first().value)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"""create table if not exists {name} ({columns}) using parquet clustered by (`{layout["entity"]}`)
+            sorted by (`{layout["entity"]}`, `{layout["time"]}`) into {layout["buckets"]} buckets location '{path}'""")
+    return spark.table(name)
+
+
 def derive(df: DataFrame) -> DataFrame:
     """Add semi-major axis, apogee, period and velocity."""
     sma = orbit.semi_major_axis(F.col("mean_motion"))
