@@ -1,23 +1,25 @@
 """Exact quantiles per group, for groups of any size.
 
-Short groups are sorted and read at the wanted ranks. Long ones never meet in one task: a
-sketch first brackets each wanted rank, further passes narrow brackets that still hold more rows
-than a task should rank, and a last pass counts what lies below and ranks the values inside.
+Short groups are sorted and read at the wanted ranks. Long ones never meet in one task, nor do their distinct values: the digits
+of a wanted value are found one after the other, each from a table of fixed size.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from driftline.operators.blocks import long_groups
 from driftline.session import join_small, materialise, rows_per_block
 
-_ACCURACY = 100_000
-_CELLS = 200
+_DIGIT = 16  # bits found in a pass
+_SIGN = np.int64(-1 << 63)
 
 
 def exact_quantiles(
@@ -60,96 +62,63 @@ def _short(values: DataFrame, keys: list[str], probabilities: list[float]) -> Da
         F.max("n").alias("n"), F.array(*[read(place) for place in places]).alias("quantiles"))
 
 
-def long_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: list[float],
-) -> DataFrame:
-    """The same for few, long groups; the values must be non-null."""
-    values = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    margin, limit = 4.0 / _ACCURACY, rows_per_block(df.sparkSession)
-    while True:
-        found = materialise(_ranked(values, keys, probabilities, margin, limit), "quantiles")
-        limit = None  # a bracket that missed is not narrowed again
-        missed = F.exists("quantiles", lambda q_: q_.isNull())
-        if margin >= 1.0 or found.where(missed).isEmpty():
-            return found
-        margin *= 16.0  # a bracket missed its rank: widen, at last to the whole range
+@F.pandas_udf(LongType())
+def _image(value: pd.Series) -> pd.Series:
+    """The bits of a double so turned that they order like the doubles when read as unsigned numbers."""
+    x = value.to_numpy(dtype=float) + 0.0  # one zero
+    bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
+    return pd.Series(np.where(bits < 0, ~bits, bits ^ _SIGN))
 
 
-def _tagged(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    return (join_small(values, brackets, keys, "inner") if keys
-            else values.join(F.broadcast(brackets)))  # one row: a single group
+@F.pandas_udf(DoubleType())
+def _value(image: pd.Series) -> pd.Series:
+    bits = image.to_numpy(dtype=np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ _SIGN, ~bits).view(np.float64))
 
 
-def _narrowed(values: DataFrame, brackets: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Brackets of at most ``limit`` rows, or of one value.
+def _same(columns: list[str], other: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in columns])
 
-    A sketch of what a bracket holds gives cells of equal weight; the cells around the wanted ranks, and
-    one more on each side for the sketch's error, are the new bracket.
-    """
-    grid = [i / _CELLS for i in range(1, _CELLS)]
-    for _ in range(4):
-        probes = _tagged(values, brackets, keys).select(*keys, "n", "_v", F.explode("_probes").alias("_p"))
-        probes = probes.select(*keys, "n", "_v", "_p.*")
-        inside = F.col("_v").between(F.col("lo"), F.col("hi"))
-        held = materialise(probes.groupBy(*keys, "n", "probe", "position", "lo", "hi").agg(
-            F.count_if(F.col("_v") < F.col("lo")).alias("_below"), F.count_if(inside).alias("_in"),
-            F.percentile_approx(F.when(inside, F.col("_v")), grid, 10_000).alias("_grid")), "narrowed")
-        wide = (F.col("_in") > limit) & (F.col("lo") < F.col("hi"))
-        if held.where(wide).isEmpty():
-            return brackets
-        rank = F.col("position") - F.col("_below")
-        first = F.floor(rank / F.col("_in") * _CELLS).cast("int") - 1
-        last = F.floor((rank + 1) / F.col("_in") * _CELLS).cast("int") + 2
-        lo = F.when(wide & first.between(1, _CELLS - 1), F.get("_grid", first - 1)).otherwise(F.col("lo"))
-        hi = F.when(wide & last.between(1, _CELLS - 1), F.get("_grid", last - 1)).otherwise(F.col("hi"))
-        brackets = materialise(held.groupBy(*keys, "n").agg(F.collect_list(F.struct(
-            "probe", "position", lo.alias("lo"), hi.alias("hi"))).alias("_probes")), "brackets")
-    return brackets
-
-
-def _ranked(
-    values: DataFrame, keys: list[str], probabilities: list[float], margin: float, limit: int | None,
+
+def long_quantiles(
+    df: DataFrame, keys: list[str], value: str, probabilities: list[float],
 ) -> DataFrame:
-    ends = [min(max(p + side * margin, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
-    brackets = values.groupBy(*keys).agg(
-        F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", ends, _ACCURACY).alias("_ends"))
-    probes = F.array(*[
-        F.struct(
-            F.lit(i).alias("probe"),
-            (F.lit(float(p)) * (F.col("n") - F.lit(1))).alias("position"),
-            (F.col("_min") if ends[2 * i] <= 0.0 else F.col("_ends")[2 * i]).alias("lo"),
-            (F.col("_max") if ends[2 * i + 1] >= 1.0 else F.col("_ends")[2 * i + 1]).alias("hi"))
-        for i, p in enumerate(probabilities)])
-    brackets = materialise(
-        brackets.where(F.col("n") > 0).select(*keys, "n", probes.alias("_probes")), "brackets")
-    if limit:
-        brackets = _narrowed(values, brackets, keys, limit)
-    tagged = _tagged(values, brackets, keys)
-    # One row per distinct value inside a bracket; all values below it fold into one NULL row.
-    hits = tagged.select(*keys, "_v", F.explode("_probes").alias("_p"))
-    hits = hits.where(F.col("_v") <= F.col("_p.hi")).select(
-        *keys, F.col("_p.probe").alias("probe"), F.col("_p.position").alias("position"),
-        F.when(F.col("_v") >= F.col("_p.lo"), F.col("_v")).alias("_v"))
-    counts = hits.groupBy(*keys, "probe", "position", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(*keys, "probe").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counts.withColumn("_upto", upto)
-    position = F.col("position")
-
-    def at(rank):
-        inside = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(inside, F.col("_v")))
-
-    picked = ranked.groupBy(*keys, "probe", "position").agg(
-        at(F.floor(position)).alias("_low"), at(F.ceil(position)).alias("_high"))
-    share = position - F.floor(position)
-    picked = picked.withColumn(
-        "_q", F.col("_low") * (F.lit(1.0) - share) + F.col("_high") * share)
-    lists = picked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("probe", "_q"))).alias("_list"))
-    lists = lists.select(
-        *keys, F.transform("_list", lambda item_: item_["_q"]).alias("quantiles"))
-    if not keys:
-        return lists.join(F.broadcast(brackets.select("n"))).select("n", "quantiles")
-    return lists.join(brackets.select(*keys, "n"), keys).select(*keys, "n", "quantiles")
+    """The same for few, long groups; the values must be non-null. NaN counts as the largest value.
+
+    Radix selection: a wanted rank is followed through the digits of 16 bits of the values' images. Each of four passes
+    counts the values with the known leading digits by their next digit, at most 65,536 numbers, adds the counts up, and so finds
+    the digit in which the rank falls.
+    """
+    values = materialise(df.select(*keys, _image(F.col(value).cast("double")).alias("_b")), "images")
+    state = None
+    for shift in range(64 - _DIGIT, -1, -_DIGIT):
+        digit = F.shiftrightunsigned("_b", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1)).alias("_digit")
+        if state is None:
+            held = values.select(*keys, F.lit(0).cast("long").alias("_prefix"), digit)
+        else:
+            known = materialise(state.select(*keys, "_prefix").distinct(), "prefixes")
+            known = known.toDF(*[f"_known{c}" for c in known.columns])
+            leading = values.withColumn("_prefix", F.shiftrightunsigned("_b", shift + _DIGIT))
+            held = join_small(leading, known, _same([*keys, "_prefix"], "_known"), "left_semi").select(*keys, "_prefix", digit)
+        counts = held.groupBy(*keys, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(W.partitionBy(*keys, "_prefix").orderBy("_digit").rowsBetween(W.unboundedPreceding, W.currentRow))
+        counts = materialise(counts.withColumn("_upto", upto), "digit-counts")
+        if state is None:
+            sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+            places = [F.lit(float(p)) * (F.col("n") - F.lit(1)) for p in probabilities]
+            ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+            state = sizes.select(*keys, "n", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_below"))
+        state = materialise(state, "ranks")
+        other = counts.toDF(*[f"_of{c}" for c in counts.columns])
+        inside = F.col("_rank") - F.col("_below")
+        falls = (F.col("_of_upto") - F.col("_of_c") <= inside) & (inside < F.col("_of_upto"))
+        met = join_small(other, state, _same([*keys, "_prefix"], "_of"), "inner").where(falls)
+        state = materialise(met.select(
+            *keys, "n", "_rank", F.shiftleft("_prefix", _DIGIT).bitwiseOR(F.col("_of_digit")).alias("_prefix"),
+            (F.col("_below") + F.col("_of_upto") - F.col("_of_c")).alias("_below")), "ranks")
+    found = state.select(*keys, "n", "_rank", _value("_prefix").alias("_x"))
+    found = found.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+    low, high = ([F.col("_at")[f(p).cast("long")] for p in places] for f in (F.floor, F.ceil))
+    share = [p - F.floor(p) for p in places]
+    return found.select(*keys, "n", F.array(*[F.when(lo == hi, lo).otherwise(lo * (F.lit(1.0) - s) + hi * s)
+                                              for lo, hi, s in zip(low, high, share)]).alias("quantiles"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from driftline.operators.blocks import (
     arrange, following, last_seen, next_seen, position, previous, running, series_start,
 )
+
 from driftline.operators.quantiles import exact_quantiles, long_quantiles
+from driftline.session import materialise
 
 
 def _series(spark, seed=1):
@@ -63,10 +65,32 @@ def test_quantiles_match_numpy(spark):
         assert r.n == len(pooled) and abs(r.quantiles[0] - np.percentile(pooled, 25)) < 1e-12
 
 
-def test_bracket_widens_when_it_misses(spark, monkeypatch):
+def test_radix_selection_of_any_doubles(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=900), rng.normal(size=300) * 1e-310, rng.normal(size=300) * 1e300, [0.0, -0.0] * 40, [7.5] * 500,
+                             [np.inf, -np.inf] * 3])
+    frame = spark.createDataFrame([(k, float(v)) for k in (1, None) for v in values] + [(2, 3.0)], "key long, v double")
+    ranks = [0, 1, 7, 800, 1000, 1500, 1900, len(values) - 4, len(values) - 1]
+    got = {r.key: r for r in long_quantiles(frame, ["key"], "v", [r / (len(values) - 1) for r in ranks]).collect()}
+    want = np.sort(values)[ranks]
+    assert set(got) == {1, 2, None} and got[2].quantiles == [3.0] * len(ranks)
+    for key in (1, None):
+        assert got[key].n == len(values) and all(a == b for a, b in zip(got[key].quantiles, want))
+
+
+def test_radix_selection_counts_digits_only(spark, monkeypatch):
+    """Whatever the values, what is written between passes is a table of digits."""
     from driftline.operators import quantiles
-    monkeypatch.setattr(quantiles, "_ACCURACY", 20)
-    values = np.random.default_rng(5).normal(size=3000)
-    frame = spark.createDataFrame([(1, float(v)) for v in values], "key long, v double")
-    got = long_quantiles(frame, ["key"], "v", [0.5, 0.9]).head()
-    assert np.allclose(got.quantiles, np.percentile(values, [50, 90]), atol=1e-12)
+    written = []
+
+    def spy(df, name):
+        out = materialise(df, name)
+        if name == "digit-counts":
+            written.append(out.agg(F.count("*").alias("n"), F.max("_digit").alias("top")).head())
+        return out
+
+    monkeypatch.setattr(quantiles, "materialise", spy)
+    frame = spark.range(300_000).select(F.rand(3).alias("v"), F.lit(1).alias("key"))
+    found = long_quantiles(frame, ["key"], "v", [0.25, 0.5]).head()
+    assert np.allclose(found.quantiles, np.percentile([r.v for r in frame.collect()], [25, 50]), atol=1e-12)
+    assert len(written) == 4 and all(w.top < 65_536 and w.n <= 4 * 65_536 for w in written)
