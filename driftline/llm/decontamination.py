@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from driftline.llm.texts import Words, mix, pieces, shingles, spread, text_bytes
+from driftline.llm.texts import Words, give_back, mix, pieces, shingles, spread, text_bytes
 
 RADIUS = 15
 SIMILARITY = 0.75
@@ -289,6 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         shared = context.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             index = None
             for b in pieces(batches, "t"):
                 index = index or ItemIndex(*shared.value, common.value)
@@ -316,6 +317,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         @F.arrow_udf(BooleanType())
         def leaks(column: pa.Array) -> pa.Array:
             if not kept:
+                give_back()
                 kept.append(ItemIndex(*shared.value, common.value))
             out, done = np.zeros(len(column), bool), 0
             for b in pieces(iter([pa.RecordBatch.from_arrays([column.cast(pa.string())], ["t"])]), "t"):

@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-from driftline.llm.texts import lane_hash, lanes, spread
+from driftline.llm.texts import KEPT, lane_hash, lanes, spread
 
 #: So many distinct pieces are held; then the memory starts anew.
 MOST_PIECES = 1_000_000
@@ -31,10 +31,10 @@ class KnownPieces:
 
     @classmethod
     def of(cls, path: str):
-        """One per Python worker: kept beside the tokenizers module, which outlives a task."""
+        """One per Python worker: kept beside the tokenizers module, which outlives a task, until another operator needs the room."""
         import tokenizers
 
-        kept = tokenizers.__dict__.setdefault("_driftline_pieces", {})
+        kept = tokenizers.__dict__.setdefault(KEPT[1], {})
         if (cls, path) not in kept:
             kept[cls, path] = cls(path)
         return kept[cls, path]

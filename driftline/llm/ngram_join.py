@@ -114,6 +114,7 @@ def frequencies(docs: DataFrame, size: int) -> DataFrame:
     bits = _bucket_bits(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held, n = [], 0
 
         def send():
@@ -260,6 +261,7 @@ def find_postings(docs: DataFrame, shared, size: int, threshold: int, id_type: s
         return pa.RecordBatch.from_arrays([pa.array(given[c], kind[c]) if c in given else pa.nulls(full, kind[c]) for c in columns], columns)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held, n, turn, kind = [], 0, 0, None
 
         def send():
@@ -347,6 +349,7 @@ def candidate_sets(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     ids = materialise(of_docs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "candidate-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in pieces(batches, "t"):
             sets = [s for s in text_sets(b.column(1), size) if len(s)]
             if sets:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from driftline.llm.texts import Words, mix, pieces, text_bytes
+from driftline.llm.texts import Words, give_back, mix, pieces, text_bytes
 from driftline.session import materialise
 
 _CLASSES = [b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b"0123456789", b".,;:?", bytes(range(128, 256)), b"\n", b"'\"()-/@=_{}[]\\^~`+"]
@@ -135,9 +135,11 @@ def score_packed(model: Model):
 def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``x`` (packed float32 features) of every document, written to the shared folder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in pieces(batches, "t"):
             x = text_features(b.column(1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+        give_back()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     return materialise(rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, x binary"), "features")

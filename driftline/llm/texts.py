@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +59,13 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             start = stop
 
 
+#: The modules under whose names operators keep something for a worker's later tasks, and the attribute that holds it.
+KEPT = ("tokenizers", "_driftline_pieces")
+
+
 def give_back() -> None:
-    """Returns memory that is free in this process to the system: a worker keeps it between tasks otherwise."""
+    """Returns memory that is free in this process to the system, and what another operator's tasks kept in this worker."""
+    getattr(sys.modules.get(KEPT[0]), "__dict__", {}).pop(KEPT[1], None)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
