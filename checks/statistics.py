@@ -216,6 +216,17 @@ def chart_revisions(spark, sf):
         "norad", "epoch", "param", rounded("value", 9).alias("value"))
 
 
+@query("chart_series_pooled_with_limits", f"""with {_LATEST}, s as (select norad, epoch, 'sma' as param, sma as value from n where norad in (7, 3)
+  union all select norad, epoch, 'eccentricity', eccentricity from n where norad in (7, 3)),
+b as (select param, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from s group by param)
+select norad, epoch, param, {rsql("case when param = 'eccentricity' then greatest(0.02, least(value, 0.08)) else value end", 9)} as value from s""")
+def chart_limits(spark, sf):
+    """Several objects compared: limits given for one quantity."""
+    from driftline.plans.series import chart_series
+    rows = chart_series(_revisions(spark, sf), ["sma", "eccentricity"], norads=[7, 3], pooled=True, limits={"eccentricity": (0.02, 0.08)})
+    return rows.select("norad", "epoch", "param", rounded("value", 9).alias("value"))
+
+
 # Means of prices often end in a half of the last digit; a small shift keeps both engines off it.
 @query("cluster_series_of_revisions", f"""with {_LATEST},
 {_interpolation_ctes("(select norad // 10 as cluster, norad, epoch, sma / 1e3 as value from n)")}
@@ -234,8 +245,10 @@ _PAIRED = _CLUSTERED.replace("user_id // 10", "user_id // 2")
 select norad, epoch, {rsql('y')} as value from f""")
 def w13(spark, sf):
     series = _clustered(spark, sf, size=2)
-    spans = CL.coverage_spans(series, ["cluster", "norad"]).where(F.col("n") >= 2)
-    targets = CL.common_grid(series, ["cluster"]).join(spans, "cluster").where(
+    spans = CL.coverage_spans(series, ["norad"]).where(F.col("n") >= 2)
+    # In a cluster of two the grid of a member is its own rows and the other one's.
+    other = series.select(F.col("norad").bitwiseXOR(F.lit(1)).alias("norad"), "epoch")
+    targets = series.select("norad", "epoch").unionByName(other).join(spans, "norad").where(
         F.col("epoch").between(F.col("first"), F.col("last")))
     return CL.interpolate(series, targets, ["norad"]).withColumn("value", rounded("value"))
 

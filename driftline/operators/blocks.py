@@ -197,12 +197,13 @@ class Ordered:
         return merged.drop(*[f"_edge_{name}" for name in steps])
 
 
-def long_groups(df: DataFrame, keys: list[str], limit: int, what: str) -> DataFrame | None:
-    """The groups with more than ``limit`` rows and their sizes, or None.
+def long_groups(df: DataFrame, keys: list[str], limit: int, what: str, sizes: DataFrame | None = None) -> DataFrame | None:
+    """The groups with more than ``limit`` rows and their sizes, or None; ``sizes`` has them if they are known.
 
     There are fewer of them than ``rows / limit``, so the table stays small.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     biggest = sizes.agg(F.max("_size")).head()[0]
     if biggest is None or biggest <= limit:
         return None
@@ -211,20 +212,21 @@ def long_groups(df: DataFrame, keys: list[str], limit: int, what: str) -> DataFr
 
 def arrange(
     df: DataFrame | Ordered, keys: list[str], order: str, rows: int | None = None,
-    measure: DataFrame | None = None,
+    measure: DataFrame | None = None, sizes: DataFrame | None = None,
 ) -> Ordered:
     """Order each series, cutting those longer than ``rows`` (the session's limit by default).
 
     ``order`` must not repeat much inside a series: equal values are never separated.
     ``measure`` are rows with the same keys and order that are cheaper to read, such as the
-    input of an aggregation that ``df`` is the result of; sizes and cuts are taken from them.
+    input of an aggregation that ``df`` is the result of; sizes and cuts are taken from them. ``sizes`` are the
+    groups' numbers of rows (``_size``), or bounds of them, where they are known already.
     Already ordered input passes through. A series without a key (null) is short.
     """
     if isinstance(df, Ordered):
         return df
     measure = df if measure is None else measure
     limit = rows or rows_per_block(df.sparkSession)
-    sizes = long_groups(measure, keys, limit, "long-series")
+    sizes = long_groups(measure, keys, limit, "long-series", sizes)
     if sizes is None:
         return Ordered(df.withColumn(BLOCK, F.lit(0)), None, tuple(keys), order)
     cuts = _cut_points(measure, keys, order, sizes, limit)

@@ -77,19 +77,23 @@ def cluster_mean(
     """
     keys = [*group, entity]
     clean = series.select(*keys, time, finite_or_null(F.col(value).cast("double")).alias("_y"))
+    # Sizes, scale and origin of members and groups come from one pass.
+    members = materialise(clean.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"), F.min(micros(clean, time)).alias("_origin"), F.max(F.abs("_y")).alias("_top")), "members")
+    power = F.pow(F.lit(10.0), F.ceil(F.log10(F.when(F.max("_top") > 0, F.max("_top")))))
+    scales = materialise(members.groupBy(*group).agg(
+        F.sum("_size").alias("_size"), F.coalesce(power, F.lit(1.0)).alias("_scale"), F.min("_origin").alias("_origin")), "scales")
+    sizes = scales.select(*group, "_size")
+    scales = scales.drop("_size")
     # Rows of one member at one time count as one row with their mean.
     clean = clean.groupBy(*keys, time).agg(F.avg("_y").alias("_y"))
     clean = clean.withColumn("_us", micros(clean, time))
-    largest = F.max(F.abs("_y"))
-    power = F.pow(F.lit(10.0), F.ceil(F.log10(F.when(largest > 0, largest))))
-    scales = materialise(clean.groupBy(*group).agg(
-        F.coalesce(power, F.lit(1.0)).alias("_scale"), F.min("_us").alias("_origin")), "scales")
     scaled = join_small(clean, scales, group, "inner") if group else clean.join(F.broadcast(scales))
     scaled = scaled.withColumns({
         "_y": (F.col("_y") / F.col("_scale")).cast(_VALUE),
         "_t": (F.expr(f"cast(_us - _origin as {_MICRO})") * F.expr("cast(0.000001 as decimal(6,6))")).cast(_SECONDS),
     }).drop("_us", "_origin", "_scale")
-    paired = arrange(scaled, keys, time, measure=series).extend(
+    paired = arrange(scaled, keys, time, measure=series, sizes=members.select(*keys, "_size")).extend(
         _before=previous("_t", "_y"), _after=following("_t", "_y"))
     opened = _line(F.col("_t"), F.col("_y"), F.col("_after._t"), F.col("_after._y"))
     closed = _line(F.col("_before._t"), F.col("_before._y"), F.col("_t"), F.col("_y"))
@@ -103,7 +107,7 @@ def cluster_mean(
           for line in ("_open", "_shut") for part, kind in (("a", _LEVEL), ("b", _SLOPE))],
         *[F.count(line).alias(f"{line}_n") for line in ("_open", "_shut")])
     net = {part: running(F.col(f"_open_{part}") - F.col(f"_shut_{part}")) for part in "abn"}
-    swept = arrange(events, group, time, measure=series).extend(**{f"_net_{p}": step for p, step in net.items()})
+    swept = arrange(events, group, time, measure=series, sizes=sizes).extend(**{f"_net_{p}": step for p, step in net.items()})
     # At a grid time the lines that open there are not yet under way.
     live = {part: F.col(f"_net_{part}") - F.col(f"_open_{part}") for part in "abn"}
     passing = live["a"].cast(_SUM) + (live["b"].cast(_SLOPE) * F.col("_t")).cast(_SUM)
