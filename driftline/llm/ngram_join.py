@@ -44,7 +44,7 @@ from driftline.llm.texts import Words, give_back, mix, pieces, shingles, text_by
 from driftline.session import BROADCAST_ROWS_CONF, DEFAULT_BROADCAST_ROWS, arrow_batches, join_small, materialise
 
 THRESHOLD = 75
-SKETCH_BITS = 25
+SKETCH_BITS = 24
 SKETCH_KEYS = 1 << (SKETCH_BITS - 2)
 #: Shingles of fewer documents than 2 to this power are rare alike, at every size of the input.
 LEAST_CLASS = 2
