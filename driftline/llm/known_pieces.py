@@ -14,7 +14,7 @@ import numpy as np
 from driftline.llm.texts import KEPT, lane_hash, lanes, spread
 
 #: So many distinct pieces are held; then the memory starts anew.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 300_000
 _ENCODED_AT_ONCE = 5_000
 
 

@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 
 from driftline.llm.known_pieces import KnownPieces
 from driftline.llm.texts import Words, padded, pieces, spread, text_bytes
-from driftline.session import materialise
+from driftline.session import arrow_batches, materialise
 
 LENGTH = 2048
 ROWS = 16
+#: Rows of texts that go to Python at once.
+BATCH_ROWS = 1_000
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: The normaliser and the splitter that cutting into words relies on.
 _SPLITTER = [
@@ -152,7 +154,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
 
     rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
     ordered = rows_in.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "t").drop("h")
-    return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 class TokenFile:
