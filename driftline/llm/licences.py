@@ -168,7 +168,8 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     rows = rows.select("doc_id", F.explode(F.concat(sentences, paragraphs, wrapped)).alias("p"))
     rows = rows.select("doc_id", F.col("p.line").alias("line"), F.col("p.passage").alias("passage"))
     rows = rows.filter(F.lower("passage").rlike(keys)).withColumn("w", F.split(normal(F.col("passage")), " "))
-    rows = rows.filter(F.element_at("w", 1) != "")
+    # A passage has at most one word more than bigrams, so most long ones go before their bigrams are made.
+    rows = rows.filter((F.element_at("w", 1) != "") & (F.size(F.array_distinct("w")) <= most + 1))
     rows = rows.withColumn("own", bigrams("w")).withColumn("size", F.size("own")).filter(F.col("size") <= most)
     # Of a passage's bigrams, a template holds t / (2 - t) at least.
     every = [r.g for r in table.select(F.explode("grams").alias("g")).distinct().collect()]
