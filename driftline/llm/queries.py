@@ -154,7 +154,38 @@ def op13(spark, sf_dir):
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-@query("op12_merkle_manifest")
+# CRC-32 from its table by rule, the trees level by level, each document's siblings, and its leaf folded over them.
+_MERKLE = r"""with recursive t(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, xor(v >> 1, (v & 1) * 3988292384) from t where k < 8),
+tab as (select list(v order by i) as tab from t where k = 8),
+d as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+  lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])), 4294967295) % 7 = 0 as tampered from documents, tab),
+l as (select doc_id, lang, leaf, case when tampered and n_chars is not null then
+    sha256(head || strlen(cast(n_chars + 1 as varchar)) || ':' || cast(n_chars + 1 as varchar) || tail) else leaf end as now,
+  row_number() over (partition by lang order by doc_id) - 1 as place, count(*) over (partition by lang) as n
+  from (select *, sha256(head || coalesce(strlen(cast(n_chars as varchar)) || ':' || cast(n_chars as varchar), '-') || tail) as leaf from (select *,
+    coalesce(strlen(cast(doc_id as varchar)) || ':' || cast(doc_id as varchar), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') as head, coalesce(strlen(text) || ':' || text, '-') as tail from d))),
+g as (select row_number() over (order by lang nulls first) as g, lang from (select distinct lang from l)),
+tree(g, level, place, n, h) as (select g, 0, place, n, leaf from l join g on l.lang is not distinct from g.lang
+  union all select g, max(level) + 1, place // 2, max((n + 1) // 2), sha256(string_agg(h, '' order by place)) from tree where n > 1 group by g, place // 2),
+subroot as (select g, max(level) as depth, max_by(h, level) as h from tree where n = 1 group by g),
+top(level, place, n, h) as (select 0, g - 1, (select count(*) from subroot), h from subroot
+  union all select max(level) + 1, place // 2, max((n + 1) // 2), sha256(string_agg(h, '' order by place)) from top where n > 1 group by place // 2),
+root as (select max_by(h, level) as h from top where n = 1),
+row_at as (select doc_id, l.lang, leaf, now, place, g.g, depth, s.h as subroot from l join g on l.lang is not distinct from g.lang join subroot s on s.g = g.g),
+steps as (select r.doc_id, t.level, (r.place >> t.level) & 1 as slot, t.h from row_at r join tree t
+    on t.g = r.g and t.place = xor(r.place >> t.level, 1) and t.n > 1 and t.level < depth
+  union all select r.doc_id, depth + t.level, ((r.g - 1) >> t.level) & 1, t.h from row_at r join top t on t.place = xor((r.g - 1) >> t.level, 1) and t.n > 1),
+height as (select max(level) as top_depth from top),
+fold(doc_id, level, last, h) as (select doc_id, 0, depth + top_depth, now from row_at, height
+  union all select f.doc_id, f.level + 1, last, sha256(case when s.h is null then f.h when s.slot = 1 then s.h || f.h else f.h || s.h end)
+  from fold f left join steps s on s.doc_id = f.doc_id and s.level = f.level where f.level < last),
+proof as (select doc_id, sha256(string_agg(h, '' order by level)) as p from steps group by doc_id)
+select r.doc_id, r.lang, r.place, r.leaf, r.subroot, root.h as root, coalesce(p, sha256('')) as proof_sha256, f.h as folded_root, f.h = root.h as verified
+from row_at r join fold f on f.doc_id = r.doc_id and f.level = f.last left join proof on proof.doc_id = r.doc_id, root"""
+
+
+@query("op12_merkle_manifest", _MERKLE)
 def op12(spark, sf_dir):
     from driftline.llm.manifest import build_manifest, verified
 

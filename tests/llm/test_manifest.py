@@ -1,11 +1,12 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm.manifest import build_manifest, verified
-from driftline.llm.queries import QUERIES
+from driftline.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, grp string, place int, own string"
 
@@ -100,3 +101,8 @@ def test_query_is_the_contract(spark):
     found = QUERIES["op12_merkle_manifest"](spark, base).collect()
     rows = sorted(((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in found), key=repr)
     assert rows == plain(docs, 2, lambda i: zlib.crc32(str(i).encode()) % 7 == 0)
+    link = duckdb.connect()
+    link.execute(f"create view documents as select * from read_parquet('{base}/documents.parquet')")
+    columns = sorted(found[0].asDict())
+    want = link.execute(f"select {', '.join(columns)} from ({ORACLES['op12_merkle_manifest']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in found)
