@@ -7,7 +7,9 @@ ends a sentence in one reading and not in the other. The Dice coefficient of two
 2 min(a, b) / (a + b), so a passage of ``a`` bigrams can only reach ``threshold`` with templates
 of t / (2 - t) * a to (2 - t) / t * a bigrams: passages meet templates in an equi-join on the
 sizes that the bound admits, and passages of other sizes are dropped before. Every passage that reaches the threshold
-holds one of a few words of the templates (``key_words``), so other texts and passages are passed over.
+holds one of a few words of the templates (``key_words``), so other texts and passages are passed over. A passage has at
+least the bigrams of its first words, so a long one is dropped where those alone are more than any template admits;
+a long one that repeats itself is compared whole.
 
 Defined cases: a null or empty text has no passages; a passage of one word is compared by that
 word; repeated passages of a document count once, at their first place; equal scores go to
@@ -16,7 +18,6 @@ the template earlier by name; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Mapping
@@ -97,14 +98,21 @@ THRESHOLD = 0.8
 _COMMON = {"a", "by", "is", "of", "or", "the", "this", "to", "under", "version", "with", "without", "work"}
 
 
+_GAP = r"[^\p{L}\p{N}]+"
+
+
 def normal(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(text), _GAP, " "))
+
 
+def bigrams(words: Column) -> Column:
+    """Distinct word bigrams of an array; a lone word stands for itself."""
+    def pairs(w):
+        n = F.size(w) - 1
+        return F.when(n < 1, w).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat(x, F.lit(" "), y))))
 
-def bigrams(words: str) -> Column:
-    """Distinct word bigrams of an array column; a lone word stands for itself."""
-    return F.expr(f"array_distinct(case when size({words}) < 2 then {words} else "
-                  f"transform(slice({words}, 1, size({words}) - 1), (x, i) -> concat(x, ' ', get({words}, i + 1))) end)")
+    # Bound to a name of its own, the array is made once, however the plan is rewritten.
+    return F.transform(F.array(words), pairs)[0]
 
 
 def key_words(templates: Mapping[str, list[str]], threshold: float) -> list[str]:
@@ -130,8 +138,7 @@ def template_table(spark, templates: Mapping[str, list[str]] = TEMPLATES, thresh
     """One row per template and passage size it can match: ``size``, ``licence``, ``template``, ``grams``."""
     rows = spark.createDataFrame([(k, n, t) for k, v in templates.items() for n, t in enumerate(v)],
                                  "licence string, template int, t string")
-    rows = rows.select("licence", "template", F.split(normal(F.col("t")), " ").alias("w"))
-    rows = rows.select("licence", "template", bigrams("w").alias("grams"))
+    rows = rows.select("licence", "template", bigrams(F.split(normal(F.col("t")), " ")).alias("grams"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = F.sequence(F.greatest(F.lit(1), F.ceil(F.size("grams") * low - 1e-9)).cast("int"), F.floor(F.size("grams") * high + 1e-9).cast("int"))
     return rows.select(F.explode(sizes).alias("size"), "licence", "template", "grams")
@@ -145,7 +152,8 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     texts and passages are never shuffled.
     """
     table = template_table(docs.sparkSession, templates, threshold)
-    longest = math.floor(max(len(t.split()) for v in templates.values() for t in v) * 2 * (2 - threshold) / threshold) + 2
+    most = table.agg(F.max("size")).first()[0] or 0
+    first = 2 * most + 2
     # Bigrams are made only of passages that hold a key word: no other reaches the threshold.
     keys = r"(?<![\p{L}\p{N}])(?:" + "|".join(key_words(templates, threshold)) + ")"
     docs = docs.filter(F.lower(F.col(text)).rlike(keys))
@@ -155,9 +163,7 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
                                                  "(i = 1 or not get(full, i - 2)))").alias("heads"),
                        F.expr("filter(sequence(1, size(lines)), i -> get(full, i - 1) and "
                               "(i = size(lines) or not get(full, i)))").alias("ends"))
-    # Of a paragraph, more lines than the longest template has words can't match.
-    paragraphs = F.expr(f"""transform(heads, (h, k) -> struct(h as line, concat_ws(' ', slice(lines, h,
-        least({longest}, get(ends, k) + 1 - h))) as passage))""")
+    paragraphs = F.expr("transform(heads, (h, k) -> struct(h as line, concat_ws(' ', slice(lines, h, get(ends, k) + 1 - h)) as passage))")
     sentences = F.expr("""flatten(transform(lines, (x, i) -> transform(
         array_distinct(concat(array(x), split(x, '(?<=[.!?;])\\\\s+'))), y -> struct(i + 1 as line, y as passage))))""")
     # Lines are joined with their numbers between line feeds; a piece that still holds a number wraps and begins before it.
@@ -170,12 +176,18 @@ def find_licences(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
         F.regexp_extract(x, r"\n(\d+)\n", 1).cast("int").alias("line"), F.regexp_replace(x, r"\n\d+\n", " ").alias("passage")))
     rows = rows.select("doc_id", F.explode(F.concat(sentences, paragraphs, wrapped)).alias("p"))
     rows = rows.select("doc_id", F.col("p.line").alias("line"), F.col("p.passage").alias("passage"))
-    rows = rows.filter(F.lower("passage").rlike(keys)).withColumn("w", F.split(normal(F.col("passage")), " "))
-    rows = rows.filter((F.size("w") <= longest) & (F.element_at("w", 1) != ""))
-    rows = rows.withColumn("own", bigrams("w")).withColumn("size", F.size("own"))
+    rows = rows.filter(F.lower("passage").rlike(keys))
     # Of a passage's bigrams, a template holds t / (2 - t) at least.
     every = [r.g for r in table.select(F.explode("grams").alias("g")).distinct().collect()]
-    rows = rows.filter(F.size(F.filter("own", lambda g: g.isin(every))) >= F.col("size") * (threshold / (2 - threshold)) - 1e-9)
+    # The first words, and in the last entry what is behind them.
+    cut = F.split(F.regexp_replace(F.lower("passage"), f"^{_GAP}", ""), _GAP, first + 1)
+    own = F.transform(F.array(cut), lambda c: F.struct(bigrams(F.filter(F.slice(c, 1, first), lambda x: x != "")).alias("own"),
+                                                       (F.size(c) > first).alias("long")))
+    own = F.filter(own, lambda p: F.size(p.own).between(1, most))
+    own = F.transform(own, lambda p: F.when(p.long, bigrams(F.split(normal(F.col("passage")), " "))).otherwise(p.own))
+    own = F.filter(own, lambda o: F.size(F.filter(o, lambda g: g.isin(every))) >= F.size(o) * (threshold / (2 - threshold)) - 1e-9)
+    # An explode, behind which no filter moves: bigrams are made once.
+    rows = rows.select("doc_id", "line", "passage", F.explode(own).alias("own")).withColumn("size", F.size("own"))
     joined = rows.join(F.broadcast(table), "size")
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("size") + F.size("grams"))
     hits = joined.select("doc_id", "line", "passage", "licence", dice.alias("dice")).filter(F.col("dice") >= threshold)

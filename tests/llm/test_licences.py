@@ -1,9 +1,11 @@
+import functools
 import re
 import textwrap
 
 from driftline.llm.licences import TEMPLATES, THRESHOLD, find_licences, key_words
 
 
+@functools.cache
 def grams(text):
     w = re.sub(r"[^\w]+|_", " ", text.lower()).split()
     return {(a, b) for a, b in zip(w, w[1:])} or {tuple(w)}
@@ -85,3 +87,13 @@ def test_wrapped_sentences_of_commented_headers(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.line, r.licence) for r in find_licences(docs).filter("dice > 0.99").collect()}
     assert got >= set(want)
+
+
+def test_a_long_passage_that_repeats_itself_is_compared_whole(spark):
+    line = "Released under the MIT License."
+    texts = [" ".join([line[:-1]] * 3000), "\n".join(["Released under the", "MIT License"] * 300), " ".join(["all rights reserved"] * 40000),
+             " ".join([line[:-1]] * 400) + " " + " ".join(f"w{i}" for i in range(500)), " ".join(f"w{i}" for i in range(50000)) + " " + line[:-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.passage, r.line, r.licence, round(r.dice, 6)) for r in find_licences(docs).collect()}
+    assert got == {(i, *x) for i, t in enumerate(texts) for x in plain(t)}
+    assert {x[0] for x in got} == {0, 1, 2}
