@@ -100,20 +100,21 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, doc_id: s
     for rank, rule in enumerate(rules):
         asked = F.lit(True) if trigram_query(rule.regex) is None else F.coalesce(F.array_contains("rules", rule.kind), F.lit(False))
         hit = asked & F.col("t").rlike(rule.regex)
-        parts.append(F.when(hit, F.struct(
-            F.regexp_extract_all("t", F.lit(rule.regex), F.lit(0)).alias("m"),
-            F.regexp_extract_all("t", F.lit(rule.regex), F.lit(rule.group)).alias("g"),
-            F.split("t", rule.regex).alias("gaps"))).alias(f"p{rank}"))
+        found = {"m": F.regexp_extract_all("t", F.lit(rule.regex), F.lit(0)), "gaps": F.split("t", rule.regex)}
+        if rule.group:
+            found["g"] = F.regexp_extract_all("t", F.lit(rule.regex), F.lit(rule.group))
+        parts.append(F.when(hit, F.struct(*[c.alias(name) for name, c in found.items()])).alias(f"p{rank}"))
     rows = rows.select("doc_id", *parts)
+    # Ends are running sums of the lengths: each step adds what lies twice as far back, so n matches take n log n.
+    rows = rows.select("doc_id", *[f"p{rank}" for rank in range(len(rules))], *[F.expr(f"""case when p{rank} is not null then aggregate(
+            filter(transform(sequence(0, 30), k -> shiftleft(1, k)), d -> d < size(p{rank}.m)),
+            zip_with(slice(p{rank}.gaps, 1, size(p{rank}.m)), p{rank}.m, (gap, m) -> cast(length(gap) + length(m) as bigint)),
+            (sums, d) -> transform(sums, (x, i) -> x + if(i < d, 0L, get(sums, i - d)))) end""").alias(f"e{rank}") for rank in range(len(rules))])
     spans = []
     for rank, rule in enumerate(rules):
-        p = f"p{rank}"
-        spans.append(F.expr(f"""case when {p} is not null then filter(aggregate(
-            zip_with(slice({p}.gaps, 1, size({p}.m)), arrays_zip({p}.m, {p}.g), (gap, x) -> struct(gap as gap, x.m as m, x.g as g)),
-            struct(0L as at, cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,secret:string>>) as found),
-            (acc, x) -> struct(acc.at + length(x.gap) + length(x.m) as at,
-              concat(acc.found, array(struct(acc.at + length(x.gap) as start, {rank} as rank, acc.at + length(x.gap) + length(x.m) as end,
-                '{rule.kind}' as kind, x.g as secret))) as found),
-            acc -> acc.found), x -> length(x.secret) >= {rule.min_length})
+        secret = "g" if rule.group else "m"
+        spans.append(F.expr(f"""case when p{rank} is not null then filter(
+            zip_with(e{rank}, zip_with(p{rank}.m, p{rank}.{secret}, (m, g) -> struct(m as m, g as g)), (e, x) -> struct(
+              e - length(x.m) as start, {rank} as rank, e as end, '{rule.kind}' as kind, x.g as secret)), x -> length(x.secret) >= {rule.min_length})
           else cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,secret:string>>) end"""))
     return rows.select("doc_id", F.sort_array(F.concat(*spans)).alias("found"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from brute import base_spans
 
@@ -68,3 +69,14 @@ def test_null_ids_keep_their_candidates(spark):
         got = sorted((r.doc_id or 0, sorted(x.kind for x in r.found)) for r in find_secrets(docs).collect())
         assert got == [(0, []), (0, []), (0, ["access", "git_token"]), (0, ["assign"]), (1, ["assign"]), (2, [])]
     spark.conf.unset("driftline.broadcastRows")
+
+
+def test_a_text_of_very_many_finds(spark):
+    text = "é \U0001F600 " + " ".join(f"{i:032x}" for i in range(150_000)) + " token=abcdef99"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    before = time.time()
+    got = [(x.start, x.rank, x.end, x.kind, text[x.start:x.end]) for x in find_secrets(docs).first().found if x.kind in ("assign", "access", "hex")]
+    assert time.time() - before < 60
+    want = [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]{24,}", text)]
+    at = text.index("token=")
+    assert got == [*want, (at, 0, len(text), "assign", "token=abcdef99")]
