@@ -10,8 +10,8 @@ Training uses a bounded sample of the labelled rows (``most_rows``, the smallest
 all rows where there are fewer). Shards of ``shard_rows`` rows train apart and their weights are
 averaged. Scoring reads every whole text once, in place, without a shuffle.
 
-Defined cases: null and empty texts get the bias alone; equal texts get equal scores; ids that
-repeat are joined row by row; with no labelled rows every score is one half; other columns are
+Defined cases: null and empty texts get the bias alone; equal texts get equal scores; of the rows that share an
+id, the one with the least features (in byte order) trains, once per label of the id; with no labelled rows every score is one half; other columns are
 passed through or ignored.
 """
 
@@ -129,7 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         at = np.flatnonzero(w)
         return pa.table({"k": pa.array([*at, 1 << BUCKET_BITS], pa.int32()), "w": pa.array([*w[at], b], pa.float64())})
 
-    found = rows.mapInArrow(buckets, "shard int, place long, y int, x binary").groupBy("shard").applyInArrow(train, "k int, w double")
+    features = rows.mapInArrow(buckets, "shard int, place long, y int, x binary")
+    # Map tasks keep one row of an id and label each, so an id that very many rows share is one row of its shard.
+    once = features.groupBy("shard", "place", "y").agg(F.min("x").alias("x"))
+    found = once.groupBy("shard").applyInArrow(train, "k int, w double")
     weights = found.groupBy("k").agg((F.sum("w") / shards).alias("w")).orderBy("k").collect()
     k, w = np.array([r.k for r in weights], np.int64), np.array([r.w for r in weights])
     bias = float(w[k == 1 << BUCKET_BITS].sum())

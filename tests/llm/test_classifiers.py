@@ -121,3 +121,13 @@ def test_held_out_labels(spark):
         assert len(got) == 1000 and got.score.between(0, 1).all()
         held = got.merge(labels, on="doc_id").query("held_out")
         assert auc(held.score.to_numpy(), held[label].to_numpy()) > least
+
+
+def test_an_id_of_many_rows_trains_toxicity_once(spark):
+    rows = [(i, f"word{i % 7} {'vile slur' if i % 2 else 'kind note'} tail{i % 5}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    one = toxicity.fit(spark.createDataFrame(rows, schema), labels, l1=0.1)
+    many = toxicity.fit(spark.createDataFrame(rows + [rows[1]] * 500, schema), labels, l1=0.1)
+    assert len(one.index) and one.index.tolist() == many.index.tolist()
+    assert one.value.tolist() == many.value.tolist() and one.bias == many.bias
