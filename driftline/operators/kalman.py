@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.blocks import BLOCK, Ordered
-from driftline.operators.per_series import Maker, add_columns, floats, to_arrow
+from driftline.operators.per_series import Maker, add_columns, add_columns_by_block, floats, map_groups, to_arrow
 from driftline.operators.steps import with_steps
 from driftline.session import join_small, materialise
 
@@ -105,41 +105,31 @@ def _filter_blocks(
     combined_schema = T.StructType(
         [*key_fields, rows.schema[BLOCK], T.StructField("_step", T.ArrayType(T.DoubleType()))])
 
-    def reduce_block(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        step = combine_all(single_steps(floats(table["dt_days"]), floats(table[value]), noise, r))
-        head = table.slice(0, 1)
-        return head.select([*keys, BLOCK]).append_column(
-            "_step", pa.array([step.tolist()], pa.list_(pa.float64())))
+    def reduce_blocks(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        steps = combine_runs(single_steps(floats(table["dt_days"]), floats(table[value]), noise, r), bounds)
+        head = table.select([*keys, BLOCK]).take(pa.array(bounds[:-1]))
+        return head.append_column("_step", pa.array(list(steps), pa.list_(pa.float64())))
 
-    blocks = materialise(
-        rows.select(*keys, BLOCK, order, "dt_days", value).groupBy(*keys, BLOCK)
-        .applyInArrow(reduce_block, combined_schema), "block-steps")
+    blocks = materialise(map_groups(
+        rows.select(*keys, BLOCK, order, "dt_days", value), [*keys, BLOCK], order, combined_schema, reduce_blocks), "block-steps")
     state_schema = T.StructType([*key_fields, rows.schema[BLOCK],
                                  *[T.StructField(c, T.DoubleType()) for c in _STATE]])
 
-    def carry_state(table: pa.Table) -> pa.Table:  # one row per block of a series
-        table = table.sort_by(BLOCK)
-        mean = np.array([table["_x0"][0].as_py(), table["_x1"][0].as_py()], dtype=float)
-        cover = np.diag([p0, p0])
-        states = []
-        for step in table["_step"].to_pylist():
-            states.append((*mean, cover[0, 0], cover[0, 1], cover[1, 1]))
-            mean, cover = apply_step(mean, cover, np.array(step, dtype=float))
+    def carry_state(table: pa.Table, bounds: np.ndarray) -> pa.Table:  # one row per block of each series
+        states = carried_states(floats(table["_x0"]), floats(table["_x1"]), np.array(table["_step"].to_pylist(), dtype=float), bounds, p0)
         out = table.select([*keys, BLOCK])
-        for name, values in zip(_STATE, np.array(states).T, strict=True):
+        for name, values in zip(_STATE, states.T, strict=True):
             out = out.append_column(name, to_arrow(values, "double"))
         return out
 
     states = materialise(
-        join_small(blocks, starts, keys, "inner").groupBy(*keys)
-        .applyInArrow(carry_state, state_schema), "block-states")
+        map_groups(join_small(blocks, starts, keys, "inner"), keys, BLOCK, state_schema, carry_state), "block-states")
 
     def make(dt, z, *state):
         return run_filter(dt, z, [s[0] for s in state], noise, r)
 
     ready = rows.join(states, [*keys, BLOCK])
-    out = add_columns(
+    out = add_columns_by_block(
         ready, [*keys, BLOCK], order, [Maker(("dt_days", value, *_STATE), _OUTPUTS, make)])
     return out.drop(*_STATE)
 
@@ -186,17 +176,49 @@ def combine(first, second):
 
 
 def combine_all(steps):
-    """Pairwise combination, so that rounding grows with the logarithm of the length."""
-    while len(steps) > 1:
-        odd = steps[-1:] if len(steps) % 2 else steps[:0]
-        even = steps[:len(steps) - len(odd)]
-        steps = np.concatenate([combine(even[0::2], even[1::2]), odd])
-    return steps[0]
+    """The one step equal to all of them."""
+    return combine_runs(steps, np.array([0, len(steps)]))[0]
+
+
+def combine_runs(steps, bounds):
+    """One step per run ``bounds[i]:bounds[i + 1]``; pairwise, so that rounding grows with the logarithm of the length."""
+    size = np.diff(bounds)
+    steps = steps.copy()
+    while (size > 1).any():
+        first = np.cumsum(size) - size
+        at = np.arange(len(steps)) - np.repeat(first, size)
+        left = np.flatnonzero((at % 2 == 0) & (at + 1 < np.repeat(size, size)))
+        steps[left] = combine(steps[left], steps[left + 1])
+        steps = steps[at % 2 == 0]
+        size = (size + 1) // 2
+    return steps
+
+
+def carried_states(x0, x1, steps, bounds, p0):
+    """The state before each step of each series: mean and covariance as ``_STATE``. All series go side by side."""
+    states = np.empty((len(steps), len(_STATE)))
+    size, first = np.diff(bounds), bounds[:-1]
+    mean = np.stack([x0[first], x1[first]], axis=-1)
+    cover = np.tile(np.diag([p0, p0]).astype(float), (len(first), 1, 1))
+    for turn in range(int(size.max(initial=0))):
+        going = size > turn
+        if not going.all():
+            size, first, mean, cover = size[going], first[going], mean[going], cover[going]
+        at = first + turn
+        states[at] = np.stack([mean[:, 0], mean[:, 1], cover[:, 0, 0], cover[:, 0, 1], cover[:, 1, 1]], axis=-1)
+        mean, cover = apply_steps(mean, cover, steps[at])
+    return states
+
+
+def apply_steps(mean, cover, steps):
+    """Each state after its step, for stacks of them."""
+    a, b, c, eta, j = _unpack(steps)
+    vec = lambda m, v: np.einsum("nij,nj->ni", m, v)
+    ai = a @ np.linalg.inv(np.eye(2) + cover @ j)
+    moved = ai @ cover @ np.swapaxes(a, -1, -2) + c
+    return vec(ai, mean + vec(cover, eta)) + b, (moved + np.swapaxes(moved, -1, -2)) / 2.0
 
 
 def apply_step(mean, cover, step):
-    a, b, c, eta, j = (m[0] for m in _unpack(step[None, :]))
-    inv = np.linalg.inv(np.eye(2) + cover @ j)
-    ai = a @ inv
-    moved = ai @ cover @ a.T + c
-    return ai @ (mean + cover @ eta) + b, (moved + moved.T) / 2.0
+    mean, cover = apply_steps(mean[None], cover[None], step[None])
+    return mean[0], cover[0]
