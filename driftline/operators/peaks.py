@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.blocks import BLOCK, Ordered, following, last_seen, next_seen, previous
-from driftline.operators.per_series import Maker, add_columns, floats, to_arrow
+from driftline.operators.per_series import Maker, add_columns, add_columns_by_block, floats, map_groups, to_arrow
 from driftline.session import join_small, materialise, rows_per_block
 
 
@@ -122,11 +122,11 @@ def _keep_long(
         .withColumns({"_width": width.cast("bigint"), "_state": F.lit(_OPEN).cast("bigint")}), "candidates")
     fields = [state.schema[c] for c in state.columns]
 
-    def decide(table: pa.Table) -> pa.Table:
-        table = table.sort_by("k")
-        own = np.asarray(table["k"].to_numpy() // table["_width"].to_numpy() == table["_tile"].to_numpy())
-        states = decide_tile(table["k"].to_numpy(), floats(table["_h"]), table["_gap"][0].as_py(),
-                             np.array(table["_state"].to_numpy()), own)
+    def decide(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        k, height, gap, tile = table["k"].to_numpy(), floats(table["_h"]), table["_gap"].to_numpy(), table["_tile"].to_numpy()
+        own, states = k // table["_width"].to_numpy() == tile, np.array(table["_state"].to_numpy())
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            states[a:b] = decide_tile(k[a:b], height[a:b], gap[a], states[a:b], own[a:b])
         out = table.select([f.name for f in fields])
         at = out.schema.get_field_index("_state")
         return out.set_column(at, "_state", pa.array(states)).filter(pa.array(own & (states != _DROPPED)))
@@ -134,18 +134,17 @@ def _keep_long(
     while not state.where(F.col("_state") == _OPEN).isEmpty():
         reach = F.sequence(F.expr("greatest(k - _gap, 0) div _width"), F.expr("(k + _gap) div _width"))
         placed = state.withColumn("_tile", F.explode(reach))
-        state = materialise(
-            placed.groupBy(*keys, "_tile").applyInArrow(decide, T.StructType(fields)), "decided")
+        state = materialise(map_groups(placed, [*keys, "_tile"], "k", T.StructType(fields), decide), "decided")
     return state.select(*keys, "k")
 
 
 def decide_tile(k, height, gap, state, own):
     """New states of one tile's candidates and their neighbours in other tiles."""
     state = state.copy()
-    for i in np.lexsort((k, height))[::-1]:
-        if state[i] != _OPEN:
-            continue
-        near = slice(np.searchsorted(k, k[i] - gap, side="right"), np.searchsorted(k, k[i] + gap, side="left"))
+    starts, stops = np.searchsorted(k, k - gap, side="right"), np.searchsorted(k, k + gap, side="left")
+    falling = np.lexsort((k, height))[::-1]
+    for i in falling[state[falling] == _OPEN].tolist():
+        near = slice(starts[i], stops[i])
         if (state[near] == _KEPT).any():
             state[i] = _DROPPED
             continue
@@ -201,7 +200,7 @@ def _prominence_long(rows: DataFrame, keys: list[str], order: str, name: str) ->
 
     maker = Maker(("_h",), {"_low_l": "double", "_open_l": "boolean", "_low_r": "double",
                             "_open_r": "boolean"}, local)
-    found = materialise(add_columns(rows, [*keys, BLOCK], order, [maker]), "bases")
+    found = materialise(add_columns_by_block(rows, [*keys, BLOCK], order, [maker]), "bases")
     blocks = rows.groupBy(*keys, BLOCK).agg(F.max("_h").alias("top"), F.min("_h").alias("low"))
     lists = materialise(blocks.groupBy(*keys).agg(
         F.collect_list(F.struct(F.col(BLOCK).alias("at"), "top", "low")).alias("_blocks")), "block-extremes")

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
 
 from driftline.operators import kalman
-from driftline.operators.blocks import arrange
+from driftline.operators.blocks import arrange, position
+from driftline.operators.peaks import keep_distant, local_maxima, suppress_near, with_prominence
 from driftline.operators.per_series import map_groups, whole_groups
 
 
@@ -94,3 +95,24 @@ def test_many_groups_in_one_call(spark):
 
     found = [r.n for r in map_groups(rows, ["g"], "at", T.StructType([T.StructField("n", T.LongType())]), change).collect()]
     assert sum(found) == 500 and len(found) <= 8
+
+
+def peaks_of(samples):
+    series = arrange(samples.select("norad", "epoch", "x"), ["norad"], "epoch").extend(k=position())
+    return local_maxima(series, {"x": "is_peak"})
+
+
+def test_tiles_of_suppression_share_calls(spark, samples, calls, tiny_blocks):
+    out = suppress_near(peaks_of(samples).with_columns({"distance": F.lit(7).cast("bigint")}), [("is_peak", "x", "kept")], "distance")
+    rows = out.long.collect()
+    assert not [f for f in calls if f.__name__ != "run"]
+    assert len(rows) == 40 * 30 and any(r.is_peak and not r.kept for r in rows)
+    for norad in range(40):
+        own = sorted((r for r in rows if r.norad == norad), key=lambda r: r.k)
+        arrays = [np.array([float(r[c]) for r in own]) for c in ("k", "x", "is_peak", "distance")]
+        assert [r.kept for r in own] == keep_distant(*arrays).tolist()
+
+
+def test_blocks_of_prominence_share_calls(spark, samples, calls, tiny_blocks):
+    with_prominence(peaks_of(samples), "x").long.count()
+    assert len([f for f in calls if f.__name__ == "run"]) == 1  # that of the short series
