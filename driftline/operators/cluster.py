@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from driftline.functions.timing import micros
 from driftline.functions.values import finite_or_null
 from driftline.operators.blocks import (
-    arrange, following, last_seen, next_seen, previous, running, series_start)
-from driftline.session import join_small, materialise
+    arrange, following, last_seen, long_groups, next_seen, previous, running, series_start)
+from driftline.session import join_small, materialise, rows_per_block
 
 
 def common_grid(series: DataFrame, keys: list[str], time: str = "epoch") -> DataFrame:
@@ -85,27 +85,35 @@ def cluster_mean(
         F.sum("_size").alias("_size"), F.coalesce(power, F.lit(1.0)).alias("_scale"), F.min("_origin").alias("_origin")), "scales")
     sizes = scales.select(*group, "_size")
     scales = scales.drop("_size")
+    if group and long_groups(series, group, rows_per_block(series.sparkSession), "long-groups", sizes) is None:
+        # Groups that one task may hold are brought together once; nothing that follows needs another exchange of rows.
+        clean = clean.repartition(*group)
     # Rows of one member at one time count as one row with their mean.
     clean = clean.groupBy(*keys, time).agg(F.avg("_y").alias("_y"))
     clean = clean.withColumn("_us", micros(clean, time))
     scaled = join_small(clean, scales, group, "inner") if group else clean.join(F.broadcast(scales))
-    scaled = scaled.withColumns({
-        "_y": (F.col("_y") / F.col("_scale")).cast(_VALUE),
+    scaled = scaled.withColumn("_f", F.col("_y") / F.col("_scale")).withColumns({
+        "_y": F.col("_f").cast(_VALUE),
         "_t": (F.expr(f"cast(_us - _origin as {_MICRO})") * F.expr("cast(0.000001 as decimal(6,6))")).cast(_SECONDS),
     }).drop("_us", "_origin", "_scale")
     paired = arrange(scaled, keys, time, measure=series, sizes=members.select(*keys, "_size")).extend(
-        _before=previous("_t", "_y"), _after=following("_t", "_y"))
-    opened = _line(F.col("_t"), F.col("_y"), F.col("_after._t"), F.col("_after._y"))
-    closed = _line(F.col("_before._t"), F.col("_before._y"), F.col("_t"), F.col("_y"))
-    paired = paired.with_columns({"_open": opened, "_shut": closed})
-    counts = F.col("_y").isNotNull() & (F.col("_before").isNotNull() | F.col("_after").isNotNull())
+        _before=previous("_t"), _after=following("_t", "_f"))
+    # A line is made once, at its first row; the row at its other end takes it over. The slope is a column of its own,
+    # since its conversions cost more than all else and must not stand in two expressions.
+    slope = (F.col("_after._f") - F.col("_f")) / (F.col("_after._t") - F.col("_t")).cast("double")
+    paired = paired.with_columns({"_b": slope.cast(_SLOPE), "_lone": F.col("_before").isNull() & F.col("_after").isNull()})
+    paired = paired.drop("_before", "_after", "_f").with_columns({
+        "_a": (F.col("_y").cast(_SUM) - (F.col("_b") * F.col("_t")).cast(_SUM)).cast(_LEVEL)})
+    paired = paired.extend(_last=previous("_a", "_b"))
+    counts = F.col("_y").isNotNull() & ~F.col("_lone")
+    parts = {"_open": ("_a", "_b"), "_shut": ("_last._a", "_last._b")}
     events = paired.result().groupBy(*group, time).agg(
         F.max("_t").alias("_t"),
         _total(F.when(counts, F.col("_y")), _SUM).alias("_here"),
         F.count_if(counts).alias("_n_here"),
-        *[_total(F.col(f"{line}.{part}"), kind).alias(f"{line}_{part}")
-          for line in ("_open", "_shut") for part, kind in (("a", _LEVEL), ("b", _SLOPE))],
-        *[F.count(line).alias(f"{line}_n") for line in ("_open", "_shut")])
+        *[_total(F.col(part), kind).alias(f"{line}_{name}")
+          for line, pair in parts.items() for name, part, kind in zip("ab", pair, (_LEVEL, _SLOPE), strict=True)],
+        *[F.count(pair[1]).alias(f"{line}_n") for line, pair in parts.items()])
     net = {part: running(F.col(f"_open_{part}") - F.col(f"_shut_{part}")) for part in "abn"}
     swept = arrange(events, group, time, measure=series, sizes=sizes).extend(**{f"_net_{p}": step for p, step in net.items()})
     # At a grid time the lines that open there are not yet under way.
@@ -120,14 +128,6 @@ def cluster_mean(
     return out.select(*group, time, mean.alias("mean"), "n_members")
 
 
-def _line(t0: Column, y0: Column, t1: Column, y1: Column) -> Column:
-    """Intercept ``a`` and slope ``b`` through two points; NULL where either value is missing."""
-    slope = ((y1 - y0).cast("double") / (t1 - t0).cast("double")).cast(_SLOPE)
-    known = t0.isNotNull() & t1.isNotNull() & y0.isNotNull() & y1.isNotNull()
-    return F.when(known, F.struct(
-        (y0.cast(_SUM) - (slope * t0).cast(_SUM)).cast(_LEVEL).alias("a"), slope.alias("b")))
-
-
 def _total(x: Column, kind: str) -> Column:
     return F.coalesce(F.sum(x).cast(kind), F.lit(0).cast(kind))
 

@@ -113,3 +113,23 @@ def test_chart_plans(spark):
     members = spark.createDataFrame([("c", 1), ("c", 2)], "cluster string, norad long")
     mean = cluster_series(history, members, ["sma", "bstar"]).where("param = 'sma'").orderBy("epoch").collect()
     assert [r["mean"] for r in mean] == pytest.approx([1.5 * i for i in range(10)]) and mean[0].n_members == 2
+
+
+def test_small_clusters_come_together_once(spark):
+    """All steps of the mean share one exchange of the rows, and a line is made once."""
+    rows = spark.createDataFrame(
+        [(c, n, dt.datetime(2026, 1, 1) + dt.timedelta(hours=7 * i + n), float(n + i * i % 5)) for c in (None, 1, 2) for n in (1, 2, 3) for i in range(6)],
+        "cluster long, norad long, epoch timestamp_ntz, value double")
+    out = cluster_mean(rows, ["cluster"])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("hashpartitioning(") == 1
+    assert plan.count("as decimal(30,22)) AS _b") == 1 and plan.count(" / cast((_after") == 1
+    found = {(r.cluster, r.epoch): (r.mean, r.n_members) for r in out.collect()}
+    spark.conf.set("driftline.rowsPerBlock", "10")  # clusters of 18 rows are long, their members of 6 are not
+    try:
+        cut = {(r.cluster, r.epoch): (r.mean, r.n_members) for r in cluster_mean(rows, ["cluster"]).collect()}
+    finally:
+        spark.conf.unset("driftline.rowsPerBlock")
+    assert found.keys() == cut.keys() and len(found) > 30
+    for key, (mean, n) in found.items():
+        assert cut[key] == (pytest.approx(mean, rel=1e-12), n)
