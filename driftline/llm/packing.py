@@ -69,6 +69,8 @@ class ByteIds(KnownPieces):
         plain = all(t["content"].startswith("<|") and t["content"].endswith("|>") and t["content"][2:-2].isalnum() and t["content"].isascii()
                     and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in special)
         self.by_run = plain and made["normalizer"] is None and made["pre_tokenizer"] == _SPLITTER
+        if self.by_run:
+            self.join_by(made["added_tokens"])
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end`` after each, and their counts."""

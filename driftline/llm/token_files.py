@@ -73,6 +73,8 @@ class WordIds(KnownPieces):
         plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"][:1] == "<" and
                     not _SPACE.search(t["content"]) for t in made["added_tokens"])
         self.by_word = plain and [made["normalizer"], made["pre_tokenizer"]] == _SPLITTER
+        if self.by_word:
+            self.join_by(made["added_tokens"])
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end`` after each, and their counts."""

@@ -92,3 +92,18 @@ def test_another_splitter_gets_whole_texts():
     ids, count = WordIds(other).encode(pa.array(ODD), 2)
     tok = Tokenizer.from_file(other)
     assert ids.tolist() == [i for t in ODD for i in [*tok.encode(t or "", add_special_tokens=False).ids, 2]]
+
+
+def test_many_pieces_go_to_the_tokenizer_in_one_text(monkeypatch):
+    """Fresh pieces cost no call each, and one that holds what begins a special token is encoded by itself."""
+    words = WordIds(PATH)
+    rng = random.Random(8)
+    made = ["".join(rng.choice("abcdeéßзя́'0.9$#-") for _ in range(rng.randint(1, 12))) for _ in range(700)]
+    made[5:5] = ["<|endoftext|>", "a<|startoftext|>b", "<", "x<y", "́", "<|endoftext|>"]
+    seen, real = [], words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda texts: seen.append(len(texts)) or real(texts))
+    ids, count = words.encode(pa.array([*made, " ".join(made)]), 2)
+    plain = Tokenizer.from_file(PATH)
+    wanted = [plain.encode(t, add_special_tokens=False).ids + [2] for t in [*made, " ".join(made)]]
+    assert ids.tolist() == [x for w in wanted for x in w] and count.tolist() == [len(w) for w in wanted]
+    assert sum(seen) < 50
