@@ -16,9 +16,11 @@ Two texts link when their sets of distinct 5-word shingles (letters A-Z in lower
 * *Pairs.* A posting list is not opened into all its pairs. In each round every list names a few pivots, and all others
   of the list are compared with them unless both are in one component already. A pivot has then met the whole list
   and leaves it, and lists whose nodes are all in one component are dropped. The number of pivots grows by the round,
-  so lists end after a few rounds and every pair is either compared or known to be connected. Pairs must pass the length
-  filter, the positional filter (what can still be shared behind the match) and the suffix filter (sizes of 8 hash
-  classes of both sets bound what they share); each that is left is verified once in a round on the whole sets.
+  so lists end after a few rounds and every pair is either compared or known to be connected. Entries of a list carry the
+  size and the bitmap of their node, so that the join of lists and pivots itself drops what the length filter, the positional
+  filter (what can still be shared behind the match) or the bitmap filter rules out: a bit is the parity of the shingles
+  of one of 512 hash classes, and two sets differ in a shingle at least for each bit in which their bitmaps differ.
+  Each pair that is left is verified once in a round on the whole sets.
 * *Components.* The links of a round connect components; labels spread by minima and by jumps until nothing changes.
 
 Shingles are 64-bit hashes of words; two different shingles of one text, or of two compared ones, agree by chance about
@@ -50,8 +52,11 @@ SKETCH_KEYS = 1 << (SKETCH_BITS - 2)
 LEAST_CLASS = 2
 #: Rows of texts that go to Python at once.
 BATCH_ROWS = 1_000
+#: Bytes that go to Python at once: the packed rows take tens of kilobytes each.
+BATCH_BYTES = 4 * 1024 * 1024
 _PROBES = 3
-_TAILS = 8
+#: The columns of a set's bitmap, 64 bits each.
+BITMAP = [f"bits{i}" for i in range(8)]
 _KEY_BYTES = 6
 
 
@@ -222,6 +227,13 @@ def _node(s: np.ndarray) -> np.uint64:
     return mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each hash class, 64 classes to a number."""
+    size = 64 * len(BITMAP)
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefix(sketch: tuple, s: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of the prefix and their places in the order."""
     p = len(s) - needed(len(s), threshold) + 1
@@ -343,7 +355,7 @@ def _checked_semi(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """One row per node with postings: ``node``, ``n``, ``tails`` and the ``whole`` set."""
+    """One row per node with postings: ``node``, ``n``, its bitmap and the ``whole`` set."""
     wanted = materialise(found.filter("token is not null").select("node").distinct(), "candidates")
     of_docs = _checked_semi(found.filter("token is null"), wanted, "node")
     ids = materialise(of_docs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "candidate-ids")
@@ -353,14 +365,15 @@ def candidate_sets(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
         for b in pieces(batches, "t"):
             sets = [s for s in text_sets(b.column(1), size) if len(s)]
             if sets:
-                tails = [np.bincount((s & np.uint64(_TAILS - 1)).astype(np.int64), minlength=_TAILS).tolist() for s in sets]
+                bits = np.stack([bitmap(s) for s in sets], axis=1)
                 n = np.array([len(s) for s in sets], np.int32)
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(_node(s).view(np.int64)) for s in sets], pa.int64()), pa.array(n), pa.array(tails, pa.list_(pa.int32())),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "n", "tails", "whole"])
+                    [pa.array([int(_node(s).view(np.int64)) for s in sets], pa.int64()), pa.array(n), *[pa.array(x) for x in bits],
+                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "n", *BITMAP, "whole"])
 
-    sets = _checked_semi(docs, ids, "doc_id").mapInArrow(run, "node long, n int, tails array<int>, whole array<long>")
+    schema = f"node long, n int, {', '.join(f'{b} long' for b in BITMAP)}, whole array<long>"
+    sets = _checked_semi(docs, ids, "doc_id").mapInArrow(run, schema)
     sets = materialise(_checked_semi(sets, wanted, "node"), "shingle-sets")
     if sets.select("node").count() > sets.select("node").distinct().count():  # rows that repeat an id
         sets = materialise(sets.groupBy("node").agg(F.first(F.struct(*sets.columns)).alias("s")).select("s.*"), "shingle-sets")
@@ -383,10 +396,10 @@ def _alive(postings: DataFrame) -> DataFrame:
     return postings.join(open_lists, "token", "left_semi")
 
 
-def _pairs(postings: DataFrame, tails: DataFrame, pivots: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _pairs(postings: DataFrame, pivots: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of a node and a pivot of one of its lists that pass the filters, and the pivots of each list."""
     slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-    named = postings.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n", "place")).alias("v"))
+    named = postings.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n", "place", *BITMAP)).alias("v"))
     named = materialise(named.select("token", "v"), "pivots")
     both = postings.join(named, "token").filter((F.col("comp") != F.col("v.comp")) & (F.col("node") != F.col("v.node")))
     n, m = F.col("n"), F.col("v.n")
@@ -400,12 +413,11 @@ def _pairs(postings: DataFrame, tails: DataFrame, pivots: int, threshold: int) -
 
     behind = F.least(n - earliest(n, F.col("place")), m - earliest(m, F.col("v.place")))
     position = F.least(earliest(n, F.col("place") + 1), earliest(m, F.col("v.place") + 1)) + 1 + behind >= share
-    pairs = both.filter(length & position).select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b"),
-                                                  share.alias("share")).distinct()
-    for end in "ab":
-        pairs = join_small(pairs, tails.select(F.col("node").alias(end), F.col("tails").alias(f"t{end}")), [end], "inner")
-    suffix = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) >= F.col("share")
-    return pairs.filter(suffix).select("a", "b"), named.select("token", F.col("v.node").alias("node"))
+    # Sets that share so much differ in n + m - 2 * share shingles at most.
+    differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"v.{b}"))) for b in BITMAP)
+    pairs = both.filter(length & position & (differ <= n + m - 2 * share)).select(F.least("node", "v.node").alias("a"),
+                                                                                  F.greatest("node", "v.node").alias("b")).distinct()
+    return pairs, named.select("token", F.col("v.node").alias("node"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -441,11 +453,10 @@ def components(edges: DataFrame) -> DataFrame:
 def link_components(postings: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``node`` and ``comp`` of the nodes that have links; ``sets`` has one row per node of the postings."""
     labels = None
-    postings = join_small(_distinct_lists(postings), sets.select("node", "n"), ["node"], "inner").withColumn("comp", F.col("node"))
-    tails = sets.select("node", "tails")
+    postings = join_small(_distinct_lists(postings), sets.select("node", "n", *BITMAP), ["node"], "inner").withColumn("comp", F.col("node"))
     postings, pivots = materialise(postings, "postings"), 1
     while not postings.isEmpty():
-        pairs, named = _pairs(postings, tails, pivots, threshold)
+        pairs, named = _pairs(postings, pivots, threshold)
         links = materialise(_verified(pairs, sets, threshold), "links")
         rest = postings.join(named, ["token", "node"], "left_anti")
         if not links.isEmpty():
@@ -470,7 +481,7 @@ def similar_components(docs: DataFrame, threshold: int = THRESHOLD, size: int =
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     spark = docs.sparkSession
-    with arrow_batches(spark, BATCH_ROWS):
+    with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
         sketch = Sketch.build(frequencies(rows, size))
         shared = spark.sparkContext.broadcast((sketch.table, sketch.bits))
         posted = find_postings(rows, shared, size, threshold, docs.schema[doc_id].dataType.simpleString())

@@ -20,6 +20,7 @@ DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PARTITION_BYTES = 128 * 1024 * 1024
 
 
@@ -86,15 +87,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs inside send at most ``rows`` rows at once to Python: texts of some kilobytes each fill tens of megabytes by default,
-    in the JVM and again in Python."""
-    before = spark.conf.get(_BATCH_CONF)
-    spark.conf.set(_BATCH_CONF, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_batches(spark: SparkSession, rows: int, most_bytes: int | None = None) -> Iterator[None]:
+    """Jobs inside send at most ``rows`` rows at once to Python, and no more than about ``most_bytes`` bytes or one row: texts of
+    some kilobytes each fill tens of megabytes by default, in the JVM and again in Python."""
+    before = {name: spark.conf.get(name) for name in (_BATCH_CONF, _BATCH_BYTES_CONF)}
+    held = int(before[_BATCH_CONF])
+    spark.conf.set(_BATCH_CONF, str(min(rows, held) if held > 0 else rows))
+    if most_bytes:
+        spark.conf.set(_BATCH_BYTES_CONF, str(most_bytes))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_CONF, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _width(value: Column, kind: DataType) -> Column | int:

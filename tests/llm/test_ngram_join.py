@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from brute import WORD
 
 from test_token_files import thue_morse
@@ -83,3 +84,43 @@ def test_empty_table_and_repeated_ids(spark):
 def test_structured_words_are_told_apart(spark):
     rows = [f"{w} x y z u" for bits in range(10, 15) for w in thue_morse(bits)]
     check(spark, rows + rows[:2])
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_differ_in_shingles():
+    draw = np.random.default_rng(5)
+    for size in (1, 40, 300, 3000):
+        x = draw.integers(0, 2**63, size).astype(np.uint64)
+        for gone in (0, 1, size // 7, size):
+            y = np.concatenate([x[gone:], draw.integers(0, 2**63, gone // 2).astype(np.uint64)])
+            bits = np.unpackbits((ngram_join.bitmap(x) ^ ngram_join.bitmap(y)).view(np.uint8)).sum()
+            assert bits <= len(np.setxor1d(x, y))
+    assert bits > 0
+
+
+def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    """Their lists are long and their sizes alike: bitmaps tell them apart before any whole set is read."""
+    draw = random.Random(9)
+    passage = [f"p{i}" for i in range(110)]
+    rows = [" ".join(passage + [f"x{draw.randrange(10**9)}" for _ in range(90)]) for _ in range(60)]
+    rows += [rows[0] + " more", rows[1] + " more"]
+    compared, verified = [], ngram_join._verified
+
+    def counted(pairs, sets, threshold):
+        compared.append(pairs.count())
+        return verified(pairs, sets, threshold)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    # With shingles of many texts not told from rare ones, the prefixes hold those of the passage.
+    monkeypatch.setattr(ngram_join, "SKETCH_KEYS", 0)
+    check(spark, rows)
+    assert 2 <= sum(compared) <= 10
+
+
+def test_python_gets_few_bytes_at_once(spark, monkeypatch):
+    held, names = [], ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    find = ngram_join.find_postings
+    monkeypatch.setattr(ngram_join, "find_postings", lambda *a: held.append([spark.conf.get(name) for name in names]) or find(*a))
+    similar_components(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+    assert held == [[str(ngram_join.BATCH_ROWS), str(ngram_join.BATCH_BYTES)]]
+    assert [spark.conf.get(name) for name in names] == before
