@@ -10,7 +10,8 @@ byte ranges, and the objects are put together again:
   an edge is put together from its pieces, which are found and written beforehand, for the ranges that have any.
 
 The ranges come from a session of its own whose split size is fixed, so both passes see the same ones whatever the
-cluster does in between.
+cluster does in between. A task takes as many ranges as make up a partition of usual size: what a task and the file that
+it writes cost does not count once per range.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.session import join_small, materialise
+from driftline.session import is_small, materialise
 
 SPLIT_CONF = "spark.sql.files.maxPartitionBytes"
 _SEPARATOR = "}"
@@ -115,11 +116,21 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes, bo
         yield row, text(True), True
 
 
-def _lines(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
+def _task_bytes(spark: SparkSession, total: int) -> int:
+    """What a task reads of ``total`` bytes by Spark's own rule for its sources."""
+    conf = spark._jsparkSession.sessionState().conf()
+    each = max(conf.filesOpenCostInBytes(), total // spark.sparkContext.defaultParallelism)
+    return max(1, min(conf.filesMaxPartitionBytes(), each))
+
+
+def _lines(spark: SparkSession, paths: list[str], split_bytes: int, total: int) -> DataFrame:
     reader = spark.newSession()
     reader.conf.set(SPLIT_CONF, str(split_bytes))
     reader.conf.set("spark.sql.files.openCostInBytes", str(split_bytes))  # else splits follow the number of cores
+    # Listing takes a task per file otherwise.
+    reader.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
     lines = reader.read.option("lineSep", _SEPARATOR).text(paths)
+    lines = lines.coalesce(max(1, -(-total // _task_bytes(spark, total))))  # a range stays whole and in order
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                         F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary").alias("value"))
 
@@ -178,7 +189,13 @@ def _walked(lines: DataFrame, starts: DataFrame, edges: bool) -> DataFrame:
                 walk = None
 
     known = starts.withColumnsRenamed({"path": "p", "block": "b"})
-    met = join_small(lines, known, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")), "left").drop("p", "b", "length")
+    same = (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))
+    if is_small(known):
+        met = lines.join(F.broadcast(known), same, "left")
+    else:  # an exchange leaves the lines of a range in any order
+        met = lines.withColumn("at", F.monotonically_increasing_id()).join(known, same, "left")
+        met = met.sortWithinPartitions("path", "block", "at").drop("at")
+    met = met.drop("p", "b", "length")
     if not edges:
         return met.mapInArrow(run, "record binary")
     met = met.where(F.col("inside") | (F.col("depth") > 0) | F.col("passes_on"))
@@ -199,13 +216,17 @@ def _over_edges(lines: DataFrame, starts: DataFrame) -> DataFrame:
     return materialise(whole.select("record").mapInArrow(run, "record binary"), "edge-records")
 
 
-def json_records(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
+def json_records(spark: SparkSession, paths: list[str], split_bytes: int, total: int | None = None) -> DataFrame:
     """``record``: the text of every object of the array files ``paths`` (UTF-8), and of what else stands between them.
 
+    ``total`` is the files' size together, if it is known.
+
     An object may hold others, and strings with brackets, braces and quotes. Where a file ends inside an object the rest of it
     is one record, so that a parser tells that it is malformed.
     """
-    lines = _lines(spark, paths, split_bytes)
+    if total is None:
+        total = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
+    lines = _lines(spark, paths, split_bytes, total)
     starts = _starts(_effects(lines))
     found = _walked(lines, starts, False)
     if not starts.where(F.col("passes_on")).isEmpty():

@@ -33,12 +33,13 @@ def _read_text_fields(spark: SparkSession, path: str, fields: list[str], array_f
     split = split_bytes or spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # the listing alone is read
     large = (F.col("length") > split) & ~F.lower("path").rlike("(" + "|".join(x.replace(".", "[.]") for x in _PACKED) + ")$")
-    files = [(r.path, r.large) for r in files.select("path", large.alias("large")).collect()]
-    if not any(is_large for _, is_large in files):
+    files = files.select("path", "length", large.alias("large")).collect()
+    if not any(f.large for f in files):
         return reader.json(path)
     parse = F.from_json("record", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED})
-    out = json_records(spark, [p for p, is_large in files if is_large], split).select(parse.alias("r")).select("r.*")
-    small = [p for p, is_large in files if not is_large]
+    total = sum(f.length for f in files if f.large)
+    out = json_records(spark, [f.path for f in files if f.large], split, total).select(parse.alias("r")).select("r.*")
+    small = [f.path for f in files if not f.large]
     return out.unionByName(reader.json(small)) if small else out
 
 

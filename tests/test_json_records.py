@@ -95,3 +95,24 @@ def test_state_of_every_byte():
     assert list(zip(within.tolist(), open_braces(data, within, 0).tolist())) == want
     walk = Walk(False, 0)
     assert walk.feed(text + b", ") == [text] and walk.rest == b", " and split(b", ") == []
+
+
+def test_a_task_takes_many_small_ranges(spark, tmp_path):
+    rows = records(150, seed=3)
+    paths = [written(tmp_path / f"{i}.json", json.dumps(rows[15 * i:15 * i + 15], ensure_ascii=False)) for i in range(10)]
+    frame = json_records(spark, paths, 40)
+    ranges = sum(-(-len((tmp_path / f"{i}.json").read_bytes()) // 40) for i in range(10))
+    assert ranges > 100 and frame.rdd.getNumPartitions() < ranges / 2
+    assert sorted((json.loads(r.record) for r in frame.collect()), key=json.dumps) == sorted(rows, key=json.dumps)
+
+
+@pytest.mark.parametrize("split_bytes", [37, 1000])
+def test_starts_too_many_to_broadcast(spark, tmp_path, split_bytes):
+    rows = records(120, seed=4)
+    paths = [written(tmp_path / f"{i}.json", json.dumps(rows[60 * i:60 * i + 60], ensure_ascii=False, indent=1)) for i in range(2)]
+    spark.conf.set("driftline.broadcastRows", "1")
+    try:
+        got = [json.loads(r.record) for r in json_records(spark, paths, split_bytes).collect()]
+    finally:
+        spark.conf.unset("driftline.broadcastRows")
+    assert sorted(got, key=json.dumps) == sorted(rows, key=json.dumps)
