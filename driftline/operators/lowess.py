@@ -1,8 +1,8 @@
 """Robust local linear smoothing (Cleveland 1979) of each series.
 
-A series in one block is smoothed in one call. For longer ones the neighbours of every row are
-found by joins and running counts, and the weighted sums of a fit are added up over tiles of
-the series, so that a task holds two tiles at most, however many neighbours a fit has.
+A series in one block is smoothed in one call. Longer ones are cut into tiles, each one packed
+row (``tiles``). The neighbours of a tile's rows are found in the tiles that hold them, and the weighted sums of a fit are
+added up tile by tile, so that a task holds the tiles of an Arrow batch at most, however many neighbours a fit has.
 
 Where fits have many neighbours the sums come from moments of nested halves (``moments``), about two per level, so that the work grows with
 the rows and not with rows times neighbours. Between the tiles with the ends of a row's neighbours whole tiles count by their moments.
@@ -10,26 +10,28 @@ the rows and not with rows times neighbours. Between the tiles with the ends of
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.values import is_finite
-from driftline.operators.blocks import BLOCK, Ordered, arrange, position, running
+from driftline.operators.blocks import BLOCK, Ordered
 from driftline.operators.moments import Nodes, Tree, points, whole
 from driftline.operators.per_series import Maker, add_columns, floats
-from driftline.operators.quantiles import long_quantiles
+from driftline.operators.quantiles import run_medians
+from driftline.operators.tiles import LONGS, NUMBERS, lists, meet, pack, pack_blocks, ranges, tile, write_tiles
 from driftline.session import join_small, materialise, rows_per_block
 
 ROBUST_PASSES = 3
 _CELLS = 1_000_000  # weights held at once
 MANY_NEIGHBOURS = 512  # from here on sums come from moments
 _TILE_ROWS = 65_536
-_SUMS = ("_sw", "_su", "_suu", "_sy", "_suy")
+_SUMS = ("sw", "su", "suu", "sy", "suy")
 
 
 def neighbours(n: int, frac: float) -> int:
@@ -163,152 +165,223 @@ def _smooth_long(
     series: Ordered, rows: DataFrame, value: str, at: str, frac: float, passes: int,
 ) -> DataFrame:
     """Keys, order column and ``_fit`` of the long series."""
-    keys = list(series.keys)
-    spark = rows.sparkSession
-    width = min(rows_per_block(spark), _TILE_ROWS)
-    known = rows.where(is_finite(F.col(value))).select(
-        *keys, BLOCK, series.order, F.col(at).alias("_t"), F.col(value).alias("_y"))
-    placed = replace(series, short=None, long=known).extend(_i=position()).result()
-    sizes = materialise(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    keys, order = list(series.keys), series.order
+    width = min(rows_per_block(rows.sparkSession), _TILE_ROWS)
+    known = rows.where(is_finite(F.col(value))).select(*keys, BLOCK, order, F.col(at).alias("_t"), F.col(value).alias("_y"))
+    blocks = write_tiles(pack_blocks(known, keys, order, ["_t", "_y"]), "smooth-blocks")
+    sizes = materialise(blocks.groupBy(*keys).agg(F.sum("_len").alias("_n")), "sizes")
     share = F.floor(F.lit(float(frac)) * F.col("_n") + F.lit(1e-10))
-    base = materialise(
-        join_small(placed, sizes, keys, "inner").withColumns({
-            "_k": F.least(F.col("_n"), F.greatest(F.lit(2), share)).cast("bigint"),
-            "_tile": F.expr(f"_i div {width}")}).drop("_n"), "smooth-base")
-    targets = materialise(_reaches(base, keys), "smooth-targets")
-    pairs = materialise(
-        targets.select(*keys, F.expr(f"_i div {width}").alias("_own"), _end_tiles(width))
-        .distinct(), "tile-pairs")
-    own = F.expr(f"_i div {width}").alias("_own")
-    spans = targets.groupBy(*keys, own).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    between = F.filter(F.sequence(F.expr(f"_first div {width}"), F.expr(f"_last div {width}")), lambda x_: x_ != F.col("_own"))
-    between = materialise(spans.select(*keys, "_own", F.explode(between).alias("_tile")), "tiles-between")
-    weights = base.select(*keys, "_i", F.lit(1.0).alias("_w"))
+    tiles = join_small(tile(blocks, keys, [order, "_t", "_y"], width), sizes, keys, "inner").withColumn(
+        "_k", F.least(F.col("_n"), F.greatest(F.lit(2), share)).cast("bigint")).drop("_n")
+    base = write_tiles(tiles, "smooth-base")
+    state = _reaches(base, keys, width)
+    pairs = materialise(state.select(*keys, F.col("_tile").alias("_own"), F.explode("_ends").alias("_tile")), "tile-pairs")
+    between = F.filter(F.sequence("_from", "_to"), lambda x_: x_ != F.col("_tile"))
+    between = materialise(state.select(*keys, F.col("_tile").alias("_own"), F.explode(between).alias("_tile")).join(
+        pairs, [*keys, "_own", "_tile"], "left_anti"), "tiles-between")  # those in pairs are added up row by row
+    state = state.drop("_ends", "_from", "_to")
+    weighed = state.withColumns({"_left": F.lit(None).cast(NUMBERS), "_median": F.lit(None).cast("double")})
     for turn in range(passes + 1):
-        fits = materialise(_one_pass(base, targets, pairs, between, weights, keys, width), "fits")
+        fits = write_tiles(_one_pass(weighed, pairs, between, keys, width), "fits")
         if turn == passes:
             break
-        left = fits.select(*keys, "_i", F.abs(F.col("_y") - F.col("_fit")).alias("_left"))
-        medians = long_quantiles(left, keys, "_left", [0.5]).select(
-            *keys, F.col("quantiles")[0].alias("_median"))
-        u = F.col("_left") / (F.lit(6.0) * F.col("_median"))
-        bisquare_weight = F.when(~(F.col("_median") > 0), F.lit(1.0)).when(
-            u < 1, (F.lit(1.0) - u * u) * (F.lit(1.0) - u * u)).otherwise(F.lit(0.0))
-        weights = materialise(join_small(left, medians, keys, "inner").select(
-            *keys, "_i", bisquare_weight.alias("_w")), "robust-weights")
-    return base.select(*keys, series.order, "_i").join(
-        fits.select(*keys, "_i", "_fit"), [*keys, "_i"]).drop("_i")
-
-
-def _end_tiles(width: int) -> Column:
-    """The tiles with the first neighbour, the row itself and the last neighbour."""
-    return F.explode(F.array_distinct(F.array(*[F.expr(f"{c} div {width}") for c in ("_first", "_i", "_last")]))).alias("_tile")
+        medians = materialise(run_medians(fits, keys, "_sorted").drop("n").withColumnRenamed("median", "_median"), "medians")
+        left = F.transform(F.arrays_zip("_y", "_fit"), lambda x_: F.abs(x_["_y"] - x_["_fit"]))
+        weighed = join_small(fits.withColumn("_left", left).drop("_fit", "_sorted"), medians, keys, "left")
+    both = base.select(*keys, "_tile", order).join(fits.select(*keys, "_tile", "_fit"), [*keys, "_tile"])
+    return both.select(*keys, F.explode(F.arrays_zip(order, "_fit")).alias("_x")).select(*keys, f"_x.{order}", "_x._fit")
 
 
-def _reaches(base: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row's neighbour range ``_first`` to ``_last`` and the farthest distance ``_h``.
+def _reaches(base: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Each tile's rows with the first neighbour ``_first`` of each and the farthest distance ``_h``; ``_ends`` are the tiles that hold
+    an end of the neighbours or the row itself, and ``_from`` to ``_to`` those from the first neighbour to the last one.
 
-    The range of a row starts where ``t[j] + t[j + k]`` first reaches twice its time; both
-    grow along the series, so counting the smaller sums gives the start.
+    The neighbours of a row start where ``t[j] + t[j + k]`` first reaches twice its time; both grow along the series, so counting
+    the smaller sums gives the start. A tile's sums need the times of the tiles ``k`` rows on, and its rows only the sums of
+    the tiles between its first time and its last one.
     """
-    far = base.where(F.col("_i") >= F.col("_k")).select(
-        *keys, (F.col("_i") - F.col("_k")).alias("_i"), F.col("_t").alias("_far"))
-    sums = base.join(far, [*keys, "_i"]).select(
-        *keys, (F.col("_t") + F.col("_far")).alias("_s"), F.lit(1).alias("_sum"),
-        F.lit(None).cast("bigint").alias("_i"))
-    asks = base.select(*keys, (F.lit(2.0) * F.col("_t")).alias("_s"), F.lit(0).alias("_sum"), "_i")
-    merged = sums.unionByName(asks).groupBy(*keys, "_s").agg(
-        F.sum("_sum").alias("_sum"), F.max("_i").alias("_i"))
-    counted = arrange(materialise(merged, "reach-events"), keys, "_s").extend(_upto=running(F.col("_sum")))
-    starts = counted.rows.where(F.col("_i").isNotNull()).select(
-        *keys, "_i", (F.col("_upto") - F.col("_sum")).alias("_first"))
-    spans = base.select(*keys, "_i", "_t", "_y", "_k").join(starts, [*keys, "_i"]).withColumn(
-        "_last", F.col("_first") + F.col("_k") - F.lit(1)).drop("_k")
-    times = base.select(*keys, F.col("_i").alias("_first"), F.col("_t").alias("_t0"))
-    ends = base.select(*keys, F.col("_i").alias("_last"), F.col("_t").alias("_t1"))
-    reach = F.greatest(F.col("_t") - F.col("_t0"), F.col("_t1") - F.col("_t"))
-    return spans.join(times, [*keys, "_first"]).join(ends, [*keys, "_last"]).select(
-        *keys, "_i", "_t", "_y", "_first", "_last", reach.alias("_h"))
-
-
-def _one_pass(
-    base: DataFrame, targets: DataFrame, pairs: DataFrame, between: DataFrame, weights: DataFrame, keys: list[str],
-    width: int,
-) -> DataFrame:
-    by = [*keys, "_own", "_tile"]
-    own = F.expr(f"_i div {width}").alias("_own")
-    asks = targets.select(*keys, own, _end_tiles(width), "_i", "_t", "_first", "_last", "_h")
-    weighed = base.select(*keys, "_tile", "_i", "_t", "_y").join(weights, [*keys, "_i"])
-    near = weighed.join(pairs, [*keys, "_tile"])
-    fields = [base.schema[k] for k in keys]
-    schema = T.StructType([*fields, T.StructField("_i", T.LongType()),
-                           *[T.StructField(c, T.DoubleType()) for c in _SUMS]])
-
-    def tile_sums(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_i")
-        at = rows["_i"].to_numpy()
-        sums = range_sums(
-            floats(rows["_t"]), floats(rows["_y"]), floats(rows["_w"]), floats(asked["_t"]),
-            floats(asked["_h"]), np.searchsorted(at, asked["_first"].to_numpy(), side="left"),
-            np.searchsorted(at, asked["_last"].to_numpy(), side="right"))
-        out = asked.select([*keys, "_i"])
-        for name, values in zip(_SUMS, sums, strict=True):
-            out = out.append_column(name, pa.array(values))
-        return out
-
-    parts = asks.groupBy(*by).cogroup(near.groupBy(*by)).applyInArrow(tile_sums, schema)
-    moments = _tile_moments(weighed, keys).join(between, [*keys, "_tile"])
-
-    def between_sums(asked: pa.Table, tiles: pa.Table) -> pa.Table:
-        """Whole tiles behind the first neighbour's and before the last one's, but for the row's own."""
-        tiles = tiles.sort_by("_tile")
-        first, last, at = (asked[c].to_numpy() for c in ("_first", "_last", "_i"))
-        low, high, here = first // width + 1, last // width, at // width
-        number = tiles["_tile"].to_numpy()
-        sums = np.zeros((len(_SUMS), len(at)))
-        for side, start, stop in ((-1, low, np.minimum(here, high)), (1, np.maximum(low, here + 1), high)):
-            chosen = tiles.filter(pa.array((number < here[0]) if side < 0 else (number > here[0]))) if len(at) else tiles
-            if not chosen.num_rows:
-                continue
-            own_number = chosen["_tile"].to_numpy()
-            power = lambda c: np.array(chosen[c].to_pylist(), float).T  # noqa: B023, E731
-            tree = Tree(Nodes(floats(chosen["_low"]), floats(chosen["_high"]), power("_mu"), power("_nu")))
-            sums += tree.sums(np.searchsorted(own_number, start), np.searchsorted(own_number, stop), floats(asked["_t"]), floats(asked["_h"]), side)
-        out = asked.select([*keys, "_i"])
-        for name, values in zip(_SUMS, sums, strict=True):
-            out = out.append_column(name, pa.array(values))
-        return out
-
-    whole_tiles = targets.select(*keys, own, "_i", "_t", "_first", "_last", "_h").where(F.expr(f"_last div {width} - _first div {width} > 1"))
-    by_own = [*keys, "_own"]
-    parts = parts.unionByName(whole_tiles.groupBy(*by_own).cogroup(moments.groupBy(*by_own)).applyInArrow(between_sums, schema))
-    totals = parts.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    sw, su, suu, sy, suy = (F.col(c) for c in _SUMS)
-    mean_u, mean_y = su / sw, sy / sw
-    spread = suu / sw - mean_u * mean_u
-    slope = F.when(spread > 1e-12, (suy / sw - mean_u * mean_y) / spread).otherwise(F.lit(0.0))
-    fit = F.when(sw > 0, mean_y - slope * mean_u).otherwise(F.col("_y"))
-    return targets.select(*keys, "_i", "_y").join(totals, [*keys, "_i"]).select(
-        *keys, "_i", "_y", fit.alias("_fit"))
+    own = F.col("_tile").alias("_own")
+    key_fields = [base.schema[k] for k in keys]
+    on = F.explode(F.array(*[F.expr(f"_tile - _k div {width} - {i}") for i in (0, 1)])).alias("_own")
+    asks = base.select(*keys, own, "_tile", "_i0", "_k", "_t")
+    schema = T.StructType([*key_fields, T.StructField("_tile", T.LongType()), T.StructField("_s", NUMBERS), T.StructField("_low", T.DoubleType())])
+
+    def add_far(far: np.ndarray, own: pa.Table, begin: np.ndarray, near: pa.Table, of: np.ndarray) -> None:
+        times, at = lists(near["_t"])
+        i0, k = own["_i0"].to_numpy()[of], own["_k"].to_numpy()[of]
+        first = near["_i0"].to_numpy() - k  # whose far time is the near tile's first
+        low, high = np.maximum(i0, first), np.minimum(i0 + np.diff(begin)[of], first + np.diff(at))
+        size = np.maximum(high - low, 0)
+        place = ranges(begin[:-1][of] + low - i0, size)
+        far[0][place], far[1][place] = times[ranges(at[:-1] + low - first, size)], 1.0
+
+    def sums(own: pa.Table, begin: np.ndarray, far: np.ndarray) -> pa.Table:
+        there = far[1] > 0
+        found = lists(own["_t"])[0][there] + far[0][there]
+        bounds = np.concatenate([[0], np.cumsum(there)])[begin]
+        some = np.diff(bounds) > 0
+        out = own.select([*keys, "_tile"]).append_column("_s", pack(found, bounds)).filter(pa.array(some))
+        return out.append_column("_low", pa.array(found[bounds[:-1][some]]))
+
+    near = base.select(*keys, on, "_tile", "_i0", "_t").where("_own >= 0")
+    steps = write_tiles(meet(asks, [near], keys, "_t", 2, schema, add_far, sums), "reach-sums")
+
+    # The tiles of sums that hold the place of a tile's first and last row: the last ones whose smallest sum is less.
+    events = steps.select(*keys, F.col("_low").alias("_at"), F.lit(1).alias("_sum"), F.col("_tile").alias("_number"), F.lit(None).cast("bigint").alias("_own"))
+    for side, time in ((0, F.col("_t")[0]), (2, F.element_at("_t", -1))):
+        events = events.unionByName(base.select(*keys, (F.lit(2.0) * time).alias("_at"), F.lit(0).alias("_sum"), F.lit(None).cast("bigint").alias("_number"), own))
+    upto = F.max("_number").over(W.partitionBy(*keys).orderBy("_at", "_sum").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = events.withColumn("_upto", upto).where(F.col("_own").isNotNull()).groupBy(*keys, "_own").agg(
+        F.min(F.coalesce("_upto", F.lit(-1))).alias("_begin"), F.max("_upto").alias("_stop"))
+    found = materialise(found, "reach-tiles")
+    wanted = found.where(F.col("_stop").isNotNull()).select(
+        *keys, "_own", F.explode(F.sequence(F.greatest("_begin", F.lit(0)), "_stop")).alias("_tile"))
+    near = steps.select(*keys, "_tile", "_s").join(wanted, [*keys, "_tile"])
+    asks = base.select(*keys, own, "_tile", "_i0", "_k", "_t", "_y").join(found.select(*keys, "_own", "_begin"), [*keys, "_own"])
+    schema = T.StructType([*key_fields, *[T.StructField(c, T.LongType()) for c in ("_tile", "_i0", "_k")], T.StructField("_t", NUMBERS), T.StructField("_y", NUMBERS),
+                           T.StructField("_first", LONGS), T.StructField("_ends", LONGS), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType())])
+
+    def add_smaller(smaller: np.ndarray, own: pa.Table, begin: np.ndarray, near: pa.Table, of: np.ndarray) -> None:
+        twice, (found, at) = 2.0 * lists(own["_t"])[0], lists(near["_s"])
+        for i, a, b in zip(of.tolist(), at[:-1].tolist(), at[1:].tolist()):
+            rows = slice(begin[i], begin[i + 1])
+            smaller[0, rows] += np.searchsorted(found[a:b], twice[rows], side="left")
+
+    def first_rows(own: pa.Table, begin: np.ndarray, smaller: np.ndarray) -> pa.Table:
+        row = np.repeat(np.arange(own.num_rows), np.diff(begin))
+        first = (np.maximum(own["_begin"].to_numpy(), 0) * width)[row] + smaller[0].astype(np.int64)
+        low, high = first // width, (first + own["_k"].to_numpy()[row] - 1) // width
+        ends = np.unique(np.stack([np.tile(row, 3), np.concatenate([low, own["_tile"].to_numpy()[row], high])]), axis=1)
+        out = own.select([*keys, "_tile", "_i0", "_k", "_t", "_y"]).append_column("_first", pack(first, begin))
+        out = out.append_column("_ends", pack(ends[1], np.searchsorted(ends[0], np.arange(own.num_rows + 1))))
+        return out.append_column("_from", pa.array(np.minimum.reduceat(low, begin[:-1]))).append_column("_to", pa.array(np.maximum.reduceat(high, begin[:-1])))
+
+    firsts = write_tiles(meet(asks, [near], keys, "_t", 1, schema, add_smaller, first_rows), "reach-firsts")
+    pairs = firsts.select(*keys, F.col("_tile").alias("_own"), F.explode("_ends").alias("_tile"))
+    near = base.select(*keys, "_tile", "_i0", "_t").join(pairs, [*keys, "_tile"])
+
+    def add_ends(times: np.ndarray, own: pa.Table, begin: np.ndarray, near: pa.Table, of: np.ndarray) -> None:
+        t, at = lists(near["_t"])
+        first, k, i0 = lists(own["_first"])[0], own["_k"].to_numpy(), near["_i0"].to_numpy()
+        size = np.diff(begin)[of]
+        place, pair = ranges(begin[:-1][of], size), np.repeat(np.arange(len(of)), size)
+        for side, wanted in enumerate((first[place], first[place] + k[of][pair] - 1)):
+            inside = (wanted >= i0[pair]) & (wanted < (i0 + np.diff(at))[pair])
+            times[side, place[inside]] = t[at[:-1][pair[inside]] + wanted[inside] - i0[pair[inside]]]
+
+    def distances(own: pa.Table, begin: np.ndarray, times: np.ndarray) -> pa.Table:
+        t = lists(own["_t"])[0]
+        return own.drop_columns([c for c in own.column_names if c not in names]).append_column("_h", pack(np.maximum(t - times[0], times[1] - t), begin)).select([*names, "_h"])
+
+    names = firsts.columns
+    schema = T.StructType([*firsts.schema.fields, T.StructField("_h", NUMBERS)])
+    return write_tiles(meet(firsts.withColumn("_own", F.col("_tile")), [near], keys, "_t", 2, schema, add_ends, distances), "smooth-targets")
+
+
+def _one_pass(weighed: DataFrame, pairs: DataFrame, between: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The tiles' rows with ``_fit``, and the absolute residuals ``_sorted``."""
+    asks = weighed.drop("_left", "_median").withColumn("_own", F.col("_tile"))
+    near = weighed.select(*keys, "_tile", "_i0", "_t", "_y", "_left", "_median").join(pairs, [*keys, "_tile"])
+    met = [near]
+    if not between.isEmpty():
+        inner = weighed.join(between.select(*keys, "_tile").distinct(), [*keys, "_tile"], "left_semi")
+        met.append(_tile_moments(inner, keys).join(between, [*keys, "_tile"]))
+    names = [*keys, "_tile", "_i0", "_k", "_t", "_y", "_first", "_h"]
+    schema = T.StructType([*[weighed.schema[c] for c in names], T.StructField("_fit", NUMBERS), T.StructField("_sorted", NUMBERS)])
+
+    def add_sums(sums: np.ndarray, own: pa.Table, begin: np.ndarray, near: pa.Table, of: np.ndarray) -> None:
+        t, first, reach = (lists(own[c])[0] for c in ("_t", "_first", "_h"))
+        k, kind = own["_k"].to_numpy(), near["_kind"].to_numpy()
+        rows, row_of = near.filter(pa.array(kind == 1)), of[kind == 1]
+        (seen, at), y = lists(rows["_t"]), lists(rows["_y"])[0]
+        w, size = tile_weights(rows, at), np.diff(begin)[row_of]
+        place, pair = ranges(begin[:-1][row_of], size), np.repeat(np.arange(len(row_of)), size)
+        i0, length = rows["_i0"].to_numpy()[pair], np.diff(at)[pair]
+        start, stop = (at[:-1][pair] + np.clip(x - i0, 0, length) for x in (first[place], first[place] + k[row_of][pair]))
+        many = stop - start >= MANY_NEIGHBOURS
+        few = ~many & (stop > start)
+        add_ranges(sums, place[few], seen, y, w, t, reach, start[few], stop[few])
+        for i in np.unique(pair[many]).tolist():
+            chosen, tile_ = many & (pair == i), slice(at[i], at[i + 1])
+            sums[:, place[chosen]] += Tree(points(seen[tile_], y[tile_], w[tile_])).around(
+                start[chosen] - at[i], stop[chosen] - at[i], t[place[chosen]], reach[place[chosen]])
+        if len(of) > len(rows):
+            add_between(sums, own, begin, near.filter(pa.array(kind == 2)), of[kind == 2], t, first, reach)
+
+    def add_between(sums, own, begin, tiles, of, t, first, reach) -> None:
+        """Whole tiles behind the first neighbour's and before the last one's, but for those that the own tile met by rows."""
+        for i in np.unique(of).tolist():
+            chosen, rows = tiles.filter(pa.array(of == i)), slice(begin[i], begin[i + 1])
+            here, number = own["_tile"][i].as_py(), chosen["_tile"].to_numpy()
+            low, high = first[rows] // width + 1, (first[rows] + own["_k"][i].as_py() - 1) // width
+            for side, start, stop in ((-1, low, np.minimum(here, high)), (1, np.maximum(low, here + 1), high)):
+                part = chosen.filter(pa.array((number < here) if side < 0 else (number > here)))
+                if not part.num_rows:
+                    continue
+                power = lambda c: lists(part[c])[0].reshape(part.num_rows, -1).T  # noqa: B023, E731
+                tree = Tree(Nodes(floats(part["_low"]), floats(part["_high"]), power("_mu"), power("_nu")))
+                on = part["_tile"].to_numpy()
+                sums[:, rows] += tree.sums(np.searchsorted(on, start), np.searchsorted(on, stop), t[rows], reach[rows], side)
+
+    def fit(own: pa.Table, begin: np.ndarray, sums: np.ndarray) -> pa.Table:
+        y = lists(own["_y"])[0]
+        fitted = solve(*sums, y)
+        left = np.abs(y - fitted)
+        left = left[np.lexsort((left, np.repeat(np.arange(own.num_rows), np.diff(begin))))]
+        return own.select(names).append_column("_fit", pack(fitted, begin)).append_column("_sorted", pack(left, begin))
+
+    return meet(asks, met, keys, "_t", len(_SUMS), schema, add_sums, fit)
+
+
+def tile_weights(tiles: pa.Table, begin: np.ndarray) -> np.ndarray:
+    """Robustness weights of the tiles' rows, all 1 in the first pass."""
+    median = np.repeat(floats(tiles["_median"]), np.diff(begin))
+    left = lists(tiles["_left"])[0]
+    if not len(left):
+        return np.ones(len(median))
+    some = median > 0
+    u = left / np.where(some, 6.0 * median, 1.0)
+    return np.where(some, np.where(u < 1.0, (1.0 - u * u) ** 2, 0.0), 1.0)
 
 
 def _tile_moments(weighed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per tile: its moments as one node."""
-    powers = T.ArrayType(T.DoubleType())
     schema = T.StructType([*[weighed.schema[k] for k in keys], weighed.schema["_tile"], T.StructField("_low", T.DoubleType()),
-                           T.StructField("_high", T.DoubleType()), T.StructField("_mu", powers), T.StructField("_nu", powers)])
-
-    def add_up(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_i")
-        node = whole(points(floats(rows["_t"]), floats(rows["_y"]), floats(rows["_w"])))
-        out = rows.slice(0, 1).select([*keys, "_tile"])
-        for name, value in (("_low", node.low), ("_high", node.high)):
-            out = out.append_column(name, pa.array(value))
-        for name, value in (("_mu", node.mu), ("_nu", node.nu)):
-            out = out.append_column(name, pa.array([value[:, 0].tolist()], pa.list_(pa.float64())))
-        return out
+                           T.StructField("_high", T.DoubleType()), T.StructField("_mu", NUMBERS), T.StructField("_nu", NUMBERS)])
 
-    return weighed.groupBy(*keys, "_tile").applyInArrow(add_up, schema)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            (t, begin), y = lists(table["_t"]), lists(table["_y"])[0]
+            w = tile_weights(table, begin)
+            nodes = [whole(points(t[a:b], y[a:b], w[a:b])) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+            out = table.select([*keys, "_tile"])
+            for name, value in (("_low", [n.low[0] for n in nodes]), ("_high", [n.high[0] for n in nodes])):
+                out = out.append_column(name, pa.array(value, pa.float64()))
+            for name, value in (("_mu", [n.mu[:, 0].tolist() for n in nodes]), ("_nu", [n.nu[:, 0].tolist() for n in nodes])):
+                out = out.append_column(name, pa.array(value, pa.list_(pa.float64())))
+            yield from out.to_batches()
+
+    return weighed.select(*keys, "_tile", "_t", "_y", "_left", "_median").mapInArrow(add_up, schema)
+
+
+def add_ranges(sums, place, t, y, w, own_t, reach, start, stop):
+    """Add to ``sums`` at ``place`` those over the rows ``start:stop``, row by row; ``own_t`` and ``reach`` are by place too."""
+    size = stop - start
+    ends = np.cumsum(size)
+    cuts = [0, *(np.searchsorted(ends, np.arange(_CELLS, ends[-1], _CELLS)) + 1).tolist(), len(size)] if len(size) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a == b:
+            continue
+        near, at = ranges(start[a:b], size[a:b]), np.repeat(place[a:b], size[a:b])
+        u = (t[near] - own_t[at]) / np.where(reach[at] > 0, reach[at], 1.0)
+        weight = tricube(u) * w[near]
+        seen = y[near]
+        heads = np.cumsum(size[a:b]) - size[a:b]
+        for total, cells in zip(sums, (weight, weight * u, weight * u * u, weight * seen, weight * u * seen), strict=True):
+            np.add.at(total, place[a:b], np.add.reduceat(cells, heads))
 
 
 def range_sums(t, y, w, own_t, reach, start, stop):

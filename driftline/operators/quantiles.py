@@ -6,20 +6,25 @@ of a wanted value are found one after the other, each from a table of fixed size
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from driftline.operators.blocks import long_groups
+from driftline.operators.per_series import map_groups
+from driftline.operators.tiles import LONGS, NUMBERS, lists, pack, ranges, starts, write_tiles
 from driftline.session import join_small, materialise, rows_per_block
 
 _DIGIT = 16  # bits found in a pass
 _SIGN = np.int64(-1 << 63)
+_SAMPLES = 64  # values that a run passes on in a round
 
 
 def exact_quantiles(
@@ -122,3 +127,96 @@ def long_quantiles(
     share = [p - F.floor(p) for p in places]
     return found.select(*keys, "n", F.array(*[F.when(lo == hi, lo).otherwise(lo * (F.lit(1.0) - s) + hi * s)
                                               for lo, hi, s in zip(low, high, share)]).alias("quantiles"))
+
+
+def run_medians(runs: DataFrame, keys: list[str], values: str) -> DataFrame:
+    """``keys``, ``n`` and the exact ``median`` of finite values that come in ascending lists, any number of them per group.
+
+    Each list passes on some of its values with their places, all of them if they are few. From these follow a lower and an upper
+    bound of the two middle values; what lies between is some hundredth of the values, or nothing. Groups that still have some there
+    take another round between their bounds. A group without values gives no row.
+    """
+    fields = [runs.schema[k] for k in keys]
+    sent = StructType([*fields, StructField("_n", LongType()), StructField("_v", NUMBERS), StructField("_lt", LONGS), StructField("_le", LONGS)])
+    told = StructType([*fields, StructField("n", LongType()), StructField("_done", BooleanType()), StructField("_low", DoubleType()), StructField("_high", DoubleType())])
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            x, begin = lists(table[values])
+            low, high = (table[c].to_numpy() if c in table.column_names else None for c in ("_low", "_high"))
+            places = [_places(x[a:b], None if low is None else (low[i], high[i])) for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist()))]
+            v, lt, le = (np.concatenate([p[c] for p in places]) if places else np.zeros(0) for c in range(3))
+            bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in places], dtype=np.int64)])
+            out = table.select(keys).append_column("_n", pa.array(np.diff(begin)))
+            for name, column in (("_v", v), ("_lt", lt.astype(np.int64)), ("_le", le.astype(np.int64))):
+                out = out.append_column(name, pack(column, bounds))
+            yield from out.to_batches()
+
+    def narrow(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        n = np.add.reduceat(table["_n"].to_numpy(), bounds[:-1])
+        done, low, high = _brackets(n, lists(table["_v"])[0], lists(table["_lt"])[0], lists(table["_le"])[0], starts(table["_v"]), bounds)
+        out = table.select(keys).take(pa.array(bounds[:-1])).append_column("n", pa.array(n))
+        for name, column in (("_done", done), ("_low", low), ("_high", high)):
+            out = out.append_column(name, pa.array(column))
+        return out.filter(pa.array(n > 0))
+
+    found, met = [], runs.select(*keys, values)
+    while True:
+        told_now = write_tiles(map_groups(met.mapInArrow(sample, sent), keys, "_n", told, narrow), "brackets")
+        found.append(told_now.where("_done"))
+        open_ = told_now.where("not _done")
+        if open_.isEmpty():
+            break
+        met = join_small(runs.select(*keys, values), open_.select(*keys, "_low", "_high"), keys, "inner")
+    median = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") * F.lit(0.5) + F.col("_high") * F.lit(0.5))
+    return reduce(lambda a, b: a.unionByName(b), found).select(*keys, "n", median.alias("median"))
+
+
+def _places(x: np.ndarray, between: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some of the values between the bounds, and the bounds themselves: how many values stand before each, and up to it."""
+    a, b = (0, len(x)) if between is None else (int(np.searchsorted(x, between[0], "right")), int(np.searchsorted(x, between[1], "left")))
+    at = np.arange(a, b) if b - a <= _SAMPLES else np.linspace(a, b - 1, _SAMPLES).astype(np.int64)
+    if between is None:
+        return x[at], at, at + 1
+    first, last = int(np.searchsorted(x, between[0], "left")), int(np.searchsorted(x, between[1], "right"))
+    return np.concatenate([[between[0]], x[at], [between[1]]]), np.concatenate([[first], at, [b]]), np.concatenate([[a], at + 1, [last]])
+
+
+def _brackets(n, v, lt, le, begin, bounds):
+    """Of each group: whether its middle values are known, and the bounds of both, from the places of the runs' samples.
+
+    Between two samples of a run at least as many values stand as up to the first and at most as many as before the second. Summed
+    over the runs these are bounds of a value's place in the group.
+    """
+    size = np.diff(begin)
+    run, last = np.repeat(np.arange(len(size)), size), begin[1:] - 1
+    full = size > 0
+    before = np.empty_like(le)  # up to the sample before, in the same run
+    before[1:] = le[:-1]
+    before[begin[:-1][full]] = lt[begin[:-1][full]]
+    behind = np.empty_like(lt)  # before the next sample, in the same run
+    behind[:-1] = lt[1:]
+    behind[last[full]] = le[last[full]]
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    base = np.bincount(group[full], weights=lt[begin[:-1][full]], minlength=len(n))
+    unsure = np.bincount(group[run], weights=behind - le, minlength=len(n)) > 0
+    of = group[run]
+    order = np.lexsort((v, of))
+    of, v, upto, less = of[order], v[order], (le - before)[order], (behind - lt)[order]
+    head = np.searchsorted(of, np.arange(len(n)))  # of each group
+    tail = np.append(head[1:], len(of))
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    same_first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (of[1:] != of[:-1]))) if len(v) else np.zeros(0, int)
+    number = np.repeat(np.arange(len(same_first)), np.diff(np.append(same_first, len(v))))
+    same_end = np.append(same_first[1:], len(v))[number] if len(v) else same_first
+    upto_sum, less_sum = sums(upto), sums(less)
+    most_before = base[of] + less_sum[same_first[number]] - less_sum[head[of]]
+    least_upto = base[of] + upto_sum[same_end] - upto_sum[head[of]]
+    low_rank, high_rank = (n - 1) // 2, n // 2
+    low, high = np.full(len(n), np.nan), np.full(len(n), np.nan)
+    for i in np.flatnonzero(tail > head).tolist():
+        a, b = head[i], tail[i]
+        low[i] = v[a + np.searchsorted(most_before[a:b], low_rank[i], "right") - 1]
+        high[i] = v[a + np.searchsorted(least_upto[a:b], high_rank[i] + 1, "left")]
+    return ~unsure | (low == high), low, high

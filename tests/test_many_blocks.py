@@ -12,8 +12,11 @@ from pyspark.sql.group import GroupedData
 
 from driftline.operators import kalman
 from driftline.operators.blocks import arrange, position
+from driftline.operators.lowess import smooth, smooth_array
 from driftline.operators.peaks import keep_distant, local_maxima, suppress_near, with_prominence
 from driftline.operators.per_series import map_groups, whole_groups
+from driftline.operators.quantiles import run_medians
+from driftline.operators.tiles import ranges, tile
 
 
 @pytest.fixture
@@ -116,3 +119,64 @@ def test_tiles_of_suppression_share_calls(spark, samples, calls, tiny_blocks):
 def test_blocks_of_prominence_share_calls(spark, samples, calls, tiny_blocks):
     with_prominence(peaks_of(samples), "x").long.count()
     assert len([f for f in calls if f.__name__ == "run"]) == 1  # that of the short series
+
+
+def smoothed(rows, frac):
+    series = arrange(rows, ["norad"], "t")
+    return smooth(series, {"fit": ("x", frac)}, at="t")
+
+
+def check_smoothed(rows, found, frac, series):
+    for norad in series:
+        own = sorted((r for r in rows if r[0] == norad), key=lambda r: r[1])
+        t, x = (np.array([np.nan if r[c] is None else r[c] for r in own], float) for c in (1, 2))
+        fit = np.array([np.nan if r.fit is None else r.fit for r in sorted((r for r in found if r.norad == norad), key=lambda r: r.t)])
+        assert fit == pytest.approx(smooth_array(t, x, frac), rel=1e-6, abs=1e-6, nan_ok=True)
+
+
+def test_tiles_of_smoothing_share_calls(spark, calls, tiny_blocks):
+    rng = random.Random(8)
+    rows = [(norad, rng.uniform(0, 900), None if rng.random() < 0.1 else rng.gauss(0, 3)) for norad in range(30) for _ in range(25)]
+    found = smoothed(spark.createDataFrame(rows, "norad long, t double, x double"), 0.3).long.collect()
+    assert len(calls) == 1  # that of the short series
+    check_smoothed(rows, found, 0.3, range(30))
+
+
+@pytest.mark.parametrize("width,batch", [(300, "3"), (90, "50")])
+def test_smoothing_over_many_tiles(spark, width, batch):
+    """Neighbours over many tiles, some sums from moments; a tile meets more rows than a batch holds."""
+    rng = np.random.default_rng(4)
+    gaps = np.concatenate([rng.exponential(size=1500), [4e3], rng.exponential(size=900) * 50, [1e4], rng.exponential(size=400) * 0.1])
+    t = np.cumsum(gaps)
+    rows = [(1, float(a), float(b)) for a, b in zip(t, np.sin(t / 900) + 0.3 * rng.normal(size=len(t)))]
+    rows += [(2, float(i), float(rng.normal())) for i in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("driftline.rowsPerBlock", str(width))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = smoothed(spark.createDataFrame(rows, "norad long, t double, x double").repartition(6), 0.25).long.collect()
+    finally:
+        spark.conf.unset("driftline.rowsPerBlock")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    check_smoothed(rows, found, 0.25, (1, 2))
+
+
+def test_medians_of_runs(spark):
+    rng = np.random.default_rng(9)
+    make = [lambda n: rng.normal(size=n), lambda n: rng.integers(0, 3, n).astype(float), lambda n: np.where(rng.random(n) < 0.6, 0.0, rng.random(n)),
+            lambda n: rng.exponential(size=n) * 10.0 ** rng.integers(-6, 6)]
+    groups = {g: [np.sort(make[g % 4](int(rng.integers(0, 1 + 10 ** (1 + g % 4))))) for _ in range(1 + g % 7)] for g in range(28)} | {28: [np.zeros(0)]}
+    runs = spark.createDataFrame([(g, x.tolist()) for g, xs in groups.items() for x in xs], "g long, v array<double>").repartition(5)
+    found = {r.g: (r.n, r.median) for r in run_medians(runs, ["g"], "v").collect()}
+    want = {g: np.concatenate(xs) for g, xs in groups.items() if sum(map(len, xs))}
+    assert found.keys() == want.keys()
+    for g, x in want.items():
+        assert found[g] == (len(x), pytest.approx(float(np.median(x)), rel=1e-15))
+
+
+def test_tiles_from_blocks_of_any_length(spark):
+    blocks = spark.createDataFrame([("a", 1, 3, [0, 1, 2]), ("a", 2, 7, [*range(3, 10)]), ("a", 5, 1, [10]), ("b", 1, 2, [0, 1])],
+                                   "key string, _block int, _len long, at array<long>")
+    found = sorted((r.key, r._tile, r._i0, r["at"]) for r in tile(blocks, ["key"], ["at"], 4).collect())
+    assert found == [("a", 0, 0, [0, 1, 2, 3]), ("a", 1, 4, [4, 5, 6, 7]), ("a", 2, 8, [8, 9, 10]), ("b", 0, 0, [0, 1])]
+    assert ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
