@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.values import finite_or_null
-from driftline.operators.blocks import Ordered
-from driftline.operators.quantiles import long_quantiles
+from driftline.operators.blocks import BLOCK, Ordered
+from driftline.operators.per_series import floats, map_groups
+from driftline.operators.quantiles import long_quantiles, run_medians
+from driftline.operators.tiles import NUMBERS, pack, write_tiles
 from driftline.session import join_small, materialise
 
 # Fixed value: scales a median absolute deviation to a standard deviation.
@@ -20,38 +23,52 @@ MAD_SCALE = 1.4826
 _FEWEST = 3
 
 
-def _over_series(series: Ordered, short: dict[str, Column], long: Callable[[DataFrame], DataFrame]) -> Ordered:
-    """Windows for series in one block; for longer ones the columns of a table with a row per series, made from their written rows."""
-    def join(rows: DataFrame) -> DataFrame:
-        rows = materialise(rows, "series")
-        return join_small(rows, materialise(long(rows), "per-series"), list(series.keys), "left")
-
-    return series.map(lambda rows: rows.withColumns(short), join)
-
-
-def series_medians(series: Ordered, values: dict[str, Column]) -> Ordered:
-    """Add the exact median of each value over the whole series."""
+def series_medians(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add the exact median of each value over the whole of each short series."""
     held = {f"_x_{name}": value for name, value in values.items()}
-    keys = list(series.keys)
     group = W.partitionBy(*keys)
+    return rows.withColumns(held).withColumns({name: F.median(f"_x_{name}").over(group) for name in values}).drop(*held)
 
-    def medians(rows: DataFrame) -> DataFrame:
-        out = rows.select(*keys).distinct()
-        for name in values:
-            found = long_quantiles(rows.where(F.col(f"_x_{name}").isNotNull()), keys, f"_x_{name}", [0.5])
-            out = out.join(found.select(*keys, F.col("quantiles")[0].alias(name)), keys, "left")
-        return out
-
-    short = {name: F.median(f"_x_{name}").over(group) for name in values}
-    return _over_series(series.with_columns(held), short, medians).drop(*held)
 
+def _long_statistics(rows: DataFrame, keys: list[str], order: str, magnitudes: dict[str, str], step: Column | None) -> DataFrame:
+    """``_n_``, ``_median_``, ``_mad_`` and ``_std_`` of each magnitude (name to column), and ``_step``: a row per long series.
 
-def series_aggregates(series: Ordered, aggregates: dict[str, Column]) -> Ordered:
-    """Add mergeable aggregates over the whole series."""
-    keys = list(series.keys)
-    group = W.partitionBy(*keys)
-    return _over_series(series, {n: c.over(group) for n, c in aggregates.items()},
-                        lambda rows: rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]))
+    Each block's values are sorted into runs once, which serve the medians and the deviations from them alike.
+    """
+    names = list(magnitudes)
+    values = {f"_v{i}": F.col(c) for i, c in enumerate(magnitudes.values())} | ({} if step is None else {f"_v{len(names)}": step})
+    by = [*keys, "_which"]
+    runs = write_tiles(_runs(rows.select(*keys, BLOCK, order, *[v.cast("double").alias(c) for c, v in values.items()]), keys, order, list(values)), "runs")
+    medians = materialise(run_medians(runs, by, "_v"), "medians")
+    known = join_small(runs.where(F.col("_which") < len(names)), medians.drop("n"), by, "inner")
+    away = known.select(*by, F.sort_array(F.transform("_v", lambda x_: F.abs(x_ - F.col("median")))).alias("_v"))
+    mads = materialise(run_medians(away, by, "_v").drop("n").withColumnRenamed("median", "mad"), "mads")
+    of = lambda i, column: F.max(F.when(F.col("_which") == i, F.col(column)))
+    columns = [of(i, held).alias(f"_{what}_{name}") for i, name in enumerate(names) for what, held in (("median", "median"), ("mad", "mad"))]
+    if step is not None:
+        columns.append(of(len(names), "median").alias("_step"))
+    found = medians.join(mads, by, "left").groupBy(*keys).agg(*columns)
+    sums = rows.groupBy(*keys).agg(*[f.alias(f"_{what}_{name}") for name, c in magnitudes.items()
+                                     for what, f in (("n", F.count(c)), ("std", F.stddev_pop(c)))])
+    return materialise(sums.join(found, keys, "left"), "per-series")
+
+
+def _runs(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """``_which`` column (its number), and ``_v``, a block's values of it that aren't missing, sorted."""
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_which", T.LongType()), T.StructField("_v", NUMBERS)])
+
+    def change(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        block = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        parts = []
+        for number, name in enumerate(columns):
+            x = floats(table[name])
+            some = ~np.isnan(x)
+            x, of = x[some], block[some]
+            out = table.select(keys).take(pa.array(bounds[:-1])).append_column("_which", pa.array(np.full(len(bounds) - 1, number)))
+            parts.append(out.append_column("_v", pack(x[np.lexsort((x, of))], np.searchsorted(of, np.arange(len(bounds))))))
+        return pa.concat_tables(parts)
+
+    return map_groups(rows, [*keys, BLOCK], order, schema, change)
 
 
 def _threshold(n: Column, median: Column, mad: Column, std: Column, sigma: float) -> Column:
@@ -81,12 +98,20 @@ def with_thresholds(
     wanted = {f"_median_{p}": F.col(f"{p}magnitude") for p in prefixes}
     if min_days is not None:
         wanted["_step"] = F.when(F.col("k") >= 1, F.col("dt_days"))
-    out = series_medians(out, wanted)
-    out = series_medians(out, {
-        f"_mad_{p}": F.abs(F.col(f"{p}magnitude") - F.col(f"_median_{p}")) for p in prefixes})
-    out = series_aggregates(out, {
-        name: aggregate for p in prefixes for name, aggregate in (
+    keys, group = list(series.keys), W.partitionBy(*series.keys)
+
+    def short(rows: DataFrame) -> DataFrame:
+        rows = series_medians(rows, keys, wanted)
+        rows = series_medians(rows, keys, {f"_mad_{p}": F.abs(F.col(f"{p}magnitude") - F.col(f"_median_{p}")) for p in prefixes})
+        return rows.withColumns({name: aggregate.over(group) for p in prefixes for name, aggregate in (
             (f"_n_{p}", F.count(f"{p}magnitude")), (f"_std_{p}", F.stddev_pop(f"{p}magnitude")))})
+
+    def long(rows: DataFrame) -> DataFrame:
+        rows = materialise(rows, "series")
+        found = _long_statistics(rows, keys, series.order, {p: f"{p}magnitude" for p in prefixes}, wanted.get("_step"))
+        return join_small(rows, found, keys, "left")
+
+    out = out.map(short, long)
     columns = {f"{p}threshold": _threshold(
         *[F.col(f"_{c}_{p}") for c in ("n", "median", "mad", "std")], sigma) for p in prefixes}
     if min_days is not None:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
 
-from driftline.operators import kalman
+from driftline.operators import kalman, robust
 from driftline.operators.blocks import arrange, position
 from driftline.operators.lowess import smooth, smooth_array
 from driftline.operators.peaks import keep_distant, local_maxima, suppress_near, with_prominence
 from driftline.operators.per_series import map_groups, whole_groups
 from driftline.operators.quantiles import run_medians
+from driftline.operators.steps import with_steps
 from driftline.operators.tiles import ranges, tile
 
 
@@ -180,3 +181,21 @@ def test_tiles_from_blocks_of_any_length(spark):
     found = sorted((r.key, r._tile, r._i0, r["at"]) for r in tile(blocks, ["key"], ["at"], 4).collect())
     assert found == [("a", 0, 0, [0, 1, 2, 3]), ("a", 1, 4, [4, 5, 6, 7]), ("a", 2, 8, [8, 9, 10]), ("b", 0, 0, [0, 1])]
     assert ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_thresholds_write_the_rows_once(spark, samples, monkeypatch, tiny_blocks):
+    """Medians, deviations and steps of all signals come from one sorting of the blocks."""
+    written, real = [], robust.materialise
+    monkeypatch.setattr(robust, "materialise", lambda df, name: written.append(df.columns) or real(df, name))
+    series = with_steps(arrange(samples, ["norad"], "epoch")).with_columns(
+        {"x": F.when(F.col("norad") % 5 > 0, F.col("x")).otherwise(F.when(F.col("k") < 4, F.col("x")).otherwise(F.lit(float("nan"))))})
+    rows = robust.with_thresholds(series, {"x": "a_", "sma": "b_"}, 2.0, 3.0).long.collect()
+    assert len([columns for columns in written if "epoch" in columns]) == 1
+    assert len(rows) == 40 * 29
+    for norad in range(40):
+        own = sorted((r for r in rows if r.norad == norad), key=lambda r: r.k)
+        k, dt = np.array([r.k for r in own]), np.array([r.dt_days for r in own])
+        for signal, level in (("x", "a_threshold"), ("sma", "b_threshold")):
+            want = robust.threshold_of(np.abs(np.array([r[signal] for r in own], float)), 2.0)
+            assert [r[level] for r in own] == pytest.approx([want] * len(own), rel=1e-12)
+        assert {r.distance for r in own} == {robust.distance_of(k, dt, 3.0)}
