@@ -18,6 +18,7 @@ from driftline.operators.per_series import map_groups, whole_groups
 from driftline.operators.quantiles import run_medians
 from driftline.operators.steps import with_steps
 from driftline.operators.tiles import ranges, tile
+from driftline.plans.detect import detect_keplerian
 
 
 @pytest.fixture
@@ -199,3 +200,16 @@ def test_thresholds_write_the_rows_once(spark, samples, monkeypatch, tiny_blocks
             want = robust.threshold_of(np.abs(np.array([r[signal] for r in own], float)), 2.0)
             assert [r[level] for r in own] == pytest.approx([want] * len(own), rel=1e-12)
         assert {r.distance for r in own} == {robust.distance_of(k, dt, 3.0)}
+
+
+@pytest.fixture
+def elements(spark, samples):
+    wide = {"raan": 360, "arg_perigee": 360, "mean_anomaly": 360, "inclination": 60, "eccentricity": 0.1, "mean_motion": 0.01}
+    return samples.where("norad < 6").select("norad", "epoch", "sma", *[(F.pmod(F.hash("sma", F.lit(c)), F.lit(997)) / 997 * top).alias(c) for c, top in wide.items()]).withColumn(
+        "mean_motion", F.col("mean_motion") + 1)
+
+
+def test_a_detector_of_long_series_shares_calls(spark, elements, calls, tiny_blocks):
+    found = detect_keplerian(elements, frac=0.3, sigma=1.0, min_distance_days=2.0).collect()
+    assert len(calls) == 1  # that of the short series
+    assert len(found) == 6 * 29 and any(r.is_maneuver for r in found)
