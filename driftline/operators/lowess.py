@@ -11,6 +11,7 @@ the rows and not with rows times neighbours. Between the tiles with the ends of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,11 @@ def smooth(series: Ordered, columns: dict[str, tuple[str, float]], at: str = "el
     def long(rows: DataFrame) -> DataFrame:
         if also:
             raise ValueError("further makers cannot run on the blocks of a long series")
-        rows = materialise(rows, "smooth")
-        done = rows
-        for out, (value, frac) in columns.items():
-            fits = _smooth_long(series, rows, value, at, frac, passes)
-            done = done.join(fits.withColumnRenamed("_fit", out), [*keys, series.order], "left")
+        done = rows = materialise(rows, "smooth")
+        fits = _smooth_long(series, rows, list(columns.values()), at, passes)
+        for number, out in enumerate(columns):
+            of = fits.where(F.col("_column") == number).drop("_column").withColumnRenamed("_fit", out)
+            done = done.join(of, [*keys, series.order], "left")
         return done
 
     return series.map(lambda rows: add_columns(rows, keys, series.order, [*makers, *also]), long)
@@ -161,16 +162,21 @@ def solve(sw, su, suu, sy, suy, own):
 # -- series of several blocks -------------------------------------------------------------
 
 
-def _smooth_long(
-    series: Ordered, rows: DataFrame, value: str, at: str, frac: float, passes: int,
-) -> DataFrame:
-    """Keys, order column and ``_fit`` of the long series."""
-    keys, order = list(series.keys), series.order
+def _smooth_long(series: Ordered, rows: DataFrame, columns: list[tuple[str, float]], at: str, passes: int) -> DataFrame:
+    """Keys, the number ``_column`` of the (value, frac), order column and ``_fit`` of the long series.
+
+    All columns go through the same steps side by side, each series of each column for itself.
+    """
+    keys, order = [*series.keys, "_column"], series.order
     width = min(rows_per_block(rows.sparkSession), _TILE_ROWS)
-    known = rows.where(is_finite(F.col(value))).select(*keys, BLOCK, order, F.col(at).alias("_t"), F.col(value).alias("_y"))
+    known = reduce(DataFrame.unionByName, [
+        rows.where(is_finite(F.col(value))).select(
+            *series.keys, F.lit(number).alias("_column"), BLOCK, order, F.col(at).alias("_t"), F.col(value).alias("_y"))
+        for number, (value, _) in enumerate(columns)])
     blocks = write_tiles(pack_blocks(known, keys, order, ["_t", "_y"]), "smooth-blocks")
     sizes = materialise(blocks.groupBy(*keys).agg(F.sum("_len").alias("_n")), "sizes")
-    share = F.floor(F.lit(float(frac)) * F.col("_n") + F.lit(1e-10))
+    frac = F.array(*[F.lit(float(frac)) for _, frac in columns])[F.col("_column")]
+    share = F.floor(frac * F.col("_n") + F.lit(1e-10))
     tiles = join_small(tile(blocks, keys, [order, "_t", "_y"], width), sizes, keys, "inner").withColumn(
         "_k", F.least(F.col("_n"), F.greatest(F.lit(2), share)).cast("bigint")).drop("_n")
     base = write_tiles(tiles, "smooth-base")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
 
-from driftline.operators import kalman, robust
+from driftline.operators import kalman, lowess, robust
 from driftline.operators.blocks import arrange, position
 from driftline.operators.lowess import smooth, smooth_array
 from driftline.operators.peaks import keep_distant, local_maxima, suppress_near, with_prominence
@@ -18,7 +18,7 @@ from driftline.operators.per_series import map_groups, whole_groups
 from driftline.operators.quantiles import run_medians
 from driftline.operators.steps import with_steps
 from driftline.operators.tiles import ranges, tile
-from driftline.plans.detect import detect_keplerian
+from driftline.plans.detect import compare_methods, detect_keplerian
 
 
 @pytest.fixture
@@ -213,3 +213,17 @@ def test_a_detector_of_long_series_shares_calls(spark, elements, calls, tiny_blo
     found = detect_keplerian(elements, frac=0.3, sigma=1.0, min_distance_days=2.0).collect()
     assert len(calls) == 1  # that of the short series
     assert len(found) == 6 * 29 and any(r.is_maneuver for r in found)
+
+
+def test_signals_are_smoothed_side_by_side(spark, elements, calls, tiny_blocks, monkeypatch):
+    written, real = [], lowess.write_tiles
+    monkeypatch.setattr(lowess, "write_tiles", lambda tiles, name: written.append(name) or real(tiles, name))
+    found = compare_methods(elements, 1.0, 2.0, keplerian_frac=0.3, j2_frac=0.2).collect()
+    assert len(calls) == 1 and written.count("fits") == lowess.ROBUST_PASSES + 1
+    spark.conf.set("driftline.rowsPerBlock", "1000")
+    whole = {(r.norad, r.k): r for r in compare_methods(elements, 1.0, 2.0, keplerian_frac=0.3, j2_frac=0.2).collect()}
+    assert len(found) == len(whole) == 6 * 29
+    for r in found:
+        same = whole[r.norad, r.k]
+        assert (r.keplerian_maneuver, r.j2_maneuver) == (same.keplerian_maneuver, same.j2_maneuver)
+        assert (r.keplerian_signal, r.j2_signal) == pytest.approx((same.keplerian_signal, same.j2_signal), rel=1e-6, abs=1e-9)
