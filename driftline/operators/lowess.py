@@ -194,14 +194,17 @@ def _smooth_long(series: Ordered, rows: DataFrame, columns: list[tuple[str, floa
         medians = materialise(run_medians(fits, keys, "_sorted").drop("n").withColumnRenamed("median", "_median"), "medians")
         left = F.transform(F.arrays_zip("_y", "_fit"), lambda x_: F.abs(x_["_y"] - x_["_fit"]))
         weighed = join_small(fits.withColumn("_left", left).drop("_fit", "_sorted"), medians, keys, "left")
-    both = base.select(*keys, "_tile", order).join(fits.select(*keys, "_tile", "_fit"), [*keys, "_tile"])
-    return both.select(*keys, F.explode(F.arrays_zip(order, "_fit")).alias("_x")).select(*keys, f"_x.{order}", "_x._fit")
+    both = base.select(*keys, "_tile", order).join(fits.select(*keys, "_tile", "_fit", "_h"), [*keys, "_tile"])
+    both = both.select(*keys, F.explode(F.arrays_zip(order, "_fit", "_h")).alias("_x")).where(~F.isnan("_x._h"))
+    return both.select(*keys, f"_x.{order}", "_x._fit")
 
 
 def _reaches(base: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Each tile's rows with the first neighbour ``_first`` of each and the farthest distance ``_h``; ``_ends`` are the tiles that hold
     an end of the neighbours or the row itself, and ``_from`` to ``_to`` those from the first neighbour to the last one.
 
+    Of rows at one time the last one is fitted for all; the others have no distance (NaN) and no weight in the robust passes.
+
     The neighbours of a row start where ``t[j] + t[j + k]`` first reaches twice its time; both grow along the series, so counting
     the smaller sums gives the start. A tile's sums need the times of the tiles ``k`` rows on, and its rows only the sums of
     the tiles between its first time and its last one.
@@ -239,13 +242,14 @@ def _reaches(base: DataFrame, keys: list[str], width: int) -> DataFrame:
     upto = F.max("_number").over(W.partitionBy(*keys).orderBy("_at", "_sum").rowsBetween(W.unboundedPreceding, W.currentRow))
     found = events.withColumn("_upto", upto).where(F.col("_own").isNotNull()).groupBy(*keys, "_own").agg(
         F.min(F.coalesce("_upto", F.lit(-1))).alias("_begin"), F.max("_upto").alias("_stop"))
-    found = materialise(found, "reach-tiles")
+    behind = base.select(*keys, own, F.lead(F.col("_t")[0]).over(W.partitionBy(*keys).orderBy("_tile")).alias("_next"))
+    found = materialise(found.join(behind, [*keys, "_own"]), "reach-tiles")
     wanted = found.where(F.col("_stop").isNotNull()).select(
         *keys, "_own", F.explode(F.sequence(F.greatest("_begin", F.lit(0)), "_stop")).alias("_tile"))
     near = steps.select(*keys, "_tile", "_s").join(wanted, [*keys, "_tile"])
-    asks = base.select(*keys, own, "_tile", "_i0", "_k", "_t", "_y").join(found.select(*keys, "_own", "_begin"), [*keys, "_own"])
+    asks = base.select(*keys, own, "_tile", "_i0", "_k", "_t", "_y").join(found.select(*keys, "_own", "_begin", "_next"), [*keys, "_own"])
     schema = T.StructType([*key_fields, *[T.StructField(c, T.LongType()) for c in ("_tile", "_i0", "_k")], T.StructField("_t", NUMBERS), T.StructField("_y", NUMBERS),
-                           T.StructField("_first", LONGS), T.StructField("_ends", LONGS), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType())])
+                           T.StructField("_first", LONGS), T.StructField("_ends", LONGS), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("_next", T.DoubleType())])
 
     def add_smaller(smaller: np.ndarray, own: pa.Table, begin: np.ndarray, near: pa.Table, of: np.ndarray) -> None:
         twice, (found, at) = 2.0 * lists(own["_t"])[0], lists(near["_s"])
@@ -260,7 +264,8 @@ def _reaches(base: DataFrame, keys: list[str], width: int) -> DataFrame:
         ends = np.unique(np.stack([np.tile(row, 3), np.concatenate([low, own["_tile"].to_numpy()[row], high])]), axis=1)
         out = own.select([*keys, "_tile", "_i0", "_k", "_t", "_y"]).append_column("_first", pack(first, begin))
         out = out.append_column("_ends", pack(ends[1], np.searchsorted(ends[0], np.arange(own.num_rows + 1))))
-        return out.append_column("_from", pa.array(np.minimum.reduceat(low, begin[:-1]))).append_column("_to", pa.array(np.maximum.reduceat(high, begin[:-1])))
+        return out.append_column("_from", pa.array(np.minimum.reduceat(low, begin[:-1]))).append_column(
+            "_to", pa.array(np.maximum.reduceat(high, begin[:-1]))).append_column("_next", own["_next"])
 
     firsts = write_tiles(meet(asks, [near], keys, "_t", 1, schema, add_smaller, first_rows), "reach-firsts")
     pairs = firsts.select(*keys, F.col("_tile").alias("_own"), F.explode("_ends").alias("_tile"))
@@ -277,10 +282,13 @@ def _reaches(base: DataFrame, keys: list[str], width: int) -> DataFrame:
 
     def distances(own: pa.Table, begin: np.ndarray, times: np.ndarray) -> pa.Table:
         t = lists(own["_t"])[0]
-        return own.drop_columns([c for c in own.column_names if c not in names]).append_column("_h", pack(np.maximum(t - times[0], times[1] - t), begin)).select([*names, "_h"])
+        later = np.append(t[1:], np.nan)
+        later[begin[1:] - 1] = floats(own["_next"])
+        reach = np.where(t == later, np.nan, np.maximum(t - times[0], times[1] - t))
+        return own.select(names).append_column("_h", pack(reach, begin))
 
-    names = firsts.columns
-    schema = T.StructType([*firsts.schema.fields, T.StructField("_h", NUMBERS)])
+    names = [c for c in firsts.columns if c != "_next"]
+    schema = T.StructType([*[firsts.schema[c] for c in names], T.StructField("_h", NUMBERS)])
     return write_tiles(meet(firsts.withColumn("_own", F.col("_tile")), [near], keys, "_t", 2, schema, add_ends, distances), "smooth-targets")
 
 
@@ -305,7 +313,8 @@ def _one_pass(weighed: DataFrame, pairs: DataFrame, between: DataFrame, keys: li
         i0, length = rows["_i0"].to_numpy()[pair], np.diff(at)[pair]
         start, stop = (at[:-1][pair] + np.clip(x - i0, 0, length) for x in (first[place], first[place] + k[row_of][pair]))
         many = stop - start >= MANY_NEIGHBOURS
-        few = ~many & (stop > start)
+        fitted = np.isfinite(reach[place])
+        many, few = many & fitted, ~many & fitted & (stop > start)
         add_ranges(sums, place[few], seen, y, w, t, reach, start[few], stop[few])
         for i in np.unique(pair[many]).tolist():
             chosen, tile_ = many & (pair == i), slice(at[i], at[i + 1])
@@ -327,27 +336,29 @@ def _one_pass(weighed: DataFrame, pairs: DataFrame, between: DataFrame, keys: li
                 power = lambda c: lists(part[c])[0].reshape(part.num_rows, -1).T  # noqa: B023, E731
                 tree = Tree(Nodes(floats(part["_low"]), floats(part["_high"]), power("_mu"), power("_nu")))
                 on = part["_tile"].to_numpy()
-                sums[:, rows] += tree.sums(np.searchsorted(on, start), np.searchsorted(on, stop), t[rows], reach[rows], side)
+                reached = np.nan_to_num(reach[rows])  # what rows without a distance add up is not used
+                sums[:, rows] += tree.sums(np.searchsorted(on, start), np.searchsorted(on, stop), t[rows], reached, side)
 
     def fit(own: pa.Table, begin: np.ndarray, sums: np.ndarray) -> pa.Table:
         y = lists(own["_y"])[0]
-        fitted = solve(*sums, y)
-        left = np.abs(y - fitted)
-        left = left[np.lexsort((left, np.repeat(np.arange(own.num_rows), np.diff(begin))))]
-        return own.select(names).append_column("_fit", pack(fitted, begin)).append_column("_sorted", pack(left, begin))
+        some = np.isfinite(lists(own["_h"])[0])
+        fitted = np.where(some, solve(*sums, y), np.nan)
+        left, of = np.abs(y - fitted)[some], np.repeat(np.arange(own.num_rows), np.diff(begin))[some]
+        left = left[np.lexsort((left, of))]
+        return own.select(names).append_column("_fit", pack(fitted, begin)).append_column("_sorted", pack(left, np.searchsorted(of, np.arange(own.num_rows + 1))))
 
     return meet(asks, met, keys, "_t", len(_SUMS), schema, add_sums, fit)
 
 
 def tile_weights(tiles: pa.Table, begin: np.ndarray) -> np.ndarray:
-    """Robustness weights of the tiles' rows, all 1 in the first pass."""
+    """Robustness weights of the tiles' rows, all 1 in the first pass; then 0 for rows without a fit of their own."""
     median = np.repeat(floats(tiles["_median"]), np.diff(begin))
     left = lists(tiles["_left"])[0]
     if not len(left):
         return np.ones(len(median))
     some = median > 0
     u = left / np.where(some, 6.0 * median, 1.0)
-    return np.where(some, np.where(u < 1.0, (1.0 - u * u) ** 2, 0.0), 1.0)
+    return np.where(some, np.where(u < 1.0, (1.0 - u * u) ** 2, 0.0), np.where(np.isnan(left), 0.0, 1.0))
 
 
 def _tile_moments(weighed: DataFrame, keys: list[str]) -> DataFrame:

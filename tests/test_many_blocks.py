@@ -144,6 +144,16 @@ def test_tiles_of_smoothing_share_calls(spark, calls, tiny_blocks):
     check_smoothed(rows, found, 0.3, range(30))
 
 
+def test_rows_at_one_time_share_a_fit(spark, tiny_blocks):
+    """No row is doubled by others at its time, also where a tile ends between them."""
+    rng = random.Random(6)
+    rows = [(norad, float(rng.randint(0, 40)), rng.gauss(0, 3)) for norad in range(12) for _ in range(60)]
+    found = smoothed(spark.createDataFrame(rows, "norad long, t double, x double"), 0.3).long.collect()
+    assert sorted((r.norad, r.t, r.x) for r in found) == sorted(rows)
+    fits = {(r.norad, r.t): r.fit for r in found}
+    assert None not in fits.values() and all(r.fit == fits[r.norad, r.t] for r in found)
+
+
 @pytest.mark.parametrize("width,batch", [(300, "3"), (90, "50")])
 def test_smoothing_over_many_tiles(spark, width, batch):
     """Neighbours over many tiles, some sums from moments; a tile meets more rows than a batch holds."""
